@@ -128,7 +128,7 @@ def partners(skip: int, take: int, most: int):
 def id_filter(ids: DataFrame, column: str) -> dict[int, bytes]:
     """Hashes of ids as bitmaps of 4 KB; at most 2**FILTER_BITS bits, whatever the number of ids."""
     spot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
-    rows = ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    rows = ids.select((spot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     return {r["k"]: bytes(r["m"]) for r in rows.collect()}
 
 
