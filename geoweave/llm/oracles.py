@@ -21,3 +21,16 @@ p AS (
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM s JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON m.d = s.doc_id
 """
+
+OP3 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM g),
+m AS (SELECT gram, min(doc_id) AS least FROM h GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT h.doc_id, h.i FROM h JOIN m ON h.gram = m.gram WHERE h.doc_id > m.least),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest(range(0, 13)) AS j)),
+l AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, p: gone IS NULL OR NOT list_contains(gone, p)), ' ')) AS kept_sha256
+FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+"""
