@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from geoweave.llm.bytebpe import encode_decode
 from geoweave.llm.neardup import near_duplicates
 from geoweave.llm.ngram import score_texts
 from geoweave.llm.substring import dedup_substrings
+from geoweave.llm.tokenfiles import token_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +33,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "text")
     return score_texts(docs, docs.where("not held_out").select("text"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("rest.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
