@@ -34,3 +34,29 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
   sha256(array_to_string(list_filter(ws, lambda x, p: gone IS NULL OR NOT list_contains(gone, p)), ' ')) AS kept_sha256
 FROM w LEFT JOIN l ON w.doc_id = l.doc_id
 """
+
+OP8 = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+k AS (SELECT row_number() OVER () AS r, * FROM w),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM k WHERE len(ws) >= 5),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 4], ' ')) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM h, (SELECT unnest(range(0, 5)) AS j) WHERE n > 1 GROUP BY r),
+m AS (
+  SELECT k.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    len(regexp_extract_all(text, '[!?]')) AS n_marks, len(regexp_extract_all(text, '[A-Z]')) AS n_upper
+  FROM k LEFT JOIN c ON k.r = c.r
+), f AS (
+  SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), s AS (
+  SELECT *, CAST(n_symbols * 10 > n_words AS INT) + CAST(n_dup_lines * 10 > len(ls) * 3 AS INT) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INT)
+    + CAST(n_marks * 10 > n_words * 3 AS INT) + CAST(n_upper * 10 > word_chars * 3 AS INT) AS n_failed FROM f
+), hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_failed > 0) AS b FROM s GROUP BY source),
+o AS (SELECT sum(b) / sum(n) AS mean, coalesce(var_samp(b / n), 0) AS var, avg(1 / n) AS inverse FROM hosts),
+p AS (
+  SELECT mean, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inverse, mean * (1 - mean) * 1e-4, 1e-12) - 1, 1.0) AS strength FROM o
+), v AS (SELECT source, (b + mean * strength) / (n + strength) >= 0.05 AS suspect FROM hosts, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_failed < CASE WHEN suspect THEN 1 ELSE 2 END AS kept
+FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
+"""

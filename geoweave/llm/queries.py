@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoweave.llm.bytebpe import encode_decode
+from geoweave.llm.hostrules import judge
+from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
 from geoweave.llm.ngram import score_texts
 from geoweave.llm.substring import dedup_substrings
@@ -43,3 +45,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("rest.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = repetition_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
