@@ -5,7 +5,7 @@
    0.8 with probability (1 - 0.8**3)**20 < 1e-6.
 3. Within a bucket, odd sketches (parities of the MinHash samples) estimate the similarity of two classes by the
    population count of their XOR. Each class lists its smaller partners by that estimate, best first.
-4. In rounds, the next 1, 4, 16, ... partners of each list that are not yet in the class's component are confirmed
+4. In rounds, the next 1, 16, 256, ... partners of each list that are not yet in the class's component are confirmed
    exactly on the full shingle sets, and components are joined. No group's pairs are emitted all together: once a
    member hangs together with its group, its other pairs are not looked at. Lists end only with their last partner.
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -90,37 +89,88 @@ def signatures(k: int):
     return run
 
 
-def estimate_floor(similarity: float) -> int:
-    """XOR bits that a pair of this similarity hardly ever exceeds: seven deviations of the sample, folded into the sketch."""
-    low = max(0.0, similarity - 7 * np.sqrt(similarity * (1 - similarity) / SAMPLES))
-    differ = 2 * SAMPLES * (1 - low)
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ) + 4 * np.sqrt(SKETCH_BITS) / 2))
+def most_bits(similarity: float) -> int:
+    """XOR bits that a pair of this similarity exceeds with a probability of about 1e-7.
 
+    Of SAMPLES values some differ (binomial) and flip two bits each; pairs of flips that meet cancel.
+    """
+    mean = 2 * SAMPLES * (1 - similarity)
+    left = (1 - 2 / SKETCH_BITS) ** mean
+    sampling = 2 * left * np.sqrt(SAMPLES * similarity * (1 - similarity))
+    meeting = 2 * np.sqrt(mean * mean / 2 / SKETCH_BITS)
+    return int(np.ceil(SKETCH_BITS / 2 * (1 - left) + 5.5 * np.hypot(sampling, meeting)))
 
-def partners(skip: int, take: int, most: int):
-    """An applyInArrow function on a bucket (bucket, doc_id, sketch, label): each class's smaller partners, best estimate first.
 
-    Gives those of rank skip to skip + take that have another label, and `left`: whether the list goes on beyond them.
-    """
+#: Members of a bucket up to which all buckets of a batch are compared together.
+SMALL = 64
+
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        label = table.column("label").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, label, sketch = ids[order], label[order], sketch[order]
-        out: list[tuple] = []
-        for i in range(1, len(ids)):
-            if label[:i].min() == label[: i + 1].max():
+def partners(skip: int, take: int, percent: int):
+    """A mapInArrow function on rows (bucket, doc_id, n, sketch, label) in order of bucket and doc_id.
+
+    Gives each class's smaller partners of rank skip to skip + take by estimate that have another label, and `left`:
+    whether the class's list goes on beyond them. Pairs whose sizes alone rule the similarity out are in no list.
+    """
+    most = most_bits(percent / 100)
+
+    def near(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        return bits, (bits <= most) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+
+    def ranked(ids, n, sketch, label, sizes) -> pa.RecordBatch:
+        """Whole buckets, one after the other."""
+        first = np.cumsum(sizes) - sizes
+        size_of, start = np.repeat(sizes, sizes), np.repeat(first, sizes)
+        rows = np.arange(len(ids))
+        found = []
+        for lag in range(1, min(SMALL, int(sizes.max()))):
+            i = rows[(size_of <= SMALL) & (rows - lag >= start)]
+            bits, good = near(sketch, n, i, i - lag)
+            found.append((i[good], i[good] - lag, bits[good]))
+        for at, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            if (label[at : at + size] == label[at]).all():
                 continue
-            bits = np.bitwise_count(sketch[:i] ^ sketch[i]).sum(axis=1)
-            near = np.flatnonzero(bits <= most)
-            ranked = near[np.argsort(bits[near], kind="stable")]
-            left = bool((label[ranked[skip + take :]] != label[i]).any())
-            ranked = ranked[skip : skip + take]
-            ranked = ranked[label[ranked] != label[i]]
-            out += [(int(ids[i]), int(ids[j]), left) for j in ranked] or [(int(ids[i]), int(ids[i]), True)] * left
-        return pa.Table.from_pandas(pd.DataFrame(out, columns=["a", "b", "left"]).astype({"a": "int64", "b": "int64", "left": "bool"}), preserve_index=False)
+            for i in range(at + 1, at + size):
+                j = np.arange(at, i)
+                bits, good = near(sketch, n, np.full(len(j), i), j)
+                found.append((np.full(good.sum(), i), j[good], bits[good]))
+        i, j, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((j, bits, i))
+        i, j = i[order], j[order]
+        head = np.searchsorted(i, i)
+        rank = np.arange(len(i)) - head
+        other = label[i] != label[j]
+        more = np.unique(i[other & (rank >= skip + take)])
+        now = other & (rank >= skip) & (rank < skip + take)
+        i, j = i[now], j[now]
+        left = np.isin(i, more)
+        alone = np.setdiff1d(more, i)  # their list goes on without a partner in this round
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((ids[i], ids[alone]))), pa.array(np.concatenate((ids[j], ids[alone]))), pa.array(np.concatenate((left, np.ones(len(alone), bool))))], names=["a", "b", "left"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def take_whole(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            bucket = table.column(0).to_numpy()
+            cut = len(bucket) if last else int(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[-1])
+            waiting = table.slice(cut).to_batches()
+            if cut:
+                edges = np.flatnonzero(np.concatenate(([True], bucket[1:cut] != bucket[: cut - 1], [True])))
+                ids, n, label = (table.column(c).to_numpy()[:cut] for c in (1, 2, 4))
+                sketch = np.frombuffer(b"".join(table.column(3).slice(0, cut).to_pylist()), U).reshape(cut, -1)
+                yield ranked(ids, n, sketch, label, np.diff(edges))
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                if len(waiting) == 1 or waiting[0].column(0)[0] != batch.column(0)[-1]:  # a bucket that goes on is added to first
+                    yield from take_whole(False)
+        if waiting:
+            yield from take_whole(True)
 
     return run
 
@@ -206,28 +256,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sig = written(docs.mapInArrow(signatures(k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"), "signatures")
     shingled = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(shingled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n_shingles > 0")
-
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    reps = sig.withColumnRenamed("n_shingles", "n").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
+    reps = reps.dropDuplicates(["doc_id", "d1", "d2"])
+    banded = reps.select("doc_id", "d1", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
-    members = written(banded.join(shared, "bucket"), "buckets")
-    sketches = reps.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
-    most, skip, take = estimate_floor(percent / 100), 0, 1
-    links, labels = None, None
+    members = written(banded.join(shared, "bucket").join(reps.select("doc_id", "d1", "n", "sketch"), ["doc_id", "d1"]).drop("d1"), "buckets")
+    skip, take = 0, 1
+    labels = None
     while True:
-        labelled = members if labels is None else members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-        labelled = labelled.select("bucket", "doc_id", F.coalesce(F.col("label"), "doc_id").alias("label") if labels is not None else F.col("doc_id").alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rows = labelled.join(open_, "bucket").join(sketches, "doc_id").select("bucket", "doc_id", "sketch", "label")
-        found = written(rows.groupBy("bucket").applyInArrow(partners(skip, take, most), "a long, b long, left boolean"), "partners")
-        more = found.where("left").limit(1).count()
-        pairs = found.where("a <> b").select("a", "b").distinct()
+        if labels is None:
+            rows = members.withColumn("label", F.col("doc_id"))
+        else:
+            rows = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        dealt = rows.select("bucket", "doc_id", "n", "sketch", "label").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+        found = written(dealt.mapInArrow(partners(skip, take, percent), "a long, b long, left boolean"), "partners")
+        more, pairs = found.where("left").limit(1).count(), found.where("a <> b").select("a", "b").distinct()
         good = written(confirmed(docs, pairs, k, percent), "confirmed")
         links = good if labels is None else good.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = written(components(links), "labels")
         if not more:
             break
-        skip, take = skip + take, take * 4
+        skip, take = skip + take, take * 16
 
     tops = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("top"))
     return (
