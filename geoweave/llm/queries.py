@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoweave.llm.bytebpe import encode_decode
 from geoweave.llm.hostrules import judge
+from geoweave.llm import knn, quality
 from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
 from geoweave.llm.ngram import score_texts
@@ -55,3 +56,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.whole_vectors(table(spark, sf_dir, "embeddings"), scale=64.0)
+    return knn.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs.where(~held_out), labels)
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
