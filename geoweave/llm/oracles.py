@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+from geoweave.llm.licenses import _MARKS, TEMPLATES, window_words
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,3 +73,30 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+_FROM = "'" + (UPPER + _MARKS.replace("\t\n\x0b\x0c\r", "")).replace("'", "''") + "' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TO = "'" + LOWER + " " * len(_MARKS) + "'"
+
+
+def _plain(text: str) -> str:
+    return f"list_filter(string_split_regex(translate(coalesce({text}, ''), {_FROM}, {_TO}), ' +'), lambda w: w <> '')"
+
+
+def _grams(words: str) -> str:
+    return f"list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' '))"
+
+
+_ROWS = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in sorted(TEMPLATES.items()))
+OP7 = f"""
+WITH l AS (SELECT license, {_plain('notice')} AS w FROM (VALUES {_ROWS}) x(license, notice)),
+t AS (
+  SELECT license, CAST(CASE {' '.join(f'WHEN len(w) <= {n} THEN {window_words(n)}' for n in (4, 8, 16, 32, 64, 128, 256))} END AS BIGINT) AS span,
+    len(list_distinct({_grams('w')})) AS n_shingles, unnest(list_distinct({_grams('w')})) AS g FROM l WHERE len(w) >= 5
+), d AS (SELECT doc_id, {_plain('text')} AS w FROM documents),
+s AS (SELECT doc_id, unnest({_grams('w')}) AS g, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
+m AS (SELECT doc_id, license, span, n_shingles, s.g, p FROM s JOIN t ON s.g = t.g),
+x AS (SELECT *, unnest(range(greatest(0, (p - (span - 4) + span // 2) // (span // 2)), p // (span // 2) + 1)) AS k FROM m),
+c AS (SELECT doc_id, license, n_shingles, k * (span // 2) AS place, count(DISTINCT g) AS n_shared FROM x WHERE k * (span // 2) + span - 4 > p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY n_shared DESC, place) AS o FROM c WHERE 100 * n_shared >= 80 * n_shingles)
+SELECT doc_id, license, n_shared, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(place AS BIGINT) AS first_word FROM r WHERE o = 1
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from geoweave.llm.bytebpe import encode_decode
 from geoweave.llm.hostrules import judge
 from geoweave.llm import knn, quality
+from geoweave.llm.licenses import TEMPLATES, scan
 from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
 from geoweave.llm.ngram import score_texts
@@ -69,3 +70,7 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs.where(~held_out), labels)
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), TEMPLATES, k=5, percent=80)
