@@ -4,8 +4,8 @@ Templates and texts become sets of hashed word shingles. For templates of up to
 2 L words that overlap by half, so a passage as long as its template lies whole in one window. MinHash values, each a band
 of one row, retrieve the templates of a window; their number is set for each length so that a window with the wanted
 containment meets its template with probability 1 - MISS. Exact containment of the template's shingles in the window then
-decides. A band can only meet where the text has the template's least shingle itself, so texts with none of these
-shingles are passed over before any window is made: no collision is lost.
+decides. A band can only meet where the text has the template's least shingle itself, so texts and windows with
+none of the templates' shingles are passed over before: no collision is lost.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ TEMPLATES = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often lambdas in it refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def plain_words(text: Column) -> Column:
     """Words with A-Z in lower case, cut at spaces and marks; none for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _MARKS, _UPPER.lower() + " " * len(_MARKS))
@@ -58,12 +63,26 @@ def plain_words(text: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """Hashes of the k-word shingles in order; none if there are fewer words."""
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))
 
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)))
+
+    return bound(words, of)
+
+
+def least_hashes(hashes: Column, bands: Column) -> Column:
+    return bound(hashes, lambda h: F.transform(F.sequence(F.lit(1), bands), lambda s: F.array_min(F.transform(h, lambda x: F.xxhash64(x, s)))))
 
-def least_hashes(hashes: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
+
+def windows(hashes: Column, spans: list[int], k: int) -> Column:
+    """For each window length: structs (span, place, s) of the windows' first words and shingles."""
+
+    def of(span: int, h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(span // 2))
+        return F.transform(starts, lambda at: F.struct(F.lit(span).alias("span"), at.alias("place"), F.slice(h, at + 1, span - k + 1).alias("s")))
+
+    return bound(hashes, lambda h: F.concat(*[of(span, h) for span in spans]))
 
 
 def window_words(n_words: int) -> int:
@@ -93,26 +112,23 @@ def scan(docs: DataFrame, templates: dict[str, str], k: int = 5, percent: int =
     # bounded by the notices given, not by the documents
     table = spark.createDataFrame(sorted(templates.items()), "license string, notice string").select("license", plain_words(F.col("notice")).alias("w"))
     table = table.select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"), k)).alias("t")).where(F.size("t") > 0)
-    sizes = {r["license"]: r["n"] for r in table.select("license", "n").collect()}
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(plain_words(F.col("text").cast("string")), k).alias("h"))
-    found = []
-    for window in sorted({window_words(n) for n in sizes.values()}):
-        bands, stride, held = bands_for(window, k, percent), window // 2, window - k + 1
-        mine = table.where(F.col("license").isin(sorted(x for x, n in sizes.items() if window_words(n) == window)))
-        banded = mine.select("license", "t", F.posexplode(least_hashes(F.col("t"), bands)).alias("band", "m"))
-        if mine.count() * bands <= BROADCAST_ROWS:
-            banded = F.broadcast(banded)
-        seeds = {r["x"] for r in mine.select(F.explode("t").alias("x")).collect()}
-        hit = text.where(F.exists("h", lambda x: x.isin(sorted(seeds))))
-        cut = hit.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(size(h) - 1) div {stride}").cast("int")), lambda w: F.slice("h", w * stride + 1, held))).alias("w", "s"))
-        met = cut.select("doc_id", "w", "s", F.posexplode(least_hashes(F.col("s"), bands)).alias("band", "m")).join(banded, ["band", "m"])
-        shared = F.size(F.array_intersect("s", "t"))
-        found.append(met.select("doc_id", "license", (F.col("w") * stride).alias("at"), shared.alias("n_shared"), F.size("t").alias("n_shingles")).where(100 * F.col("n_shared") >= percent * F.col("n_shingles")))
-    every = found[0] if found else None
-    for more in found[1:]:
-        every = every.union(more)
-    if every is None:
+    rows = table.collect()
+    if not rows:
         return spark.createDataFrame([], "doc_id long, license string, n_shared long, n_shingles long, first_word long")
+    bands = {span: bands_for(span, k, percent) for span in sorted({window_words(r["n"]) for r in rows})}
+    known = spark.createDataFrame([(r["license"], window_words(r["n"]), r["t"]) for r in rows], "license string, span int, t array<long>")
+    n_bands = F.element_at(F.create_map(*[F.lit(x) for pair in bands.items() for x in pair]), F.col("span"))
+    banded = known.select("license", "span", "t", F.posexplode(least_hashes(F.col("t"), n_bands)).alias("band", "m"))
+    if sum(bands[window_words(r["n"])] for r in rows) <= BROADCAST_ROWS:
+        banded = F.broadcast(banded)
+    seeds = sorted({x for r in rows for x in r["t"]})
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(plain_words(F.col("text").cast("string")), k).alias("h"))
+    hit = text.where(F.exists("h", lambda x: x.isin(seeds)))
+    cut = hit.select("doc_id", F.inline(windows(F.col("h"), list(bands), k)))
+    cut = cut.where(F.exists("s", lambda x: x.isin(seeds)))
+    met = cut.select("doc_id", "span", "place", "s", F.posexplode(least_hashes(F.col("s"), n_bands)).alias("band", "m")).join(banded, ["span", "band", "m"])
+    shared = F.size(F.array_intersect("s", "t"))
+    every = met.select("doc_id", "license", F.col("place").alias("at"), shared.alias("n_shared"), F.size("t").alias("n_shingles")).where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
     best = F.max(F.struct("n_shared", (-F.col("at")).alias("back")))
     return every.groupBy("doc_id", "license", "n_shingles").agg(best.alias("b")).select(
         "doc_id", "license", F.col("b.n_shared").cast("long").alias("n_shared"), F.col("n_shingles").cast("long").alias("n_shingles"), (-F.col("b.back")).cast("long").alias("first_word")
