@@ -5,7 +5,7 @@
    0.8 with probability (1 - 0.8**3)**20 < 1e-6.
 3. Within a bucket, odd sketches (parities of the MinHash samples) estimate the similarity of two classes by the
    population count of their XOR. Each class lists its smaller partners by that estimate, best first.
-4. In rounds, the next 1, 16, 256, ... partners of each list that are not yet in the class's component are confirmed
+4. In rounds, the next 1, 64, 4096, ... partners of each list that are not yet in the class's component are confirmed
    exactly on the full shingle sets, and components are joined. No group's pairs are emitted all together: once a
    member hangs together with its group, its other pairs are not looked at. Lists end only with their last partner.
 """
@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from geoweave.llm import text as tx
-from geoweave.llm.components import components
+from geoweave.llm.components import joined
 from geoweave.shared import written
 
 U = tx.U
-BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 3, 128, 512
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 3, 512, 2048
 #: Bits of the bitmap that spares texts without a part in a round their shuffle; a full one only spares less.
 FILTER_BITS = 26
 #: Partners of one hub that a task takes.
 HUB = 5_000
-_SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, SAMPLES), dtype=U) * U(2) + U(1)
+_SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, max(SAMPLES, BANDS * ROWS)), dtype=U) * U(2) + U(1)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -52,39 +52,52 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarra
         yield a, b, grams, np.searchsorted(owner, np.arange(b - a + 1))
 
 
+def least_hashes(grams: np.ndarray, first: np.ndarray, samples: int) -> np.ndarray:
+    """MinHash values, a row for each sample; 0 for texts without shingles."""
+    full = np.diff(first) > 0
+    least = np.zeros((samples, len(full)), U)
+    for i in range(samples if full.any() else 0):
+        least[i, full] = np.minimum.reduceat((grams ^ _SEEDS[0, i]) * _SEEDS[1, i], first[:-1][full])
+    return least
+
+
+def digests(grams: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """128 bits that tell shingle sets apart."""
+    return [pa.array(tx.per_text(tx.mix(grams ^ U(s)), first).view(np.int64)) for s in (0x51ED270B, 0x2545F491)]
+
+
 def signatures(k: int):
-    """A mapInArrow function: doc_id and text to the set's size and digest, band keys and odd sketch."""
+    """A mapInArrow function: doc_id and text to the set's size and digest, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for a, b, grams, first in shingle_sets(batch.column(1), k):
-                n, full = np.diff(first), np.diff(first) > 0
-                sums = [tx.per_text(tx.mix(grams ^ U(s)), first).view(np.int64) for s in (0x51ED270B, 0x2545F491)]
-                least = np.zeros((SAMPLES, b - a), U)
-                for i in range(SAMPLES):
-                    least[i, full] = np.minimum.reduceat((grams ^ _SEEDS[0, i]) * _SEEDS[1, i], first[:-1][full]) if full.any() else 0
+                least = least_hashes(grams, first, BANDS * ROWS)
                 bands = np.zeros((b - a, BANDS), U)
                 for j in range(BANDS):
                     key = np.full(b - a, U(j + 1))
                     for r in range(ROWS):
                         key = tx.mix(key * U(0x9E3779B97F4A7C15) ^ least[j * ROWS + r])
                     bands[:, j] = key
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), *digests(grams, first), lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+
+    return run
+
+
+def sketches(k: int):
+    """A mapInArrow function: doc_id and text to the set's digest and odd sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, grams, first in shingle_sets(batch.column(1), k):
+                least = least_hashes(grams, first, SAMPLES)
                 spot = (tx.mix(least + (np.arange(SAMPLES, dtype=U)[:, None] << U(1))) % U(SKETCH_BITS)).astype(np.int64)
                 parity = np.zeros((b - a, SKETCH_BITS), np.uint8)
                 for i in range(SAMPLES):
                     parity[np.arange(b - a), spot[i]] ^= 1
-                sketch = np.packbits(parity, axis=1)
-                yield pa.record_batch(
-                    [
-                        ids.slice(a, b - a),
-                        pa.array(n.astype(np.int64)),
-                        *map(pa.array, sums),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
-                )
+                packed = [x.tobytes() for x in np.packbits(parity, axis=1)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), digests(grams, first)[0], pa.array(packed, pa.binary())], names=["doc_id", "d1", "sketch"])
 
     return run
 
@@ -106,34 +119,36 @@ SMALL = 64
 
 
 def partners(skip: int, take: int, percent: int):
-    """A mapInArrow function on rows (bucket, doc_id, n, sketch, label) in order of bucket and doc_id.
+    """A mapInArrow function on rows (bucket, doc_id, n, sketch, label, bands) in order of bucket and doc_id.
 
-    Gives each class's smaller partners of rank skip to skip + take by estimate that have another label, and `left`:
+    A pair is in the lists of the first bucket only that it shares. Gives each class's smaller partners of rank skip to skip + take by estimate that have another label, and `left`:
     whether the class's list goes on beyond them. Pairs whose sizes alone rule the similarity out are in no list.
     """
     most = most_bits(percent / 100)
 
-    def near(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        return bits, (bits <= most) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-
-    def ranked(ids, n, sketch, label, sizes) -> pa.RecordBatch:
+    def ranked(bucket, ids, n, sketch, label, bands, sizes) -> pa.RecordBatch:
         """Whole buckets, one after the other."""
         first = np.cumsum(sizes) - sizes
         size_of, start = np.repeat(sizes, sizes), np.repeat(first, sizes)
         rows = np.arange(len(ids))
         found = []
+
+        def near(i: np.ndarray, j: np.ndarray) -> None:
+            good = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[good], j[good]
+            bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            i, j, bits = i[bits <= most], j[bits <= most], bits[bits <= most]
+            here = bands[i, (bands[i] == bands[j]).argmax(axis=1)] == bucket[i] if len(i) else np.zeros(0, bool)
+            found.append((i[here], j[here], bits[here]))
+
         for lag in range(1, min(SMALL, int(sizes.max()))):
             i = rows[(size_of <= SMALL) & (rows - lag >= start)]
-            bits, good = near(sketch, n, i, i - lag)
-            found.append((i[good], i[good] - lag, bits[good]))
+            near(i, i - lag)
         for at, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             if (label[at : at + size] == label[at]).all():
                 continue
             for i in range(at + 1, at + size):
-                j = np.arange(at, i)
-                bits, good = near(sketch, n, np.full(len(j), i), j)
-                found.append((np.full(good.sum(), i), j[good], bits[good]))
+                near(np.full(i - at, i), np.arange(at, i))
         i, j, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((j, bits, i))
         i, j = i[order], j[order]
@@ -161,8 +176,9 @@ def partners(skip: int, take: int, percent: int):
             if cut:
                 edges = np.flatnonzero(np.concatenate(([True], bucket[1:cut] != bucket[: cut - 1], [True])))
                 ids, n, label = (table.column(c).to_numpy()[:cut] for c in (1, 2, 4))
+                bands = table.column(5).slice(0, cut).combine_chunks().flatten().to_numpy().reshape(cut, BANDS)
                 sketch = np.frombuffer(b"".join(table.column(3).slice(0, cut).to_pylist()), U).reshape(cut, -1)
-                yield ranked(ids, n, sketch, label, np.diff(edges))
+                yield ranked(bucket[:cut], ids, n, sketch, label, bands, np.diff(edges))
 
         for batch in batches:
             if batch.num_rows:
@@ -253,31 +269,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Columns beside doc_id and text are not looked at. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = written(docs.mapInArrow(signatures(k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"), "signatures")
+    sig = written(docs.mapInArrow(signatures(k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     shingled = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(shingled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sig.withColumnRenamed("n_shingles", "n").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     reps = reps.dropDuplicates(["doc_id", "d1", "d2"])
     banded = reps.select("doc_id", "d1", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
-    members = written(banded.join(shared, "bucket").join(reps.select("doc_id", "d1", "n", "sketch"), ["doc_id", "d1"]).drop("d1"), "buckets")
+    similar = written(banded.join(shared, "bucket"), "buckets")
+    drawn = maybe_in(docs, similar.select("doc_id"), "doc_id").mapInArrow(sketches(k), "doc_id long, d1 long, sketch binary").dropDuplicates(["doc_id", "d1"])
+    members = written(similar.join(drawn, ["doc_id", "d1"]).join(reps.select("doc_id", "d1", "n", "bands"), ["doc_id", "d1"]).drop("d1"), "members")
     skip, take = 0, 1
     labels = None
     while True:
-        if labels is None:
-            rows = members.withColumn("label", F.col("doc_id"))
-        else:
+        rows = members.withColumn("label", F.col("doc_id"))
+        if labels is not None:
             rows = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        dealt = rows.select("bucket", "doc_id", "n", "sketch", "label").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+        dealt = rows.select("bucket", "doc_id", "n", "sketch", "label", "bands").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
         found = written(dealt.mapInArrow(partners(skip, take, percent), "a long, b long, left boolean"), "partners")
-        more, pairs = found.where("left").limit(1).count(), found.where("a <> b").select("a", "b").distinct()
-        good = written(confirmed(docs, pairs, k, percent), "confirmed")
-        links = good if labels is None else good.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = written(components(links), "labels")
-        if not more:
+        seen = found.agg(F.max("left"), F.max((F.col("a") != F.col("b")))).first()
+        if seen[1]:
+            good = written(confirmed(docs, found.where("a <> b").select("a", "b").distinct(), k, percent), "confirmed")
+            if good.limit(1).count():
+                labels = joined(labels, good)
+        if not seen[0]:
             break
-        skip, take = skip + take, take * 16
+        skip, take = skip + take, take * 64
 
+    if labels is None:
+        labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
     tops = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "rep").alias("top"))
     return (
         sig.select("doc_id", "n_shingles", "d1", "d2").join(tops, ["d1", "d2", "n_shingles"], "left")
