@@ -97,6 +97,19 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+def with_measures(docs: DataFrame) -> DataFrame:
+    """docs (host, text, rest) with MEASURES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in tx.slices(batch.column(1)):
+                found = measures(data, offsets)
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns] + [pa.array(found[m].astype(np.int64)) for m in MEASURES], names=["host", "text", "rest", *MEASURES])
+
+    kind = docs.schema["rest"].dataType.simpleString()
+    return docs.mapInArrow(run, f"host string, text string, rest {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -135,6 +148,28 @@ def host_verdicts(failures: DataFrame, suspect: float) -> DataFrame:
     return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failures", posterior.alias("host_rate"), (posterior >= suspect).alias("host_suspect"))
 
 
+def failed_rules() -> Column:
+    return sum((F.when(r, 1).otherwise(0) for r in rules().values()), F.lit(0))
+
+
+def verdict() -> Column:
+    return ~F.col("base_failed") & (F.col("n_failed") < F.when(F.col("host_suspect"), 1).otherwise(2))
+
+
+def keep_documents(docs: DataFrame, host: str, suspect: float = 0.05) -> DataFrame:
+    """The rows of docs (text, and others) that `judge` keeps, with their columns as they are.
+
+    Measures every text twice rather than shuffle the texts: for the hosts' rates, and for the rows' own verdict.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col(f"`{host}`").cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
+    judged = with_measures(rows).withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
+    hosts = written(host_verdicts(judged.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect), "hosts")
+    hosts = hosts.select(F.col("host").alias("of"), "host_suspect")
+    kept = judged.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(verdict())
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+
+
 def judge(docs: DataFrame, suspect: float = 0.05) -> DataFrame:
     """docs (doc_id, host, text) as (doc_id, host, MEASURES, base_failed, n_failed, host_rate, kept).
 
@@ -143,9 +178,7 @@ def judge(docs: DataFrame, suspect: float = 0.05) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     seen = written(measured(docs), "measures")
-    n_failed = sum((F.when(r, 1).otherwise(0) for r in rules().values()), F.lit(0))
-    seen = seen.withColumn("base_failed", base_failed()).withColumn("n_failed", n_failed)
+    seen = seen.withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
     hosts = host_verdicts(seen.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect)
     hosts = hosts.select(F.col("host").alias("of"), "host_rate", "host_suspect")
-    kept = ~F.col("base_failed") & (F.col("n_failed") < F.when(F.col("host_suspect"), 1).otherwise(2))
-    return seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(*seen.columns, "host_rate", kept.alias("kept"))
+    return seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(*seen.columns, "host_rate", verdict().alias("kept"))

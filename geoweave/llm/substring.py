@@ -26,8 +26,8 @@ from geoweave.llm.neardup import maybe_in, id_filter, FILTER_BITS
 from geoweave.shared import written
 
 U = tx.U
-#: A place in a text: 28 bits that tell texts of one id apart, 32 bits of first window, 4 bits of number of windows.
-_WINDOW, _TEXT = 4, 36
+#: A place in a text: 28 bits that tell texts of one id apart, 30 bits of first window, 6 bits of number of windows.
+_WINDOW, _TEXT = 6, 36
 
 
 def anchors(words: tx.Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _places(lists: pa.ListArray, marks: np.ndarray, n_words: np.ndarray) -> tupl
     doc = np.repeat(np.arange(len(lists)), ends)
     mine = (values >> _TEXT) == (marks[doc] >> _TEXT)
     doc, values = doc[mine], values[mine]
-    first, count = values >> _WINDOW & (2**32 - 1), values & 15
+    first, count = values >> _WINDOW & (2**30 - 1), values & 63
     inside = first + count <= n_words[doc]
     return doc[inside], first[inside], count[inside], marks[doc[inside]]
 
@@ -230,7 +230,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame
     rows that share a doc_id are not repeats of each other, rows without doc_id stay as they are. Very long texts are
     whole. An empty table gives an empty one.
     """
-    assert 0 < k <= length and length - k < 15
+    assert 0 < k <= length and length - k < 63
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(0).alias("none")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
