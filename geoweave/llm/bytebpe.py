@@ -104,7 +104,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     that is repeated comes out as often. An empty table gives an empty one. path must be readable on every executor.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    docs = docs.select(F.col("text").cast("string").alias("text"), (F.struct(*others) if others else F.lit(0)).alias("rest"))
+    docs = tx.in_small_batches(docs).select(F.col("text").cast("string").alias("text"), (F.struct(*others) if others else F.lit(0)).alias("rest"))
     kind = docs.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

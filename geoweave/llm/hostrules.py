@@ -162,7 +162,7 @@ def keep_documents(docs: DataFrame, host: str, suspect: float = 0.05) -> DataFra
     Measures every text twice rather than shuffle the texts: for the hosts' rates, and for the rows' own verdict.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select(F.col(f"`{host}`").cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
+    rows = tx.in_small_batches(docs).select(F.col(f"`{host}`").cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
     judged = with_measures(rows).withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
     hosts = written(host_verdicts(judged.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect), "hosts")
     hosts = hosts.select(F.col("host").alias("of"), "host_suspect")
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, suspect: float = 0.05) -> DataFrame:
     Null texts count as empty and fail the base rule of at least ten words. Rows with a null host are one host of their
     own. Rows that share an id are judged each for itself. Ties at a threshold pass. Empty tables give empty ones.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    docs = tx.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     seen = written(measured(docs), "measures")
     seen = seen.withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
     hosts = host_verdicts(seen.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect)

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from geoweave.llm import text as tx
+
 #: Queries that a group has on average, queries in one task, and data vectors in one block.
 GROUP, CHUNK, BLOCK = 512, 1024, 32_768
 #: At most so many pivots, drawn from the queries by least hash.
@@ -66,7 +68,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     Ties go to the smaller vec_id; rows with the query's own vec_id are no candidates. A query row that is repeated counts
     once, a data row as often as it stands there. No queries or no data give an empty table.
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = tx.in_small_batches(queries).dropDuplicates(["vec_id"])
     n, m = queries.count(), data.count()
     out = "query_id long, rank int, vec_id long, score long"
     if not n or not m:

@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id are one document for linking. A row without doc_id takes no part: component_id is null and it is kept.
     Columns beside doc_id and text are not looked at. An empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = tx.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(docs.mapInArrow(signatures(k), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     shingled = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(shingled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")

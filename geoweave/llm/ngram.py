@@ -210,7 +210,7 @@ class Model:
 
 def train(docs: DataFrame, buckets: int | None = None) -> Model:
     """The model of docs (text). More buckets make smaller files and tasks."""
-    spark = docs.sparkSession
+    spark = tx.in_small_batches(docs).sparkSession
     path, buckets = fresh_path(spark, "ngrams"), buckets or shuffle_partitions(spark)
     counted = docs.select("text").mapInArrow(count_pairs(buckets), _SENT)
     merged = counted.groupBy("bucket").applyInArrow(merge_pairs(path, buckets), _SENT)

@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 20_000) -> Classifier |
         return None
     prior = min(max(seen[1] / seen[0], 0.01), 0.99)
     of_positive, of_all = min(1.0, cap / seen[1]), min(1.0, cap / rows)
-    sample = docs.select("doc_id", "text", (_share("doc_id", 1) < of_positive).alias("p"), (_share("doc_id", 2) < of_all).alias("u")).where("p or u")
+    sample = tx.in_small_batches(docs).select("doc_id", "text", (_share("doc_id", 1) < of_positive).alias("p"), (_share("doc_id", 2) < of_all).alias("u")).where("p or u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,4 +121,4 @@ def score_quality(docs: DataFrame, model: Classifier | None, threshold: float =
                 score = model.score(features(data, offsets)) if model else np.full(b - a, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return tx.in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -29,6 +29,9 @@ U = tx.U
 #: A place in a text: 28 bits that tell texts of one id apart, 30 bits of first window, 6 bits of number of windows.
 _WINDOW, _TEXT = 6, 36
 
+#: Anchors that a task gathers before it sends them off.
+HELD = 250_000
+
 
 def anchors(words: tx.Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor hash, span hash, text number, first window and number of windows, for each anchor of each text."""
@@ -62,32 +65,36 @@ def seeds(length: int, k: int):
     """A mapInArrow function: doc_id and text to anchor, span, the batch's first occurrence of both, and `more` others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = []
             for a, b, data, offsets in tx.slices(batch.column(1)):
                 words = tx.Words(data, offsets)
                 anchor, span, doc, first, count = anchors(words, length, k)
                 place = text_marks(words, offsets)[doc] | (first - words.first[doc]) << _WINDOW | count
-                parts.append((anchor.view(np.int64), span.view(np.int64), ids[a:b][doc], place))
-            if not parts:
-                continue
-            anchor, span, doc, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((place, doc, span, anchor))
-            anchor, span, doc, place = anchor[order], span[order], doc[order], place[order]
-            head = np.ones(len(anchor), bool)
-            head[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
-            head = np.flatnonzero(head)
-            count = np.diff(np.append(head, len(anchor)))
-            more: list[bytes | None] = [None] * len(head)
-            pairs = np.stack((doc, place), axis=1)
-            for i in np.flatnonzero(count > 1):
-                more[i] = pairs[head[i] + 1 : head[i] + count[i]].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (anchor, span, doc, place)] + [pa.array(more, pa.binary())], names=["anchor", "span", "doc_id", "place", "more"])
+                parts.append(np.stack((anchor.view(np.int64), span.view(np.int64), ids[a:b][doc], place)))
+                if sum(x.shape[1] for x in parts) > HELD:
+                    yield from _gathered(parts)
+                    parts = []
+        yield from _gathered(parts)
 
     return run
 
 
+def _gathered(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct anchor and span, in batches of some thousand."""
+    rows = np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    head = np.ones(rows.shape[1], bool)
+    head[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    head = np.flatnonzero(head)
+    end = np.append(head[1:], rows.shape[1])
+    for at in range(0, len(head), 20_000):
+        first, last = head[at : at + 20_000], end[at : at + 20_000]
+        more = [rows[2:, i + 1 : j].T.tobytes() if j - i > 1 else None for i, j in zip(first.tolist(), last.tolist())]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in rows), pa.array(more, pa.binary())], names=["anchor", "span", "doc_id", "place", "more"])
+
+
 _ROW = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("more", pa.binary())])
 _HIT = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("open", pa.bool_())])
 
@@ -233,7 +240,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame
     assert 0 < k <= length and length - k < 63
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(0).alias("none")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    docs = tx.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     places = written(repeats(docs.select("doc_id", "text"), length, k), "places")
     maps = docs.sparkSession.sparkContext.broadcast(id_filter(places, "doc_id"))
     kind = docs.schema["rest"].dataType.simpleString()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are turned into arrays at a time; a longer text is taken alone.
 CHUNK = 2 << 20
@@ -26,6 +27,15 @@ _LOWER = _PLAIN.copy()
 _LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20240601).integers(1, 2**64 - 1, 256, dtype=U)
 
+#: Bytes of an Arrow batch; Spark's own limit is in rows, which long texts make large.
+BATCH = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand Python at most BATCH bytes at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all."""

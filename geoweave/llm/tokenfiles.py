@@ -172,5 +172,5 @@ def token_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int | None =
 
     Columns of docs beside doc_id and text are not looked at. An empty table makes no files and gives an empty one.
     """
-    path = fresh_path(docs.sparkSession, "tokens")
+    path = fresh_path(tx.in_small_batches(docs).sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer_path, path, end_id), path)
