@@ -71,14 +71,14 @@ class ByteBPE:
         self._decimal = [str(i) for i in range(len(self.tokens))]
         self.units = Units(self._encode)
 
-    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [[t.encode() for t in self._find(x)] for x in texts]
         known = {t: [self._rank_of[t]] for s in split for t in s if t in self._rank_of}
         new = list({t for s in split for t in s if t not in known})
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             known.update(zip(some, self._model.encode([t.decode("latin-1").translate(self._letters) for t in some], num_threads=1)))
-        return ([i for t in s for i in known[t]] for s in split)
+        return (np.array([i for t in s for i in known[t]], np.uint32).tobytes() for s in split)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.units.ids(texts)

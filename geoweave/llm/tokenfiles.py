@@ -92,6 +92,10 @@ class TokenFile:
         return np.concatenate([np.zeros(0, np.uint32), *out])[start - first * BLOCK : end - first * BLOCK]
 
 
+#: Pieces that are encoded as one text.
+JOINED = 1000
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> tuple[Units, int]:
     """A tokenizers file's encoder and vocabulary size, one a worker; special tokens in a text are ordinary text."""
@@ -99,7 +103,23 @@ def tokenizer(path: str) -> tuple[Units, int]:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return Units(lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)) if len(texts) else ()), t.get_vocab_size(with_added_tokens=True)
+
+    spelled = t.get_vocab(with_added_tokens=True)
+    n_bytes = np.zeros(max(spelled.values()) + 1, np.int64)
+    n_bytes[list(spelled.values())] = list(map(len, spelled))  # byte-level BPE spells each byte by one letter
+
+    def encode(pieces: list[str]) -> Iterator[bytes]:
+        # pieces that begin with a space may stand side by side as one text; tokens go back to them by their bytes
+        size = JOINED if all(p[:1] == " " and not p[1:2].isspace() and len(p) > 1 for p in pieces) else 1
+        groups = [pieces[i : i + size] for i in range(0, len(pieces), size)]
+        for group, e in zip(groups, t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False) if groups else ()):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(list(map(len, map(str.encode, group))))
+            edges = np.searchsorted(np.cumsum(n_bytes[ids]), ends, "left") + 1
+            raw, edges = ids.tobytes(), [0, *(4 * edges).tolist()]
+            yield from (raw[i:j] for i, j in zip(edges[:-1], edges[1:]))
+
+    return Units(encode), t.get_vocab_size(with_added_tokens=True)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = None) -> DataFrame:

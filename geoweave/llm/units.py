@@ -18,9 +18,9 @@ _cut = re.compile(r" (?=\S)").split
 
 
 class Units:
-    """encode: texts to their lists of ids, for texts that start at such a place or at the start of a text."""
+    """encode: texts to their ids as packed 32-bit numbers, for texts that start at such a place or at the start of a text."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
         self._encode, self._later, self._first = encode, {}, {"": b""}
 
     def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
@@ -29,7 +29,7 @@ class Units:
             known.clear()
             new = list(wanted)
         for u, ids in zip(new, self._encode([before + u for u in new])):
-            known[u] = np.array(ids, np.uint32).tobytes()
+            known[u] = ids
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_cut(t) for t in texts]
