@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoweave.functions import geometry as g
-from geoweave.operators import graph, mesh, rules, sequences as seq, simulation, spatial
+from geoweave.operators import dedup, graph, mesh, polygons, rules, sequences as seq, simulation, spatial
 from geoweave.sources.driver_tables import agents, boxes, city, frames, points, table
 
 C = F.col
@@ -495,3 +495,26 @@ def spawn_schedule(spark, d):
 def stuck_score(spark, d):
     e = table(spark, d, "events").select(C("user_id").alias("agent"), C("event_id").alias("t"), C("event_type").alias("target"), (C("value") > 50).alias("moved"))
     return simulation.stuck_score(e)
+
+
+@query(f"WITH {_B}, t AS (SELECT *, unnest(range(floor(x0 / 512)::BIGINT, floor(x1 / 512)::BIGINT + 1)) AS tx FROM boxes), u AS (SELECT *, unnest(range(floor(y0 / 512)::BIGINT, floor(y1 / 512)::BIGINT + 1)) AS ty FROM t) SELECT b, tx, ty, greatest(x0, tx * 512.0::DOUBLE) AS x0, greatest(y0, ty * 512.0::DOUBLE) AS y0, least(x1, (tx + 1) * 512.0::DOUBLE) AS x1, least(y1, (ty + 1) * 512.0::DOUBLE) AS y1 FROM u")
+def clip_tiles(spark, d):
+    return polygons.clipped_boxes(boxes(spark, d), 512.0)
+
+
+@query()
+def convex_hull(spark, d):
+    """Hulls of the points of each customer; the tests hold them against a plain version."""
+    p = points(spark, d).join(table(spark, d, "orders").select(C("o_orderkey").alias("k"), C("o_custkey").alias("c")), "k")
+    return polygons.convex_hulls(p, "c")
+
+
+@query("SELECT p_partkey AS id, CAST(4 AS INT) AS n_vertices, CASE WHEN p_partkey % 3 = 0 THEN 'copy,name' ELSE 'name' END AS keys FROM part")
+def dedup_features(spark, d):
+    """Boxes and copies of a third of them shifted by 0.5 m."""
+    b = boxes(spark, d)
+    ring = lambda s: F.array(g.point(C("x0") + s, C("y0")), g.point(C("x1") + s, C("y0")), g.point(C("x1") + s, C("y1")), g.point(C("x0") + s, C("y1")))
+    one = b.select(C("b").alias("id"), ring(0.0).alias("ring"), F.create_map(F.lit("name"), C("b").cast("string")).alias("props"))
+    two = b.where("b % 3 = 0").select((C("b") + 10**9).alias("id"), ring(0.5).alias("ring"), F.create_map(F.lit("copy"), F.lit("yes")).alias("props"))
+    out = dedup.deduplicated(one.union(two))
+    return out.select("id", F.size("ring").alias("n_vertices"), F.array_join(F.array_sort(F.map_keys("props")), ",").alias("keys"))

@@ -91,3 +91,48 @@ def test_frame_rates_stream(spark, tmp_path):
     q = frame_rates(stream, "10 seconds", "10 seconds").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("rates").collect()) == [10, 10]
+
+
+def test_hulls_in_stages(spark):
+    import numpy as np
+
+    from geoweave.operators.polygons import convex_hulls, hull_of
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 50, 400) / 2.0, rng.integers(0, 50, 400) / 2.0
+    rows = spark.createDataFrame([(i % 3, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "g int, x double, y double")
+    got = convex_hulls(rows, "g").toPandas().sort_values(["g", "seq"])
+    for k in range(3):
+        own = hull_of(x[k::3], y[k::3])
+        assert list(zip(got[got.g == k].x, got[got.g == k].y)) == list(zip(x[k::3][own], y[k::3][own]))
+
+
+def test_flattening_keeps_three(spark):
+    from geoweave.operators.polygons import flattened
+
+    ring = [(0.0, 0.0), (5.0, 0.01), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = spark.createDataFrame([(1, ring), (2, ring[:3])], "id int, ring array<struct<x double, y double>>")
+    assert {r.id: len(r.ring) for r in flattened(rows, 1.0).collect()} == {1: 4, 2: 3}
+
+
+def test_rings_round_trip_and_malformed_lines(spark, tmp_path):
+    from geoweave.sources.features import read_buildings, read_rings, write_rings
+
+    (tmp_path / "a.txt").write_text("1;[a,b];[0,0,1,0,1,1]\n2;[];[5,5,6,5,99,9]\nbad;line\n3;[c];[0,x,1,1]\n\n4;[c];[0,0];9\n")
+    got = read_rings(spark, str(tmp_path / "a.txt"))
+    assert {r.blob_id: (r.building_ids, len(r.ring)) for r in got.collect()} == {1: (["a", "b"], 3), 2: ([], 3)}
+    assert [r.blob_id for r in read_rings(spark, str(tmp_path / "a.txt"), (0, 0, 10, 10)).collect()] == [1]
+    write_rings(got, str(tmp_path / "out"))
+    assert sorted(map(str, read_rings(spark, str(tmp_path / "out")).collect())) == sorted(map(str, got.collect()))
+    (tmp_path / "b.txt").write_text('w1;{"name":"A [x]"}[0,0,1,1]\nw2;{}\n')
+    assert [(r.osm_id, r.props["name"], len(r.ring)) for r in read_buildings(spark, str(tmp_path / "b.txt")).collect()] == [("w1", "A [x]", 2)]
+
+
+def test_geojson(spark, tmp_path):
+    from geoweave.sources.features import read_geojson, read_geojson_lines, write_geojson_lines
+
+    (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[\n{"type":"Feature","id":"w1","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"k":"v"}},\n{"type":"Feature","id":"w2","geometry":{"type":"Point","coordinates":[3,4]},"properties":{"id":"own"}}\n]}')
+    whole, lines = read_geojson(spark, str(tmp_path / "a.geojson")).drop("file"), read_geojson_lines(spark, str(tmp_path / "a.geojson")).drop("file")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, lines.collect())) and {r.id for r in whole.collect()} == {"w1", "own"}
+    write_geojson_lines(whole, str(tmp_path / "out"))
+    assert sorted(r.coordinates for r in read_geojson_lines(spark, str(tmp_path / "out")).collect()) == ["[1,2]", "[3,4]"]
