@@ -518,3 +518,75 @@ def dedup_features(spark, d):
     two = b.where("b % 3 = 0").select((C("b") + 10**9).alias("id"), ring(0.5).alias("ring"), F.create_map(F.lit("copy"), F.lit("yes")).alias("props"))
     out = dedup.deduplicated(one.union(two))
     return out.select("id", F.size("ring").alias("n_vertices"), F.array_join(F.array_sort(F.map_keys("props")), ",").alias("keys"))
+
+
+@query(f"WITH {_P} SELECT k FROM pts WHERE ((floor(x / 64)::BIGINT % 2) + 2) % 2 = 0 AND ((floor(y / 64)::BIGINT % 2) + 2) % 2 = 1")
+def checkerboard(spark, d):
+    even = lambda c: F.pmod(g.cell(C(c), 64.0), F.lit(2))
+    return points(spark, d).where((even("x") == 0) & (even("y") == 1)).select("k")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR")
+def ttl_filter(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts")
+    newest = e.agg(F.max("ts").alias("newest"))
+    return e.join(F.broadcast(newest)).where(C("ts") >= C("newest") - F.expr("INTERVAL 36 HOURS")).select("event_id")
+
+
+@query("SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS sprite_id, (n_nationkey % 8) / 8.0::DOUBLE AS u0, floor(n_nationkey / 8) / 8.0::DOUBLE AS v0 FROM nation")
+def sprite_ids(spark, d):
+    from pyspark.sql import Window
+
+    n = table(spark, d, "nation")
+    no = F.row_number().over(Window.orderBy("n_name")) - 1
+    return n.select(C("n_name").alias("name"), no.alias("sprite_id"), ((C("n_nationkey") % 8) / F.lit(8.0)).alias("u0"), (F.floor(C("n_nationkey") / 8) / F.lit(8.0)).alias("v0"))
+
+
+@query("WITH l AS (SELECT event_id, '[' || event_id || '] Started traveling. nextCorner: (' || user_id || ', ' || (event_id % 100) || ')' AS line FROM events) SELECT event_id, CAST(regexp_extract(line, 'nextCorner: \\(([0-9.-]+), ([0-9.-]+)\\)', 1) AS DOUBLE) AS x, CAST(regexp_extract(line, 'nextCorner: \\(([0-9.-]+), ([0-9.-]+)\\)', 2) AS DOUBLE) AS y FROM l")
+def log_regex(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("["), C("event_id").cast("string"), F.lit("] Started traveling. nextCorner: ("), C("user_id").cast("string"), F.lit(", "), (C("event_id") % 100).cast("string"), F.lit(")"))
+    part = lambda i: F.regexp_extract(line, r"nextCorner: \(([0-9.-]+), ([0-9.-]+)\)", i).cast("double")
+    return e.select("event_id", part(1).alias("x"), part(2).alias("y"))
+
+
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+def marked_pairs(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(C("s_suppkey").alias("a"), "s_nationkey").join(s.select(C("s_suppkey").alias("b"), "s_nationkey"), "s_nationkey").where("a < b").select("a", "b")
+
+
+@query(
+    f"WITH {_T}, v AS (SELECT tid, v1, v2, v3 FROM tr WHERE greatest(v1 % 128, v2 % 128, v3 % 128) >= 60 AND least(v1 % 128, v2 % 128, v3 % 128) <= 70 AND greatest(v1 // 128, v2 // 128, v3 // 128) >= 60 AND least(v1 // 128, v2 // 128, v3 // 128) <= 70), "
+    "e AS (SELECT least(v1, v2) AS lo, greatest(v1, v2) AS hi FROM v UNION SELECT least(v2, v3), greatest(v2, v3) FROM v UNION SELECT least(v3, v1), greatest(v3, v1) FROM v) SELECT lo, hi FROM e"
+)
+def viewport_edges(spark, d):
+    """Distinct edges of the triangles whose box meets a window."""
+    corner = lambda f, part: f(*[part(C(c)) for c in ("v1", "v2", "v3")])
+    col, row = (lambda v: v % 128), (lambda v: F.floor(v / 128))
+    t = _triangles(spark, d).where((corner(F.greatest, col) >= 60) & (corner(F.least, col) <= 70) & (corner(F.greatest, row) >= 60) & (corner(F.least, row) <= 70))
+    return mesh.triangle_edges(t).select("lo", "hi").distinct()
+
+
+@query(
+    "WITH m AS (SELECT o_orderkey % 5000 AS tid, o_custkey AS poly FROM orders), n AS (SELECT tid, count(DISTINCT poly) AS n FROM m GROUP BY tid) "
+    "SELECT (SELECT count(*) FROM n WHERE n > 1) AS duplicates, (SELECT count(*) FROM range(5000) t(i) WHERE i NOT IN (SELECT tid FROM m)) AS orphans, (SELECT count(*) FROM m WHERE poly NOT IN (SELECT c_custkey FROM customer)) AS out_of_range"
+)
+def mapping_validation(spark, d):
+    m = table(spark, d, "orders").select((C("o_orderkey") % 5000).alias("tid"), C("o_custkey").alias("poly"))
+    duplicates = m.distinct().groupBy("tid").count().where(C("count") > 1).agg(F.count("*").alias("duplicates"))
+    orphans = spark.range(5000).select(C("id").alias("tid")).join(m, "tid", "left_anti").agg(F.count("*").alias("orphans"))
+    outside = m.join(table(spark, d, "customer").select(C("c_custkey").alias("poly")), "poly", "left_anti").agg(F.count("*").alias("out_of_range"))
+    return duplicates.join(F.broadcast(orphans)).join(F.broadcast(outside))
+
+
+@query(
+    f"WITH {_P}, c AS (SELECT k, x, y, avg(x) OVER w AS mx, avg(y) OVER w AS my, floor(x / 2048)::BIGINT AS gx, floor(y / 2048)::BIGINT AS gy FROM pts WINDOW w AS (PARTITION BY floor(x / 2048), floor(y / 2048))), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY floor(((x - mx) * (x - mx) + (y - my) * (y - my)) * 100), k) AS o FROM c) SELECT gx, gy, k FROM r WHERE o = 1"
+)
+def blob_centroid(spark, d):
+    """The member nearest to the mean of each group, to 0.01 square metres."""
+    p = points(spark, d).withColumn("gx", g.cell(C("x"), 2048.0)).withColumn("gy", g.cell(C("y"), 2048.0))
+    mean = p.groupBy("gx", "gy").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    d2 = (C("x") - C("mx")) * (C("x") - C("mx")) + (C("y") - C("my")) * (C("y") - C("my"))
+    return p.join(mean, ["gx", "gy"]).groupBy("gx", "gy").agg(F.min(F.struct(F.floor(d2 * 100), "k")).alias("m")).select("gx", "gy", "m.k")
