@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text that are turned into arrays at a time; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 U = np.uint64
 _BASE = 0x9E6C63D0876A9A35 | 1
