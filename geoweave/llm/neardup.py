@@ -26,8 +26,8 @@ U = tx.U
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 3, 512, 2048
 #: Bits of the bitmap that spares texts without a part in a round their shuffle; a full one only spares less.
 FILTER_BITS = 26
-#: Partners of one hub that a task takes.
-HUB = 5_000
+#: Shingles of the hubs that a task holds, and spokes that it takes, on average.
+BLOCK, SPOKES = 1 << 20, 5_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, max(SAMPLES, BANDS * ROWS)), dtype=U) * U(2) + U(1)
 
 
@@ -221,43 +221,55 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and len(a) > 0
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Every pair goes to its hub b. A hub with many partners is dealt out in parts of about HUB, each with a copy of the
-    hub's set. A task reads the rows in order, hub first, and holds one hub's set at a time.
+    b is the hub of a pair. Hubs of one home (homes: doc_id, home, n) are dealt out in blocks of about BLOCK shingles, so a
+    set goes once to each block that holds partners of it, and not once for each pair. A block with many spokes is dealt
+    out in parts of about SPOKES, each with a copy of its hubs. A task reads its rows in order, hubs first, and holds the
+    hubs of one block at a time.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    tasks = (
-        pairs.join(parts, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-        .union(parts.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    hubs = pairs.select(F.col("b").alias("doc_id")).distinct().join(homes, "doc_id")
+    blocks = hubs.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = written(hubs.join(blocks, "home").select("doc_id", "home", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")), "placed")
+    spokes = pairs.join(placed.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id"), "home", "block").agg(F.collect_set("b").alias("hubs"))
+    spokes = written(spokes, "spokes")
+    parts = spokes.groupBy("home", "block").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    tasks = spokes.join(parts, ["home", "block"]).select("doc_id", "home", "block", part, "hubs").union(
+        placed.join(parts, ["home", "block"]).select("doc_id", "home", "block", copies, F.lit(None).cast("array<long>"))
     )
-    tasks = written(tasks, "hubs")
-    by_doc = tasks.groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("to"))
+    tasks = written(tasks, "tasks")
+    by_doc = tasks.groupBy("doc_id").agg(F.collect_list(F.struct("home", "block", "part", "hubs")).alias("to"))
     texts = maybe_in(docs, tasks, "doc_id").join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "to")
+    names = ["home", "block", "part", "spoke", "doc_id", "hubs", "grams"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, to = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b, grams, first in shingle_sets(batch.column(1), k):
-                rows = [(t["hub"], t["part"], ids[i] != t["hub"], ids[i], grams[first[i - a] : first[i - a + 1]].tobytes()) for i in range(a, b) for t in to[i]]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 1000]), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()))], names=["hub", "part", "spoke", "doc_id", "grams"])
+                rows = [(t["home"], t["block"], t["part"], t["hubs"] is not None, ids[i], t["hubs"], grams[first[i - a] : first[i - a + 1]].tobytes()) for i in range(a, b) for t in to[i]]
+                for at in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 500]), kinds)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine = None, []
+        here, mine = None, {}
         for batch in batches:
             good = []
-            for h, p, spoke, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for home, block, part, spoke, i, of, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 grams = np.frombuffer(raw, U)
+                if here != (home, block, part):
+                    here, mine = (home, block, part), {}
                 if not spoke:
-                    hub, mine = (h, p), (mine if hub == (h, p) else []) + [grams]
-                elif hub == (h, p) and any(similar(grams, x, percent) for x in mine):
-                    good.append((i, h))
+                    mine.setdefault(i, []).append(grams)
+                else:
+                    good += [(i, h) for h in of if any(similar(grams, x, percent) for x in mine.get(h, ()))]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in good], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    dealt = texts.mapInArrow(sets, "hub long, part int, spoke boolean, doc_id long, grams binary").repartition("hub", "part").sortWithinPartitions("hub", "part", "spoke")
-    return dealt.mapInArrow(compare, "a long, b long")
+    dealt = texts.mapInArrow(sets, "home long, block int, part int, spoke boolean, doc_id long, hubs array<long>, grams binary")
+    return dealt.repartition("home", "block", "part").sortWithinPartitions("home", "block", "part", "spoke").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,10 +287,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = sig.withColumnRenamed("n_shingles", "n").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     reps = reps.dropDuplicates(["doc_id", "d1", "d2"])
     banded = reps.select("doc_id", "d1", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket", "lo")
     similar = written(banded.join(shared, "bucket"), "buckets")
     drawn = maybe_in(docs, similar.select("doc_id"), "doc_id").mapInArrow(sketches(k), "doc_id long, d1 long, sketch binary").dropDuplicates(["doc_id", "d1"])
     members = written(similar.join(drawn, ["doc_id", "d1"]).join(reps.select("doc_id", "d1", "n", "bands"), ["doc_id", "d1"]).drop("d1"), "members")
+    # similar classes have most buckets in common, so the least id in any of them is mostly the same
+    homes = written(members.groupBy("doc_id").agg(F.min("lo").alias("home"), F.max("n").alias("n")), "homes")
     skip, take = 0, 1
     labels = None
     while True:
@@ -289,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = written(dealt.mapInArrow(partners(skip, take, percent), "a long, b long, left boolean"), "partners")
         seen = found.agg(F.max("left"), F.max((F.col("a") != F.col("b")))).first()
         if seen[1]:
-            good = written(confirmed(docs, found.where("a <> b").select("a", "b").distinct(), k, percent), "confirmed")
+            good = written(confirmed(docs, found.where("a <> b").select("a", "b").distinct(), homes, k, percent), "confirmed")
             if good.limit(1).count():
                 labels = joined(labels, good)
         if not seen[0]:
