@@ -2,6 +2,7 @@
 
 import pytest
 
+import geoweave.plans.more_queries  # noqa: F401
 from geoweave.plans.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
