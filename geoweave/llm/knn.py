@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: a Voronoi join.
 
 Vectors are grouped by their nearest pivot. A group of queries has a radius U: every query is its pivot p plus at most U.
-So a vector x scores between p.x - U|x| and p.x + U|x| with all of them. The k-th greatest of the lower bounds is a score
-that each query of the group surely reaches; only vectors whose upper bound reaches it too are sent to the group, whole
+So a vector x scores between p.x - U|x| and p.x + U|x| with all of them. The k-th greatest of the lower bounds, each id
+counted once, is a score that each query of the group surely reaches; only vectors whose upper bound reaches it too are sent to the group, whole
 cells at once where their pivot and radius rule them out. Groups are solved in blocks, and the blocks' best are merged.
 """
 
@@ -42,6 +42,15 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T).astype(np.int64)
 
 
+def _greatest(bound: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """In each row the n greatest bounds of distinct ids, and those ids; where there are fewer, -inf stands last."""
+    order = np.lexsort((-bound, ids), axis=1)
+    bound, ids = np.take_along_axis(bound, order, axis=1), np.take_along_axis(ids, order, axis=1)
+    bound[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    order = np.argsort(-bound, axis=1)[:, :n]
+    return np.take_along_axis(bound, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
 def whole_vectors(table: DataFrame, scale: float) -> DataFrame:
     """(vec_id, v) for table (vec_id, embedding): floor(scale * x) of each component, as packed doubles.
 
@@ -66,9 +75,10 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries and data (vec_id, v): each query's k greatest inner products, or all.
 
     Ties go to the smaller vec_id; rows with the query's own vec_id are no candidates. A query row that is repeated counts
-    once, a data row as often as it stands there. No queries or no data give an empty table.
+    once, and of different ones with one vec_id the least v in order of bytes; a data row counts as often as it stands
+    there. No queries or no data give an empty table.
     """
-    queries = tx.in_small_batches(queries).dropDuplicates(["vec_id"])
+    queries = tx.in_small_batches(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = queries.count(), data.count()
     out = "query_id long, rank int, vec_id long, score long"
     if not n or not m:
@@ -97,18 +107,19 @@ def top_k(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     celled = data.mapInArrow(cells, shape)
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k + 1 greatest lower bounds of a task for each group: one may be the query's own."""
-        best = np.full((len(pivots), 0), -np.inf)
+        """The k + 1 ids of a task with the greatest lower bounds for each group: one of them may be the query's own."""
+        best, of = np.full((len(pivots), 0), -np.inf), np.zeros((len(pivots), 0), np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
+                x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
                 bound = _dot(pivots, x).astype(float) - radius[:, None] * np.sqrt((x * x).sum(axis=1))[None]
-                best = -np.sort(-np.concatenate((best, bound), axis=1), axis=1)[:, : k + 1]
-        for i, row in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int32)), pa.array(row)], names=["cell", "bound"])
+                best, of = _greatest(np.concatenate((best, bound), axis=1), np.concatenate((of, np.broadcast_to(ids, bound.shape)), axis=1), k + 1)
+        cell, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(of[cell, at]), pa.array(best[cell, at])], names=["cell", "vec_id", "bound"])
 
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("bound")))
-    sure = data.mapInArrow(lower, "cell int, bound double").withColumn("place", place).where(F.col("place") == k + 1).collect()
+    bounds = data.mapInArrow(lower, "cell int, vec_id long, bound double").groupBy("cell", "vec_id").agg(F.max("bound").alias("bound"))
+    sure = bounds.withColumn("place", place).where(F.col("place") == k + 1).collect()
     least = np.full(len(pivots), -np.inf)
     for r in sure:
         least[r["cell"]] = r["bound"] - 1e-6 * abs(r["bound"]) - 1e-6

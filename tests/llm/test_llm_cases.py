@@ -81,6 +81,30 @@ def test_top_k_prunes_without_loss(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(v.where("vec_id % 20 = 0"), v, 5).collect()} == want
 
 
+def test_top_k_with_repeated_ids_in_small_groups(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(knn, "GROUP", 1)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + rng.normal(size=(30, 5)) for c in rng.normal(size=(6, 5)) * 20])
+    ids = np.repeat(np.arange(len(x)), np.where(np.arange(len(x)) % 10 == 0, 9, 1))
+    v = knn.whole_vectors(spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, embedding array<double>"), 64.0)
+    whole = np.floor(64 * x).astype(np.int64)
+    want = []
+    for q in range(0, len(x), 10):
+        row = whole[ids] @ whole[q]
+        best = [j for j in np.lexsort((ids, -row)) if ids[j] != q][:5]
+        want += [(q, k + 1, int(ids[j]), int(row[j])) for k, j in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(v.where("vec_id % 10 = 0"), v, 5).collect()) == sorted(want)
+
+
+def test_top_k_takes_one_query_of_an_id_whatever_the_order(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    both = [knn.whole_vectors(spark.createDataFrame(r, "vec_id long, embedding array<double>").coalesce(1), 64.0) for r in (rows, rows[::-1])]
+    first, second = (sorted((r.rank, r.vec_id, r.score) for r in knn.top_k(v.where("vec_id = 0"), v, 2).collect()) for v in both)
+    assert first == second
+
+
 def test_near_duplicates_of_a_chain(spark):
     """Texts of which neighbours are similar and the ends are not: one component, whatever the bucket's order."""
     words = [f"v{i}" for i in range(100)]
