@@ -35,6 +35,8 @@ def hops(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFra
         if not frontier.limit(1).count():
             break
         seen = seen.union(frontier)
+        if n % 16 == 0:  # a plan of few files
+            seen = written(seen, "hops")
     return seen
 
 

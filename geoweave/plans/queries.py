@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.operators import dedup, graph, mesh, polygons, rules, sequences as seq, simulation, spatial
+from geoweave.shared import written
 from geoweave.sources.driver_tables import agents, boxes, city, frames, points, table
 
 C = F.col
@@ -462,6 +463,12 @@ def hop_bfs(spark, d):
     return graph.hops(city(spark, d).agg(F.min("v").alias("v")), _edges(spark, d), most=8)
 
 
+@query()
+def hop_distances(spark, d):
+    """hop_bfs to the end: every cell that can be reached, however far; the tests hold it against a plain version."""
+    return graph.hops(city(spark, d).agg(F.min("v").alias("v")), written(_edges(spark, d), "edges"))
+
+
 @query(f"WITH {_P}, {_V} SELECT DISTINCT p.a, q.b AS c FROM city_edges p JOIN city_edges q ON p.b = q.a WHERE p.a <> q.b AND NOT EXISTS (SELECT 1 FROM city_edges x WHERE x.a = p.a AND x.b = q.b)")
 def two_hop(spark, d):
     return graph.two_hop_neighbours(_edges(spark, d))

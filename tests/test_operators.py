@@ -65,6 +65,26 @@ def test_route_costs_against_a_heap(spark):
     assert {r.v: r.cost for r in got.collect()} == best
 
 
+def test_hop_distances_have_no_end_but_the_graph(spark, tmp_path):
+    from geoweave.plans.queries import QUERIES, _edges
+    from geoweave.sources.driver_tables import city
+
+    # points that lie in the first cells of the grid only, in rows full enough to be walked
+    near = F.pmod(C("id") * 7919, F.lit(2_000_001)) < 600_000
+    low = F.pmod(C("id") * 104729, F.lit(2_000_001)) < 300_000
+    spark.range(1, 20_000).where(near & low).select(C("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    nodes = [r.v for r in city(spark, tmp_path).collect()]
+    onward: dict = {}
+    for r in _edges(spark, tmp_path).collect():
+        onward.setdefault(r.a, []).append(r.b)
+    best, layer = {min(nodes): 0}, [min(nodes)]
+    while layer:
+        layer = sorted({b for a in layer for b in onward.get(a, []) if b not in best})
+        best |= {b: max(best.values()) + 1 for b in layer}
+    assert max(best.values()) > 8
+    assert {r.v: r.hops for r in QUERIES["hop_distances"](spark, tmp_path).collect()} == best
+
+
 def test_spawner_spawns_once_a_tick(spark):
     ticks = spark.createDataFrame([(1, t, 25.0) for t in range(3)], "spawner long, t long, dt double")
     r = simulation.spawn_schedule(ticks, 10.0).first()
