@@ -266,12 +266,19 @@ def _begins(model: Model) -> float:
     return float(model.words(np.array([END]))[0, 0])
 
 
-def score_texts(docs: DataFrame, learn: DataFrame, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn: DataFrame, buckets: int | None = None, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, held_out, text).
 
-    learn (text) is what the model learns from, all of it. Null texts count as empty: one token, the end. Rows that are
+    order is 2 (pairs) or 3 (triples). learn (text) is what the model learns from, all of it. Null texts count as empty: one token, the end. Rows that are
     repeated count as often as they stand there. A model of no text gives every token 1 / (V + 1) = 1. Other columns of docs,
     whatever their names, are not looked at. An empty docs gives an empty table.
     """
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(scores(train(learn, buckets)), out)
+    rows = docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string"))
+    if order == 3:
+        from geoweave.llm import triples  # it takes tokens and discounts from here
+
+        return rows.mapInArrow(triples.scores(triples.train(learn, buckets)), out)
+    if order != 2:
+        raise ValueError("order is 2 or 3")
+    return rows.mapInArrow(scores(train(learn, buckets)), out)

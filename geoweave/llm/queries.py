@@ -39,6 +39,11 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, docs.where("not held_out").select("text"))
 
 
+def op6_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "text")
+    return score_texts(docs, docs.where("not held_out").select("text"), order=3)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 

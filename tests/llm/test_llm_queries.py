@@ -148,6 +148,48 @@ def test_language_model(spark, tiny, docs):
         assert math.isclose(row.score, sum(math.log10(p(a, b)) for a, b in zip(["\t", *ts], ts)), rel_tol=1e-9)
 
 
+def test_language_model_of_order_three(spark, tiny, docs):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tokens = {i: WORD.findall((t or "").translate(low)) + ["\n"] for i, t in zip(docs.doc_id, docs.text)}
+    held = {i: binascii.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    triples: Counter = Counter()
+    for i, ts in tokens.items():
+        if not held[i]:
+            triples.update(zip(["\t", "\t", *ts], ["\t", *ts], ts))
+    pairs = Counter((v, w) for _, v, w in triples)
+    before, count = Counter(w for _, w in pairs), Counter()
+    for (_, _, w), n in triples.items():
+        count[w] += n
+
+    def discount(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        return [0.0] + [min(max((k - (k + 1) * y * n[k] / n[k - 1]) if n[k - 1] else y, 0.05), 0.95 * k) for k in (1, 2, 3)]
+
+    def level(table):
+        d, total, lost = discount(table.values()), Counter(), Counter()
+        for key, n in table.items():
+            total[key[:-1]] += n
+            lost[key[:-1]] += d[min(n, 3)]
+        return lambda key, under: (max(table[key] - d[min(table[key], 3)], 0) + lost[key[:-1]] * under) / total[key[:-1]] if total[key[:-1]] else under
+
+    v, all_, three, two = len(count), sum(count.values()), level(triples), level(pairs)
+    one = level(Counter({(w,): n for w, n in before.items()}))
+
+    def p(a, b, w):
+        return three((a, b, w), two((b, w), one((w,), 1 / (v + 1))))
+
+    a, b, _ = triples.most_common(1)[0][0]
+    assert math.isclose(sum(p(a, b, w) for w in count) + p(a, b, "never seen"), 1, rel_tol=1e-9)
+    got = QUERIES["op6_lm_scores_order3"](spark, tiny).toPandas().set_index("doc_id")
+    assert sorted(got.index) == sorted(tokens)
+    for i, ts in tokens.items():
+        row = got.loc[i]
+        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held[i], len(ts), sum(count[w] > 0 for w in ts), all_)
+        assert math.isclose(row.base_score, sum(math.log10((count[w] + 0.5) / (all_ + 0.5 * (v + 1))) for w in ts), rel_tol=1e-9)
+        assert math.isclose(row.score, sum(math.log10(p(*x)) for x in zip(["\t", "\t", *ts], ["\t", *ts], ts)), rel_tol=1e-9)
+
+
 def test_counts_over_254_have_a_file_of_their_own(spark):
     from geoweave.llm.ngram import train
     from geoweave.llm import text as tx
