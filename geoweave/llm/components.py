@@ -34,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (node, label) as more links (a, b) make them: only components that the links touch are worked on."""
+    """Labels (node, label) as more links (a, b) make them: only components that the links touch are worked on. links is read more than once."""
+    if not links.limit(1).count():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
     if labels is None:
         return written(components(links), "labels")
     known = labels.select("node", "label")
