@@ -64,3 +64,17 @@ def profile(rows: DataFrame, props: str, listed: int = 60) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.asc_nulls_first("value")))
     top = counts.withColumn("_p", place).where(F.col("_p") <= listed).drop("_p")
     return keys.join(top, "key").select("key", "present", "n_values", "value", "n")
+
+
+def profile_types(rows: DataFrame, props: str, few: int = 12) -> DataFrame:
+    """(key, present, optional, types, n_values, is_enum) for each key of the maps `props`.
+
+    types: those of number, boolean, empty and string that occur, joined by `|`; optional: some row lacks the key;
+    is_enum: at most `few` distinct values. Values are counted before keys, so a frequent key is no task of its own.
+    """
+    v = F.col("value")
+    kind = F.when(v.rlike("^-?[0-9]+$"), "number").when(v.isin("yes", "no", "true", "false"), "boolean").when(v == "", "empty").otherwise("string")
+    counts = rows.select(F.explode(F.map_entries(props)).alias("e")).select("e.key", "e.value").groupBy("key", "value").agg(F.count("*").alias("n"))
+    keys = counts.groupBy("key").agg(F.sum("n").alias("present"), F.array_join(F.array_sort(F.collect_set(kind)), "|").alias("types"), F.count("value").alias("n_values"))
+    all_ = rows.agg(F.count("*").alias("rows"))  # one row
+    return keys.join(F.broadcast(all_)).select("key", "present", (F.col("present") < F.col("rows")).alias("optional"), "types", "n_values", (F.col("n_values") <= few).alias("is_enum"))

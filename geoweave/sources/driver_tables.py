@@ -44,3 +44,32 @@ def city(spark: SparkSession, sf_dir: str, size: float = 512.0) -> DataFrame:
     p = points(spark, sf_dir)
     cx, cy = F.floor(F.col("x") / size).cast("long"), F.floor(F.col("y") / size).cast("long")
     return p.select(cx.alias("cx"), cy.alias("cy")).distinct().select(((F.col("cy") + 64) * 128 + F.col("cx") + 64).alias("v"), "cx", "cy")
+
+
+#: Tags of the derived features: key, present where (part key * (2 i + 3) + i) % modulus < share, values taken in turn.
+TAGS = [
+    ("building", 4, 3, ["yes", "yes", "apartments", "retail", "school", "garages", "hospital", "mosque", "barn", "yes", ""]),
+    ("highway", 3, 2, ["primary", "residential", "steps", "bus_stop", "secondary_link", "rest_area", "track", ""]),
+    ("barrier", 31, 1, ["fence", ""]), ("bollard", 41, 1, ["yes"]), ("healthcare", 29, 1, ["doctor", ""]), ("healthcare:speciality", 43, 1, ["dentist"]),
+    ("shop", 13, 1, ["bakery", ""]), ("amenity", 11, 1, ["cafe", "bank"]), ("brand:ru", 17, 1, ["x"]), ("payment:cash", 19, 1, ["", "yes"]), ("payment:cards", 23, 1, ["no"]),
+    ("religion", 12, 1, ["any"]), ("sport", 14, 1, ["tennis", ""]), ("power", 15, 1, ["plant"]), ("industrial", 16, 1, ["mill"]),
+    ("addr:housenumber", 3, 2, ["1", "2", "12a", ""]), ("addr2:housenumber", 5, 1, ["7"]), ("addr:housenumber2", 4, 1, ["2", "8"]), ("addr:unit", 6, 1, ["B", ""]),
+    ("name", 3, 1, ["Central", ""]), ("name:ru", 7, 1, ["Ru", ""]), ("name:kk", 8, 1, ["Kk"]), ("old_name", 9, 1, ["Old"]), ("short_name:de", 10, 1, ["Kurz"]),
+    ("wikimedia_commons", 5, 1, ["Category:Hall Category:Old", "Category:", "File:Hall"]), ("wikipedia", 4, 1, ["ru:Hall", "ru:", "de:Hall"]), ("int_name", 18, 1, ["Main St", ""]),
+    ("building:levels", 5, 2, ["5", ""]), ("levels", 6, 1, ["3"]), ("level", 7, 1, ["-1"]), ("building:colour", 11, 2, ["red", ""]), ("roof:colour", 6, 1, ["blue"]), ("area", 20, 1, ["yes"]),
+    ("crossing", 37, 1, ["zebra", ""]), ("bench", 39, 1, ["yes"]), ("description", 10, 1, ["a lane"]),
+]
+SHAPES = ["Polygon", "Polygon", "LineString", "MultiPolygon", "LineString", "Point", None, "LineString", "LineString"]
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, geom_type, closed, n_parts, props): a raw feature for each part; some without id, shape or props."""
+    k = F.col("p_partkey")
+    turn = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.floor(k / 7) + i, F.lit(len(values))) + 1).cast("int"))
+    tags = [F.when((k * (2 * i + 3) + i) % m < n, F.struct(F.lit(key).alias("key"), turn(values, i).alias("value"))) for i, (key, m, n, values) in enumerate(TAGS)]
+    props = F.map_from_entries(F.filter(F.array(*tags), lambda e: e.isNotNull()))
+    shape = F.element_at(F.array(*[F.lit(v) for v in SHAPES]), (k % len(SHAPES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.when(k % 37 > 0, k.cast("string")).alias("id"), k.alias("k"), shape.alias("geom_type"), (F.floor(k / 3) % 2 == 0).alias("closed"), (k % 3 + 1).cast("int").alias("n_parts"),
+        F.when(k % 53 > 0, props).alias("props"),
+    )
