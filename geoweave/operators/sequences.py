@@ -21,6 +21,16 @@ def squeezed(values: Column) -> Column:
     return F.filter(values, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(values, i - 1)))
 
 
+def without_repeats(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """rows whose value differs from that of the row before it in the group; the first of a group stays, null is a value.
+
+    A sort within groups and no array of them, so a group may be of any length.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    marked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.lag(value).over(w))
+    return marked.where((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(value))).drop("_n", "_b")
+
+
 def islands(rows: DataFrame, by: str, order: list[str], inside: Column) -> DataFrame:
     """Rows that are inside, with `island`: how many rows outside came before, so runs of inside rows share a number."""
     w = Window.partitionBy(by).orderBy(*order)
@@ -40,15 +50,15 @@ def sliding_rate(frames: DataFrame, span_us: int) -> DataFrame:
 
 
 def largest_gap(frames: DataFrame, span_us: int, ignore_us: int) -> DataFrame:
-    """frames with gap: the largest time between neighbours that both lie in the last span; longer ones than ignore_us don't count."""
-    order = Window.partitionBy("user_id").orderBy("us", "event_id")
-    before = F.lag("us").over(order)
-    rows = frames.withColumn("_b", before).withColumn("_g", F.when(F.col("us") - before <= ignore_us, F.col("us") - before))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-span_us, 0)
-    # a gap's earlier end must be in the window too: gaps are listed with that end and filtered
-    gaps = F.collect_list(F.struct("_b", "_g")).over(w)
-    inside = F.filter(gaps, lambda g: g["_b"] >= F.col("us") - span_us)
-    return rows.withColumn("gap", F.coalesce(F.array_max(F.transform(inside, lambda g: g["_g"])), F.lit(0))).drop("_b", "_g")
+    """frames with gap: the largest time between neighbours that both lie in the last span; longer ones than ignore_us don't count.
+
+    Frames at the same time see the same window. A frame alone in its window has gap 0.
+    """
+    # a gap stands at its earlier end, so that a window of rows before this one holds those whose both ends it holds
+    after = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    rows = frames.withColumn("_g", F.when(after - F.col("us") <= ignore_us, after - F.col("us")))
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-span_us, -1)
+    return rows.withColumn("gap", F.coalesce(F.max("_g").over(w), F.lit(0))).drop("_g")
 
 
 def instant_rate(frames: DataFrame, least_us: int, most_us: int) -> DataFrame:

@@ -6,9 +6,12 @@ engine can help it. cell should be about the size of the smaller shapes: each sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoweave.functions.geometry import cell
+from geoweave.shared import written
 
 
 def with_cells(boxes: DataFrame, size: float) -> DataFrame:
@@ -17,10 +20,27 @@ def with_cells(boxes: DataFrame, size: float) -> DataFrame:
     return boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
 
+def size_class(size: float) -> Column:
+    """How often a cell is to be made four times as wide until a box (x0, y0, x1, y1) is no wider: 0, 1, 2, ..."""
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / size
+    return F.greatest(F.ceil(F.log(4.0, F.greatest(wide, F.lit(1.0)))), F.lit(0)).cast("int")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 64.0) -> DataFrame:
-    """Pairs of points (x, y) and the boxes that hold them, borders included."""
-    p = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
-    return p.join(with_cells(boxes, size), ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("cx", "cy")
+    """Pairs of points (x, y) and the boxes that hold them, borders included; null coordinates and boxes match nothing.
+
+    Boxes are dealt to grids of cells of size, 4 size, 16 size, ..., so that each meets four cells at most, however large
+    it is. A point has a copy for each grid in use (one short aggregate of the boxes), mostly one or two.
+    """
+    sized = boxes.withColumn("_class", size_class(size)).where("x0 <= x1 and y0 <= y1")
+    classes = [r[0] for r in sized.select("_class").distinct().collect()]  # a number for each power of four in use
+    if not classes:
+        return points.join(boxes, F.lit(False))
+    width = lambda c: F.lit(size) * F.pow(F.lit(4.0), F.col(c))
+    at = lambda v: F.floor(F.col(v) / width("_class")).cast("long")
+    p = points.withColumn("_class", F.explode(F.array(*map(F.lit, sorted(classes))))).withColumns({"_cx": at("x"), "_cy": at("y")})
+    b = sized.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    return p.join(b, ["_class", "_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("_class", "_cx", "_cy")
 
 
 def boxes_in_areas(boxes: DataFrame, areas: DataFrame, size: float = 512.0) -> DataFrame:
@@ -36,14 +56,20 @@ def boxes_in_areas(boxes: DataFrame, areas: DataFrame, size: float = 512.0) -> D
     return both.where(meet & corner).select("area", "b")
 
 
-def pairs_within(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b, d2) of points (k, x, y) with a < b no farther apart than radius; cells of that size, own and neighbours."""
+def pairs_within(points: DataFrame, radius: float, strict: bool = False) -> DataFrame:
+    """(a, b, d2) of points (k, x, y) with a < b no farther apart than radius (nearer, if strict).
+
+    Cells of that size; a point meets those of its own cell and, to see each pair once, of four of the eight around it.
+    Points with a null coordinate have no pair; rows that repeat a key give no pair with themselves.
+    """
     p = points.select("k", "x", "y", cell(F.col("x"), radius).alias("cx"), cell(F.col("y"), radius).alias("cy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    other = p.select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", F.explode(near).alias("o"))
-    other = other.select("b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    return p.join(other, ["cx", "cy"]).where("k < b").withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(F.col("k").alias("a"), "b", "d2")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    other = p.select(F.col("k").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), "cx", "cy", F.explode(steps).alias("o"))
+    other = other.select("l", "lx", "ly", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
+    d2 = (F.col("x") - F.col("lx")) * (F.col("x") - F.col("lx")) + (F.col("y") - F.col("ly")) * (F.col("y") - F.col("ly"))
+    near = F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius
+    both = p.join(other, ["cx", "cy"]).where(F.when(F.col("own"), F.col("k") < F.col("l")).otherwise(F.col("k") != F.col("l")))
+    return both.withColumn("d2", d2).where(near).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "d2")
 
 
 def capped_cells(points: DataFrame, size: float, most: int) -> DataFrame:
@@ -75,23 +101,26 @@ def pushes(pairs: DataFrame, reach: float = 5.0) -> DataFrame:
 def nearest(queries: DataFrame, points: DataFrame, start: float = 256.0) -> DataFrame:
     """(q, k, d2): for queries (q, x, y) the nearest of points (k, x, y), the smaller k at a tie.
 
-    Rings of cells grow until each query has found a point no farther than the ring reaches; only open queries go on.
+    Rings of cells grow until each query has found a point no farther than the ring reaches; only open queries go on, as
+    tables in the shared folder. Queries and points with a null or NaN coordinate are left out; no points, no rows.
     """
-    spark, size, done = queries.sparkSession, start, None
+    whole = lambda df, k: df.select(k, "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    points, open_ = whole(points, "k"), whole(queries, "q")
     box = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    open_ = queries.select("q", "x", "y")
+    none = open_.join(points.select("k"), F.lit(False)).select("q", "k", F.lit(0.0).alias("d2"))
     if not box[0]:
-        return spark.createDataFrame([], "q long, k long, d2 double")
+        return none
+    size, done = start, []
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
     while True:
         p = points.select("k", F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         q = open_.select("q", "x", "y", F.explode(around).alias("o"))
         q = q.select("q", "x", "y", (cell(F.col("x"), size) + F.col("o.i")).alias("cx"), (cell(F.col("y"), size) + F.col("o.j")).alias("cy"))
-        d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-        best = q.join(p, ["cx", "cy"]).withColumn("d2", d2).groupBy("q").agg(F.min(F.struct("d2", "k")).alias("m")).select("q", "m.k", "m.d2")
-        found = best.where(F.col("d2") <= size * size)
-        done = found if done is None else done.union(found)
-        open_ = open_.join(found, "q", "left_anti")
-        if open_.limit(1).count() == 0:
-            return done.select("q", "k", "d2")
+        best = q.join(p, ["cx", "cy"]).withColumn("d2", d2).groupBy("q").agg(F.min(F.struct("d2", "k")).alias("m"))
+        tried = written(open_.join(best, "q", "left").select("q", "x", "y", "m.k", "m.d2", F.coalesce(F.col("m.d2") <= size * size, F.lit(False)).alias("found")), "nearest")
+        done.append(tried.where("found").select("q", "k", "d2"))
+        open_ = tried.where("not found").select("q", "x", "y")
+        if not open_.limit(1).count():
+            return reduce(DataFrame.unionAll, done)
         size *= 4

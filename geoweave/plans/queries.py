@@ -301,8 +301,9 @@ def dense_renumber(spark, d):
     "WITH o AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, ts FROM events) SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM o WHERE b IS DISTINCT FROM event_type GROUP BY user_id"
 )
 def dedup_consecutive(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
-    return e.select("user_id", F.array_join(seq.squeezed(F.transform("s", lambda s: s["event_type"])), ">").alias("path"))
+    e = seq.without_repeats(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))  # the answer is one text for each user
+    return e.groupBy("user_id").agg(F.array_join(F.transform(steps, lambda s: s["event_type"]), ">").alias("path"))
 
 
 @query(

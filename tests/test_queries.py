@@ -3,6 +3,7 @@
 import pytest
 
 import geoweave.plans.feature_queries  # noqa: F401
+import geoweave.plans.mesh_queries  # noqa: F401
 import geoweave.plans.more_queries  # noqa: F401
 from geoweave.plans.queries import ORACLES, QUERIES
 
