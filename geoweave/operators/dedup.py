@@ -2,26 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from geoweave.functions import geometry as g
+from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import graph
+from geoweave.operators.locate import with_box
 from geoweave.operators.spatial import boxes_in_areas
+from geoweave.shared import written
 
 
 def congruent_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 64.0) -> DataFrame:
     """(a, b), a < b: rings (id, ring) of as many vertices that lie within tolerance of each other, from the canonical one on."""
-    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    rows = rings.where(F.size("ring") > 0).select("id", g.canonical(F.col("ring")).alias("ring"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    return _overlapping(rings, size).where(_congruent(tolerance)).select("a", "b")
+
+
+def _overlapping(rings: DataFrame, size: float) -> DataFrame:
+    """(a, b, r, s), a < b: ids and rings whose boxes share a point; rings without vertices take no part."""
+    rows = with_box(rings.select("id", "ring"))
     box = rows.select(F.col("id").alias("b"), "x0", "y0", "x1", "y1")
     area = rows.select(F.col("id").alias("area"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = boxes_in_areas(box, area, size).where("area < b")
-    one = rows.select(F.col("id").alias("area"), F.col("ring").alias("r"))
+    near = boxes_in_areas(box, area, size).where("area < b").withColumnRenamed("area", "a")
+    one = rows.select(F.col("id").alias("a"), F.col("ring").alias("r"))
     two = rows.select(F.col("id").alias("b"), F.col("ring").alias("s"))
-    both = near.join(one, "area").join(two, "b").where(F.size("r") == F.size("s"))
-    close = F.forall(F.zip_with("r", "s", lambda p, q: g.distance(p["x"], p["y"], q["x"], q["y"])), lambda d: d <= tolerance)
-    return both.where(close).select(F.col("area").alias("a"), "b")
+    return near.join(one, "a").join(two, "b")
+
+
+def _congruent(tolerance: float) -> Column:
+    both = F.zip_with(g.canonical(F.col("r")), g.canonical(F.col("s")), lambda p, q: g.distance(p["x"], p["y"], q["x"], q["y"]))
+    return (F.size("r") == F.size("s")) & F.forall(both, lambda d: d <= tolerance)
+
+
+def _inner_centres(ring: Column) -> Column:
+    """Centres of each three vertices in a row of the closed ring, not over its end: one fewer than vertices."""
+    all_ = s.trio_centres(ring)
+    return F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))
+
+
+def suspicious_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 64.0) -> DataFrame:
+    """(a, b, smaller), a < b, of rings (id, ring): both hold the same of each other's trio centres, and they are not congruent.
+
+    smaller is the one of less area, b at a tie. Rings of fewer than three vertices are in no pair.
+    """
+    same = lambda c: s.in_ring(c["x"], c["y"], F.col("r")) == s.in_ring(c["x"], c["y"], F.col("s"))
+    agree = F.forall(F.concat(_inner_centres(F.col("r")), _inner_centres(F.col("s"))), same)
+    pairs = _overlapping(rings.where(F.size("ring") >= 3), size).where(~_congruent(tolerance) & agree)
+    area = lambda c: F.abs(g.signed_area(F.col(c)))
+    return pairs.select("a", "b", F.when(area("r") < area("s"), F.col("a")).otherwise(F.col("b")).alias("smaller"))
+
+
+def report(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """One row for rings (id, ring): removed, suspicious, remaining, vertices (all) and outer (those of what remains).
+
+    removed: congruent to one of smaller id in their group; suspicious: the smaller of a suspicious pair of those left.
+    """
+    labels = graph.components(rings.select(F.col("id").alias("v")), congruent_pairs(rings, tolerance))
+    left = written(rings.join(labels.where("v = label").select(F.col("v").alias("id")), "id").select("id", "ring"), "left")
+    odd = suspicious_pairs(left, tolerance).select(F.col("smaller").alias("id")).distinct()
+    marked = left.join(odd.withColumn("odd", F.lit(True)), "id", "left")
+    n = F.coalesce(F.sum(F.size("ring").cast("long")), F.lit(0))
+    after = marked.agg(F.count_if("odd").alias("suspicious"), F.count_if(F.col("odd").isNull()).alias("remaining"), F.coalesce(F.sum(F.when(F.col("odd").isNull(), F.size("ring").cast("long"))), F.lit(0)).alias("outer"), F.count("*").alias("left"))
+    return rings.agg(F.count("*").alias("all"), n.alias("vertices")).join(F.broadcast(after)).select((F.col("all") - F.col("left")).alias("removed"), "suspicious", "remaining", "vertices", "outer")
 
 
 def deduplicated(features: DataFrame, tolerance: float = 1.0) -> DataFrame:

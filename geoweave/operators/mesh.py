@@ -46,3 +46,9 @@ def group_sizes(rows: DataFrame, key: str) -> DataFrame:
     large = hist.orderBy(F.desc("n")).limit(5).agg(F.array_join(top, ",").alias("top5"))
     all_ = sizes.agg(F.count("*").alias("groups"), F.max("n").alias("largest"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.count_if(F.col("n") == 1).alias("singles"))
     return all_.join(F.broadcast(large))
+
+
+def vertex_ids(points: DataFrame, dictionary: DataFrame, scale: int = 100) -> DataFrame:
+    """points (x, y, ...) with vid of the vertex that they snap to in dictionary (sx, sy, vid); null where there is none."""
+    snap = lambda c: F.floor(F.col(c) * scale + 0.5).cast("long")
+    return points.withColumns({"sx": snap("x"), "sy": snap("y")}).join(dictionary, ["sx", "sy"], "left").drop("sx", "sy")

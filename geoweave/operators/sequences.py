@@ -75,3 +75,42 @@ def weighted_pick(rows: DataFrame, by: str, weight: str, order: str, share: floa
     run = F.sum(weight).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     hit = rows.withColumn("_run", run).withColumn("_all", F.sum(weight).over(w)).where(F.col("_run") >= share * F.col("_all"))
     return hit.withColumn("_n", F.row_number().over(w.orderBy(order))).where("_n = 1").drop("_n", "_run", "_all")
+
+
+def _numbered(rows: DataFrame, order: list[str], block: int = 4096) -> DataFrame:
+    """rows with new_id, dense from 0 in the order given, whose first column is a whole number.
+
+    Blocks of that column are counted first, so no task numbers all rows.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(order[0]) / block))
+    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_block", before.alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
+    return blocked.withColumn("_p", place).join(starts, "_block").withColumn("new_id", (F.col("_start") + F.col("_p")).cast("long")).drop("_block", "_start", "_p")
+
+
+def _listed(lists: DataFrame, by: str, ids: str, known: DataFrame, key: str) -> DataFrame:
+    rows = lists.select(by, F.posexplode(ids).alias("_o", key))
+    return rows.join(known.select(key).distinct().withColumn("_found", F.lit(True)), key, "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
+
+
+def looked_up(lists: DataFrame, by: str, ids: str, known: DataFrame, key: str) -> DataFrame:
+    """(by, key, new_id): ids of lists (by, ids ARRAY) that known (key) holds, numbered from 0 in order of by and place.
+
+    An id listed twice has two numbers; null ids are not found. known's repeated rows count once.
+    """
+    return _numbered(_listed(lists, by, ids, known, key).where("_found").drop("_found"), [by, "_o"]).select(by, key, "new_id")
+
+
+def lookup_report(lists: DataFrame, by: str, ids: str, known: DataFrame, key: str, shown: int = 10) -> DataFrame:
+    """One row: found, missing, and sample, the first missing ids joined by commas (null if there are none)."""
+    rows = _listed(lists, by, ids, known, key)
+    head = rows.where("not _found").orderBy(by, "_o").limit(shown).agg(F.array_sort(F.collect_list(F.struct(by, "_o", F.col(key).cast("string").alias("k")))).alias("h"))
+    counts = rows.agg(F.count_if("_found").alias("found"), F.count_if(~F.col("_found")).alias("missing"))
+    return counts.join(F.broadcast(head)).select("found", "missing", F.nullif(F.array_join(F.transform("h", lambda r: r["k"]), ", "), F.lit("")).alias("sample"))
+
+
+def remapped(rows: DataFrame, reference: str, new: DataFrame, old: str, no: str = "no") -> DataFrame:
+    """rows whose reference is replaced by the new number `no` of the row of new that has it as old; others are left out."""
+    return rows.join(new.withColumnRenamed(old, reference), reference).drop(reference)

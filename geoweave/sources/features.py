@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _FEATURE = "STRUCT<id: STRING, geometry: STRUCT<type: STRING, coordinates: STRING>, properties: MAP<STRING, STRING>>"
 
@@ -17,12 +17,29 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return _columns(whole.select("file", F.explode(parsed["features"]).alias("f")))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, f): lines that hold an object, with what they parse to."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^[\s,]+|[\s,]+$", "").alias("value"))
+    ended = F.regexp_replace("value", r"\]\s*\}$", "")  # the collection's end may stand after its last feature
+    rows = lines.where(F.col("value").startswith("{")).withColumn("value", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(ended))
+    return rows.select("file", "value", F.from_json("value", _FEATURE.replace("STRUCT<id", "STRUCT<type: STRING, id", 1)).alias("f"))
+
+
+def _is_feature() -> Column:
+    return F.coalesce((F.col("f.type") == "Feature") & F.col("f.geometry").isNotNull(), F.lit(False))
+
+
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """As read_geojson, from files with one feature a line, with or without the collection's first and last lines; others are skipped."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.rtrim("value").alias("value"))
-    text = F.regexp_replace("value", ",$", "")
-    parsed = lines.where(F.ltrim("value").startswith('{"type":"Feature"') | F.ltrim("value").startswith('{"id"')).select("file", F.from_json(text, _FEATURE).alias("f"))
-    return _columns(parsed.where("f is not null and f.geometry is not null"))
+    """As read_geojson, from files with one feature a line, with or without the collection's first and last lines.
+
+    Order of keys and white space don't matter. Other lines give no row; rejected_lines gives them.
+    """
+    return _columns(_lines(spark, path).where(_is_feature()))
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): lines with an object that is no feature with a geometry, but for the collection's own first line."""
+    return _lines(spark, path).where(~_is_feature() & ~F.col("value").rlike(r'"features"\s*:\s*\[?$')).select("file", "value")
 
 
 def _columns(rows: DataFrame) -> DataFrame:
@@ -31,11 +48,19 @@ def _columns(rows: DataFrame) -> DataFrame:
     return rows.select("file", own.alias("id"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"), props.alias("props"))
 
 
+def feature_text(id_: Column, geom_type: Column, coordinates: Column, props: Column) -> Column:
+    """One feature as JSON; coordinates are JSON already. A null id is left out, null props are an empty object."""
+    quoted = lambda c, key: F.regexp_replace(F.to_json(F.struct(c.alias(key))), r"^\{|\}$", "")
+    return F.concat(
+        F.lit('{"type":"Feature",'), F.when(id_.isNotNull(), F.concat(quoted(id_, "id"), F.lit(","))).otherwise(F.lit("")),
+        F.lit('"geometry":{'), quoted(F.coalesce(geom_type, F.lit("")), "type"), F.lit(',"coordinates":'), F.coalesce(coordinates, F.lit("null")), F.lit('},"properties":'),
+        F.coalesce(F.to_json(props), F.lit("{}")), F.lit("}"),
+    )
+
+
 def write_geojson_lines(features: DataFrame, path: str) -> None:
-    """features (id, geom_type, coordinates, props) as one feature a line."""
-    props = F.to_json("props")
-    line = F.format_string('{"type":"Feature","id":"%s","geometry":{"type":"%s","coordinates":%s},"properties":%s}', F.coalesce("id", F.lit("")), "geom_type", "coordinates", F.coalesce(props, F.lit("{}")))
-    features.select(line.alias("value")).write.text(path)
+    """features (id, geom_type, coordinates, props) as one feature a line, which read_geojson_lines reads back."""
+    features.select(feature_text(F.col("id").cast("string"), F.col("geom_type"), F.col("coordinates"), F.col("props")).alias("value")).write.text(path)
 
 
 def ring_of(numbers: Column) -> Column:
@@ -72,3 +97,26 @@ def write_rings(blobs: DataFrame, path: str) -> None:
     """blobs (blob_id, building_ids, ring) as the lines that read_rings takes."""
     xy = F.array_join(F.flatten(F.transform("ring", lambda p: F.array(p["x"].cast("string"), p["y"].cast("string")))), ",")
     blobs.select(F.concat_ws(";", F.col("blob_id").cast("string"), F.concat(F.lit("["), F.array_join("building_ids", ","), F.lit("]")), F.concat(F.lit("["), xy, F.lit("]"))).alias("value")).write.text(path)
+
+
+def write_buildings(buildings: DataFrame, path: str) -> None:
+    """buildings (osm_id, props, ring) as the lines that read_buildings takes."""
+    xy = F.array_join(F.flatten(F.transform("ring", lambda p: F.array(p["x"].cast("string"), p["y"].cast("string")))), ",")
+    props = F.coalesce(F.to_json("props"), F.lit("{}"))
+    buildings.select(F.concat(F.coalesce("osm_id", F.lit("")), F.lit(";"), props, F.lit("["), xy, F.lit("]")).alias("value")).write.text(path)
+
+
+def read_atlas(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sprite_id, x, y, w, h) of a JSON map from names to boxes; ids are ranks of the names, from 0.
+
+    One small file describes an image, so it is one row until it is exploded.
+    """
+    box = "STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
+    named = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"MAP<STRING, {box}>")).alias("name", "b"))
+    return named.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("sprite_id"), "b.*")
+
+
+def atlas_coordinates(sprites: DataFrame, width: float, height: float) -> DataFrame:
+    """sprites with u0, v0, u1, v1: their box as shares of an image of width by height."""
+    share = lambda c, n: F.col(c) / n
+    return sprites.withColumns({"u0": share("x", width), "v0": share("y", height), "u1": (F.col("x") + F.col("w")) / width, "v1": (F.col("y") + F.col("h")) / height})
