@@ -65,3 +65,22 @@ def two_hop_neighbours(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").distinct()
     far = e.select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), F.col("b").alias("c")), "m").where("a <> c").select("a", "c").distinct()
     return far.join(e.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
+
+
+def reached_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, label): the least node from which v can be reached over edges (a, b), one way; its own number if none is less.
+
+    This is what floods from the lowest number on give, each taking what earlier ones left. A round takes the least label
+    before a node and then that label's own, so chains shorten by halves; edges from or to no node are not looked at.
+    """
+    nodes = written(nodes.select("v").distinct(), "nodes")
+    edges = written(edges.select("a", "b").distinct().join(nodes.withColumnRenamed("v", "a"), "a", "left_semi").join(nodes.withColumnRenamed("v", "b"), "b", "left_semi"), "edges")
+    labels = written(nodes.select("v", F.col("v").alias("label")), "labels")
+    while True:
+        before = edges.join(labels.select(F.col("v").alias("a"), "label"), "a").groupBy(F.col("b").alias("v")).agg(F.min("label").alias("m"))
+        low = labels.join(before, "v", "left").select("v", "label", F.least("label", "m").alias("low"))
+        up = labels.select(F.col("v").alias("low"), F.col("label").alias("up"))
+        new = written(low.join(up, "low").select("v", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed")), "labels")
+        labels = new.select("v", "label")
+        if not new.where("changed").limit(1).count():
+            return labels

@@ -52,3 +52,36 @@ def vertex_ids(points: DataFrame, dictionary: DataFrame, scale: int = 100) -> Da
     """points (x, y, ...) with vid of the vertex that they snap to in dictionary (sx, sy, vid); null where there is none."""
     snap = lambda c: F.floor(F.col(c) * scale + 0.5).cast("long")
     return points.withColumns({"sx": snap("x"), "sy": snap("y")}).join(dictionary, ["sx", "sy"], "left").drop("sx", "sy")
+
+
+def admissible_steps(triangles: DataFrame) -> DataFrame:
+    """(a, b): from triangle a to its neighbour b, where b's own corner lies within the angle of a that faces it.
+
+    triangles (tid, v1, v2, v3, ax, ay, bx, by, cx, cy) are counter-clockwise. A step may be open one way only.
+    """
+    corner = {"v1": "a", "v2": "b", "v3": "c"}
+    edges = F.array(*[
+        F.struct(F.least(v, w).alias("lo"), F.greatest(v, w).alias("hi"), *[F.col(f"{corner[u]}{c}").alias(f"o{c}") for c in "xy"], *[F.col(f"{corner[x]}{c}").alias(f"{n}{c}") for n, x in (("p", v), ("q", w)) for c in "xy"])
+        for u, v, w in (("v3", "v1", "v2"), ("v1", "v2", "v3"), ("v2", "v3", "v1"))
+    ])
+    rows = triangles.select("tid", F.explode(edges).alias("e")).select("tid", "e.*")
+    pairs = rows.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min_by(F.struct("tid", "ox", "oy"), "tid").alias("s"), F.max_by(F.struct("tid", "ox", "oy"), "tid").alias("t")).where("n = 2")
+    both = rows.join(pairs, ["lo", "hi"]).withColumn("other", F.when(F.col("tid") == F.col("s.tid"), F.col("t")).otherwise(F.col("s")))
+    turn = lambda p, q: (F.col(f"{p}x") - F.col("ox")) * (F.col(f"{q}y") - F.col("oy")) - (F.col(f"{p}y") - F.col("oy")) * (F.col(f"{q}x") - F.col("ox"))
+    named = both.select(F.col("tid").alias("a"), F.col("other.tid").alias("b"), "ox", "oy", "px", "py", "qx", "qy", F.col("other.ox").alias("nx"), F.col("other.oy").alias("ny"))
+    return named.where((turn("p", "n") >= 0) & (turn("n", "q") >= 0)).select("a", "b")
+
+
+def boundary(box: tuple[float, float, float, float], margin: float) -> tuple[list[tuple[str, list]], list[list]]:
+    """What closes a mesh off around a box: two blobs of six corners (id, ring), and their eight triangles, counter-clockwise.
+
+    Corners stand at the box, widened by margin, and as far beyond the middle of each side as the side is long.
+    """
+    x0, y0, x1, y1 = box[0] - margin, box[1] - margin, box[2] + margin, box[3] + margin
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    nw, ne, se, sw = (x0, y1), (x1, y1), (x1, y0), (x0, y0)
+    north, east, south, west = (mx, y1 + x1 - x0), (x1 + y1 - y0, my), (mx, y0 - x1 + x0), (x0 - y1 + y0, my)
+    blobs = [("outside1", [nw, north, east, south, se, ne]), ("outside2", [se, south, west, north, nw, sw])]
+    fans = [[nw, ne, north], [ne, se, east], [north, ne, east], [east, se, south], [se, sw, south], [sw, nw, west], [south, sw, west], [west, nw, north]]
+    area = lambda t: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(t, t[1:] + t[:1]))
+    return blobs, [t if area(t) > 0 else t[::-1] for t in fans]

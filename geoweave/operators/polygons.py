@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -47,34 +48,87 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(merged, f"{key} {kind}, seq int, x double, y double")
 
 
-def _flat(x: list[float], y: list[float], area: float) -> list[int]:
-    keep = list(range(len(x)))
-    changed = True
-    while changed and len(keep) > 3:
-        changed = False
-        for i in range(len(keep)):
-            a, b, c = keep[i - 1], keep[i], keep[(i + 1) % len(keep)]
-            if abs((x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])) / 2 < area:
-                del keep[i]
-                changed = True
-                break
+def flat_of(x: np.ndarray, y: np.ndarray, area: float) -> np.ndarray:
+    """Indices of the vertices of a ring that stay when flat corners go, the first in order at a time.
+
+    The corner after vertex i goes if its triangle with its neighbours is smaller than a threshold: 3 * area where it is
+    0.1 off the line between them, less along a straight line to 1 * area at a twentieth of that line's length, and beyond.
+    """
+    keep = np.arange(len(x))
+    while len(keep) > 3:
+        a, b, c = keep, np.roll(keep, -1), np.roll(keep, -2)
+        dx, dy = x[c] - x[a], y[c] - y[a]
+        twice = np.abs(dx * (y[b] - y[a]) - dy * (x[b] - x[a]))
+        length2 = dx * dx + dy * dy
+        t = np.clip(np.divide((x[b] - x[a]) * dx + (y[b] - y[a]) * dy, length2, out=np.zeros(len(keep)), where=length2 >= 1e-12), 0, 1)
+        off = np.hypot(x[b] - x[a] - t * dx, y[b] - y[a] - t * dy)
+        span = 0.05 * np.sqrt(length2) - 0.1
+        share = np.divide(off - 0.1, span, out=np.zeros(len(keep)), where=span != 0)
+        flat = np.flatnonzero(twice / 2 < area * (3 - 2 * share))
+        if not len(flat):
+            break
+        keep = np.delete(keep, (flat[0] + 1) % len(keep))
     return keep
 
 
-def flattened(rings: DataFrame, area: float) -> DataFrame:
-    """rings (id, ring) without vertices whose triangle with their neighbours is smaller than area; at least three stay."""
+def thinned(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Indices of the points of a line that stay when those within tolerance of the rest go: farthest points first."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    open_ = [(0, len(x) - 1)]
+    while open_:
+        i, j = open_.pop()
+        if j - i > 1:
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            px, py = x[i + 1 : j] - x[i], y[i + 1 : j] - y[i]
+            length2 = dx * dx + dy * dy
+            t = np.clip((px * dx + py * dy) / length2, 0, 1) if length2 else np.zeros(len(px))
+            off = (px - t * dx) ** 2 + (py - t * dy) ** 2
+            k = int(off.argmax())
+            if off[k] > tolerance * tolerance:
+                keep[i + 1 + k] = True
+                open_ += [(i, i + 1 + k), (i + 1 + k, j)]
+    return np.flatnonzero(keep)
+
+
+def _each_ring(rings: DataFrame, which: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """rings (id, ring) with the vertices of each that `which` keeps, batch by batch; null rings stay null."""
     kind = rings.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for ring in rows["ring"]:
-                ring = [(p["x"], p["y"]) for p in ring]
-                keep = _flat([p[0] for p in ring], [p[1] for p in ring], area)
-                out.append([{"x": ring[i][0], "y": ring[i][1]} for i in keep])
-            yield pd.DataFrame({"id": rows["id"], "ring": out})
-
-    return rings.select("id", "ring").mapInPandas(run, f"id {kind}, ring array<struct<x double, y double>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+            x, y = (np.asarray(flat.field(i), float) for i in (0, 1))
+            ends = np.cumsum(size)
+            kept = [e - n + which(x[e - n : e], y[e - n : e]) for e, n in zip(ends.tolist(), size.tolist())]
+            at = np.concatenate([np.zeros(0, np.int64), *kept])
+            offsets = pa.array(np.append(0, np.cumsum([len(k) for k in kept])), pa.int32(), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False))
+            points = pa.StructArray.from_arrays([pa.array(x[at]), pa.array(y[at])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, points)], names=["id", "ring"])
+
+    plain = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return rings.select("id", plain.alias("ring")).mapInArrow(run, f"id {kind}, ring array<struct<x double, y double>>")
+
+
+def flattened(rings: DataFrame, area: float) -> DataFrame:
+    """rings (id, ring) without flat corners (see flat_of); a closing vertex goes first. Three vertices stay at least."""
+    def which(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = len(x) - 1 if len(x) > 1 and np.hypot(x[0] - x[-1], y[0] - y[-1]) < 1e-9 else len(x)
+        return flat_of(x[:n], y[:n], area)
+
+    return _each_ring(rings, which)
+
+
+def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
+    """rings (id, ring) as closed rings without points within tolerance of the rest; fewer than three points give an empty one."""
+    def which(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        keep = thinned(x, y, tolerance) if len(x) > 2 else np.zeros(0, np.int64)
+        if len(keep) < 3:
+            return np.zeros(0, np.int64)
+        return keep if (x[keep[0]], y[keep[0]]) == (x[keep[-1]], y[keep[-1]]) else np.append(keep, keep[0])
+
+    return _each_ring(rings, which)
 
 
 def clipped_boxes(boxes: DataFrame, size: float) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoweave.functions import shapes as s
-from geoweave.operators import dedup, graph, locate, mesh, routes
+from geoweave.functions import geometry as g, shapes as s
+from geoweave.operators import dedup, graph, locate, mesh, polygons, routes
 from geoweave.plans.mesh_queries import _L, _M, _sx, _sy, ells, mesh as triangles, quads
 from geoweave.plans.queries import _B, _P, _T, _V, _edges, _suppliers, _S, query
 from geoweave.shared import written
-from geoweave.sources.driver_tables import boxes, city
+from geoweave.sources.driver_tables import boxes, city, points
 
 C = F.col
 _E = "pe AS (SELECT v AS poly, unnest([{'i': 0, 'v1': v, 'v2': v + 1}, {'i': 1, 'v1': v + 1, 'v2': v + 129}, {'i': 2, 'v1': v + 129, 'v2': v + 128}, {'i': 3, 'v1': v + 128, 'v2': v}], recursive := true) FROM city)"
@@ -118,3 +118,62 @@ def suspicious_pairs(spark, d):
 def dedup_report(spark, d):
     """How many shapes are congruent copies, suspicious, and left, and their vertices; the tests hold it against a plain version."""
     return dedup.report(_doubles(spark, d))
+
+
+@query()
+def triangle_groups(spark, d):
+    """Triangles with the least triangle that a flood over admissible steps comes from; the tests hold it against a plain flood."""
+    t = written(triangles(spark, d), "mesh")
+    return graph.reached_by(t.select(C("tid").alias("v")), mesh.admissible_steps(t))
+
+
+@query()
+def flat_corners(spark, d):
+    """How many corners are left of rings with flat ones, and which comes first; the tests hold it against a plain scan."""
+    return polygons.flattened(_bumpy(spark, d), 40.0).select("id", F.size("ring").cast("long").alias("n"), F.get("ring", F.lit(0))["x"].alias("first_x"))
+
+
+def _bumpy(spark, d):
+    """Rings of twelve corners about each box: three on each side, the middle ones a little off."""
+    b = boxes(spark, d).where("x1 > x0")
+    off = lambda i: ((C("b") * (i + 3)) % 11).cast("double") / 4
+    at = lambda a, z, t: C(a) + (C(z) - C(a)) * t
+    corners = []
+    for i, (x, y, u, v) in enumerate((("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0"))):
+        corners += [(C(x), C(y)), (at(x, u, 0.25), at(y, v, 0.25) + off(i)), (at(x, u, 0.75) + off(i + 4), at(y, v, 0.75))]
+    return b.select(C("b").alias("id"), locate.ring_of_xy(*corners).alias("ring"))
+
+
+@query(
+    f"WITH {_M}, bm AS (SELECT tid, tid // 2 // 512 AS blob, (ax + bx + cx) / 3 AS x, (ay + by_ + cy) / 3 AS y FROM ms), bn AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM bm WINDOW w AS (PARTITION BY blob)), "
+    "br AS (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY floor(((x - mx) * (x - mx) + (y - my) * (y - my)) / 10), tid) AS o FROM bn) SELECT blob, tid FROM br WHERE o = 1"
+)
+def blob_centres(spark, d):
+    """The triangle of each blob whose centre is nearest to the mean of all, to 10 square metres."""
+    mean = lambda c: (C(f"a{c}") + C(f"b{c}") + C(f"c{c}")) / 3
+    t = triangles(spark, d).select("tid", F.floor(C("tid") / 2 / 512).alias("blob"), mean("x").alias("x"), mean("y").alias("y"))
+    m = t.groupBy("blob").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    d2 = (C("x") - C("mx")) * (C("x") - C("mx")) + (C("y") - C("my")) * (C("y") - C("my"))
+    return t.join(m, "blob").groupBy("blob").agg(F.min_by("tid", F.struct(F.floor(d2 / 10), "tid")).alias("tid"))
+
+
+@query(
+    f"WITH {_P}, {_B}, {_V}, ec AS (SELECT count(*) FILTER (x1 > x0) AS n FROM boxes) SELECT (SELECT count(*) FROM city) + n AS shapes, n AS concave FROM ec"
+)
+def convexity_counts(spark, d):
+    """How many of the quadrilaterals and L-shaped buildings there are, and how many are not convex."""
+    plain = F.transform("ring", lambda p: g.point(p["x"], p["y"]))
+    both = quads(spark, d).select(plain.alias("ring")).union(ells(spark, d).where(g.signed_area(C("ring")) > 0).select("ring"))
+    return both.agg(F.count("*").alias("shapes"), F.count_if(~g.is_convex(C("ring"))).alias("concave"))
+
+
+@query(
+    f"WITH {_P}, e AS (SELECT max(x) - min(x) + 20 AS w, max(y) - min(y) + 20 AS h FROM pts), f AS (SELECT floor(w * w / 2 + h * h / 2 + w * h * 3 / 4 + 0.5)::BIGINT AS area FROM e) "
+    "SELECT 'outside' || n AS id, 6::INT AS corners, area FROM f, (SELECT unnest([1, 2]) AS n)"
+)
+def boundary_blobs(spark, d):
+    """The two blobs that close the mesh off around all points, with their areas."""
+    e = points(spark, d).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()  # one row
+    blobs, _ = mesh.boundary(tuple(e), 10.0)
+    rows = spark.createDataFrame([(name, [tuple(map(float, p)) for p in ring]) for name, ring in blobs], "id string, ring array<struct<x:double,y:double>>")
+    return rows.select("id", F.size("ring").alias("corners"), F.floor(F.abs(g.signed_area(C("ring"))) + 0.5).alias("area"))
