@@ -7,21 +7,40 @@ from pyspark.sql import DataFrame, functions as F
 from geoweave.shared import written
 
 
+def linked(links: DataFrame) -> DataFrame:
+    """(node, label) for links (a, b) of longs: label is the smallest node reachable; nodes without links have no row.
+
+    Alternates large-star and small-star steps: each ties the neighbours of a node to the smallest of them. The
+    minima are partial aggregates and the join back is one that Spark can split, so a node with very many links is
+    no task of its own. Rounds grow with the logarithm of a component's diameter; each is a table in the shared folder.
+    """
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    known = None
+    while True:
+        # large star: larger neighbours of a node go to the smallest around it
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = written(small.distinct(), "stars")
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == known:
+            break
+        known = seen
+    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, label): the least node of each node's component; nodes (v), edges (a, b) in either direction.
 
-    Each round takes the least label around a node and then that label's own label, so chains shorten by halves.
+    Nodes without edges are components of their own; ends of edges that are no nodes tie nodes all the same. Repeated
+    nodes and edges count once.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(nodes.select("v", F.col("v").alias("label")), "labels")
-    while True:
-        around = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(around, labels["v"] == around["a"], "left").select("v", "label", F.least("label", "m").alias("low"))
-        up = labels.select(F.col("v").alias("low"), F.col("label").alias("up"))
-        new = written(low.join(up, "low", "left").select("v", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed")), "labels")
-        labels = new.select("v", "label")
-        if not new.where("changed").limit(1).count():
-            return labels
+    labels = written(linked(edges), "labels")
+    return nodes.select("v").distinct().join(labels.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
 def hops(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:

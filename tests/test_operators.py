@@ -156,3 +156,12 @@ def test_geojson(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, lines.collect())) and {r.id for r in whole.collect()} == {"w1", "own"}
     write_geojson_lines(whole, str(tmp_path / "out"))
     assert sorted(r.coordinates for r in read_geojson_lines(spark, str(tmp_path / "out")).collect()) == ["[1,2]", "[3,4]"]
+
+
+def test_clear_deletes_what_was_written(spark):
+    from geoweave.shared import clear, fresh_path, written
+
+    kept = written(spark.range(3).toDF("v"), "kept")
+    folder = fresh_path(spark, "x").removeprefix("file://").rpartition("/")[0]
+    assert kept.count() == 3 and len(__import__("os").listdir(folder)) > 0
+    assert clear(spark) and not __import__("os").path.exists(folder)
