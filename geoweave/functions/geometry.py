@@ -117,3 +117,25 @@ def halton(i: int, base: int) -> float:
         out += f * (i % base)
         i //= base
     return out
+
+
+def project_nested(rings: Column) -> Column:
+    """Rings of a polygon, ARRAY<ARRAY<STRUCT<x, y>>> in degrees, in metres; for several polygons use it in a transform."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: project(p["x"], p["y"])))
+
+
+def wound(rings: Column) -> Column:
+    """Rings of a polygon with the first counter-clockwise and the others, holes, clockwise."""
+    return F.transform(rings, lambda r, i: F.when(F.when(i == 0, signed_area(r) < 0).otherwise(signed_area(r) > 0), F.reverse(r)).otherwise(r))
+
+
+def wound_line(line: Column) -> Column:
+    """A closed line of four points or more counter-clockwise; any other as it is."""
+    closed = (F.size(line) >= 4) & (F.get(line, F.lit(0)) == F.get(line, F.size(line) - 1))
+    return F.when(closed & (signed_area(line) < 0), F.reverse(line)).otherwise(line)
+
+
+def vertex_mean_of_all(rings: Column) -> Column:
+    """The mean of all vertices of all rings, holes and closing ones included, to 0.01; null without vertices."""
+    m = vertex_mean(F.flatten(rings))
+    return F.when(F.size(F.flatten(rings)) > 0, point(round_half_up(m["x"]), round_half_up(m["y"])))

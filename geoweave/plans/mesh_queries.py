@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoweave.functions import shapes as s
+from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import locate
 from geoweave.plans.queries import _B, _P, _T, _triangles, query
 from geoweave.sources.driver_tables import boxes, city, points
@@ -200,3 +200,40 @@ def diagonals_meet(spark, d):
     q = a.select(C("a").alias("b"), *[C(c).alias(f"q{c}") for c in ("ax", "ay", "cx", "cy")])
     both = a.withColumn("b", F.explode(F.array(C("a") + 1, C("a") + 129))).join(q, "b")
     return both.select("a", "b", s.segments_meet(*[C(c) for c in ("ax", "ay", "cx", "cy", "qax", "qay", "qcx", "qcy")]).alias("meet"))
+
+
+@query(
+    f"WITH {_B} SELECT b, x0 AS outer_x, CASE WHEN x1 > x0 THEN y0 END AS outer_y2, floor((3 * x0 + 2 * x1 + 3 * (x0 + (x1 - x0) / 4) + 2 * (x1 - (x1 - x0) / 4)) / 10 * 100 + 0.5)::BIGINT AS mean_x_cm, x0 + (x1 - x0) / 4 AS hole_x, y1 - (x1 - x0) / 4 AS hole_y2 FROM boxes"
+)
+def polygons_with_holes(spark, d):
+    """Closed rings wound the right way, the outer one and a hole, and the mean of all their vertices."""
+    b = boxes(spark, d)
+    q = (C("x1") - C("x0")) / 4
+
+    def ring(m, turned):
+        at = [(C("x0") + m, C("y0") + m), (C("x1") - m, C("y0") + m), (C("x1") - m, C("y1") - m), (C("x0") + m, C("y1") - m)]
+        at = [at[0], *at[:0:-1]] if turned else at
+        return locate.ring_of_xy(*at, at[0])
+
+    given = F.when(C("b") % 2 == 0, F.array(ring(F.lit(0.0), True), ring(q, False))).otherwise(F.array(ring(F.lit(0.0), False), ring(q, True)))
+    r = b.select("b", "x0", "x1", given.alias("given")).select("b", "x0", "x1", "given", g.wound(C("given")).alias("r"))
+    second = lambda i: C("r")[i][1]["y"]
+    return r.select(
+        "b", C("r")[0][0]["x"].alias("outer_x"), F.when(C("x1") > C("x0"), second(0)).alias("outer_y2"), F.floor(g.vertex_mean_of_all(C("r"))["x"] * 100 + 0.5).alias("mean_x_cm"),
+        C("r")[1][0]["x"].alias("hole_x"), second(1).alias("hole_y2"),
+    )
+
+
+@query(
+    "SELECT p_partkey AS b, floor(radians((p_partkey % 2001 - 1000) / 20000.0::DOUBLE + 76.948339 - 76.948339) * (6371000.0::DOUBLE * cos(radians(43.242502::DOUBLE))) * 100 + 0.5)::BIGINT AS x_cm, floor(radians((p_partkey % 1999 - 1000) / 20000.0::DOUBLE + 43.242502 - 43.242502) * 6371000.0::DOUBLE * 100 + 0.5)::BIGINT AS y_cm, 2::INT AS n_rings FROM part WHERE p_partkey % 7 > 0"
+)
+def nested_projection(spark, d):
+    """The second corner of the second ring of polygons in degrees, in metres."""
+    from geoweave.sources.driver_tables import table
+
+    p = table(spark, d, "part").where("p_partkey % 7 > 0")
+    lon, lat = F.lit(g.ORIGIN_LON), F.lit(g.ORIGIN_LAT)
+    at = (C("p_partkey") % 2001 - 1000) / F.lit(20000.0) + lon, (C("p_partkey") % 1999 - 1000) / F.lit(20000.0) + lat
+    rings = F.array(locate.ring_of_xy((lon, lat)), locate.ring_of_xy((lon, lat), at))
+    m = p.select("p_partkey", g.project_nested(rings).alias("r"))
+    return m.select(C("p_partkey").alias("b"), F.floor(C("r")[1][1]["x"] * 100 + 0.5).alias("x_cm"), F.floor(C("r")[1][1]["y"] * 100 + 0.5).alias("y_cm"), F.size("r").alias("n_rings"))
