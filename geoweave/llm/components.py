@@ -1,47 +1,22 @@
-"""Connected components by rounds of joins; no list of links or labels leaves the executors."""
+"""Labels of components as more links become known; no list of links or labels leaves the executors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from geoweave.operators.graph import linked
 from geoweave.shared import written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for links (a, b) of longs: label is the smallest node reachable; nodes without links have no row.
-
-    Alternates large-star and small-star steps: each ties the neighbours of a node to the smallest of them. The
-    minima are partial aggregates and the join back is one that Spark can split, so a node with very many links is
-    no task of its own. Rounds grow with the logarithm of a component's diameter; each is a table in the shared folder.
-    """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
-    known = None
-    while True:
-        # large star: larger neighbours of a node go to the smallest around it
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "stars")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == known:
-            break
-        known = seen
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
-
-
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (node, label) as more links (a, b) make them: only components that the links touch are worked on. links is read more than once."""
     if not links.limit(1).count():
         return links.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
     if labels is None:
-        return written(components(links), "labels")
+        return written(linked(links), "labels")
     known = labels.select("node", "label")
     named = links.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    merged = written(components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "merged")
+    merged = written(linked(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "merged")
     onto = merged.select(F.col("node").alias("label"), F.col("label").alias("now"))
     old = known.join(onto, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
     return written(old.union(merged.join(known, "node", "left_anti").select("node", "label")), "labels")

@@ -14,7 +14,7 @@ together already is compared on its full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 3, 512, 2048
 #: Bits of the bitmap that spares texts without a part in a round their shuffle; a full one only spares less.
 FILTER_BITS = 26
 #: Shingles and sets in a block of a cluster; a tile holds two blocks. Sketches in a block of a bucket.
-SHINGLES, SETS, SKETCHED = 1 << 20, 1 << 10, 1 << 12
+SHINGLES, SETS, SKETCHED = 1 << 19, 1 << 10, 1 << 12
 #: Bytes of sets that a task takes at a time, whatever its tiles, and common shingles that it counts at a time.
-HELD, COUNTED = 1 << 23, 1 << 22
+HELD, COUNTED = 1 << 22, 1 << 20
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, max(SAMPLES, BANDS * ROWS)), dtype=U) * U(2) + U(1)
 
 
@@ -271,22 +271,28 @@ def id_filter(ids: DataFrame, column: str) -> dict[int, bytes]:
     return {r["k"]: bytes(r["m"]) for r in rows.collect()}
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """docs (doc_id, text) whose id may be among ids: few others pass, unless the bitmap is full."""
-    spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast(id_filter(ids, column))
+def maybe_in(docs: DataFrame, ids: DataFrame, column: str, then: Callable | None = None, shape: str | None = None) -> DataFrame:
+    """docs (doc_id, text) whose id may be among ids: few others pass, unless the bitmap is full.
+
+    then, a mapInArrow function of (doc_id, text) with rows of `shape`, is run on them by the same workers.
+    """
+    maps = docs.sparkSession.sparkContext.broadcast(id_filter(ids, column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
         for k, m in maps.value.items():
             bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
-        for batch in batches:
-            s = batch.column(2).to_numpy()
-            keep = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = batch.column(2).to_numpy()
+                keep = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+        return then(kept()) if then else kept()
 
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, shape or docs.select("doc_id", "text").schema)
 
 
 TILE = ["g", "r", "q"]
@@ -372,7 +378,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     banded = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket", "lo")
     buckets = written(banded.join(shared, "bucket"), "buckets")
-    drawn = written(maybe_in(docs, buckets.select("doc_id"), "doc_id").mapInArrow(sketches(k), "doc_id long, n long, d1 long, sketch binary").dropDuplicates(["doc_id", "d1"]).drop("d1"), "sketches")
+    drawn = written(maybe_in(docs, buckets.select("doc_id"), "doc_id", sketches(k), "doc_id long, n long, d1 long, sketch binary").dropDuplicates(["doc_id", "d1"]).drop("d1"), "sketches")
 
     stars = buckets.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct()
     one, two = drawn.withColumnRenamed("doc_id", "a"), drawn.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))

@@ -259,7 +259,11 @@ def dedup_substrings(docs: DataFrame, length: int = 13, k: int = 5) -> DataFrame
 
         return run
 
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both steps by the same worker."""
+        none = lambda b: pa.array([None] * b.num_rows, pa.list_(pa.int64()))
+        return cut(length)(pa.RecordBatch.from_arrays([*b.columns, none(b)], names=["doc_id", "text", "rest", "places"]) for b in split(False)(batches))
+
     spotted = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
     touched = spotted.mapInArrow(split(True), shape.schema).join(places.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "rest", "places")
-    clear = spotted.mapInArrow(split(False), shape.schema).withColumn("places", F.lit(None).cast("array<long>"))
-    return touched.mapInArrow(cut(length), out).union(clear.mapInArrow(cut(length), out))
+    return touched.mapInArrow(cut(length), out).union(spotted.mapInArrow(untouched, out))
