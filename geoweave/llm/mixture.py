@@ -26,8 +26,9 @@ def source_targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
     """(source, source_size, weight, target) for sizes (source, source_size, weight): targets sum to share * all sizes.
 
     A target is at most most * source_size; what that cuts off goes to the others by weight, until none is above. Sorted
-    by the level at which each is full, the level of the rest follows from running sums. One row for each source: a
-    small table by its nature, whatever the number of documents. If share > most, every source gets its most.
+    by the level at which each is full, the level of the rest follows from running sums. One task sorts one row for each
+    source, whatever the number of documents: meant for up to some ten million sources. If share > most, every source gets
+    its most.
     """
     full = (F.lit(most) * F.col("source_size") / F.col("weight")).alias("full")
     rows = sizes.select("*", full)
