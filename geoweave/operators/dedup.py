@@ -67,7 +67,8 @@ def report(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
 def deduplicated(features: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """features (id, ring, props) with one row for each group of congruent rings: the least id, with keys that only others have.
 
-    Among the others the least id wins a key. Groups are the components of congruent pairs.
+    Among the others the least id wins a key. Groups are the components of congruent pairs. ids are distinct; rings without
+    vertices are congruent to nothing; null props count as empty.
     """
     labels = graph.components(features.select(F.col("id").alias("v")), congruent_pairs(features, tolerance))
     tags = features.join(labels, features["id"] == labels["v"]).select("label", "id", F.explode_outer("props").alias("key", "value"))

@@ -44,7 +44,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hops(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(v, hops): the least number of edges (a, b), one way, from any of start (v)."""
+    """(v, hops): the least number of edges (a, b), one way, from any of start (v).
+
+    Nodes that can't be reached have no row; without start nodes there are none. Repeated edges change nothing.
+    """
     seen = written(start.select("v").distinct().withColumn("hops", F.lit(0)), "hops")
     frontier, n = seen, 0
     while most is None or n < most:
@@ -62,7 +65,8 @@ def hops(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFra
 def route_costs(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, cost, via): the cheapest way from any of start (v) over edges (a, b, cost >= 0), and the node before on it.
 
-    Only nodes that got cheaper go on to the next round. via is the least node at a tie, -1 at the start.
+    Only nodes that got cheaper go on to the next round. via is the least node at a tie, -1 at the start. Nodes that can't be
+    reached have no row; of repeated edges the cheapest counts; null costs lead nowhere.
     """
     best = written(start.select("v", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("via")).distinct(), "costs")
     open_ = best
@@ -80,7 +84,7 @@ def route_costs(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def two_hop_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, c): nodes two edges away that are neither the node itself nor a neighbour."""
+    """(a, c): nodes two edges away that are neither the node itself nor a neighbour; repeated edges count once."""
     e = edges.select("a", "b").distinct()
     far = e.select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), F.col("b").alias("c")), "m").where("a <> c").select("a", "c").distinct()
     return far.join(e.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")

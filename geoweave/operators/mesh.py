@@ -1,4 +1,8 @@
-"""Mesh operators: adjacency over shared edges, vertex dictionaries, range expansion, group statistics."""
+"""Mesh operators: adjacency over shared edges, vertex dictionaries, range expansion, group statistics.
+
+A repeated triangle makes its edges shared by more than two, so that they have no neighbour; triangles with a null vertex have
+no neighbours. Empty tables give empty results, group statistics one row.
+"""
 
 from __future__ import annotations
 

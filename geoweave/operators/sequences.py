@@ -1,4 +1,8 @@
-"""Operators on ordered rows: offsets, renumbering, islands, sliding windows, ranks and weighted picks."""
+"""Operators on ordered rows: offsets, renumbering, islands, sliding windows, ranks, weighted picks and lookups in order.
+
+Nulls come first in an order, as Spark sorts them, and a null group is a group. Where the order leaves ties, pass a column
+that breaks them: results are defined by the order given. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 The cell join is one that Spark can broadcast or split by itself, so crowded cells are no task of their own where the
 engine can help it. cell should be about the size of the smaller shapes: each shape is repeated once for each cell it meets.
+
+In all of them null coordinates match nothing, empty tables give empty results, and a repeated row gives its pairs again.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def pairs_within(points: DataFrame, radius: float, strict: bool = False) -> Data
 
 
 def capped_cells(points: DataFrame, size: float, most: int) -> DataFrame:
-    """points (k, x, y) with their cell, the first `most` of each cell by k."""
+    """points (k, x, y) with their cell, the first `most` of each cell by k; null coordinates are a cell of their own."""
     p = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     return p.withColumn("place", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("k"))).where(F.col("place") <= most)
 
@@ -81,7 +83,8 @@ def capped_cells(points: DataFrame, size: float, most: int) -> DataFrame:
 def collisions(points: DataFrame, size: float = 128.0, reach: float = 5.0, most: int = 256) -> DataFrame:
     """(a, b, dx, dy, d2) of points of one cell nearer than reach and farther than the square root of 0.001.
 
-    Neighbouring cells are not looked at: that is the meaning of this operator.
+    Neighbouring cells are not looked at: that is the meaning of this operator. A cell takes part with its first `most` points
+    by k; points at the same place do not collide.
     """
     p = capped_cells(points, size, most)
     q = p.select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
