@@ -71,7 +71,7 @@ def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = quality.featured(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs.where(~held_out), labels)
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
