@@ -89,3 +89,16 @@ def boundary(box: tuple[float, float, float, float], margin: float) -> tuple[lis
     fans = [[nw, ne, north], [ne, se, east], [north, ne, east], [east, se, south], [se, sw, south], [sw, nw, west], [south, sw, west], [west, nw, north]]
     area = lambda t: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(t, t[1:] + t[:1]))
     return blobs, [t if area(t) > 0 else t[::-1] for t in fans]
+
+
+def mapping_audit(ranges: DataFrame, total: DataFrame) -> DataFrame:
+    """One row for ranges (poly, s, e), s to e - 1, of triangles numbered from 0, and total (n), one row.
+
+    duplicates: triangles in several ranges; orphans: those in none; bad_ranges: ranges without a triangle; out_of_range:
+    numbers in ranges that are no triangle's. Triangles are counted where ranges hold them, so no list of all is made.
+    """
+    items = expanded_ranges(ranges, "poly", "s", "e").groupBy("item").agg(F.count("*").alias("c")).join(F.broadcast(total))
+    inside = (F.col("item") >= 0) & (F.col("item") < F.col("n"))
+    seen = items.agg(F.count_if(F.col("c") > 1).alias("duplicates"), F.count_if(inside).alias("held"), F.count_if(~inside).alias("out_of_range"))
+    bad = ranges.agg(F.count_if(F.col("e") <= F.col("s")).alias("bad_ranges"))
+    return seen.join(F.broadcast(total)).join(F.broadcast(bad)).select("duplicates", (F.col("n") - F.col("held")).alias("orphans"), "bad_ranges", "out_of_range")

@@ -461,6 +461,7 @@ def components(spark, d):
     f"WITH RECURSIVE {_P}, {_V}, h(v, hops) AS (SELECT min(v), 0 FROM city UNION SELECT e.b, h.hops + 1 FROM h JOIN city_edges e ON e.a = h.v WHERE h.hops < 8) SELECT v, min(hops) AS hops FROM h GROUP BY v"
 )
 def hop_bfs(spark, d):
+    """Cells within eight steps of the first; hop_distances has no such limit."""
     return graph.hops(city(spark, d).agg(F.min("v").alias("v")), _edges(spark, d), most=8)
 
 

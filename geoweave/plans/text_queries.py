@@ -195,3 +195,29 @@ def blob_audit(spark, d):
     head = m.orderBy("building").limit(20).agg(F.array_sort(F.collect_list(F.struct("building", "blob"))).alias("h"))
     text = F.array_join(F.transform("h", lambda r: F.concat(r["building"].cast("string"), F.lit(">"), F.coalesce(r["blob"].cast("string"), F.lit("-")))), " ")
     return m.agg(F.count("blob").alias("mapped")).join(F.broadcast(head)).select("mapped", text.alias("first_rows"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def without_orders(spark, d):
+    """Customers that no order names."""
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+_RANGES = (
+    "rg AS (SELECT p_partkey AS poly, p_partkey * 100 - CASE WHEN p_partkey % 20 = 0 THEN 60 ELSE 0 END AS s, p_partkey * 100 + CASE WHEN p_partkey % 50 = 1 THEN -1 ELSE p_size + 45 END AS e FROM part), "
+    "ut AS (SELECT max(p_partkey) * 100 AS n FROM part), it AS (SELECT poly, unnest(range(s, e)) AS tid FROM rg WHERE e > s), ct AS (SELECT tid, count(*) AS c FROM it GROUP BY tid)"
+)
+
+
+@query(f"WITH {_RANGES} SELECT (SELECT count(*) FROM ct WHERE c > 1) AS duplicates, (SELECT n FROM ut) - (SELECT count(*) FROM ct, ut WHERE tid >= 0 AND tid < n) AS orphans, (SELECT count(*) FROM rg WHERE e <= s) AS bad_ranges, (SELECT count(*) FROM ct, ut WHERE tid < 0 OR tid >= n) AS out_of_range")
+def mapping_audit(spark, d):
+    """Triangles in several polygons' ranges, in none, ranges that hold none, and triangles beyond those that there are."""
+    p, k = table(spark, d, "part"), C("p_partkey")
+    ranges = p.select(k.alias("poly"), (k * 100 - F.when(k % 20 == 0, 60).otherwise(0)).alias("s"), (k * 100 + F.when(k % 50 == 1, -1).otherwise(C("p_size") + 45)).alias("e"))
+    return mesh.mapping_audit(ranges, p.agg((F.max("p_partkey") * 100).alias("n")))
+
+
+@query("WITH b AS (SELECT o_custkey AS blob, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS blobs, sum(n)::BIGINT AS buildings, floor(sum(n)::DOUBLE / count(*) * 100 + 0.5)::BIGINT AS mean_percent, count(*) FILTER (n = 1) AS singles FROM b")
+def buildings_per_blob(spark, d):
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("blobs"), F.sum("n").alias("buildings"), F.floor(F.sum("n").cast("double") / F.count("*") * 100 + 0.5).alias("mean_percent"), F.count_if(C("n") == 1).alias("singles"))
