@@ -1,10 +1,15 @@
 """Interpolated modified Kneser-Ney model of word pairs, counted in Spark and read by workers from mapped files.
 
 Tokens are words with A-Z in lower case, then one end of text. Map tasks count the distinct pairs of their texts and
-send them, sorted and packed, to the bucket of the pair's context. Each bucket merges its pairs into a file of sorted
-hashes and counts, and sends on what the word table needs: for each context the numbers of words seen once, twice and
-more often after it; for each word the number of distinct contexts before it and its count. These meet in the bucket
-of the word, which becomes a second file. Only sums over all buckets come to the driver.
+send them, sorted and packed, to the bucket of the pair's context; contexts that begin a large share of all pairs are
+dealt to all buckets by the whole pair. Each bucket merges its pairs into a file of sorted hashes and counts, and sends on
+what the word table needs: for each context the numbers of words seen once, twice and more often after it; for each word
+the number of distinct contexts before it and its count. These are added up in the bucket of the word, which becomes a
+second file. Only sums over all buckets come to the driver.
+
+Which contexts are dealt out is told from a sample of the texts. It decides where pairs are counted, never whether: any
+choice gives the same model. A file keeps 40 bits of a pair's hash besides its bucket, so a pair that was never seen is
+taken for one of the n in its bucket with a probability of n / 2**40, one in ten thousand for a hundred million pairs.
 
   p(w|h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) q(w),  q(w) = max(n(w) - E(n(w)), 0) / pairs + g / (V + 1)
 with n(w) the number of distinct contexts of w, D and E the three modified discounts of either level.
@@ -34,6 +39,15 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
 
 
+def pair_buckets(context: np.ndarray, key: np.ndarray, buckets: int, common: np.ndarray) -> np.ndarray:
+    """The bucket of pairs: that of the context, or of the whole pair's key if the context is one of common (sorted)."""
+    out = bucket_of(context, buckets)
+    if len(common):
+        hot = common[np.minimum(np.searchsorted(common, context), len(common) - 1)] == context
+        out[hot] = bucket_of(tx.mix(key[hot]), buckets)
+    return out
+
+
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return tx.mix(context * U(0x9FB21C651E98DF25) + word)
 
@@ -63,12 +77,34 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(("bucket", "kind", "k", "a", "b", "c"), kinds)], names=["bucket", "kind", "k", "a", "b", "c"])
 
 
-def count_pairs(buckets: int):
+def common_contexts(docs: DataFrame, buckets: int, fraction: float) -> np.ndarray:
+    """Contexts that begin more than a quarter of a bucket's share of the pairs of a sample of docs (text), sorted: at most 4 * buckets."""
+    least = 1 / (4 * buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in tx.slices(batch.column(0)):
+                context, _, _ = tokens(data, offsets)
+                keys, n = np.unique(context, return_counts=True)
+                some = n >= least / 4 * len(context)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[some], U(0)).view(np.int64)), pa.array(np.append(n[some], 0)), pa.array(np.append(np.zeros(some.sum(), np.int64), len(context)))], names=["context", "n", "all"])
+
+    counted = docs.sample(fraction, seed=5).mapInArrow(run, "context long, n long, all long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    total = counted.agg(F.sum("all").alias("all"))
+    rows = counted.drop("all").join(F.broadcast(total)).where((F.col("n") > 0) & (F.col("n") >= least * F.col("all"))).select("context").collect()
+    return np.sort(np.array([r["context"] for r in rows], np.int64).view(U))
+
+
+def count_pairs(buckets: int, common: np.ndarray):
     """A mapInArrow function: text to packed counts of pairs (k: contexts, a: pairs of each, b: words, c: counts)."""
 
     def emit(parts: list) -> pa.RecordBatch:
         context, word, n = _summed(*(np.concatenate(x) for x in zip(*parts)))
-        edges = np.searchsorted(bucket_of(context, buckets), np.arange(buckets + 1))  # in order of hash, so in order of bucket
+        bucket = pair_buckets(context, pair_key(context, word), buckets, common)
+        if len(common):  # else they are in order already
+            order = np.argsort(bucket, kind="stable")
+            context, word, n, bucket = context[order], word[order], n[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         for i in np.flatnonzero(np.diff(edges)):
             at = slice(edges[i], edges[i + 1])
@@ -112,7 +148,10 @@ def merge_pairs(path: str, buckets: int):
         run_of = np.diff(np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1], [True]))))
         files.put(f"{path}/pairs-{bucket}", files.pack(high, (key >> U(24)).astype(np.uint8), np.minimum(count, 255).astype(np.uint8), more.astype(np.int64), count[more], run_of.max(keepdims=True)))
         head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        rows = [_send(bucket, 1, context[head], *(np.add.reduceat(n == i if i < 3 else n > 2, head, dtype=np.int64).astype(np.uint32) for i in (1, 2, 3)))]
+        after = [np.add.reduceat(n == i if i < 3 else n > 2, head, dtype=np.int64).astype(np.uint32) for i in (1, 2, 3)]
+        home, rows = bucket_of(context[head], buckets), []
+        for i in np.unique(home).tolist():
+            rows.append(_send(i, 1, context[head][home == i], *(x[home == i] for x in after)))
         rows.append(_send(bucket, 3, np.concatenate((_counts(n), [len(n)]))))
         order = np.argsort(word, kind="stable")
         word, n = word[order], n[order]
@@ -143,7 +182,7 @@ def merge_words(path: str):
         np.add.at(sums[0], back[:words], read(2, "b", np.uint64).astype(np.int64))
         np.add.at(sums[1], back[:words], read(2, "a", np.uint32).astype(np.int64))
         for i, name in enumerate(("a", "b", "c")):
-            sums[2 + i, back[words:]] = read(1, name, np.uint32)
+            np.add.at(sums[2 + i], back[words:], read(1, name, np.uint32))
         files.put(f"{path}/words-{bucket}", files.pack(key, sums[0], *(s.astype(np.uint32) for s in sums[1:])))
         seen = sums[1][sums[1] > 0]
         of_pairs = read(3, "k", np.int64).reshape(-1, 5).sum(axis=0)
@@ -161,11 +200,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are, in how many buckets, and the sums over all."""
+    """Where the files are, in how many buckets, the sums over all, and the contexts whose pairs are in all buckets."""
 
     path: str
     buckets: int
     sums: dict[str, int]
+    common: np.ndarray
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         """For sorted distinct keys: count, distinct contexts before, and words once, twice and more often after."""
@@ -186,7 +226,8 @@ class Model:
     def pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Counts of pairs."""
         out = np.zeros(len(word), np.int64)
-        key, bucket = pair_key(context, word), bucket_of(context, self.buckets)
+        key = pair_key(context, word)
+        bucket = pair_buckets(context, key, self.buckets, self.common)
         order = np.lexsort((key, bucket))
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for i in np.flatnonzero(np.diff(edges)) if self.sums["tokens"] else ():
@@ -208,15 +249,16 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, buckets: int | None = None) -> Model:
-    """The model of docs (text). More buckets make smaller files and tasks."""
+def train(docs: DataFrame, buckets: int | None = None, fraction: float = 0.01) -> Model:
+    """The model of all docs (text). More buckets make smaller files and tasks; common contexts are looked for in a fraction of docs."""
     spark = tx.in_small_batches(docs).sparkSession
     path, buckets = fresh_path(spark, "ngrams"), buckets or shuffle_partitions(spark)
-    counted = docs.select("text").mapInArrow(count_pairs(buckets), _SENT)
+    common = common_contexts(docs.select("text"), buckets, fraction)
+    counted = docs.select("text").mapInArrow(count_pairs(buckets, common), _SENT)
     merged = counted.groupBy("bucket").applyInArrow(merge_pairs(path, buckets), _SENT)
     sums = merged.groupBy("bucket").applyInArrow(merge_words(path), ", ".join(f"{n} long" for n in _SUMS))
     row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SUMS)).first()
-    return Model(path, buckets, row.asDict())
+    return Model(path, buckets, row.asDict(), common)
 
 
 def scores(model: Model):
