@@ -7,6 +7,7 @@ import geoweave.plans.mesh_queries  # noqa: F401
 import geoweave.plans.more_queries  # noqa: F401
 import geoweave.plans.route_queries  # noqa: F401
 import geoweave.plans.text_queries  # noqa: F401
+import geoweave.plans.view_queries  # noqa: F401
 from geoweave.plans.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
