@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from geoweave.llm.units import Units
+from geoweave.llm.units import SLICE, Table, Units
 from geoweave.llm import text as tx
 
 
@@ -65,29 +66,42 @@ class ByteBPE:
             rank_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = sorted(rank_of, key=rank_of.__getitem__)
         assert [rank_of[t] for t in self.tokens] == list(range(len(self.tokens))), "ranks have gaps"
-        self._rank_of, self._find = rank_of, regex.compile(pattern).findall
-        self._letters = str.maketrans(dict(zip(map(chr, range(256)), byte_letters())))
+        self._find = regex.compile(pattern).findall
+        letters = byte_letters()
+        self._letters = dict(enumerate(letters))
+        self._parted = {b: x for b, x in self._letters.items() if b}  # leaves what parts tokens as it is
+        self._rank_of = {"".join(map(letters.__getitem__, t)): r for t, r in rank_of.items()}
         self._model = sentencepiece.SentencePieceProcessor(model_proto=serialised(self.tokens))
-        self._decimal = [str(i) for i in range(len(self.tokens))]
+        self.bytes_of = Table.of_bytes(self.tokens)
+        self.decimal_of = Table.of_bytes([b"%d " % i for i in range(len(self.tokens))])
         self.units = Units(self._encode)
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [[t.encode() for t in self._find(x)] for x in texts]
-        known = {t: [self._rank_of[t]] for s in split for t in s if t in self._rank_of}
-        new = list({t for s in split for t in s if t not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            known.update(zip(some, self._model.encode([t.decode("latin-1").translate(self._letters) for t in some], num_threads=1)))
-        return (np.array([i for t in s for i in known[t]], np.uint32).tobytes() for s in split)
+    def _encode(self, free: list[str], others: list[str]) -> Table:
+        split = list(map(self._find, chain(free, others)))
+        tokens = list(chain.from_iterable(split))
+        spelled = "\0".join(tokens).encode().decode("latin-1").translate(self._parted).split("\0")
+        if len(spelled) != len(tokens) or not tokens:  # some hold byte 0 themselves
+            spelled = [t.encode().decode("latin-1").translate(self._letters) for t in tokens]
+        whole = np.array([self._rank_of.get(t, -1) for t in spelled], np.int64)
+        new = np.flatnonzero(whole < 0)
+        parts = [x for at in range(0, len(new), 10_000) for x in self._model.encode([spelled[i] for i in new[at : at + 10_000].tolist()], num_threads=1)]
+        found = Table.of_lists(parts)
+        sizes = np.ones(len(whole), np.int64)
+        sizes[new] = np.diff(found.at)
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        at = np.cumsum(sizes) - sizes
+        ids[at[whole >= 0]] = whole[whole >= 0]
+        ids[tx.ranges(at[new], sizes[new])] = found.data
+        edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(list(map(len, split)), dtype=np.int64))]
+        return Table(ids, np.diff(edges))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.units.ids(texts)
+        data, offsets = tx.flat(pa.array(texts, pa.string()))
+        ids, first = self.units.ids(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        return np.split(ids, first[1:-1]) if texts else []
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def decimal(self, ids: list[int]) -> str:
-        return " ".join(map(self._decimal.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.bytes_of.gather(np.asarray(ids))[0].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -110,19 +124,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            for a, b, data, offsets in tx.slices(batch.column(0)):
-                whole = data.tobytes()
-                ids = bpe.encode([whole[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-                numbers, back, sizes = [], [], []
-                for x in ids:
-                    x = x.tolist()
-                    numbers.append(sha256(bpe.decimal(x).encode()).hexdigest())
-                    back.append(sha256(bpe.decode(x)).hexdigest())
-                    sizes.append(len(x))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), lists, pa.array(sizes, pa.int64()), pa.array(numbers, pa.string()), pa.array(back, pa.string())],
-                    names=["rest", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+            for a, b, data, offsets in tx.slices(batch.column(0), SLICE):
+                ids, first = bpe.units.ids(data, offsets)
+                digests = []
+                for table, cut in ((bpe.decimal_of, 1), (bpe.bytes_of, 0)):  # a space ends each number
+                    joined, at = table.gather(ids)
+                    edges = at[first].tolist()
+                    digests.append(pa.array([sha256(joined[s : max(s, e - cut)]).hexdigest() for s, e in zip(edges[:-1], edges[1:])], pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), lists, pa.array(np.diff(first)), *digests], names=["rest", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, f"rest {kind}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoweave.llm import files, text as tx
-from geoweave.llm.units import Units
+from geoweave.llm.units import SLICE, Table, Units
 from geoweave.shared import fresh_path, shuffle_partitions, written
 
 BLOCK = 1 << 16
@@ -64,7 +64,7 @@ def unpack_bits(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     return out.ravel()[:n]
 
 
-def file_parts(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> list[bytes]:
+def file_parts(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> list[bytes]:
     blocks = [pack_bits(ids[at : at + BLOCK], bits) for at in range(0, len(ids), BLOCK)]
     return files.pack(
         np.array([bits, len(ids)], np.int64),
@@ -108,16 +108,18 @@ def tokenizer(path: str) -> tuple[Units, int]:
     n_bytes = np.zeros(max(spelled.values()) + 1, np.int64)
     n_bytes[list(spelled.values())] = list(map(len, spelled))  # byte-level BPE spells each byte by one letter
 
-    def encode(pieces: list[str]) -> Iterator[bytes]:
-        # pieces that begin with a space may stand side by side as one text; tokens go back to them by their bytes
-        size = JOINED if all(p[:1] == " " and not p[1:2].isspace() and len(p) > 1 for p in pieces) else 1
-        groups = [pieces[i : i + size] for i in range(0, len(pieces), size)]
+    def encode(free: list[str], others: list[str]) -> Table:
+        # tokens of texts that stand side by side go back to them by their bytes
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = [free[i : i + JOINED] for i in range(0, len(free), JOINED)]
         for group, e in zip(groups, t.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False) if groups else ()):
-            ids = np.array(e.ids, np.uint32)
+            ids.append(np.array(e.ids, np.uint32))
             ends = np.cumsum(list(map(len, map(str.encode, group))))
-            edges = np.searchsorted(np.cumsum(n_bytes[ids]), ends, "left") + 1
-            raw, edges = ids.tobytes(), [0, *(4 * edges).tolist()]
-            yield from (raw[i:j] for i, j in zip(edges[:-1], edges[1:]))
+            sizes.append(np.diff(np.searchsorted(np.cumsum(n_bytes[ids[-1]]), ends, "left") + 1, prepend=0))
+        for e in t.encode_batch_fast(others, add_special_tokens=False) if others else ():
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+        return Table(np.concatenate(ids), np.concatenate(sizes))
 
     return Units(encode), t.get_vocab_size(with_added_tokens=True)
 
@@ -125,7 +127,8 @@ def tokenizer(path: str) -> tuple[Units, int]:
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = None) -> DataFrame:
     """Writes docs (doc_id, text) as files under path; (file, first, n_docs, n_tokens) of each, `first` counting tokens before it.
 
-    Ascending doc_id, null first, equal ids by text. Null texts count as empty. end_id is appended to each document.
+    Ascending doc_id, null first, equal ids by a hash of the text. Null texts count as empty. end_id is appended to each
+    document. Texts are taken whole; a repeated row is written as often. A file holds FILE_TOKENS or one slice of texts more.
     The tokenizer must cut texts as byte-level BPE does.
     """
 
@@ -137,30 +140,33 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         part, seq, bits = TaskContext.get().partitionId(), 0, width(vocabulary)
         doc_ids: list = []
         parts: list = []
+        lengths: list = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"tokens-{part:08d}-{seq:04d}"
-            files.put(f"{path}/{name}", file_parts(doc_ids, [len(x) for x in parts], np.concatenate(parts), bits))
+            name = f"tokens-{part:08d}-{seq:08d}"
+            files.put(f"{path}/{name}", file_parts(doc_ids, np.concatenate(lengths), np.concatenate(parts), bits))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64())], names=["file", "n_docs", "n_tokens"])
 
-        end = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b, data, offsets in tx.slices(batch.column(1)):
-                whole = data.tobytes()
-                for i, x in zip(ids[a:b], units.ids([whole[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())])):
-                    doc_ids.append(i)
-                    parts.append(np.concatenate((x, end)).astype(np.uint16 if bits <= 16 else np.uint32))
-                    held += len(parts[-1])
+            for a, b, data, offsets in tx.slices(batch.column(1), SLICE):
+                tokens, first = units.ids(data, offsets)
+                if end_id is not None:
+                    tokens, first = np.insert(tokens, first[1:], end_id), first + np.arange(len(first))
+                doc_ids += ids[a:b]
+                lengths.append(np.diff(first))
+                parts.append(tokens.astype(np.uint16 if bits <= 16 else np.uint32))
+                held += len(tokens)
                 if held >= FILE_TOKENS:
                     yield flush()
-                    doc_ids, parts, held, seq = [], [], 0, seq + 1
+                    doc_ids, parts, lengths, held, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))  # many rows of one id, or of none, go to several parts
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     listed = written(ordered.mapInArrow(run, "file string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return listed.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("first"), "n_docs", "n_tokens")

@@ -81,6 +81,25 @@ def test_top_k_prunes_without_loss(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(v.where("vec_id % 20 = 0"), v, 5).collect()} == want
 
 
+def test_top_k_sends_few_copies_where_vectors_lie_in_groups(spark, monkeypatch):
+    """Share of (vector, group) pairs that are sent; vectors at right angles to each other can't be ruled out."""
+    import numpy as np
+
+    monkeypatch.setattr(knn, "GROUP", 8)
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(60, 8)) for c in rng.normal(size=(8, 8)) * 20])
+    v = knn.whole_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), 64.0)
+    asked, dealt = knn.routed(v.where("vec_id % 10 = 0"), v, 5)
+    cells = asked.select("cell").distinct().count()
+    sent = sum(len(r.ids) // 8 for r in dealt.where("chunk = 0").collect())
+    assert cells > 3 and sent < 0.5 * cells * len(x)
+    whole = np.floor(64 * x).astype(np.int64)
+    scores = whole[::10] @ whole.T
+    want = {(q * 10, k + 1, int(j), int(row[j])) for q, row in enumerate(scores) for k, j in enumerate([j for j in np.lexsort((np.arange(len(row)), -row)) if j != q * 10][:5])}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(v.where("vec_id % 10 = 0"), v, 5).collect()} == want
+
+
 def test_top_k_with_repeated_ids_in_small_groups(spark, monkeypatch):
     import numpy as np
 
@@ -124,3 +143,128 @@ def test_near_duplicates_of_a_chain(spark):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def plain_pu(x, positive, mean, scale, prior, decay):
+    """The non-negative risk as a function of weights, written out."""
+    import numpy as np
+
+    x = np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), axis=1)
+
+    def risk(w):
+        z = x @ w
+        below = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[positive]).mean()
+        return prior * np.logaddexp(0, -z[positive]).mean() + max(below, 0) + decay * (w[:-1] ** 2).sum() / 2
+
+    return risk
+
+
+def test_pu_risk_gradient_and_minimum_against_plain_numbers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0.5, 1, (120, 3)), rng.normal(-0.5, 1, (80, 3))]).astype(np.float32)
+    positive = np.arange(200) < 50
+    rows = spark.createDataFrame([(r.tobytes(), bool(p)) for r, p in zip(x, positive)], "x binary, positive boolean").repartition(5)
+    mean, scale = x.mean(axis=0).astype(float), x.std(axis=0).astype(float)
+    start = quality.Classifier(mean, scale, np.array([0.3, -0.2, 0.1]), 0.2)
+    risk = plain_pu(x.astype(float), positive, mean, scale, 0.4, 1e-4)
+    sums = quality.summed(rows, lambda a, b: quality.parts(start, a, b))
+    value, negative, gradient, curve = quality.pu_risk(*quality.Sums.both(sums, 4), prior=0.4)
+    w = np.array([0.3, -0.2, 0.1, 0.2])
+    plain = plain_pu(x.astype(float), positive, mean, scale, 0.4, 0.0)
+    assert negative > 0 and abs(value - plain(w)) < 1e-9
+    assert np.allclose(gradient, [(plain(w + e) - plain(w - e)) / 2e-5 for e in np.eye(4) * 1e-5], atol=1e-6)
+    found = quality.minimised(rows, start, lambda u, p: quality.pu_risk(u, p, 0.4), 25)
+    best = np.append(found.weight, found.bias)
+    assert all(risk(best) <= risk(best + e) + 1e-6 for e in rng.normal(0, 0.05, (300, 4)))
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    model = quality.Classifier(np.zeros(1), np.ones(1), np.ones(1), 0.0)
+    for share in (0.2, 0.5, 0.9):
+        n = 20_000
+        x = np.where(rng.random(n) < share, rng.normal(2, 1, n), rng.normal(-2, 1, n))[:, None]
+        known = rng.normal(2, 1, 5_000)[:, None]
+        counts = quality.histogram(model, np.concatenate([x, known]), np.arange(n + 5_000) >= n)
+        counts[: quality.BINS] -= counts[quality.BINS :]
+        assert abs(quality.prior_of(counts) - share) < 0.05
+
+
+def test_quality_of_one_class_and_of_repeated_ids(spark, odd):
+    assert quality.train(odd, odd.select("doc_id", F.lit(0).alias("label"))) is None
+    assert quality.train(odd.limit(0), odd.select("doc_id", F.lit(1).alias("label"))) is None
+
+
+def test_one_id_with_two_texts_ties_their_groups(spark):
+    """Rows (1, A), (3, A), (3, B), (5, B): document 3 holds both texts, so all are one group."""
+    other = " ".join(f"other{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, LONG), (3, LONG), (3, other), (5, other), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, k=4).collect())
+    assert got == [(1, 37, 1, True), (3, 0, 3, True), (3, 37, 1, False), (3, 37, 1, False), (5, 37, 1, False)]
+
+
+def test_near_duplicates_in_many_tiles(spark, monkeypatch):
+    """A group of near copies, half of them too far from all others, dealt to small tiles; against all pairs."""
+    import random
+
+    for name, value in (("SETS", 7), ("SKETCHED", 9), ("SHINGLES", 1 << 10), ("HELD", 1 << 12), ("COUNTED", 1 << 8)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(80)], []
+    for i in range(90):
+        w = list(base)
+        for j in rng.sample(range(80), rng.choice([1, 2, 3, 5, 6])):
+            w[j] = f"x{i}_{j}"
+        rows.append((1000 - i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k=4).collect()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(77)} for i, t in rows}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    assert got == label and len(set(label.values())) > 5
+
+
+def test_texts_beyond_slices_and_batches(spark):
+    """A text longer than a slice and than an Arrow batch, and one without any space, in the operators that read texts."""
+    import hashlib
+
+    words = [f"w{i % 9973}q{i % 101}" for i in range(700_000)]
+    big = " ".join(words)
+    assert len(big) > 5 << 20
+    docs = spark.createDataFrame([(1, big), (2, big), (3, "x" * 3_000_000), (4, "a b"), (5, None)], "doc_id long, text string").cache()
+    near = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(docs, k=4).collect()}
+    assert near == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True)}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(docs, length=13).select("doc_id", "n_words", "n_removed").collect()}
+    assert cut == {1: (700_000, 0), 2: (700_000, 700_000), 3: (1, 0), 4: (2, 0), 5: (0, 0)}
+    coded = bytebpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).selectExpr("rest.doc_id", "decoded_sha256", "n_tokens").collect()
+    assert {r.doc_id: r.decoded_sha256 for r in coded} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, big), (2, big), (3, "x" * 3_000_000), (4, "a b"), (5, ""))}
+    files_ = tokenfiles.token_round_trip(docs, P.path("byte_bpe_50k.json"), 0).collect()
+    assert {r.doc_id: r.n_tokens - 1 for r in files_} == {r.doc_id: r.n_tokens for r in coded}
+    judged = {r.doc_id: r.n_words for r in hostrules.judge(docs.withColumn("host", F.lit("h"))).collect()}
+    scored = {r.doc_id: r.n_tokens - 1 for r in ngram.score_texts(docs.withColumn("held_out", F.lit(False)), docs.select("text")).collect()}
+    sized = {r.doc_id: r["size"] for r in mixture.repetition_plan(docs.withColumn("source", F.lit("s"))).collect()}
+    assert judged == scored == sized == {1: 700_000, 2: 700_000, 3: 1, 4: 2, 5: 0}
+    assert quality.featured(docs).count() == 5
+
+
+def test_common_contexts_change_no_score(spark, tiny):
+    from geoweave.llm import ngram as n
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id", "false as held_out", "text")
+    found = []
+    for fraction in (0.0, 1.0):
+        model = n.train(docs.select("text"), 8, fraction)
+        rows = docs.mapInArrow(n.scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        found.append((len(model.common), {r.doc_id: (r.n_known, round(r.score, 6)) for r in rows.collect()}, model.sums))
+    assert found[0][0] == 0 and found[1][0] > 0 and found[0][1:] == found[1][1:]

@@ -64,6 +64,31 @@ def test_mix(spark, tiny, docs):
     assert (again.taken.sort_index() == got.taken.sort_index()).all()
 
 
+def test_mix_draws_from_the_hash_of_the_id(spark):
+    """copies is floor(rate), and one more where a number from the id's hash is below the fraction; words come near their target."""
+    import random
+
+    import xxhash
+
+    from geoweave.llm.mixture import mix_sources, repetition_plan
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "abc"[i % 7 % 3]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = repetition_plan(docs).collect()
+    taken, target, spread = Counter(), {}, Counter()
+    for r in plan:
+        rate = r.target / r.source_size
+        draw = xxhash.xxh64_intdigest((20240).to_bytes(4, "little"), xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), 42)) >> 11
+        assert r.copies == math.floor(rate) + (draw / 2**53 < rate - math.floor(rate))
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+        spread[r.source] += r["size"] ** 2 * (rate % 1) * (1 - rate % 1)
+    assert all(abs(taken[s] - target[s]) <= 4.5 * spread[s] ** 0.5 + 1e-6 for s in target)
+    mixed = Counter(r.doc_id for r in mix_sources(docs).select("doc_id").collect())
+    assert mixed == Counter({r.doc_id: r.copies for r in plan if r.copies})
+
+
 def tiktoken_ids(texts):
     import tiktoken
 
@@ -250,3 +275,18 @@ def test_pipeline(spark, sql, tiny, docs):
     assert Counter(last.doc_id) == Counter(mixed.doc_id)
     ids = dict(zip(mixed.doc_id, tiktoken_ids(mixed.text)))
     assert all(list(x) == ids[i] for i, x in zip(last.doc_id, last.token_ids))
+
+def test_stages_keep_empty_texts_apart_and_documents_together(spark, tiny):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, long), (2, ""), (3, None), (4, "lead " + long), (5, long + "\n" + other), (6, other), (6, "one more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("rest", cp.F.lit(1))
+    cut = {(r.doc_id, r.text) for r in cp.substring_dedup(spark, docs, tiny).collect()}
+    assert cut == {(1, long), (2, ""), (3, None), (4, "lead"), (5, other), (6, ""), (6, "one more")}
+    two = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(1, long), (3, long), (3, other), (5, other), (7, ""), (8, None)]], docs.drop("rest").schema)
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, two, tiny).collect()), key=str)
+    assert kept == sorted([(1, long), (7, ""), (8, None)], key=str)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), tiny).count() == 0, name
