@@ -1,8 +1,8 @@
-"""Clipping of lines and rings to boxes, and tile coordinates, as Column expressions."""
+"""Clipping of lines and rings to boxes, and tile coordinates, without UDFs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geoweave.functions.geometry import _edges, point
 
@@ -22,23 +22,30 @@ def clipped_segment(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
     return F.when(~apart & (t0 <= t1), part)
 
 
-def clipped_ring(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The part of a ring in a box, side by side of the box: exact for convex rings; parts of others stay joined along the border."""
+def _cut(ring: Column, axis: str, bound: Column, sign: int) -> Column:
+    """The part of a ring on one side of a line along an axis."""
+    other = "y" if axis == "x" else "x"
+
+    def kept(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        inside = lambda p: (p[axis] - bound) * sign >= 0
+        along = a[other] + (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0)) * (b[other] - a[other])
+        cut = point(bound, along) if axis == "x" else point(along, bound)
+        end = point(b["x"], b["y"])
+        none = F.slice(F.array(end), 1, 0)
+        return F.when(inside(a) & inside(b), F.array(end)).when(inside(a), F.array(cut)).when(inside(b), F.array(cut, end)).otherwise(none)
+
+    return F.flatten(F.transform(_edges(ring), kept))
+
+
+def clipped_rings(rows: DataFrame, ring: str, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """rows with column `ring` cut to a box, side by side of it, a step for each side.
+
+    Exact for convex rings; parts of others stay joined along the border, so areas are right. Null rings stay null.
+    """
     for axis, bound, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
-        other = "y" if axis == "x" else "x"
-
-        def kept(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            inside = lambda p: (p[axis] - bound) * sign >= 0  # noqa: B023, E731
-            t = (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))  # noqa: B023
-            along = a[other] + t * (b[other] - a[other])  # noqa: B023
-            cut = point(bound, along) if axis == "x" else point(along, bound)  # noqa: B023
-            end = point(b["x"], b["y"])
-            none = F.slice(F.array(end), 1, 0)
-            return F.when(inside(a) & inside(b), F.array(end)).when(inside(a), F.array(cut)).when(inside(b), F.array(cut, end)).otherwise(none)
-
-        ring = F.flatten(F.transform(_edges(ring), kept))
-    return ring
+        rows = rows.withColumn(ring, _cut(F.col(ring), axis, bound, sign))
+    return rows
 
 
 def in_tile(ring: Column, x0: Column, y0: Column, size: Column | float, extent: int = 4096) -> Column:

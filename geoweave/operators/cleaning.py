@@ -87,63 +87,69 @@ def judged(features: DataFrame) -> DataFrame:
     p = F.col("props")
     t = lambda k: tag(p, k)
     first = lambda keys: F.coalesce(*[t(k) for k in keys])
-    shape, line = F.col("geom_type"), F.coalesce(F.col("geom_type") == "LineString", F.lit(False))
-    whole = F.coalesce(shape.isin(GEOMETRIES), F.lit(False))
-    house, road = t("building").isNotNull(), t("building").isNull() & t("highway").isNotNull()
-
-    open_line = house & line & ~F.coalesce(F.col("closed"), F.lit(False))
-    fenced = house & (t("barrier").isNotNull() | t("bollard").isNotNull())
-    road_tags = hits(p, ROAD_TAGS_DROPPED)
+    own = lambda name: F.col(f"_judged_{name}")
+    shape = F.col("geom_type")
+
+    def with_own(df: DataFrame, **columns: Column) -> DataFrame:
+        """Steps of their own, so that what is used several times is worked out once."""
+        return df.withColumns({f"_judged_{k}": v for k, v in columns.items()})
+
+    rows = with_own(
+        features, line=F.coalesce(shape == "LineString", F.lit(False)), whole=F.coalesce(shape.isin(GEOMETRIES), F.lit(False)), road_tags=hits(p, ROAD_TAGS_DROPPED),
+        building=t("building"), highway=t("highway"), health=t("healthcare").isNotNull() | t("healthcare:speciality").isNotNull(),
+        trade=F.nullif(F.concat_ws(",", hits(p, COMMERCIAL), F.nullif(F.array_join(F.filter(F.map_keys(p), lambda k: k.startswith(PAYMENT)), ","), F.lit(""))), F.lit("")),
+        civil=hits(p, AMENITY), works=hits(p, INDUSTRIAL), fenced=t("barrier").isNotNull() | t("bollard").isNotNull(),
+    )
+    rows = with_own(rows, house=own("building").isNotNull(), road=own("building").isNull() & own("highway").isNotNull())
+    house, road, line = own("house"), own("road"), own("line")
     dropped = (
         F.when(p.isNull(), F.lit(None))
-        .when(~whole, _entry("removed", "invalid_geometry", F.coalesce(shape, F.lit("missing"))))
-        .when(open_line, _entry("removed", "building_linestring_not_closed", F.lit("")))
-        .when(fenced, _entry("removed", "building_with_barrier", F.lit("")))
+        .when(~own("whole"), _entry("removed", "invalid_geometry", F.coalesce(shape, F.lit("missing"))))
+        .when(house & line & ~F.coalesce(F.col("closed"), F.lit(False)), _entry("removed", "building_linestring_not_closed", F.lit("")))
+        .when(house & own("fenced"), _entry("removed", "building_with_barrier", F.lit("")))
         .when(road & ~line, _entry("removed", "highway_invalid_geometry_type", shape))
-        .when(road & t("highway").isin(ROADS_DROPPED), _entry("removed", "highway_type", t("highway")))
-        .when(road & road_tags.isNotNull(), _entry("removed", "highway_with_removable_prop", road_tags))
+        .when(road & own("highway").isin(ROADS_DROPPED), _entry("removed", "highway_type", own("highway")))
+        .when(road & own("road_tags").isNotNull(), _entry("removed", "highway_with_removable_prop", own("road_tags")))
     )
-
-    health = t("healthcare").isNotNull() | t("healthcare:speciality").isNotNull()
-    paid = F.nullif(F.array_join(F.filter(F.map_keys(p), lambda k: k.startswith(PAYMENT)), ","), F.lit(""))
-    trade = F.nullif(F.concat_ws(",", hits(p, COMMERCIAL), paid), F.lit(""))
-    why = {"commercial": trade, "amenity": hits(p, AMENITY), "industrial": hits(p, INDUSTRIAL)}
-    vague = (t("building") == "yes") & ~health
-    refined = F.when(vague, F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in why.items()]))
-    building = F.when(health, F.lit("healthcare")).otherwise(F.coalesce(refined, t("building")))
-    building_class, road_class = condensed(building, BUILDINGS, "amenity"), condensed(t("highway"), ROADS, "footway")
-
+    why = {"commercial": own("trade"), "amenity": own("civil"), "industrial": own("works")}
+    vague = (own("building") == "yes") & ~own("health")
+    rows = with_own(rows, dropped=dropped, refined=F.when(vague, F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for k, c in why.items()])))
+    rows = with_own(rows, was=F.when(own("health"), F.lit("healthcare")).otherwise(F.coalesce(own("refined"), own("building"))), kept=F.coalesce((house | road) & own("dropped").isNull(), F.lit(False)))
     main, other = t("addr:housenumber"), t("addr:housenumber2")
-    number = F.when(main != other, F.concat_ws("/", main, other)).otherwise(first(["addr:housenumber", "addr2:housenumber", "addr:housenumber2"]))
+    rows = with_own(
+        rows, house_class=condensed(own("was"), BUILDINGS, "amenity"), road_class=condensed(own("highway"), ROADS, "footway"),
+        number=F.when(main != other, F.concat_ws("/", main, other)).otherwise(first(["addr:housenumber", "addr2:housenumber", "addr:housenumber2"])),
+    )
     commons = F.nullif(F.regexp_replace(t("wikimedia_commons"), "^(.*?)Category:", "$1"), F.lit(""))
     wiki = F.nullif(F.regexp_replace(t("wikipedia"), "^(ru|en|kk):", ""), F.lit(""))
     fields = {
-        "building": building_class, "levels": first(["building:levels", "levels", "level"]), "color": first(["building:colour", "roof:colour"]),
-        "num": F.nullif(F.concat_ws("-", number, t("addr:unit")), F.lit("")), "amenity": t("amenity"), "shop": t("shop"), "area": t("area"),
+        "building": own("house_class"), "levels": first(["building:levels", "levels", "level"]), "color": first(["building:colour", "roof:colour"]),
+        "num": F.nullif(F.concat_ws("-", own("number"), t("addr:unit")), F.lit("")), "amenity": t("amenity"), "shop": t("shop"), "area": t("area"),
         "name": F.coalesce(first(BUILDING_NAMES), commons, wiki),
     }
     present = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
-    building_props = present(F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in fields.items())))
-    road_props = present(F.create_map(F.lit("highway"), road_class, F.lit("name"), F.coalesce(first(ROAD_NAMES), F.try_element_at(p, F.lit("name")))))
-
-    changed = F.filter(
-        F.array(
-            F.when(house & health, _entry("modified", "building_set_to_healthcare", F.lit(""))),
-            F.when(house & refined.isNotNull(), _entry("modified", F.concat(F.lit("building_yes_to_"), refined, F.lit("_by_props")), F.coalesce(*why.values()))),
-            F.when(house, _entry("modified", "building_category_condensed", F.concat(building, F.lit("_to_"), building_class))),
-            F.when(road, _entry("modified", "highway_category_condensed", F.concat(t("highway"), F.lit("_to_"), road_class))),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    kept = F.coalesce((house | road) & dropped.isNull(), F.lit(False))
-    return features.withColumns({
+    house_props = present(F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in fields.items())))
+    road_props = present(F.create_map(F.lit("highway"), own("road_class"), F.lit("name"), F.coalesce(first(ROAD_NAMES), F.try_element_at(p, F.lit("name")))))
+    changed = F.array_compact(F.array(
+        F.when(house & own("health"), _entry("modified", "building_set_to_healthcare", F.lit(""))),
+        F.when(house & own("refined").isNotNull(), _entry("modified", F.concat(F.lit("building_yes_to_"), own("refined"), F.lit("_by_props")), F.coalesce(*why.values()))),
+        F.when(house, _entry("modified", "building_category_condensed", F.concat(own("was"), F.lit("_to_"), own("house_class")))),
+        F.when(road, _entry("modified", "highway_category_condensed", F.concat(own("highway"), F.lit("_to_"), own("road_class")))),
+    ))
+    none = F.array().cast("array<struct<section:string,rule:string,trigger:string>>")
+    out = rows.withColumns({
         "kind": F.when(house, F.lit("building")).when(road, F.lit("road")),
-        "kept": kept,
-        "log": F.when(dropped.isNotNull(), F.array(dropped)).when(kept, changed).otherwise(F.slice(changed, 1, 0)),
-        "props": F.when(~kept, p).when(house, building_props).otherwise(road_props),
+        "kept": own("kept"),
+        "log": F.when(own("dropped").isNotNull(), F.array(own("dropped"))).when(own("kept"), changed).otherwise(none),
+        "props": F.when(~own("kept"), p).when(house, house_props).otherwise(road_props),
     })
+    return out.drop(*[c for c in out.columns if c.startswith("_judged_")])
 
 
 def rule_counts(rows: DataFrame) -> DataFrame:
-    """(section, rule, trigger, n) of the log of judged rows."""
-    return rows.select(F.explode("log").alias("e")).groupBy("e.section", "e.rule", "e.trigger").agg(F.count("*").alias("n"))
+    """(section, rule, trigger, n) of the log of judged rows.
+
+    explode_outer, because for explode the engine tests each log for emptiness first, which works it out a second time.
+    """
+    entries = rows.select(F.explode_outer("log").alias("e")).where("e is not null")
+    return entries.groupBy("e.section", "e.rule", "e.trigger").agg(F.count("*").alias("n"))
