@@ -98,12 +98,11 @@ JOINED = 1000
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> tuple[Units, int]:
-    """A tokenizers file's encoder and vocabulary size, one a worker; special tokens in a text are ordinary text."""
+    """A tokenizers file's encoder and vocabulary size, one a worker; a text's ids are those of the library's own encode()."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-
+    added = [a.content.encode() for a in t.get_added_tokens_decoder().values()]  # in a text they are tokens of their own
     spelled = t.get_vocab(with_added_tokens=True)
     n_bytes = np.zeros(max(spelled.values()) + 1, np.int64)
     n_bytes[list(spelled.values())] = list(map(len, spelled))  # byte-level BPE spells each byte by one letter
@@ -121,7 +120,7 @@ def tokenizer(path: str) -> tuple[Units, int]:
             sizes.append(np.array([len(ids[-1])]))
         return Table(np.concatenate(ids), np.concatenate(sizes))
 
-    return Units(encode), t.get_vocab_size(with_added_tokens=True)
+    return Units(encode, added, lambda text: t.encode(text, add_special_tokens=False).ids), t.get_vocab_size(with_added_tokens=True)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = None) -> DataFrame:

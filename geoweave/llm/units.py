@@ -69,8 +69,9 @@ class Units:
     """Texts to ids. encode(free, others) gives a table of the ids of whole pieces; each of `free` begins with a space and a
     visible character, so they keep their ids when they stand side by side as one text."""
 
-    def __init__(self, encode: Callable[[list[str], list[str]], Table]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[str], list[str]], Table], added: list[bytes] = (), whole: Callable[[str], list[int]] | None = None):
+        """added: tokens that an encoder finds in a text before its patterns; a text that holds one is not cut but goes to `whole`."""
+        self._encode, self._added, self._whole = encode, added, whole
         self._forget()
 
     def _forget(self) -> None:
@@ -94,8 +95,37 @@ class Units:
             self._size += sum(map(len, new)) + EACH * len(new)
         return out
 
+    def _holding(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts that hold an added token."""
+        raw, found = data.tobytes() if self._added else b"", set()
+        for token in self._added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]
+                if inside:
+                    found.add(row)
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
+        return sorted(found)
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (their bytes, n + 1 offsets from 0) as one array, and n + 1 places where each text's begin."""
+        holding = self._holding(data, offsets)
+        if not holding:
+            return self._of_pieces(data, offsets)
+        out, sizes, row, rows = [], [], 0, len(offsets) - 1
+        for held in [*holding, rows]:
+            ids, first = self._of_pieces(data[offsets[row] : offsets[held]], offsets[row : held + 1] - offsets[row])
+            out.append(ids)
+            sizes.append(np.diff(first))
+            if held < rows:
+                ids = np.array(self._whole(data[offsets[held] : offsets[held + 1]].tobytes().decode()), np.uint32)
+                out.append(ids)
+                sizes.append(np.array([len(ids)]))
+            row = held + 1
+        return np.concatenate(out), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+    def _of_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.zeros(len(data), bool)
         first[1:-1] = (data[1:-1] == 0x20) & _VISIBLE[data[2:]]
         first[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]

@@ -111,7 +111,6 @@ def test_token_files(spark, tiny, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got, start = QUERIES["op2_token_files"](spark, tiny).toPandas().set_index("doc_id"), 0
     for i, text in sorted(zip(docs.doc_id, docs.text)):
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -119,6 +118,21 @@ def test_token_files(spark, tiny, docs):
         start += len(ids)
 
 
+def test_added_tokens_in_texts_are_tokens():
+    """Ids of a slice of texts are those of plain calls where texts hold an added token, end with half of one, or begin with the rest."""
+    from tokenizers import Tokenizer
+
+    from geoweave.llm.tokenfiles import tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["4567 <|endoftext|> a", "plain one", "", "<|endo", "ftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|>x y", "a <|endoftext", "|> b"]
+    raw = [x.encode() for x in texts]
+    ids, first = tokenizer(P.path("byte_bpe_50k.json"))[0].ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert 50256 in ids
+    for i, text in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31, 32])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
 def test_packed_bits(bits, n):
