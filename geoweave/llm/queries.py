@@ -12,6 +12,7 @@ from geoweave.llm.licenses import TEMPLATES, scan
 from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
 from geoweave.llm.ngram import score_texts
+from geoweave.llm.packing import pack_documents
 from geoweave.llm.substring import dedup_substrings
 from geoweave.llm.tokenfiles import token_round_trip
 
@@ -79,3 +80,8 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), TEMPLATES, k=5, percent=80)
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
