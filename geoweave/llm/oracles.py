@@ -100,3 +100,37 @@ c AS (SELECT doc_id, license, n_shingles, k * (span // 2) AS place, count(DISTIN
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY n_shared DESC, place) AS o FROM c WHERE 100 * n_shared >= 80 * n_shingles)
 SELECT doc_id, license, n_shared, CAST(n_shingles AS BIGINT) AS n_shingles, CAST(place AS BIGINT) AS first_word FROM r WHERE o = 1
 """
+
+
+def _rounds(n: int) -> str:
+    """A table of assignments aK and one of entries cK for each round, and the last assignments."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""
+b{k} AS (SELECT part, list(c ORDER BY e) AS cs FROM c{k} GROUP BY part),
+a{k} AS (
+  SELECT r, p.part, x, list_min(list_transform(range(len(cs)), lambda e: len(cs) * coalesce(list_sum(list_transform(range(len(x)), lambda j: (x[j + 1] - cs[e + 1][j + 1]) * (x[j + 1] - cs[e + 1][j + 1]))), 0) + e)) AS best, len(cs) AS n
+  FROM p JOIN b{k} ON p.part = b{k}.part
+)""")
+        if k < n:
+            out.append(f"""
+u{k} AS (SELECT part, best % n AS e, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{k}),
+s{k} AS (SELECT part, e, j, CAST(sum(y) AS BIGINT) AS t, count(*) AS m FROM u{k} GROUP BY ALL),
+m{k} AS (SELECT part, e, list((t - ((t % m) + m) % m) // m ORDER BY j) AS c FROM s{k} GROUP BY part, e),
+c{k + 1} AS (SELECT c{k}.part, c{k}.e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON c{k}.part = m{k}.part AND c{k}.e = m{k}.e)""")
+    return ",".join(out)
+
+
+OP12 = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT r, vec_id, v, part, v[len(v) * part // 16 + 1:len(v) * (part + 1) // 16] AS x FROM k, range(16) q(part)),
+o AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM k),
+c0 AS (SELECT part, e, x AS c FROM p JOIN o ON p.r = o.r WHERE e < 64),{_rounds(2)},
+f AS (SELECT r, string_agg(printf('%02x', best % n), '' ORDER BY part) AS code, CAST(sum(best // n) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2 WHERE len(c) > 0),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k ON f.r = k.r GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM k JOIN f ON k.r = f.r JOIN l ON k.label IS NOT DISTINCT FROM l.label, h
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoweave.llm.bytebpe import encode_decode
 from geoweave.llm.hostrules import judge
-from geoweave.llm import knn, quality
+from geoweave.llm import codes, knn, quality
 from geoweave.llm.licenses import TEMPLATES, scan
 from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
@@ -15,6 +15,7 @@ from geoweave.llm.ngram import score_texts
 from geoweave.llm.packing import pack_documents
 from geoweave.llm.substring import dedup_substrings
 from geoweave.llm.tokenfiles import token_round_trip
+from geoweave.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +86,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.code_vectors(codes.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256.0), parts=16, entries=64, rounds=2)
+    rows = codes.with_label_errors(written(coded, "codes"))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
