@@ -134,3 +134,33 @@ l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f JOIN k ON f
 SELECT vec_id, code, error, label_error, codebooks_sha256
 FROM k JOIN f ON k.r = f.r JOIN l ON k.label IS NOT DISTINCT FROM l.label, h
 """
+
+#: The polynomial of CRC-32, lowest bit first: a fixed value.
+CRC = 0xEDB88320
+_CRC_BITS = "flatten(list_transform(range(1, length({0}) + 1), lambda i: [CAST(ascii({0}[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_CRC_BITS.format('CAST(conv_id AS VARCHAR)')}),
+    lambda a, b: xor(xor(a, b) >> 1, {CRC} * (xor(a, b) & 1)))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS own, place, role, text FROM c JOIN t ON t.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place > h
+), p AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY own, place) AS path FROM r GROUP BY conv_id),
+s AS (SELECT c.conv_id, coalesce(path, []) AS path FROM c LEFT JOIN p ON c.conv_id = p.conv_id),
+m AS (SELECT conv_id, len(path) AS n, unnest(range(len(path) + 1)) AS depth, path FROM s),
+n AS (
+  SELECT depth, path[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM m GROUP BY ALL
+), k AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * strlen(n.node[n.depth].t) ELSE 0 END AS saves
+  FROM n LEFT JOIN k ON n.depth = k.depth AND n.node = k.node
+), u AS (SELECT unnest(range(depth + 1)) AS depth, node, n_children, saves FROM v),
+b AS (SELECT depth, node[1:depth] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves) AS saved FROM u GROUP BY ALL)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN b ON v.depth = b.depth AND v.node = b.node LEFT JOIN n q ON q.depth = v.depth - 1 AND q.node = v.node[1:v.depth - 1]
+"""

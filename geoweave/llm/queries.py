@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoweave.llm.bytebpe import encode_decode
 from geoweave.llm.hostrules import judge
-from geoweave.llm import codes, knn, quality
+from geoweave.llm import codes, knn, quality, trie
 from geoweave.llm.licenses import TEMPLATES, scan
 from geoweave.llm.mixture import repetition_plan
 from geoweave.llm.neardup import near_duplicates
@@ -92,3 +92,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.code_vectors(codes.integer_vectors(table(spark, sf_dir, "embeddings"), scale=256.0), parts=16, entries=64, rounds=2)
     rows = codes.with_label_errors(written(coded, "codes"))
     return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    built = trie.rebuilt(turns, base=F.col("conv_id") - F.col("conv_id") % 5, taken=F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9)
+    nodes = trie.prefix_trie(*built)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
