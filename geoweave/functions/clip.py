@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geoweave.functions.geometry import _edges, point
 
 
-def clipped_segment(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
-    """The part of ab in a box as (ax, ay, bx, by); null if there is none. A single point inside is kept."""
+def clipped_span(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
+    """The part of ab in a box as (t0, t1), places from 0 at a to 1 at b; null if there is none. A single point inside is kept."""
     dx, dy = bx - ax, by - ay
     enter, leave = [F.lit(0.0)], [F.lit(1.0)]
     apart = F.lit(False)
@@ -18,8 +18,14 @@ def clipped_segment(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
         enter.append(F.when(d > 0, low / safe).when(d < 0, high / safe).otherwise(F.lit(0.0)))
         leave.append(F.when(d > 0, high / safe).when(d < 0, low / safe).otherwise(F.lit(1.0)))
     t0, t1 = F.greatest(*enter), F.least(*leave)
-    part = F.struct((ax + t0 * dx).alias("ax"), (ay + t0 * dy).alias("ay"), (ax + t1 * dx).alias("bx"), (ay + t1 * dy).alias("by"))
-    return F.when(~apart & (t0 <= t1), part)
+    return F.when(~apart & (t0 <= t1), F.struct(t0.alias("t0"), t1.alias("t1")))
+
+
+def clipped_segment(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
+    """The part of ab in a box as (ax, ay, bx, by); null if there is none."""
+    span, dx, dy = clipped_span(ax, ay, bx, by, x0, y0, x1, y1), bx - ax, by - ay
+    at = lambda t: [(ax + span[t] * dx), (ay + span[t] * dy)]
+    return F.when(span.isNotNull(), F.struct(*[c.alias(n) for c, n in zip([*at("t0"), *at("t1")], ("ax", "ay", "bx", "by"))]))
 
 
 def _cut(ring: Column, axis: str, bound: Column, sign: int) -> Column:

@@ -82,9 +82,10 @@ def clipped_lines(spark, d):
     k, size = C("k"), 1024.0
     line = points(spark, d).select("k", C("x").alias("ax"), C("y").alias("ay"), (C("x") + (k % 301 - 150) * 8).alias("bx"), (C("y") + (k % 211 - 105) * 8).alias("by"))
     box = line.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
-    cut = clip.clipped_segment(C("ax"), C("ay"), C("bx"), C("by"), C("cx") * size, C("cy") * size, (C("cx") + 1) * size, (C("cy") + 1) * size)
-    rows = spatial.with_cells(box, size).select("k", C("cx").alias("tx"), C("cy").alias("ty"), cut.alias("p")).where("p is not null")
-    return rows.select("k", "tx", "ty", F.floor(g.distance(C("p.ax"), C("p.ay"), C("p.bx"), C("p.by")) * 10 + 0.5).alias("length_dm"))
+    span = clip.clipped_span(C("ax"), C("ay"), C("bx"), C("by"), C("cx") * size, C("cy") * size, (C("cx") + 1) * size, (C("cy") + 1) * size)
+    rows = spatial.with_cells(box, size).select("k", C("cx").alias("tx"), C("cy").alias("ty"), span.alias("s"), (C("bx") - C("ax")).alias("dx"), (C("by") - C("ay")).alias("dy"))
+    length = (C("s.t1") - C("s.t0")) * F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))
+    return rows.where("s is not null").select("k", "tx", "ty", F.floor(length * 10 + 0.5).alias("length_dm"))
 
 
 @query(
@@ -98,7 +99,9 @@ def clipped_polygons(spark, d):
     size = 256.0
     rows = spatial.with_cells(locate.with_box(ells(spark, d).where(g.signed_area(C("ring")) > 0)), size)
     # the area comes out of a generator, through which the engine pushes no filter, else the steps are worked out again in it
-    cut = clip.clipped_rings(rows.select("b", "cx", "cy", "ring"), "ring", C("cx") * size, C("cy") * size, (C("cx") + 1) * size, (C("cy") + 1) * size)
+    # and in coordinates from the tile's corner, which keep all their digits
+    near = F.transform("ring", lambda p: g.point(p["x"] - C("cx") * size, p["y"] - C("cy") * size))
+    cut = clip.clipped_rings(rows.select("b", "cx", "cy", near.alias("ring")), "ring", F.lit(0.0), F.lit(0.0), F.lit(size), F.lit(size))
     return cut.select("b", C("cx").alias("tx"), C("cy").alias("ty"), F.explode(F.array(F.abs(g.signed_area(C("ring"))))).alias("a")).where("a > 0.5").select("b", "tx", "ty", F.floor(C("a") + 0.5).alias("area"))
 
 

@@ -18,6 +18,11 @@ def test_query_matches_sql(spark, sql, same, name):
     same(QUERIES[name](spark, SMALL).toPandas(), sql(SMALL, ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", ["clipped_lines", "clipped_polygons"])
+def test_query_matches_sql_where_results_lie_between_whole_numbers(spark, sql, same, name):
+    same(QUERIES[name](spark, "/root/testdata/sf0.01").toPandas(), sql("/root/testdata/sf0.01", ORACLES[name]))
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
