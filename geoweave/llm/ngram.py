@@ -167,7 +167,7 @@ def merge_pairs(path: str, buckets: int):
 
 
 def merge_words(path: str):
-    """An applyInArrow function for a bucket of words: writes the word table, gives the bucket's sums."""
+    """An applyInArrow function for a bucket of words: writes the word table, gives the bucket's sums and which files it has."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -186,11 +186,22 @@ def merge_words(path: str):
         files.put(f"{path}/words-{bucket}", files.pack(key, sums[0], *(s.astype(np.uint32) for s in sums[1:])))
         seen = sums[1][sums[1] > 0]
         of_pairs = read(3, "k", np.int64).reshape(-1, 5).sum(axis=0)
-        return pa.table({n: [int(v)] for n, v in zip(_SUMS, (*of_pairs, *_counts(seen), len(seen), sums[0].sum()))})
+        put = [f"words-{bucket}"] + [f"pairs-{bucket}"] * bool((kinds == 3).any())
+        return pa.table({n: [int(v)] for n, v in zip(_SUMS, (*of_pairs, *_counts(seen), len(seen), sums[0].sum()))} | {"files": [put]})
 
     return run
 
 
+SUMMED = ", ".join(f"{n} long" for n in _SUMS) + ", files array<string>"
+
+
+def totals(sums: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
+    """The sums over all buckets, and the names of their files: a few for each bucket."""
+    names = [n for n in sums.columns if n != "files"]
+    row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.flatten(F.collect_list("files")).alias("files")).first().asDict()
+    return row, frozenset(row.pop("files"))
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """What counts of 0, 1, 2, and 3 or more lose; counts of counts that are 0 leave the plain discount or a half."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -200,22 +211,25 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are, in how many buckets, the sums over all, and the contexts whose pairs are in all buckets."""
+    """Where the files are, in how many buckets, the sums over all, the contexts whose pairs are in all buckets, and the files' names.
+
+    A bucket that nothing fell into has no file; one of those named that is not there is an error.
+    """
 
     path: str
     buckets: int
     sums: dict[str, int]
     common: np.ndarray
+    names: frozenset[str]
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         """For sorted distinct keys: count, distinct contexts before, and words once, twice and more often after."""
         out = np.zeros((5, len(keys)))
         edges = np.searchsorted(bucket_of(keys, self.buckets), np.arange(self.buckets + 1))
         for i in np.flatnonzero(np.diff(edges)) if self.sums["tokens"] else ():
-            try:
-                key, *columns = files.unpack(files.mapped(f"{self.path}/words-{i}"), U, np.int64, *[np.uint32] * 4)
-            except FileNotFoundError:
-                continue  # no word fell into this bucket
+            if f"words-{i}" not in self.names:
+                continue
+            key, *columns = files.unpack(files.mapped(f"{self.path}/words-{i}"), U, np.int64, *[np.uint32] * 4)
             mine = keys[edges[i] : edges[i + 1]]
             at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
             hit = key[at] == mine
@@ -231,10 +245,9 @@ class Model:
         order = np.lexsort((key, bucket))
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for i in np.flatnonzero(np.diff(edges)) if self.sums["tokens"] else ():
-            try:
-                high, low, count, more, large, longest = files.unpack(files.mapped(f"{self.path}/pairs-{i}"), np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.int64)
-            except FileNotFoundError:
+            if f"pairs-{i}" not in self.names:
                 continue
+            high, low, count, more, large, longest = files.unpack(files.mapped(f"{self.path}/pairs-{i}"), np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.int64)
             mine = order[edges[i] : edges[i + 1]]
             want, small = (key[mine] >> U(32)).astype(np.uint32), (key[mine] >> U(24)).astype(np.uint8)
             at, found = np.searchsorted(high, want), np.zeros(len(mine), np.int64)
@@ -256,9 +269,9 @@ def train(docs: DataFrame, buckets: int | None = None, fraction: float = 0.01) -
     common = common_contexts(docs.select("text"), buckets, fraction)
     counted = docs.select("text").mapInArrow(count_pairs(buckets, common), _SENT)
     merged = counted.groupBy("bucket").applyInArrow(merge_pairs(path, buckets), _SENT)
-    sums = merged.groupBy("bucket").applyInArrow(merge_words(path), ", ".join(f"{n} long" for n in _SUMS))
-    row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SUMS)).first()
-    return Model(path, buckets, row.asDict(), common)
+    sums = merged.groupBy("bucket").applyInArrow(merge_words(path), SUMMED)
+    sums, names = totals(sums)
+    return Model(path, buckets, sums, common, names)
 
 
 def scores(model: Model):

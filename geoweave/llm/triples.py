@@ -223,7 +223,8 @@ def merge_pairs(path: str, words: Vocabulary, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         pair, n = _summed(_read(table, 1, "k", U, _whole), _read(table, 1, "a", W).astype(np.int64))
-        rows = [_send(0, 5, np.concatenate((_read(table, 2, "k", np.int64).reshape(-1, 4).sum(axis=0), _counts(n), [len(n)])))]
+        of_triples = _read(table, 2, "k", np.int64).reshape(-1, 4)
+        rows = [_send(0, 5, np.concatenate((of_triples.sum(axis=0), _counts(n), [len(n)]))), _send(0, 6, np.array([bucket, len(of_triples), len(pair)]))]
         if len(pair):
             files.put(f"{path}/pairs-{bucket}", files.pack(pair, *_small(n)))
             context = (pair >> U(32)).astype(W)
@@ -252,26 +253,28 @@ def merge_words(path: str, words: Vocabulary):
         files.put(f"{path}/words-{bucket}", files.pack(*sums))
         seen = sums[0][sums[0] > 0]
         of_all = _read(table, 5, "k", np.int64).reshape(-1, 9).sum(axis=0)
-        return pa.table({n: [int(v)] for n, v in zip(_SUMS, (*of_all, *_counts(seen), len(seen)))})
+        put = [f"words-{bucket}"]
+        for b, *has in _read(table, 6, "k", np.int64).reshape(-1, 3).tolist():
+            put += [f"{name}-{b}" for name, n in zip(("triples", "pairs"), has) if n]
+        return pa.table({n: [int(v)] for n, v in zip(_SUMS, (*of_all, *_counts(seen), len(seen)))} | {"files": [put]})
 
     return run
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are, in how many buckets, and the sums over all."""
+    """Where the files are, in how many buckets, the sums over all, and the files' names: one of them that is not there is an error."""
 
     path: str
     buckets: int
     words: Vocabulary
     sums: dict[str, int]
+    names: frozenset[str]
 
     def _files(self, name: str, key: np.ndarray, bucket: np.ndarray, buckets: int, *types: type) -> Iterator[tuple]:
         for i, mine in _parts(bucket, buckets) if self.words.tokens else ():
-            try:
+            if f"{name}-{i}" in self.names:  # else nothing fell into this bucket
                 yield i, mine, key[mine], files.unpack(files.mapped(f"{self.path}/{name}-{i}"), *types)
-            except FileNotFoundError:
-                continue  # nothing fell into this bucket
 
     def of_words(self, number: np.ndarray) -> np.ndarray:
         """Distinct words before each, and for the pairs that it begins: sum of n2, and pairs with n2 of 1, 2 and more."""
@@ -330,9 +333,8 @@ def train(docs: DataFrame, buckets: int | None = None) -> Model:
         raise ValueError("more than 2**32 - 2 distinct words")
     triples = docs.mapInArrow(count_triples(words, buckets), _SENT).groupBy("bucket").applyInArrow(merge_triples(path, buckets), _SENT)
     pairs = triples.groupBy("bucket").applyInArrow(merge_pairs(path, words, buckets), _SENT)
-    sums = pairs.groupBy("bucket").applyInArrow(merge_words(path, words), ", ".join(f"{n} long" for n in _SUMS))
-    row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SUMS)).first()
-    return Model(path, buckets, words, row.asDict())
+    sums = pairs.groupBy("bucket").applyInArrow(merge_words(path, words), ", ".join(f"{n} long" for n in _SUMS) + ", files array<string>")
+    return Model(path, buckets, words, *ngram.totals(sums))
 
 
 def scores(model: Model):
