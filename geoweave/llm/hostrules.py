@@ -114,23 +114,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def rules() -> dict[str, Column]:
-    """Rules beside the base: true is a failure."""
+def rules(times: int = 1) -> dict[str, Column]:
+    """Rules beside the base: true is a failure. With a larger number a part of the limits is enough."""
     n, chars = F.col("n_words"), F.col("word_chars")
     return {
-        "symbols": F.col("n_symbols") * 10 > n,
-        "dup_lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 3,
+        "symbols": F.col("n_symbols") * 10 * times > n,
+        "dup_lines": F.col("n_dup_lines") * 10 * times > F.col("n_lines") * 3,
         "word_length": (chars < 3 * n) | (chars > 12 * n),
-        "marks": F.col("n_marks") * 10 > n * 3,
-        "capitals": F.col("n_upper") * 10 > chars * 3,
+        "marks": F.col("n_marks") * 10 * times > n * 3,
+        "capitals": F.col("n_upper") * 10 * times > chars * 3,
     }
 
 
-def host_verdicts(failures: DataFrame, suspect: float) -> DataFrame:
-    """(host, host_docs, host_failures, host_rate, host_suspect) for failures (host, failed): rates shrunk by the beta prior of all hosts.
+#: What a host's shrunk rate of failures makes of it.
+TRUSTED, ORDINARY, SUSPECT = -1, 0, 1
+
+
+def host_verdicts(failures: DataFrame, spreads: float = 1.0) -> DataFrame:
+    """(host, host_docs, host_failures, host_rate, host_verdict) for failures (host, failed): rates shrunk by the beta prior of all hosts.
 
     The prior has the hosts' mean rate and, by moments, their variance beyond that of counting; hosts that differ no more
-    than chance lean on it wholly.
+    than chance lean on it wholly. A host is suspect if its shrunk rate lies more than `spreads` standard deviations of the
+    prior above the prior's mean, trusted if as much below, else ordinary: where hosts are alike all are ordinary.
     """
     hosts = failures.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
@@ -142,43 +147,54 @@ def host_verdicts(failures: DataFrame, suspect: float) -> DataFrame:
     mean, spread = F.col("mean"), F.col("mean") * (1 - F.col("mean"))
     between = F.greatest(F.col("var") - spread * F.col("inverse"), spread * 1e-4, F.lit(1e-12))
     strength = F.greatest(spread / between - 1, F.lit(1.0)).alias("strength")
-    prior = over.select("mean", strength)
+    prior = over.select("mean", strength, F.sqrt(between).alias("sd"))
     posterior = (F.col("host_failures") + mean * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
+    off = posterior - mean
+    found = F.when(off > spreads * F.col("sd"), SUSPECT).when(off < -spreads * F.col("sd"), TRUSTED).otherwise(ORDINARY)
     # the prior is one row
-    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failures", posterior.alias("host_rate"), (posterior >= suspect).alias("host_suspect"))
+    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failures", posterior.alias("host_rate"), found.alias("host_verdict"))
+
+
+def failed_rules(times: int = 1) -> Column:
+    return sum((F.when(r, 1).otherwise(0) for r in rules(times).values()), F.lit(0))
 
 
-def failed_rules() -> Column:
-    return sum((F.when(r, 1).otherwise(0) for r in rules().values()), F.lit(0))
+def with_failures(measured: DataFrame) -> DataFrame:
+    """measured with base_failed, n_failed, and n_near: rules of which half the limit is passed."""
+    return measured.withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules()).withColumn("n_near", failed_rules(2))
 
 
 def verdict() -> Column:
-    return ~F.col("base_failed") & (F.col("n_failed") < F.when(F.col("host_suspect"), 1).otherwise(2))
+    """A failed rule rejects a document, on a trusted host the second does; on a suspect host half a rule's limit is enough."""
+    host = F.col("host_verdict")
+    allowed = F.when(host == TRUSTED, F.col("n_failed") < 2).when(host == SUSPECT, F.col("n_near") < 1).otherwise(F.col("n_failed") < 1)
+    return ~F.col("base_failed") & allowed
 
 
-def keep_documents(docs: DataFrame, host: str, suspect: float = 0.05) -> DataFrame:
+def keep_documents(docs: DataFrame, host: str, spreads: float = 1.0) -> DataFrame:
     """The rows of docs (text, and others) that `judge` keeps, with their columns as they are.
 
-    Measures every text twice rather than shuffle the texts: for the hosts' rates, and for the rows' own verdict.
+    Measures every text twice rather than shuffle the texts: for the hosts' rates, and for the rows' own verdict. Texts are
+    measured whole, however long; null ones count as empty.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = tx.in_small_batches(docs).select(F.col(f"`{host}`").cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
-    judged = with_measures(rows).withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
-    hosts = written(host_verdicts(judged.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect), "hosts")
-    hosts = hosts.select(F.col("host").alias("of"), "host_suspect")
+    judged = with_failures(with_measures(rows))
+    hosts = written(host_verdicts(judged.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), spreads), "hosts")
+    hosts = hosts.select(F.col("host").alias("of"), "host_verdict")
     kept = judged.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(verdict())
     return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
-def judge(docs: DataFrame, suspect: float = 0.05) -> DataFrame:
-    """docs (doc_id, host, text) as (doc_id, host, MEASURES, base_failed, n_failed, host_rate, kept).
+def judge(docs: DataFrame, spreads: float = 1.0) -> DataFrame:
+    """docs (doc_id, host, text) as (doc_id, host, MEASURES, base_failed, n_failed, n_near, host_rate, host_verdict, kept).
 
-    Null texts count as empty and fail the base rule of at least ten words. Rows with a null host are one host of their
-    own. Rows that share an id are judged each for itself. Ties at a threshold pass. Empty tables give empty ones.
+    Texts are measured whole, however long. Null texts count as empty and fail the base rule of at least ten words. Rows with a
+    null host are one host of their own. Rows that share an id are judged each for itself. Ties at a threshold pass. Empty
+    tables give empty ones.
     """
     docs = tx.in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    seen = written(measured(docs), "measures")
-    seen = seen.withColumn("base_failed", base_failed()).withColumn("n_failed", failed_rules())
-    hosts = host_verdicts(seen.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), suspect)
-    hosts = hosts.select(F.col("host").alias("of"), "host_rate", "host_suspect")
-    return seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(*seen.columns, "host_rate", verdict().alias("kept"))
+    seen = with_failures(written(measured(docs), "measures"))
+    hosts = host_verdicts(seen.select("host", (F.col("base_failed") | (F.col("n_failed") > 0)).alias("failed")), spreads)
+    hosts = hosts.select(F.col("host").alias("of"), "host_rate", "host_verdict")
+    return seen.join(hosts, F.col("host").eqNullSafe(F.col("of"))).select(*seen.columns, "host_rate", "host_verdict", verdict().alias("kept"))

@@ -53,13 +53,15 @@ m AS (
   SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 ), s AS (
   SELECT *, CAST(n_symbols * 10 > n_words AS INT) + CAST(n_dup_lines * 10 > len(ls) * 3 AS INT) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INT)
-    + CAST(n_marks * 10 > n_words * 3 AS INT) + CAST(n_upper * 10 > word_chars * 3 AS INT) AS n_failed FROM f
+    + CAST(n_marks * 10 > n_words * 3 AS INT) + CAST(n_upper * 10 > word_chars * 3 AS INT) AS n_failed,
+    n_symbols * 20 > n_words OR n_dup_lines * 20 > len(ls) * 3 OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR n_marks * 20 > n_words * 3 OR n_upper * 20 > word_chars * 3 AS near FROM f
 ), hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_failed > 0) AS b FROM s GROUP BY source),
 o AS (SELECT sum(b) / sum(n) AS mean, coalesce(var_samp(b / n), 0) AS var, avg(1 / n) AS inverse FROM hosts),
-p AS (
-  SELECT mean, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inverse, mean * (1 - mean) * 1e-4, 1e-12) - 1, 1.0) AS strength FROM o
-), v AS (SELECT source, (b + mean * strength) / (n + strength) >= 0.05 AS suspect FROM hosts, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_failed < CASE WHEN suspect THEN 1 ELSE 2 END AS kept
+q AS (SELECT mean, greatest(var - mean * (1 - mean) * inverse, mean * (1 - mean) * 1e-4, 1e-12) AS between_hosts FROM o),
+p AS (SELECT mean, sqrt(between_hosts) AS sd, greatest(mean * (1 - mean) / between_hosts - 1, 1.0) AS strength FROM q),
+v AS (SELECT source, (b + mean * strength) / (n + strength) - mean AS away, sd FROM hosts, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND CASE WHEN away < -sd THEN n_failed < 2 WHEN away > sd THEN NOT near ELSE n_failed < 1 END AS kept
 FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
 """
 

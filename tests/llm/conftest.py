@@ -37,7 +37,7 @@ def tiny(tmp_path_factory):
     vectors = [[rng.randint(-3, 3) / 8 for _ in range(8)] for _ in range(90)] + [None, [1.0, None] + [0.0] * 6, [float("nan")] + [0.0] * 7, [0.0] * 8]
     pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}), folder / "embeddings.parquet")
     pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array([0 if x and ("$" in x or "!!" in x or x.startswith("the the")) else 1 for x in t], pa.int32()), "toxic": pa.array([0] * len(t), pa.int32())}), folder / "labels.parquet")
-    turns = [(c, i, "user" if i % 2 else None, rng.choice(["a", "b", "", None])) for c in range(40) for i in [None, *range(rng.randint(0, 9))]]
+    turns = [(c, i, "user" if i and i % 2 else None, rng.choice(["a", "b", "", None])) for c in range(40) for i in [None, *range(rng.randint(0, 9))]]
     columns = dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*turns))))
     pq.write_table(pa.table(columns, schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])), folder / "conversations.parquet")
     return str(folder)

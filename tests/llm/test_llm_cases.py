@@ -268,3 +268,51 @@ def test_common_contexts_change_no_score(spark, tiny):
         rows = docs.mapInArrow(n.scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         found.append((len(model.common), {r.doc_id: (r.n_known, round(r.score, 6)) for r in rows.collect()}, model.sums))
     assert found[0][0] == 0 and found[1][0] > 0 and found[0][1:] == found[1][1:]
+
+
+def _host_rows(spark, hosts: dict) -> list:
+    """Documents of hosts {name: (good, noisy, failing)}: clean ones, ones with half as many symbols as a rule allows, ones that fail it."""
+    words = " ".join(f"word{i}" for i in range(40))
+    kinds = (words, words + " # # #", words + " # # # # # #")
+    rows = [(h, k, kinds[k]) for h, n in hosts.items() for k in range(3) for _ in range(n[k])]
+    docs = spark.createDataFrame([(i, h, t) for i, (h, _, t) in enumerate(rows)], "doc_id long, host string, text string")
+    return [(rows[r.doc_id][0], rows[r.doc_id][1], r) for r in hostrules.judge(docs).collect()]
+
+
+def test_hosts_decide_over_documents(spark):
+    """A suspect host loses documents that an ordinary one keeps, a trusted one keeps some that others lose; clean ones stay everywhere."""
+    hosts = {f"h{i}": (90, 5, 5) for i in range(20)} | {"bad": (20, 10, 70), "good": (200, 0, 1)}
+    judged = _host_rows(spark, hosts)
+    assert {h: r.host_verdict for h, _, r in judged} == {f"h{i}": hostrules.ORDINARY for i in range(20)} | {"bad": hostrules.SUSPECT, "good": hostrules.ORDINARY}
+    for h, kind, r in judged:
+        assert r.kept == (kind == 0 or (kind == 1 and h != "bad"))
+    hosts = {f"h{i}": (50, 0, 50) for i in range(10)} | {"good": (100, 0, 1)}
+    for h, kind, r in _host_rows(spark, hosts):
+        assert r.kept == (kind == 0 or h == "good") and r.host_verdict == (hostrules.TRUSTED if h == "good" else hostrules.ORDINARY)
+
+
+def test_shrinking_turns_the_verdict_on_a_small_host(spark):
+    """Two hosts with the same share of failures: the large one is suspect, the small one too near the prior to be."""
+    hosts = {f"h{i}": (90, 0, 10 + i % 3) for i in range(30)} | {"large": (300, 30, 300), "small": (1, 1, 1)}
+    verdict = {h: (r.host_verdict, r.host_rate) for h, _, r in _host_rows(spark, hosts)}
+    assert verdict["large"][0] == hostrules.SUSPECT and verdict["small"][0] == hostrules.ORDINARY
+    assert 0.1 < verdict["small"][1] < 1 / 3 and all(verdict[f"h{i}"][0] == hostrules.ORDINARY for i in range(30))
+    alike = _host_rows(spark, {f"h{i}": (40, 5, 10) for i in range(8)})
+    assert {r.host_verdict for *_, r in alike} == {hostrules.ORDINARY}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_a_lost_model_file_is_an_error(spark, order):
+    import glob
+    import os
+
+    docs = spark.createDataFrame([(i, False, f"some words {i % 5} and others {i}") for i in range(40)], "doc_id long, held_out boolean, text string")
+    model = (ngram.train(docs, buckets=3) if order == 2 else __import__("geoweave.llm.triples", fromlist=["train"]).train(docs, buckets=3))
+    module = ngram if order == 2 else __import__("geoweave.llm.triples", fromlist=["scores"])
+    put = sorted(f"{n.split('-')[0]}" for n in model.names)
+    assert put == sorted(["words", "pairs"] * 3 + ["triples"] * (3 if order == 3 else 0))
+    for path in glob.glob(f"{model.path.removeprefix('file://')}/pairs-*"):
+        os.remove(path)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    with pytest.raises(Exception, match="No such file"):
+        docs.select("doc_id", "held_out", "text").mapInArrow(module.scores(model), schema).collect()
