@@ -33,6 +33,19 @@ def linked(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
 
 
+def cycles(steps: DataFrame) -> DataFrame:
+    """(node, label): the least node of each cycle, for steps (id, next) that make nothing but cycles.
+
+    Each round doubles the way that a node looks ahead, so a cycle of n nodes takes log n joins.
+    """
+    ahead = written(steps.select(F.col("id").alias("node"), F.col("next").alias("far"), F.col("id").alias("label")), "cycles")
+    while True:
+        there = ahead.select(F.col("node").alias("far"), F.col("far").alias("farther"), F.col("label").alias("other"))
+        ahead = written(ahead.join(there, "far").select("node", F.col("farther").alias("far"), F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("changed")), "cycles")
+        if not ahead.where("changed").limit(1).count():
+            return ahead.select("node", "label")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, label): the least node of each node's component; nodes (v), edges (a, b) in either direction.
 

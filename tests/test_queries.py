@@ -5,6 +5,7 @@ import pytest
 import geoweave.plans.feature_queries  # noqa: F401
 import geoweave.plans.mesh_queries  # noqa: F401
 import geoweave.plans.more_queries  # noqa: F401
+import geoweave.plans.outline_queries  # noqa: F401
 import geoweave.plans.route_queries  # noqa: F401
 import geoweave.plans.text_queries  # noqa: F401
 import geoweave.plans.view_queries  # noqa: F401
