@@ -8,6 +8,7 @@ import geoweave.plans.more_queries  # noqa: F401
 import geoweave.plans.outline_queries  # noqa: F401
 import geoweave.plans.route_queries  # noqa: F401
 import geoweave.plans.text_queries  # noqa: F401
+import geoweave.plans.triangulation_queries  # noqa: F401
 import geoweave.plans.view_queries  # noqa: F401
 from geoweave.plans.queries import ORACLES, QUERIES
 
