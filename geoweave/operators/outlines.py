@@ -12,6 +12,9 @@ cover nothing; repeated rings cover what one does. Empty tables give empty resul
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -112,26 +115,41 @@ def border(rings: DataFrame, size: float = 64.0) -> DataFrame:
     return rows.select("grp", turn("lx", "hx").alias("ax"), turn("ly", "hy").alias("ay"), turn("hx", "lx").alias("bx"), turn("hy", "ly").alias("by"))
 
 
-def _ordered():
-    """An applyInArrow function: the pieces of one ring (grp, part, id, next, ax, ay) as a row, without corners on a straight line."""
-    import numpy as np
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, follow = table.column("id").to_pylist(), dict(zip(table.column("id").to_pylist(), table.column("next").to_pylist()))
-        at = {i: n for n, i in enumerate(ids)}
-        order, i = [], min(ids)
-        while len(order) < len(ids):
-            order.append(at[i])
-            i = follow[i]
-        p = np.stack([table.column(c).to_numpy() for c in ("ax", "ay")])[:, order]
-        before, after = p - np.roll(p, 1, axis=1), np.roll(p, -1, axis=1) - p
-        bend = np.abs(before[0] * after[1] - before[1] * after[0]) > 2 * TOUCH * np.hypot(*(before + after))
-        p = p[:, bend] if bend.sum() > 2 else p
-        ring = [{"x": x, "y": y} for x, y in p.T.tolist()]
-        twice = float((p[0] * np.roll(p[1], -1) - p[1] * np.roll(p[0], -1)).sum())
-        return pa.table({"grp": table.column("grp")[:1], "part": table.column("part")[:1], "ring": pa.array([ring], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), "hole": [twice < 0]})
-
-    return run
+def _in_turn(ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """The rows of one ring in their order from the least id on."""
+    at = np.argsort(ids)
+    onward = at[np.searchsorted(ids[at], follow)].tolist()
+    order = [int(at[0])]
+    while len(order) < len(ids):
+        order.append(onward[order[-1]])
+    return np.array(order)
+
+
+def _ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (grp, part, id, next, ax, ay), those of one part in a row, to rings (grp, part, ring, hole) without corners on a straight line."""
+    rest = None
+    for batch in [*batches, None]:
+        rows = [b for b in (rest, batch) if b is not None and b.num_rows]
+        if not rows:
+            continue
+        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        part, ids, follow, ax, ay = (table.column(i).to_numpy() for i in range(1, 6))
+        edges = np.flatnonzero(np.append(np.append(True, part[1:] != part[:-1]), batch is None)).tolist()  # the last ring may go on in the next batch
+        rest = table.slice(edges[-1])
+        points, sizes, holes = [], [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            p = np.stack([c[a:b] for c in (ax, ay)])[:, _in_turn(ids[a:b], follow[a:b])]
+            before, after = p - np.roll(p, 1, axis=1), np.roll(p, -1, axis=1) - p
+            bend = np.abs(before[0] * after[1] - before[1] * after[0]) > 2 * TOUCH * np.hypot(*(before + after))
+            p = p[:, bend] if bend.sum() > 2 else p
+            points.append(p)
+            sizes.append(p.shape[1])
+            holes.append(bool((p[0] * np.roll(p[1], -1) - p[1] * np.roll(p[0], -1)).sum() < 0))
+        if points:
+            x, y = np.concatenate(points, axis=1)
+            rings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+            firsts = pa.array(edges[:-1])
+            yield pa.RecordBatch.from_arrays([table.column(0).take(firsts), table.column(1).take(firsts), rings, pa.array(holes)], names=["grp", "part", "ring", "hole"])
 
 
 def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
@@ -150,34 +168,45 @@ def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
     label = graph.cycles(steps)
     rows = line.join(steps, "id").join(label.withColumnsRenamed({"node": "id", "label": "part"}), "id").select("grp", "part", "id", "next", "ax", "ay")
     kind = rings.schema["grp"].dataType.simpleString()
-    return rows.groupBy("part").applyInArrow(_ordered(), f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
+    dealt = rows.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_ring_rows, f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
 
 
-def offset_curve(ring: Column, by: Column, square: bool = False) -> Column:
-    """A counter-clockwise ring with each edge moved outwards by `by` (inwards, if negative), and its corners joined.
+def with_directions(rings: DataFrame) -> DataFrame:
+    """rings with each corner of `ring` as (x, y, ux, uy, vx, vy): the directions of the edges before and after it."""
+    n = F.size("ring")
+
+    def corner(i: Column) -> Column:
+        p, q, r = F.get("ring", (i + n - 1) % n), F.get("ring", i), F.get("ring", (i + 1) % n)
+        u, v = s.unit(q["x"] - p["x"], q["y"] - p["y"]), s.unit(r["x"] - q["x"], r["y"] - q["y"])
+        return F.struct(q["x"].alias("x"), q["y"].alias("y"), u["x"].alias("ux"), u["y"].alias("uy"), v["x"].alias("vx"), v["y"].alias("vy"))
+
+    # out of a generator, so that what uses the directions doesn't work them out again each time
+    return rings.withColumn("ring", F.explode(F.array(F.transform(F.sequence(F.lit(0), n - 1), corner))))
+
+
+def offset_curve(corners: Column, by: Column, square: bool = False) -> Column:
+    """A counter-clockwise ring (see with_directions) with each edge moved outwards by `by` (inwards, if negative), and its corners joined.
 
     A corner that opens gets the point where the moved edges meet or, if they meet farther away than twice `by` or `square`
     is wanted, two points at distance `by` across it; one that closes keeps its own vertex between the moved ends, which
     makes loops of negative winding.
     """
-    n = F.size(ring)
 
-    def corner(i: Column) -> Column:
-        p, q, r = F.get(ring, (i + n - 1) % n), F.get(ring, i), F.get(ring, (i + 1) % n)
-        u, v = s.unit(q["x"] - p["x"], q["y"] - p["y"]), s.unit(r["x"] - q["x"], r["y"] - q["y"])
-        # outward normals of the edges before and after: their directions turned to the right
-        mx, my, nx, ny = u["y"], -u["x"], v["y"], -v["x"]
-        sine, cosine = s.cross(u["x"], u["y"], v["x"], v["y"]), s.dot(u["x"], u["y"], v["x"], v["y"])
-        at = lambda x, y: g.point(q["x"] + by * x, q["y"] + by * y)
-        closing = F.array(at(mx, my), q, at(nx, ny))
-        meeting = F.array(at((mx + nx) / (1 + cosine), (my + ny) / (1 + cosine)))
+    def joined(c: Column) -> Column:
+        ux, uy, vx, vy = (c[k] for k in ("ux", "uy", "vx", "vy"))
+        sine, cosine = s.cross(ux, uy, vx, vy), s.dot(ux, uy, vx, vy)
+        at = lambda x, y: g.point(c["x"] + by * x, c["y"] + by * y)
+        # outward normals are directions turned to the right
+        closing = F.array(at(uy, -ux), g.point(c["x"], c["y"]), at(vy, -vx))
+        meeting = F.array(at((uy + vy) / (1 + cosine), -(ux + vx) / (1 + cosine)))
         reach = F.tan(F.atan2(sine, cosine) / 4)  # along both edges from the corner's sides, to a line at right angles to its middle
-        squared = F.array(at(mx + u["x"] * reach, my + u["y"] * reach), at(nx - v["x"] * reach, ny - v["y"] * reach))
-        straight = F.abs(sine) < 1e-9
+        squared = F.array(at(uy + ux * reach, -ux + uy * reach), at(vy - vx * reach, -vx - vy * reach))
+        straight = (F.abs(sine) < 1e-9) & (cosine > 0)
         opening = squared if square else F.when(cosine >= -0.5, meeting).otherwise(squared)
-        return F.when(straight & (cosine > 0), F.array(at(nx, ny))).when(sine * by < 0, closing).otherwise(opening)
+        return F.when(straight, F.array(at(vy, -vx))).when(sine * by < 0, closing).otherwise(opening)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
+    return F.flatten(F.transform(corners, joined))
 
 
 def _clean(ring: Column) -> Column:
@@ -192,8 +221,8 @@ def offset(rings: DataFrame, by: float, square: bool = False) -> DataFrame:
 
     Either winding of a ring will do. Corners are mitered, or squared.
     """
-    rows = rings.select("id", _clean(C("ring")).alias("ring")).where("size(ring) > 2")
-    moved = rows.select(C("id").alias("grp"), C("id").alias("rid"), offset_curve(C("ring"), F.lit(float(by)), square).alias("ring"))
+    rows = rings.select("id", F.explode(F.array(_clean(C("ring")))).alias("ring")).where("size(ring) > 2")
+    moved = with_directions(rows).select(C("id").alias("grp"), C("id").alias("rid"), offset_curve(C("ring"), F.lit(float(by)), square).alias("ring"))
     return outlines(written(moved, "moved")).withColumnRenamed("grp", "id")
 
 
@@ -209,8 +238,7 @@ def dilated_eroded(rings: DataFrame, by: float) -> DataFrame:
 
 def union(rings: DataFrame) -> DataFrame:
     """(grp, part, ring, hole): the outlines of what rings (grp, id, ring) cover together, each counted as counter-clockwise."""
-    rows = rings.select("grp", C("id").alias("rid"), _clean(C("ring")).alias("ring"))
-    return outlines(rows)
+    return outlines(rings.select("grp", C("id").alias("rid"), F.explode(F.array(_clean(C("ring")))).alias("ring")))
 
 
 def touching_groups(rings: DataFrame, size: float = 128.0) -> DataFrame:
