@@ -96,6 +96,28 @@ def route_costs(start: DataFrame, edges: DataFrame) -> DataFrame:
             return best
 
 
+def coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, colour): the least colours, from 0, so that no edge (a, b) joins two nodes (v) of one; the same on each run.
+
+    In a round those nodes choose whose hash is greater than that of all neighbours without a colour, so neighbours never
+    choose together; the number of rounds grows with the logarithm of the number of nodes. A node has at most as many colours
+    before it as neighbours. Edges count in both directions; loops and ends that are no nodes are not looked at.
+    """
+    nodes = nodes.select("v").where("v is not null").distinct()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = written(both.join(nodes.withColumnRenamed("v", "a"), "a", "left_semi").join(nodes.withColumnRenamed("v", "b"), "b", "left_semi"), "edges")
+    state = written(nodes.withColumn("colour", F.lit(None).cast("int")), "colours")
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    while True:
+        around = both.join(state.select(F.col("v").alias("b"), "colour"), "b")
+        seen = around.groupBy(F.col("a").alias("v")).agg(F.max(F.when(F.col("colour").isNull(), rank("b"))).alias("open"), F.collect_set("colour").alias("used"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(F.coalesce("used", F.array().cast("array<int>")))), F.coalesce("used", F.array().cast("array<int>"))))
+        mine = F.col("open").isNull() | (rank("v") > F.col("open"))
+        state = written(state.join(seen, "v", "left").select("v", F.when(F.col("colour").isNotNull(), F.col("colour")).when(mine, free).alias("colour")), "colours")
+        if not state.where("colour is null").limit(1).count():
+            return state
+
+
 def two_hop_neighbours(edges: DataFrame) -> DataFrame:
     """(a, c): nodes two edges away that are neither the node itself nor a neighbour; repeated edges count once."""
     e = edges.select("a", "b").distinct()

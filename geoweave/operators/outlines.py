@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoweave.functions import geometry as g, shapes as s
-from geoweave.operators import graph, locate, spatial
+from geoweave.operators import graph, locate, scans, spatial
 from geoweave.shared import written
 
 C = F.col
@@ -126,18 +126,11 @@ def _in_turn(ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
 
 
 def _ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces (grp, part, id, next, ax, ay), those of one part in a row, to rings (grp, part, ring, hole) without corners on a straight line."""
-    rest = None
-    for batch in [*batches, None]:
-        rows = [b for b in (rest, batch) if b is not None and b.num_rows]
-        if not rows:
-            continue
-        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        part, ids, follow, ax, ay = (table.column(i).to_numpy() for i in range(1, 6))
-        edges = np.flatnonzero(np.append(np.append(True, part[1:] != part[:-1]), batch is None)).tolist()  # the last ring may go on in the next batch
-        rest = table.slice(edges[-1])
+    """Pieces (part, id, next, ax, ay, grp), those of one part in a row, to rings (grp, part, ring, hole) without corners on a straight line."""
+    for table, edges in scans.groups(batches, 1):
+        ids, follow, ax, ay = (table.column(i).to_numpy() for i in range(1, 5))
         points, sizes, holes = [], [], []
-        for a, b in zip(edges[:-1], edges[1:]):
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
             p = np.stack([c[a:b] for c in (ax, ay)])[:, _in_turn(ids[a:b], follow[a:b])]
             before, after = p - np.roll(p, 1, axis=1), np.roll(p, -1, axis=1) - p
             bend = np.abs(before[0] * after[1] - before[1] * after[0]) > 2 * TOUCH * np.hypot(*(before + after))
@@ -145,11 +138,10 @@ def _ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points.append(p)
             sizes.append(p.shape[1])
             holes.append(bool((p[0] * np.roll(p[1], -1) - p[1] * np.roll(p[0], -1)).sum() < 0))
-        if points:
-            x, y = np.concatenate(points, axis=1)
-            rings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
-            firsts = pa.array(edges[:-1])
-            yield pa.RecordBatch.from_arrays([table.column(0).take(firsts), table.column(1).take(firsts), rings, pa.array(holes)], names=["grp", "part", "ring", "hole"])
+        x, y = np.concatenate(points, axis=1)
+        rings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+        firsts = pa.array(edges[:-1])
+        yield pa.RecordBatch.from_arrays([table.column(5).take(firsts), table.column(0).take(firsts), rings, pa.array(holes)], names=["grp", "part", "ring", "hole"])
 
 
 def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
@@ -166,10 +158,9 @@ def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
     steps = line.join(onward, ["grp", "bx", "by"]).groupBy("id").agg(F.max_by("next", turn).alias("next"))  # the sharpest turn to the left
     steps = written(steps, "steps")
     label = graph.cycles(steps)
-    rows = line.join(steps, "id").join(label.withColumnsRenamed({"node": "id", "label": "part"}), "id").select("grp", "part", "id", "next", "ax", "ay")
+    rows = line.join(steps, "id").join(label.withColumnsRenamed({"node": "id", "label": "part"}), "id").select("part", "id", "next", "ax", "ay", "grp")
     kind = rings.schema["grp"].dataType.simpleString()
-    dealt = rows.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_ring_rows, f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
+    return scans.sorted_groups(rows, ["part"]).mapInArrow(_ring_rows, f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
 
 
 def with_directions(rings: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Queries on triangulations: buildings with courtyards, and the space between boxes."""
+"""Queries on triangulations: buildings with courtyards, the space between boxes, convex polygons of a mesh, and colours."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g, shapes as s
-from geoweave.operators import locate, triangulation
-from geoweave.plans.mesh_queries import ells
+from geoweave.operators import graph, locate, merging, mesh, routes, triangulation
+from geoweave.plans.mesh_queries import _M, ells, mesh as triangles, quads
 from geoweave.plans.queries import _B, _P, query
+from geoweave.plans.route_queries import _PE
 from geoweave.shared import written
 from geoweave.sources.driver_tables import boxes
 
@@ -57,3 +58,41 @@ def free_space(spark, d):
     free = triangulation.free_space(blobs, tuple(e), 1024.0)
     t = triangulation.triangulated(free.select(F.struct("tx", "ty", "part").alias("id"), "ring", "holes"))
     return t.groupBy("id.tx", "id.ty").agg(F.floor(F.sum(_area()) + 0.3711).alias("free"))
+
+
+def _groups(spark, d):
+    t = written(triangles(spark, d), "mesh")
+    grp = graph.reached_by(t.select(C("tid").alias("v")), mesh.admissible_steps(t))
+    return t.join(grp.select(C("v").alias("tid"), C("label").alias("grp")), "tid")
+
+
+@query()
+def merged_polygons(spark, d):
+    """The convex polygons of each flood of triangles, with their triangles; the tests hold it against a plain version."""
+    m = merging.merged_polygons(_groups(spark, d), 4096.0)
+    return m.select("poly", F.size("ring").cast("long").alias("corners"), F.array_join(F.array_sort("tids"), ",").alias("tids"))
+
+
+@query(f"WITH {_M} SELECT tid, 1::BIGINT AS n_polygons, true AS convex, floor(((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / 2 + 0.5)::BIGINT AS area FROM ms")
+def merged_triangles(spark, d):
+    """Each triangle's polygons, whether these are convex, and what the triangle adds to their area: its own area by the polygon's share."""
+    m = written(merging.merged_polygons(_groups(spark, d), 4096.0), "merged")
+    plain = F.transform("ring", lambda p: g.point(p["x"], p["y"]))
+    held = m.select("poly", plain.alias("ring"), "tids").select("poly", g.is_convex(C("ring")).alias("convex"), g.signed_area(C("ring")).alias("whole"), "tids")
+    held = held.select("poly", "convex", "whole", F.explode("tids").alias("tid"))
+    own = triangles(spark, d).select("tid", _area().alias("own"))
+    rows = held.join(own, "tid")
+    share = rows.groupBy("poly").agg(F.sum("own").alias("sum"))
+    each = rows.join(share, "poly").groupBy("tid").agg(F.count("*").alias("n_polygons"), F.every("convex").alias("convex"), F.first(C("own") * C("whole") / C("sum")).alias("area"))
+    return each.select("tid", "n_polygons", "convex", F.floor(C("area") + 0.5).alias("area"))
+
+
+@query(f"WITH {_PE} SELECT c.v AS poly, count(DISTINCT neighbour) AS neighbours, 0::BIGINT AS clashes, true AS few FROM city c LEFT JOIN pn ON pn.poly = c.v GROUP BY c.v")
+def polygon_colours(spark, d):
+    """Polygons in colours so that neighbours differ: how many neighbours each has, how many of its colour, and whether twelve colours are enough."""
+    q = quads(spark, d)
+    e = written(routes.polygon_edges(q).where("neighbour is not null").select(C("poly").alias("a"), C("neighbour").alias("b")).distinct(), "edges")
+    colours = graph.coloured(q.select(C("poly").alias("v")), e)
+    own, other = colours.select(C("v").alias("a"), C("colour").alias("c")), colours.select(C("v").alias("b"), C("colour").alias("o"))
+    met = e.join(own, "a").join(other, "b").groupBy(C("a").alias("v")).agg(F.count("*").alias("neighbours"), F.count_if(C("c") == C("o")).alias("clashes"))
+    return colours.join(met, "v", "left").select(C("v").alias("poly"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.coalesce("clashes", F.lit(0)).alias("clashes"), (C("colour") < 12).alias("few"))
