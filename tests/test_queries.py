@@ -2,6 +2,7 @@
 
 import pytest
 
+import geoweave.plans.corridor_queries  # noqa: F401
 import geoweave.plans.feature_queries  # noqa: F401
 import geoweave.plans.mesh_queries  # noqa: F401
 import geoweave.plans.more_queries  # noqa: F401
