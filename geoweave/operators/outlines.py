@@ -6,7 +6,7 @@ with the rings whose box holds a piece's middle, and rings of pieces by followin
 of shapes that hang together, is taken whole by one task before it is one ring.
 
 A ring is ARRAY<STRUCT<x, y>> without a closing vertex, counter-clockwise ones cover what they go around. Coordinates are
-taken to STEP; a corner no farther than TOUCH from an edge lies on it. Null rings, and rings of fewer than three corners,
+taken to a grid, and so are the points where edges cross; an edge that passes a point by less than a step goes through it. Null rings, and rings of fewer than three corners,
 cover nothing; repeated rings cover what one does. Empty tables give empty results.
 """
 
@@ -20,24 +20,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import graph, locate, scans, spatial
+from geoweave.operators.polygons import thinned
 from geoweave.shared import written
 
 C = F.col
-#: The grid of coordinates, and how near a corner touches an edge, in metres.
-STEP, TOUCH = 2.0**-30, 2.0**-17
+#: The grid of coordinates in metres, and that for outlines made of other outlines, whose corners are as far off as the first.
+STEP, AGAIN = 2.0**-24, 2.0**-16
 _XY = ["ax", "ay", "bx", "by"]
 
 
-def _snapped(v: Column) -> Column:
-    return F.floor(v / STEP + 0.5) * STEP
+def _snapped(v: Column, step: float) -> Column:
+    return F.floor(v / step + 0.5) * step
 
 
-def _edges(rings: DataFrame) -> DataFrame:
+def _edges(rings: DataFrame, step: float) -> DataFrame:
     """(grp, rid, i, ax, ay, bx, by) for rings (grp, rid, ring)."""
     n = F.size("ring")
-    whole = rings.where("size(ring) > 2").withColumn("ring", F.transform("ring", lambda p: g.point(_snapped(p["x"]), _snapped(p["y"]))))
+    whole = rings.where("size(ring) > 2").withColumn("ring", F.transform("ring", lambda p: g.point(_snapped(p["x"], step), _snapped(p["y"], step))))
     edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.get("ring", i).alias("a"), F.get("ring", (i + 1) % n).alias("b")))
-    rows = whole.select("grp", "rid", F.explode(edge).alias("e")).select("grp", "rid", "e.i", C("e.a.x").alias("ax"), C("e.a.y").alias("ay"), C("e.b.x").alias("bx"), C("e.b.y").alias("by"))
+    rows = whole.select("grp", "rid", F.explode(edge).alias("e")).select("grp", "rid", C("e.i").cast("long").alias("i"), C("e.a.x").alias("ax"), C("e.a.y").alias("ay"), C("e.b.x").alias("bx"), C("e.b.y").alias("by"))
     return rows.where("ax <> bx or ay <> by")
 
 
@@ -45,9 +46,10 @@ def _boxed(df: DataFrame) -> DataFrame:
     return df.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
 
 
-def _cuts(edges: DataFrame, size: float) -> DataFrame:
+def _cuts(edges: DataFrame, size: float, step: float) -> DataFrame:
     """(grp, rid, i, ax, ay, bx, by, px, py): where each edge is to be cut by the others of its group."""
-    wide = _boxed(edges).withColumns({c: C(c) + (TOUCH if c[1] == "1" else -TOUCH) for c in ("x0", "y0", "x1", "y1")})
+    touch = 0.75 * step  # half the diagonal of a grid square, and a little more
+    wide = _boxed(edges).withColumns({c: C(c) + (touch if c[1] == "1" else -touch) for c in ("x0", "y0", "x1", "y1")})
     mine = spatial.with_cells(wide, size)
     other = mine.select("grp", "cx", "cy", *[C(c).alias(f"o_{c}") for c in ("rid", "i", *_XY, "x0", "y0", "x1", "y1")])
     both = mine.join(other, ["grp", "cx", "cy"]).where((C("rid") != C("o_rid")) | (C("i") != C("o_i")))
@@ -62,40 +64,42 @@ def _cuts(edges: DataFrame, size: float) -> DataFrame:
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
     det = F.nullif(s.cross(rx, ry, sx, sy), F.lit(0.0))
     t, u = s.cross(cx - ax, cy - ay, sx, sy) / det, s.cross(cx - ax, cy - ay, rx, ry) / det
-    cross = F.when((t > 0) & (t < 1) & (u > 0) & (u < 1), g.point(_snapped(ax + t * rx), _snapped(ay + t * ry)))
-    ends = [(C(a), C(b)) for a, b in (("ax", "ay"), ("bx", "by"), ("o_ax", "o_ay"), ("o_bx", "o_by"))]
-    far = lambda p, q: (p["x"] - q[0]) * (p["x"] - q[0]) + (p["y"] - q[1]) * (p["y"] - q[1]) > TOUCH * TOUCH
+    cross = F.when((t > 0) & (t < 1) & (u > 0) & (u < 1), g.point(_snapped(ax + t * rx, step), _snapped(ay + t * ry, step)))
+    inner = lambda p: ((p["x"] != C("ax")) | (p["y"] != C("ay"))) & ((p["x"] != C("bx")) | (p["y"] != C("by")))
     found = both.withColumn("p", cross)
-    clear = far(C("p"), ends[0]) & far(C("p"), ends[1]) & far(C("p"), ends[2]) & far(C("p"), ends[3])
 
-    def touching(q: tuple[Column, Column]) -> Column:
-        p = g.point(*q)
-        near = g.segment_distance(q[0], q[1], C("ax"), C("ay"), C("bx"), C("by")) <= TOUCH
-        return F.when(near & far(p, ends[0]) & far(p, ends[1]), p)
+    def touching(x: Column, y: Column) -> Column:
+        return F.when((g.segment_distance(x, y, C("ax"), C("ay"), C("bx"), C("by")) <= touch) & inner({"x": x, "y": y}), g.point(x, y))
 
-    points = F.array(F.when(clear, C("p")), touching(ends[2]), touching(ends[3]))
+    points = F.array(F.when(inner(C("p")), C("p")), touching(C("o_ax"), C("o_ay")), touching(C("o_bx"), C("o_by")))
     return found.select("grp", "rid", "i", *_XY, F.explode(points).alias("c")).where("c is not null").select("grp", "rid", "i", *_XY, C("c.x").alias("px"), C("c.y").alias("py"))
 
 
-def pieces(rings: DataFrame, size: float = 64.0) -> DataFrame:
+def pieces(rings: DataFrame, size: float = 64.0, step: float = STEP) -> DataFrame:
     """(grp, rid, lx, ly, hx, hy, up) for rings (grp, rid, ring): the edges cut where those of a group meet.
 
     A piece goes from its lower end l to its higher one h (the left and right one, if level); up is 1 if its ring does, else -1.
+    Cuts lie on the grid, which bends edges a little, so what was cut is looked at again until nothing is left to cut.
     """
-    edges = written(_edges(rings), "edges")
-    ends = [edges.select("grp", "rid", "i", *_XY, C(f"{e}x").alias("px"), C(f"{e}y").alias("py")) for e in "ab"]
-    cut = ends[0].union(ends[1]).union(_cuts(edges, size)).distinct()
-    along = (C("px") - C("ax")) * (C("bx") - C("ax")) + (C("py") - C("ay")) * (C("by") - C("ay"))
-    w = Window.partitionBy("grp", "rid", "i").orderBy("along", "px", "py")
-    rows = cut.withColumn("along", along).withColumns({"qx": F.lead("px").over(w), "qy": F.lead("py").over(w)}).where("qx is not null")
-    up = (C("py") < C("qy")) | ((C("py") == C("qy")) & (C("px") < C("qx")))
+    edges = written(_edges(rings, step), "edges")
+    while True:
+        cuts = written(_cuts(edges, size, step), "cuts")
+        if not cuts.limit(1).count():
+            break
+        ends = [edges.select("grp", "rid", "i", *_XY, C(f"{e}x").alias("px"), C(f"{e}y").alias("py")) for e in "ab"]
+        along = (C("px") - C("ax")) * (C("bx") - C("ax")) + (C("py") - C("ay")) * (C("by") - C("ay"))
+        w = Window.partitionBy("grp", "rid", "i").orderBy("along", "px", "py")
+        rows = ends[0].union(ends[1]).union(cuts).distinct().withColumn("along", along)
+        rows = rows.withColumns({"qx": F.lead("px").over(w), "qy": F.lead("py").over(w)}).where("qx is not null")
+        edges = written(rows.select("grp", "rid", F.xxhash64("i", "px", "py", "qx", "qy").alias("i"), *[C(a).alias(b) for a, b in zip(("px", "py", "qx", "qy"), _XY)]), "edges")
+    up = (C("ay") < C("by")) | ((C("ay") == C("by")) & (C("ax") < C("bx")))
     low, high = (lambda a, b: F.when(up, C(a)).otherwise(C(b))), (lambda a, b: F.when(up, C(b)).otherwise(C(a)))
-    return rows.select("grp", "rid", low("px", "qx").alias("lx"), low("py", "qy").alias("ly"), high("px", "qx").alias("hx"), high("py", "qy").alias("hy"), F.when(up, 1).otherwise(-1).alias("up"))
+    return edges.select("grp", "rid", low("ax", "bx").alias("lx"), low("ay", "by").alias("ly"), high("ax", "bx").alias("hx"), high("ay", "by").alias("hy"), F.when(up, 1).otherwise(-1).alias("up"))
 
 
-def border(rings: DataFrame, size: float = 64.0) -> DataFrame:
+def border(rings: DataFrame, size: float = 64.0, step: float = STEP) -> DataFrame:
     """(grp, ax, ay, bx, by): the pieces of rings (grp, rid, ring) with a winding number of one or more on their left only."""
-    cut = written(pieces(rings, size), "pieces")
+    cut = written(pieces(rings, size, step), "pieces")
     key = ["grp", "lx", "ly", "hx", "hy"]
     sides = cut.groupBy(*key).agg(F.sum("up").alias("w")).where("w <> 0").withColumns({"x": (C("lx") + C("hx")) / 2, "y": (C("ly") + C("hy")) / 2})
     box = cut.groupBy(C("grp").alias("of"), "rid").agg(F.min(F.least("lx", "hx")).alias("x0"), F.min("ly").alias("y0"), F.max(F.greatest("lx", "hx")).alias("x1"), F.max("hy").alias("y1"))
@@ -125,16 +129,16 @@ def _in_turn(ids: np.ndarray, follow: np.ndarray) -> np.ndarray:
     return np.array(order)
 
 
-def _ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ring_rows(batches: Iterator[pa.RecordBatch], step: float) -> Iterator[pa.RecordBatch]:
     """Pieces (part, id, next, ax, ay, grp), those of one part in a row, to rings (grp, part, ring, hole) without corners on a straight line."""
     for table, edges in scans.groups(batches, 1):
         ids, follow, ax, ay = (table.column(i).to_numpy() for i in range(1, 5))
         points, sizes, holes = [], [], []
         for a, b in zip(edges.tolist(), edges[1:].tolist()):
             p = np.stack([c[a:b] for c in (ax, ay)])[:, _in_turn(ids[a:b], follow[a:b])]
-            before, after = p - np.roll(p, 1, axis=1), np.roll(p, -1, axis=1) - p
-            bend = np.abs(before[0] * after[1] - before[1] * after[0]) > 2 * TOUCH * np.hypot(*(before + after))
-            p = p[:, bend] if bend.sum() > 2 else p
+            first = np.lexsort(p[::-1])[0]  # a corner for sure
+            p = np.roll(p, -first, axis=1)
+            p = p[:, thinned(*np.append(p, p[:, :1], axis=1), 8 * step)[:-1]]
             points.append(p)
             sizes.append(p.shape[1])
             holes.append(bool((p[0] * np.roll(p[1], -1) - p[1] * np.roll(p[0], -1)).sum() < 0))
@@ -144,13 +148,13 @@ def _ring_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table.column(5).take(firsts), table.column(0).take(firsts), rings, pa.array(holes)], names=["grp", "part", "ring", "hole"])
 
 
-def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
+def outlines(rings: DataFrame, size: float = 64.0, step: float = STEP) -> DataFrame:
     """(grp, part, ring, hole): the outlines of what the rings (grp, rid, ring) of each group cover; rid is unique in all.
 
     The covered side is on the left, so outer rings are counter-clockwise and holes clockwise. Where parts touch in a corner
     they stay rings of their own. part is a number that tells a group's rings apart.
     """
-    line = border(rings, size)
+    line = border(rings, size, step)
     line = written(line.withColumn("id", F.xxhash64("grp", *_XY)), "border")
     onward = line.select("grp", C("id").alias("next"), C("ax").alias("bx"), C("ay").alias("by"), (C("bx") - C("ax")).alias("vx"), (C("by") - C("ay")).alias("vy"))
     ux, uy = C("bx") - C("ax"), C("by") - C("ay")
@@ -160,7 +164,7 @@ def outlines(rings: DataFrame, size: float = 64.0) -> DataFrame:
     label = graph.cycles(steps)
     rows = line.join(steps, "id").join(label.withColumnsRenamed({"node": "id", "label": "part"}), "id").select("part", "id", "next", "ax", "ay", "grp")
     kind = rings.schema["grp"].dataType.simpleString()
-    return scans.sorted_groups(rows, ["part"]).mapInArrow(_ring_rows, f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
+    return scans.sorted_groups(rows, ["part"]).mapInArrow(lambda batches: _ring_rows(batches, step), f"grp {kind}, part long, ring array<struct<x double, y double>>, hole boolean")
 
 
 def with_directions(rings: DataFrame) -> DataFrame:
@@ -207,14 +211,14 @@ def _clean(ring: Column) -> Column:
     return g.counter_clockwise(F.transform(kept, lambda p: g.point(p["x"], p["y"])))
 
 
-def offset(rings: DataFrame, by: float, square: bool = False) -> DataFrame:
+def offset(rings: DataFrame, by: float, square: bool = False, step: float = STEP) -> DataFrame:
     """(id, part, ring, hole): the outlines of rings (id, ring) grown by `by`, or shrunk if negative; nothing may be left of one.
 
     Either winding of a ring will do. Corners are mitered, or squared.
     """
     rows = rings.select("id", F.explode(F.array(_clean(C("ring")))).alias("ring")).where("size(ring) > 2")
     moved = with_directions(rows).select(C("id").alias("grp"), C("id").alias("rid"), offset_curve(C("ring"), F.lit(float(by)), square).alias("ring"))
-    return outlines(written(moved, "moved")).withColumnRenamed("grp", "id")
+    return outlines(written(moved, "moved"), step=step).withColumnRenamed("grp", "id")
 
 
 def _largest(outlined: DataFrame) -> DataFrame:
@@ -224,7 +228,7 @@ def _largest(outlined: DataFrame) -> DataFrame:
 
 def dilated_eroded(rings: DataFrame, by: float) -> DataFrame:
     """(id, ring): rings (id, ring) grown by `by` and shrunk again, which closes bays narrower than twice that; the largest part of each."""
-    return _largest(offset(_largest(offset(rings, by)), -by))
+    return _largest(offset(_largest(offset(rings, by)), -by, step=AGAIN))
 
 
 def union(rings: DataFrame) -> DataFrame:
@@ -249,7 +253,10 @@ def united(buildings: DataFrame, inflate: float) -> tuple[DataFrame, DataFrame]:
     """
     grown = written(_largest(offset(buildings, inflate, square=True)), "grown")
     joined = union(touching_groups(grown).select("grp", "id", "ring")).where("not hole")
-    shrunk = offset(joined.select(C("part").alias("id"), "ring"), -inflate, square=True).where("not hole")
+    shrunk = offset(joined.select(C("part").alias("id"), "ring"), -inflate, square=True, step=AGAIN).where("not hole")
     blobs = written(shrunk.select(F.xxhash64("id", "part").alias("blob"), "ring"), "blobs")
-    members = written(locate.assigned(buildings.select(C("id").alias("b"), "ring"), blobs).select(C("b").alias("id"), "blob"), "members")
+    # buildings a hundred-thousandth smaller, since their edges and the blobs' are the same but for rounding
+    centre = buildings.select("id", "ring", g.vertex_mean(C("ring")).alias("m"))
+    inner = F.transform("ring", lambda p: g.point(p["x"] + (C("m.x") - p["x"]) * 1e-5, p["y"] + (C("m.y") - p["y"]) * 1e-5))
+    members = written(locate.assigned(centre.select(C("id").alias("b"), inner.alias("ring")), blobs).select(C("b").alias("id"), "blob"), "members")
     return blobs.join(members.select("blob").distinct(), "blob", "left_semi"), members

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g
-from geoweave.operators import locate, outlines
+from geoweave.operators import locate, outlines, reshaping
 from geoweave.plans.mesh_queries import ells
 from geoweave.plans.queries import _B, _P, query
+from geoweave.plans.route_queries import _bumpy
 from geoweave.shared import written
 from geoweave.sources.driver_tables import boxes
 
@@ -48,3 +49,24 @@ def united_buildings(spark, d):
     blobs, members = outlines.united(rings, 3.6)
     least = members.groupBy("blob").agg(F.min("id").alias("name"), F.count("*").alias("n_buildings"))
     return members.join(least, "blob").join(blobs, "blob").select(C("id").alias("b"), C("name").alias("blob"), "n_buildings", F.size("ring").cast("long").alias("corners"))
+
+
+@query()
+def light_outlines(spark, d):
+    """Corners left of the uneven rings about each box by the light chain, and their area; the tests hold the steps against plain versions."""
+    r = reshaping.light_rings(_bumpy(spark, d))
+    return r.select("id", F.size("ring").cast("long").alias("corners"), F.floor(F.abs(g.signed_area(C("ring"))) + 0.3711).alias("area"))
+
+
+@query()
+def strong_outlines(spark, d):
+    """The same by the strong chain: bays closed, short edges and flat corners out, corners held against the original."""
+    r = reshaping.strong_rings(_bumpy(spark, d))
+    return r.select("id", F.size("ring").cast("long").alias("corners"), F.floor(F.abs(g.signed_area(C("ring"))) + 0.3711).alias("area"))
+
+
+@query()
+def simplified_blobs(spark, d):
+    """Blobs of L-shaped buildings within 4 m of each other: how many buildings and corners each has."""
+    rings = ells(spark, d).where(g.signed_area(C("ring")) > 0).select(C("b").alias("id"), "ring")
+    return reshaping.blobs_of(rings).select(C("id").alias("blob"), F.size("buildings").cast("long").alias("n_buildings"), F.size("ring").cast("long").alias("corners"))
