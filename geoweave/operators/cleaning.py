@@ -91,9 +91,11 @@ def judged(features: DataFrame) -> DataFrame:
     shape = F.col("geom_type")
 
     def with_own(df: DataFrame, **columns: Column) -> DataFrame:
-        """Steps of their own, so that what is used several times is worked out once."""
-        return df.withColumns({f"_judged_{k}": v for k, v in columns.items()})
+        """df with columns that come out of a generator: the optimiser can't put its step and the next together, so each is worked out once."""
+        made = F.struct(*[v.alias(f"_judged_{k}") for k, v in columns.items()])
+        return df.withColumn("_made", F.explode(F.array(made))).select(*df.columns, "_made.*")
 
+    features = features.withColumn("props", F.explode(F.array("props")))
     rows = with_own(
         features, line=F.coalesce(shape == "LineString", F.lit(False)), whole=F.coalesce(shape.isin(GEOMETRIES), F.lit(False)), road_tags=hits(p, ROAD_TAGS_DROPPED),
         building=t("building"), highway=t("highway"), health=t("healthcare").isNotNull() | t("healthcare:speciality").isNotNull(),
@@ -137,13 +139,13 @@ def judged(features: DataFrame) -> DataFrame:
         F.when(road, _entry("modified", "highway_category_condensed", F.concat(own("highway"), F.lit("_to_"), own("road_class")))),
     ))
     none = F.array().cast("array<struct<section:string,rule:string,trigger:string>>")
-    out = rows.withColumns({
-        "kind": F.when(house, F.lit("building")).when(road, F.lit("road")),
-        "kept": own("kept"),
-        "log": F.when(own("dropped").isNotNull(), F.array(own("dropped"))).when(own("kept"), changed).otherwise(none),
-        "props": F.when(~own("kept"), p).when(house, house_props).otherwise(road_props),
-    })
-    return out.drop(*[c for c in out.columns if c.startswith("_judged_")])
+    out = with_own(
+        rows, log=F.when(own("dropped").isNotNull(), F.array(own("dropped"))).when(own("kept"), changed).otherwise(none),
+        props=F.when(~own("kept"), p).when(house, house_props).otherwise(road_props),
+    )
+    kind = F.when(house, F.lit("building")).when(road, F.lit("road")).alias("kind")
+    same = [c for c in features.columns if c not in ("props", "kind", "kept", "log")]
+    return out.select(*same, own("props").alias("props"), kind, own("kept").alias("kept"), own("log").alias("log"))
 
 
 def rule_counts(rows: DataFrame) -> DataFrame:

@@ -53,6 +53,22 @@ def even_odd() -> Column:
     return s.in_ring(C("x"), C("y"), C("ring"))
 
 
+def triangle_hits(points: DataFrame, triangles: DataFrame, size: float = 256.0) -> DataFrame:
+    """Rows of points (k, x, y) and triangles (tid, v1, v2, v3, ax, ..) that hold them, in plain columns: no ring goes through the join."""
+    corner = lambda v, c: (C(f"{c}x"), C(f"{c}y"), C(v))
+    named = [corner(v, c) for v, c in (("v1", "ta"), ("v2", "tb"), ("v3", "tc"))]
+    plain = triangles.select("tid", "v1", "v2", "v3", *[C(f"{c}{d}").cast("double").alias(f"t{c}{d}") for c in "abc" for d in "xy"])
+    ends = lambda f, d: f(*[f"t{c}{d}" for c in "abc"])
+    boxed = plain.withColumns({"x0": ends(F.least, "x"), "y0": ends(F.least, "y"), "x1": ends(F.greatest, "x"), "y1": ends(F.greatest, "y")})
+    ring = ring_of_xy(*[(C(f"t{c}x"), C(f"t{c}y")) for c in "abc"])
+    held = lambda c: (C(c) * size, (C(c) + 1) * size)
+    (x0, x1), (y0, y1) = held("cx"), held("cy")
+    cells = with_cells(boxed, size).where(s.ring_meets_box(ring, x0, y0, x1, y1)).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    p = points.withColumn("_cx", cell(C("x"), size)).withColumn("_cy", cell(C("y"), size))
+    near = (C("x") >= C("x0")) & (C("x") <= C("x1")) & (C("y") >= C("y0")) & (C("y") <= C("y1"))
+    return p.join(cells, ["_cx", "_cy"]).where(near & s.in_numbered_triangle(C("x"), C("y"), named)).select(*points.columns, "tid")
+
+
 def first_hit(points: DataFrame, shapes: DataFrame, key: str, test: Callable[[], Column] = numbered, size: float = 256.0) -> DataFrame:
     """(k, key): the least key of the shapes (key, ring) that hold each of points (k, x, y)."""
     return hits(points.select("k", "x", "y"), shapes.select(key, "ring"), test(), size).groupBy("k").agg(F.min(key).alias(key))
@@ -60,7 +76,12 @@ def first_hit(points: DataFrame, shapes: DataFrame, key: str, test: Callable[[],
 
 def match_counts(points: DataFrame, shapes: DataFrame, test: Callable[[], Column] = numbered, size: float = 256.0) -> DataFrame:
     """One row: zero_matches, multi_matches and n_points of points (k, x, y)."""
-    n = hits(points.select("k", "x", "y"), shapes.select("ring"), test(), size).groupBy("k").agg(F.count("*").alias("n"))
+    return counted(points, hits(points.select("k", "x", "y"), shapes.select("ring"), test(), size))
+
+
+def counted(points: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: how many points (k) have no row and several rows in found (k), and how many there are."""
+    n = found.groupBy("k").agg(F.count("*").alias("n"))
     all_ = points.select("k").join(n, "k", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return all_.agg(F.count_if(C("n") == 0).alias("zero_matches"), F.count_if(C("n") > 1).alias("multi_matches"), F.count("*").alias("n_points"))
 

@@ -59,13 +59,14 @@ _HIT = f"{_M}, hit AS (SELECT k, tid FROM pts JOIN ms ON x BETWEEN least(ax, bx,
 @query(f"WITH {_HIT} SELECT k, min(tid) AS tid FROM hit GROUP BY k")
 def mesh_point_triangle(spark, d):
     """Each point's triangle, with sides reckoned from the vertex of smaller number; the least at shared edges."""
-    return locate.first_hit(points(spark, d), locate.triangle_rings(mesh(spark, d)), "tid")
+    return locate.triangle_hits(points(spark, d).select("k", "x", "y"), mesh(spark, d)).groupBy("k").agg(F.min("tid").alias("tid"))
 
 
 @query(f"WITH {_HIT}, n AS (SELECT pts.k, count(tid) AS n FROM pts LEFT JOIN hit ON pts.k = hit.k GROUP BY pts.k) SELECT count(*) FILTER (n = 0) AS zero_matches, count(*) FILTER (n > 1) AS multi_matches, count(*) AS n_points FROM n")
 def mesh_location_qa(spark, d):
     """How many points are in no triangle and in several."""
-    return locate.match_counts(points(spark, d), locate.triangle_rings(mesh(spark, d)))
+    p = points(spark, d).select("k", "x", "y")
+    return locate.counted(p, locate.triangle_hits(p, mesh(spark, d)))
 
 
 _Q = f"{_P}, qd AS (SELECT v AS poly, list_transform([0, 1, 129, 128], lambda i: v + i) AS vs FROM city), qe AS (SELECT poly, unnest([[vs[1], vs[2]], [vs[2], vs[3]], [vs[3], vs[4]], [vs[4], vs[1]]]) AS e FROM qd)"
@@ -84,7 +85,7 @@ def mesh_point_polygon(spark, d):
 @query(f"WITH {_HIT} SELECT k, min(tid // 2 // 512) AS blob FROM hit GROUP BY k")
 def mesh_point_blob(spark, d):
     """Each point's blob (four rows of cells), by its triangles."""
-    found = locate.hits(points(spark, d).select("k", "x", "y"), locate.triangle_rings(mesh(spark, d)), locate.numbered(), 256.0)
+    found = locate.triangle_hits(points(spark, d).select("k", "x", "y"), mesh(spark, d))
     return found.groupBy("k").agg(F.min(F.floor(C("tid") / 2 / 512)).alias("blob"))
 
 
