@@ -127,3 +127,17 @@ def nearest(queries: DataFrame, points: DataFrame, start: float = 256.0) -> Data
         if not open_.limit(1).count():
             return reduce(DataFrame.unionAll, done)
         size *= 4
+
+
+def extracted(points: DataFrame, uses: DataFrame, members: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an extract by a box holds, as (points (v), features (id), groups (grp)): whole features, not only their part inside.
+
+    A feature of uses (id, v) belongs to it if one of its points (v, x, y) lies in the box, borders included; its other points
+    belong to it too, and so do points of no feature in the box. A group of members (grp, id) belongs to it if one of its
+    features does; its other features don't. Names of points that are not there count for nothing.
+    """
+    x0, y0, x1, y1 = box
+    inside = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).select("v")
+    features = written(uses.join(inside, "v", "left_semi").select("id").distinct(), "features")
+    named = uses.join(features, "id", "left_semi").select("v").distinct().join(points.select("v"), "v", "left_semi")
+    return inside.union(named).distinct(), features, members.join(features, "id", "left_semi").select("grp").distinct()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions import geometry as g, shapes as s
-from geoweave.operators import rings
+from geoweave.operators import rings, spatial
 from geoweave.plans.mesh_queries import _ELL, _M, ells, mesh as triangles
 from geoweave.plans.queries import _B, _P, query
+from geoweave.shared import written
 from geoweave.sources.driver_tables import boxes, points, table
 
 C = F.col
@@ -82,3 +83,17 @@ def dedup_input(spark, d):
     rows = b.select("b", shape.alias("shape"), line.alias("line"), F.when(C("b") % 3 > 0, F.lit("yes")).alias("building"))
     whole = (C("shape") == "Polygon") | ((C("shape") == "LineString") & rings.is_closed(C("line"), 1e-9))
     return rows.where(C("building").isNotNull() & whole).select("b")
+
+
+@query(
+    f"WITH {_M}, us AS (SELECT tid AS id, unnest([{{'v': v1, 'x': ax, 'y': ay}}, {{'v': v2, 'x': bx, 'y': by_}}, {{'v': v3, 'x': cx, 'y': cy}}], recursive := true) FROM ms), ins AS (SELECT DISTINCT v FROM us WHERE {_within('x', 'y')}), "
+    "ft AS (SELECT DISTINCT id FROM us WHERE v IN (SELECT v FROM ins)), pt AS (SELECT v FROM ins UNION SELECT v FROM us WHERE id IN (SELECT id FROM ft)) "
+    "SELECT 'point' AS kind, v AS id FROM pt UNION ALL SELECT 'feature', id FROM ft UNION ALL SELECT DISTINCT 'group', id // 2 // 512 FROM ft"
+)
+def extract_by_box(spark, d):
+    """What an extract by a box holds of the mesh: whole triangles, all their corners, and the blobs they belong to."""
+    t = written(triangles(spark, d), "mesh")
+    corner = lambda v, c: F.struct(C(v).alias("v"), C(f"{c}x").alias("x"), C(f"{c}y").alias("y"))
+    uses = t.select(C("tid").alias("id"), F.explode(F.array(corner("v1", "a"), corner("v2", "b"), corner("v3", "c"))).alias("p")).select("id", "p.*")
+    found = spatial.extracted(uses.select("v", "x", "y").distinct(), uses.select("id", "v"), t.select(F.floor(C("tid") / 2 / 512).alias("grp"), C("tid").alias("id")), _BOX)
+    return found[0].select(F.lit("point").alias("kind"), C("v").alias("id")).union(found[1].select(F.lit("feature"), "id")).union(found[2].select(F.lit("group"), "grp"))
