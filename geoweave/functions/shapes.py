@@ -38,6 +38,13 @@ def remapped(v: Column, a: Column, b: Column, c: Column, d: Column, held: bool =
     return lerp(c, d, clamp(t, F.lit(0.0), F.lit(1.0)) if held else t)
 
 
+def remapped_by_powers(v: Column, a: Column, b: Column, c: Column, d: Column, held: bool = False) -> Column:
+    """The same with equal steps of v making equal factors between c and d; as remapped() where one of these isn't positive."""
+    t = (v - a) / F.nullif(b - a, F.lit(0.0))
+    t = clamp(t, F.lit(0.0), F.lit(1.0)) if held else t
+    return F.when((c > 0) & (d > 0), c * F.pow(d / F.nullif(c, F.lit(0.0)), t)).otherwise(remapped(v, a, b, c, d, held))
+
+
 def triangle_area(ax, ay, bx, by, cx, cy) -> Column:
     return F.abs(side(cx, cy, ax, ay, bx, by)) / 2
 

@@ -93,6 +93,18 @@ def near_vertex(queries: DataFrame, triangles: DataFrame, size: float = 256.0) -
     return q.join(cells, ["cx", "cy", "v"]).groupBy("k").agg(F.min("tid").alias("tid"))
 
 
+def in_known_polygon(queries: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(k, tid, at_vertex) for queries (k, poly, x, y, v): the first triangle of the polygon that holds the point, and the first with vertex v.
+
+    triangles (poly, tid, v1, v2, v3, ax, ..). Where the polygon has no such triangle the number is null; queries of a polygon
+    without triangles have no row. Other polygons' triangles are not looked at, though they may hold the point too.
+    """
+    corner = lambda v, c: (C(f"{c}x"), C(f"{c}y"), C(v))
+    inside = s.in_numbered_triangle(C("x"), C("y"), [corner("v1", "a"), corner("v2", "b"), corner("v3", "c")])
+    both = queries.select("k", "poly", "x", "y", "v").join(triangles, "poly")
+    return both.groupBy("k").agg(F.min(F.when(inside, C("tid"))).alias("tid"), F.min(F.when(C("v").isin(C("v1"), C("v2"), C("v3")), C("tid"))).alias("at_vertex"))
+
+
 def assigned(buildings: DataFrame, blobs: DataFrame, size: float = 512.0) -> DataFrame:
     """(b, blob): the first of blobs (blob, ring) that mostly contains each of buildings (b, ring); those in none have no row.
 

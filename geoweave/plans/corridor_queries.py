@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from geoweave.functions import geometry as g
 from geoweave.operators import corridors, locate, mesh, routes
@@ -80,3 +80,15 @@ def line_corridors(spark, d):
     ends = way.groupBy("p").agg(F.min_by("v", "step").alias("first"), F.max_by("v", "step").alias("last"), F.count("*").alias("n"))
     rows = ends.join(pairs, "p").join(steps, "p", "left")
     return rows.select("p", (C("first") == C("start")).alias("starts"), (C("last") == C("goal")).alias("ends"), (F.coalesce("steps", F.lit(0)) == C("n") - 1).alias("joined"), F.lit(True).alias("found"))
+
+
+@query(
+    f"WITH {_PE}, le AS (SELECT poly, neighbour, sum(sqrt(({_sx('v1')} - {_sx('v2')}) * ({_sx('v1')} - {_sx('v2')}) + ({_sy('v1')} - {_sy('v2')}) * ({_sy('v1')} - {_sy('v2')}))) AS l FROM pn GROUP BY poly, neighbour) "
+    "SELECT poly, neighbour, floor(l * 100 + 0.3711)::BIGINT AS length, floor(l / sum(l) OVER (PARTITION BY poly) * 1000000 + 0.3711)::BIGINT AS share_ppm FROM le"
+)
+def shared_edges(spark, d):
+    """Each polygon's neighbours with the length of the edges shared with them, and its share of all: the chance to go there."""
+    e = routes.polygon_edges(quads(spark, d)).where("neighbour is not null")
+    length = e.groupBy("poly", "neighbour").agg(F.sum(g.distance(C("ax"), C("ay"), C("bx"), C("by"))).alias("l"))
+    share = C("l") / F.sum("l").over(Window.partitionBy("poly"))
+    return length.select("poly", "neighbour", F.floor(C("l") * 100 + 0.3711).alias("length"), F.floor(share * 1000000 + 0.3711).alias("share_ppm"))

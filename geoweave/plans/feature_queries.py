@@ -109,3 +109,9 @@ _KIND = "CASE WHEN regexp_full_match(value, '-?[0-9]+') THEN 'number' WHEN value
 def profile_types(spark, d):
     """Each key's presence, whether it is optional, the types of its values, and whether they are few enough for an enumeration."""
     return rules.profile_types(features(spark, d).where("props is not null"), "props", 12)
+
+
+@query(f"WITH {_F} SELECT k, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN \"{t[0]}\" IS NOT NULL THEN {_q(t[0])} END" for t in TAGS) + "], lambda x: x IS NOT NULL)), ',') AS keys FROM ft WHERE has_props")
+def sorted_property_keys(spark, d):
+    """The keys that each feature's properties have, in ascending order."""
+    return features(spark, d).where("props is not null").select("k", F.array_join(F.array_sort(F.map_keys("props")), ",").alias("keys"))

@@ -161,6 +161,20 @@ def largest_triangles(spark, d):
     return mesh(spark, d).select("tid", area.alias("area")).orderBy(F.desc("area"), "tid").limit(50)
 
 
+@query(
+    f"WITH {_HIT}, kp AS (SELECT k, min(tid // 2) AS poly, any_value((floor(y / 512)::BIGINT + 64) * 128 + floor(x / 512)::BIGINT + 64) AS v FROM hit JOIN pts USING (k) GROUP BY k) "
+    "SELECT kp.k, kp.poly, (SELECT min(tid) FROM hit WHERE hit.k = kp.k AND tid // 2 = kp.poly) AS tid, (SELECT min(tid) FROM ms WHERE tid // 2 = kp.poly AND (v1 = kp.v OR v2 = kp.v OR v3 = kp.v)) AS at_vertex FROM kp"
+)
+def triangle_in_polygon(spark, d):
+    """For each point whose quadrilateral is known, the triangle of it that holds the point, and the first at a vertex."""
+    p = points(spark, d).select("k", "x", "y")
+    t = mesh(spark, d).withColumn("poly", F.floor(C("tid") / 2).cast("long"))
+    v = (F.floor(C("y") / 512) + 64) * 128 + F.floor(C("x") / 512) + 64
+    poly = locate.triangle_hits(p, t).groupBy("k").agg(F.min(F.floor(C("tid") / 2).cast("long")).alias("poly"))
+    known = p.join(poly, "k").withColumn("v", v)
+    return locate.in_known_polygon(known, t).join(poly, "k").select("k", "poly", "tid", "at_vertex")
+
+
 @query(f"WITH {_M}, ar AS (SELECT tid, abs((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / 2 AS area FROM ms), po AS (SELECT tid // 2 AS poly, sum(area) AS area FROM ar GROUP BY 1) SELECT (SELECT sum(area) / count(*) FROM ar) AS triangle_area, (SELECT sum(area) / count(*) FROM po) AS polygon_area")
 def mean_areas(spark, d):
     """Mean area of triangles and of polygons; areas are halves of whole numbers, so sums are exact."""

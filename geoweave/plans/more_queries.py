@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from geoweave.functions import geometry as g
+from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import mesh, rules
 from geoweave.plans.queries import _B, _P, _RING, _T, _edges, _rings, _triangles, _V, query
 from geoweave.sources.driver_tables import boxes, points, table
@@ -141,3 +141,28 @@ def parse_points(spark, d):
     number = r"^\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)\s*$"
     either = lambda c, i: F.coalesce(F.get_json_object("t", f"$.{c}").try_cast("double"), F.regexp_extract("t", number, i).try_cast("double"))
     return t.select("event_id", either("x", 1).alias("x"), either("y", 2).alias("y"))
+
+
+@query(
+    f"WITH {_P}, t AS (SELECT k, (x + 5000) / 10000.0::DOUBLE AS t, x, y FROM pts), h AS (SELECT *, greatest(0, least(1, t)) AS held FROM t) SELECT k, floor((20 + t * (0.15 - 20)) * 1000 + 0.5)::BIGINT AS linear, floor((20 + held * (0.15 - 20)) * 1000 + 0.5)::BIGINT AS held, "
+    "floor(20 * pow(0.15 / 20, held) * 1000 + 0.5)::BIGINT AS powers, floor((-1 + t * 3) * 1000 + 0.5)::BIGINT AS crossing, floor(x / sqrt(x * x + y * y) * 1000000 + 0.5)::BIGINT AS east FROM h WHERE x * x + y * y > 0"
+)
+def remapped_values(spark, d):
+    """A coordinate put between two values: in equal steps, held at the ends, by equal factors, and across 0; and the direction of each point."""
+    p = points(spark, d).where(C("x") * C("x") + C("y") * C("y") > 0)
+    n, whole = (lambda v: F.lit(float(v))), (lambda v, m=1000: F.floor(v * m + 0.5))
+    at = (C("x"), n(-5000), n(5000))
+    return p.select(
+        "k", whole(s.remapped(*at, n(20), n(0.15))).alias("linear"), whole(s.remapped(*at, n(20), n(0.15), held=True)).alias("held"), whole(s.remapped_by_powers(*at, n(20), n(0.15), held=True)).alias("powers"),
+        whole(s.remapped_by_powers(*at, n(-1), n(2))).alias("crossing"), whole(s.unit(C("x"), C("y"))["x"], 1000000).alias("east"),
+    )
+
+
+@query(
+    f"WITH {_P}, c AS (SELECT k, ((floor(x / 64)::BIGINT % 2) + 2) % 2 AS u, ((floor(y / 64)::BIGINT % 2) + 2) % 2 AS v FROM pts) "
+    "SELECT k, CASE WHEN u = v THEN 1 ELSE 2 END AS pattern, CASE WHEN v = 0 THEN 'yellow' ELSE 'blue' END AS colour FROM c"
+)
+def checkerboard_patterns(spark, d):
+    """The pattern and colour of each point's cell: both numbers even or both odd in the first, one of each in the second."""
+    odd = lambda c: F.pmod(g.cell(C(c), 64.0), F.lit(2))
+    return points(spark, d).select("k", F.when(odd("x") == odd("y"), 1).otherwise(2).alias("pattern"), F.when(odd("y") == 0, "yellow").otherwise("blue").alias("colour"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from geoweave.functions import clip, geometry as g, texts
 from geoweave.functions.seeded import seeded
-from geoweave.operators import locate, mesh, rings, sequences as seq, spatial
+from geoweave.operators import locate, mesh, rings, sequences as seq, spatial, tiles
 from geoweave.plans.mesh_queries import _L, _M, ells, mesh as triangles
 from geoweave.plans.queries import _B, _P, query
 from geoweave.sources.driver_tables import boxes, points, table
@@ -105,6 +105,42 @@ def clipped_polygons(spark, d):
     return cut.select("b", C("cx").alias("tx"), C("cy").alias("ty"), F.explode(F.array(F.abs(g.signed_area(C("ring"))))).alias("a")).where("a > 0.5").select("b", "tx", "ty", F.floor(C("a") + 0.5).alias("area"))
 
 
+_ZOOMS, _WORLD = (3, 5), 10240.0
+_TILED = (
+    "zo AS (SELECT unnest([3, 5]) AS z), zs AS (SELECT z, CAST(pow(2, z) AS BIGINT) AS n, 20480.0::DOUBLE / pow(2, z) AS size FROM zo), "
+    "za AS (SELECT *, unnest(range(greatest(0, floor((x0 + 10240) / size)::BIGINT), least(n - 1, floor((x1 + 10240) / size)::BIGINT) + 1)) AS tx FROM zb, zs), "
+    "zt AS (SELECT *, unnest(range(greatest(0, floor((y0 + 10240) / size)::BIGINT), least(n - 1, floor((y1 + 10240) / size)::BIGINT) + 1)) AS ty FROM za)"
+)
+_STEP = "floor(greatest(0, least(size, {0} - (t{1} * size - 10240))) / size * 4096 + 0.5)::BIGINT"
+
+
+@query(
+    f"WITH {_B}, zb AS (SELECT b, x0, (x0 + x1) / 2 AS mx, x1, y0, (y0 + y1) / 2 AS my, y1 FROM boxes WHERE x1 > x0), {_TILED}, q AS (SELECT z, tx, ty, b, "
+    + ", ".join(f"{_STEP.format(c, c[-1] if c[0] == 'm' else c[0])} AS {c}" for c in ("x0", "mx", "x1", "y0", "my", "y1"))
+    + " FROM zt), a AS (SELECT *, (x1 - x0) * (my - y0) + (mx - x0) * (y1 - my) AS area FROM q) SELECT z, tx, ty, b, area FROM a WHERE area <> 0"
+)
+def tile_polygons(spark, d):
+    """L-shaped buildings in whole steps of the tiles of two zooms: the area of each in each tile, in squared steps."""
+    rings = ells(spark, d).where(g.signed_area(C("ring")) > 0).select(C("b").alias("id"), "ring")
+    t = tiles.tile_polygons(rings, list(_ZOOMS), _WORLD)
+    return t.select("z", "tx", "ty", C("id").alias("b"), g.signed_area(C("ring")).cast("long").alias("area"))
+
+
+@query(
+    f"WITH {_B}, zb AS (SELECT b, least(x0, x1) AS x0, y0, x1, y1 FROM boxes WHERE x1 > x0), {_TILED}, q AS (SELECT z, tx, ty, b, x1 >= tx * size - 10240 AND x1 <= (tx + 1) * size - 10240 AS upright, y0 >= ty * size - 10240 AND y0 <= (ty + 1) * size - 10240 AS level, "
+    + ", ".join(f"{_STEP.format(c, c[0])} AS {c}" for c in ("x0", "x1", "y0", "y1"))
+    + " FROM zt) SELECT z, tx, ty, b, (CASE WHEN level THEN x1 - x0 ELSE 0 END + CASE WHEN upright THEN y1 - y0 ELSE 0 END)::BIGINT AS length FROM q WHERE level OR upright"
+)
+def tile_lines(spark, d):
+    """The lower and right sides of boxes as lines in the tiles of two zooms: how long each is in each tile, in steps."""
+    b = boxes(spark, d).where("x1 > x0")
+    line = locate.ring_of_xy((C("x0"), C("y0")), (C("x1"), C("y0")), (C("x1"), C("y1")))
+    t = tiles.tile_lines(b.select(C("b").alias("id"), line.alias("line")), list(_ZOOMS), _WORLD)
+    ends = lambda p, q: F.abs(p["x"] - q["x"]) + F.abs(p["y"] - q["y"])
+    length = F.aggregate(F.sequence(F.lit(1), F.size("line")), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(ends(F.get("line", i), F.get("line", i - 1)), F.lit(0).cast("long")))
+    return t.select("z", "tx", "ty", C("id").alias("b"), length.alias("l")).groupBy("z", "tx", "ty", "b").agg(F.sum("l").alias("length"))
+
+
 @query(
     f"WITH {_B}, t AS (SELECT b, x0, y0, floor(x0 / 512)::BIGINT AS tx, floor(y0 / 512)::BIGINT AS ty FROM boxes) SELECT b, tx, ty, floor((x0 - tx * 512) / 512.0::DOUBLE * 4096 + 0.5)::BIGINT AS qx, floor((1 - (y0 - ty * 512) / 512.0::DOUBLE) * 4096 + 0.5)::BIGINT AS qy FROM t"
 )
