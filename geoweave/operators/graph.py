@@ -61,6 +61,7 @@ def hops(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFra
 
     Nodes that can't be reached have no row; without start nodes there are none. Repeated edges change nothing.
     """
+    edges = written(edges.select("a", "b").distinct(), "edges")  # each round reads them
     seen = written(start.select("v").distinct().withColumn("hops", F.lit(0)), "hops")
     frontier, n = seen, 0
     while most is None or n < most:
@@ -81,6 +82,7 @@ def route_costs(start: DataFrame, edges: DataFrame) -> DataFrame:
     Only nodes that got cheaper go on to the next round. via is the least node at a tie, -1 at the start. Nodes that can't be
     reached have no row; of repeated edges the cheapest counts; null costs lead nowhere.
     """
+    edges = written(edges.select("a", "b", "cost"), "edges")  # each round reads them
     best = written(start.select("v", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("via")).distinct(), "costs")
     open_ = best
     while True:
