@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geoweave.functions.geometry import cell
+from geoweave.functions.geometry import cell, halton
 from geoweave.shared import written
 
 
@@ -74,19 +74,24 @@ def pairs_within(points: DataFrame, radius: float, strict: bool = False) -> Data
     return both.withColumn("d2", d2).where(near).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "d2")
 
 
-def capped_cells(points: DataFrame, size: float, most: int) -> DataFrame:
-    """points (k, x, y) with their cell, the first `most` of each cell by k; null coordinates are a cell of their own."""
-    p = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
+def capped_cells(points: DataFrame, size: float, most: int, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """points (k, x, y) with their cell, the first `most` of each cell by k; null coordinates are a cell of their own. shift moves the cells."""
+    p = points.withColumn("cx", cell(F.col("x") - shift[0], size)).withColumn("cy", cell(F.col("y") - shift[1], size))
     return p.withColumn("place", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("k"))).where(F.col("place") <= most)
 
 
-def collisions(points: DataFrame, size: float = 128.0, reach: float = 5.0, most: int = 256) -> DataFrame:
+def frame_shift(frame: int, size: float = 128.0) -> tuple[float, float]:
+    """How far a frame's cells are moved, so that no two points lie in different cells for long: Halton numbers of base 2 and 3."""
+    return halton(frame, 2) * size, halton(frame, 3) * size
+
+
+def collisions(points: DataFrame, size: float = 128.0, reach: float = 5.0, most: int = 256, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(a, b, dx, dy, d2) of points of one cell nearer than reach and farther than the square root of 0.001.
 
     Neighbouring cells are not looked at: that is the meaning of this operator. A cell takes part with its first `most` points
     by k; points at the same place do not collide.
     """
-    p = capped_cells(points, size, most)
+    p = capped_cells(points, size, most, shift)
     q = p.select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     pair = p.join(q, ["cx", "cy"]).where("k < b").select(F.col("k").alias("a"), "b", (F.col("bx") - F.col("x")).alias("dx"), (F.col("by") - F.col("y")).alias("dy"))
     return pair.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).where((F.col("d2") > 0.001) & (F.col("d2") < reach * reach))

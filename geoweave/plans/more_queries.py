@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from geoweave.functions import geometry as g, shapes as s
-from geoweave.operators import mesh, rules
-from geoweave.plans.queries import _B, _P, _RING, _T, _edges, _rings, _triangles, _V, query
-from geoweave.sources.driver_tables import boxes, points, table
+from geoweave.operators import mesh, rules, spatial
+from geoweave.plans.queries import _A, _B, _P, _RING, _T, _edges, _rings, _triangles, _V, query
+from geoweave.sources.driver_tables import agents, boxes, points, table
 
 C = F.col
 
@@ -166,3 +166,15 @@ def checkerboard_patterns(spark, d):
     """The pattern and colour of each point's cell: both numbers even or both odd in the first, one of each in the second."""
     odd = lambda c: F.pmod(g.cell(C(c), 64.0), F.lit(2))
     return points(spark, d).select("k", F.when(odd("x") == odd("y"), 1).otherwise(2).alias("pattern"), F.when(odd("y") == 0, "yellow").otherwise("blue").alias("colour"))
+
+
+@query(
+    f"WITH {_A}, aw AS (SELECT k, x * 2 AS x, y * 2 AS y FROM ag), fr AS (SELECT unnest([{{'f': 1, 'ox': 64.0::DOUBLE, 'oy': 128.0::DOUBLE / 3}}, {{'f': 2, 'ox': 32.0, 'oy': 256.0::DOUBLE / 3}}, {{'f': 3, 'ox': 96.0, 'oy': 128.0::DOUBLE / 9}}], recursive := true)), "
+    "cp AS (SELECT f, k, x, y, floor((x - ox) / 128) AS cx, floor((y - oy) / 128) AS cy FROM aw, fr), cq AS (SELECT *, row_number() OVER (PARTITION BY f, cx, cy ORDER BY k) AS o FROM cp), ce AS (SELECT * FROM cq WHERE o <= 256), "
+    "co AS (SELECT p.f, p.k AS a, q.k AS b, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS d2 FROM ce p JOIN ce q ON p.f = q.f AND p.cx = q.cx AND p.cy = q.cy AND p.k < q.k) SELECT a, b, count(*) AS frames FROM co WHERE d2 > 0.001 AND d2 < 25 GROUP BY a, b"
+)
+def moving_collisions(spark, d):
+    """Pairs that meet in the cells of three frames, whose borders move, and in how many of them."""
+    p = agents(spark, d).select("k", (C("x") * 2).alias("x"), (C("y") * 2).alias("y"))
+    met = [spatial.collisions(p, shift=spatial.frame_shift(f)).select("a", "b") for f in (1, 2, 3)]
+    return met[0].union(met[1]).union(met[2]).groupBy("a", "b").agg(F.count("*").alias("frames"))
