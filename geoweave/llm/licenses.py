@@ -105,7 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, str], k: int = 5, percent: int =
 
     n_shingles: distinct k-word shingles of the template; n_shared: the most of them in one window of the text, and
     first_word, from 0, the first such window's first word. Templates of fewer than k words, and null, empty and shorter
-    texts, match nothing. Rows that share a doc_id give one row for each license. Columns beside doc_id and text are not
+    texts, match nothing; texts are looked through whole, however long. Rows that share a doc_id give one row for each license. Columns beside doc_id and text are not
     looked at. An empty table gives an empty one.
     """
     spark: SparkSession = docs.sparkSession

@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
 def repetition_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 20240) -> DataFrame:
     """docs (doc_id, text, source) as (doc_id, text, source, rest, size, source_size, target, copies).
 
-    size: number of words; null texts have 0. Null sources are one source of their own, the last. rest: a struct of the
+    size: number of words of the whole text, however long; null texts have 0. Null sources are one source of their own, the last. rest: a struct of the
     other columns, whatever their names. Rows that share an id draw alike, null ids too. A source without words has target
     0 and its documents 0 copies. An empty table gives an empty one.
     """

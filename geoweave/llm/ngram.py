@@ -324,7 +324,7 @@ def _begins(model: Model) -> float:
 def score_texts(docs: DataFrame, learn: DataFrame, buckets: int | None = None, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, held_out, text).
 
-    order is 2 (pairs) or 3 (triples). learn (text) is what the model learns from, all of it. Null texts count as empty: one token, the end. Rows that are
+    order is 2 (pairs) or 3 (triples). learn (text) is what the model learns from, all of it. Null texts count as empty: one token, the end; texts of any length are scored whole. Rows that are
     repeated count as often as they stand there. A model of no text gives every token 1 / (V + 1) = 1. Other columns of docs,
     whatever their names, are not looked at. An empty docs gives an empty table.
     """

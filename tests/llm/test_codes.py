@@ -79,3 +79,19 @@ def test_embeddings_with_repeated_rows_match_sql(spark, sql, same, tiny, tmp_pat
 
     pq.write_table(pa.concat_tables([table, table.slice(3, 40)]), tmp_path / "embeddings.parquet")
     same(QUERIES["op12_vector_codes"](spark, str(tmp_path)).toPandas(), sql(str(tmp_path), ORACLES["op12_vector_codes"]))
+
+
+def test_neighbours_with_clashing_columns(spark):
+    """Tables whose other columns have the names of the operators' own: the results are those without them."""
+    from geoweave.llm import knn
+
+    rows = [(i, [float(i % 7) / 8, float(i % 5) / 8, 0.5, -0.25], i % 3) for i in range(60)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    odd = plain.selectExpr("*", "'c' AS cell", "1 AS v", "2 AS far", "3 AS block", "4 AS code", "5 AS error", "6 AS keys", "7 AS ids")
+    got = []
+    for table in (plain, odd):
+        vectors = knn.whole_vectors(table, 64.0)
+        near = sorted(map(tuple, knn.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=5).collect()))
+        coded, _ = codes.code_vectors(codes.integer_vectors(table, 256.0), parts=2, entries=8)
+        got.append((near, sorted((r.vec_id, bytes(r.code), r.error) for r in coded.collect())))
+    assert got[0] == got[1] and len(got[0][0]) == 15 and len(got[0][1]) == 60
