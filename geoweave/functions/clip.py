@@ -1,10 +1,14 @@
-"""Clipping of lines and rings to boxes, and tile coordinates, without UDFs."""
+"""Clipping of lines and rings to boxes, and tile coordinates: expressions, save for rings, which are cut a batch at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoweave.functions.geometry import _edges, point
+from geoweave.functions.geometry import point
 
 
 def clipped_span(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
@@ -28,30 +32,64 @@ def clipped_segment(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
     return F.when(span.isNotNull(), F.struct(*[c.alias(n) for c, n in zip([*at("t0"), *at("t1")], ("ax", "ay", "bx", "by"))]))
 
 
-def _cut(ring: Column, axis: str, bound: Column, sign: int) -> Column:
-    """The part of a ring on one side of a line along an axis."""
-    other = "y" if axis == "x" else "x"
+def cut_side(v: np.ndarray, w: np.ndarray, offsets: np.ndarray, bound: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rings of corners (v, w), ring i from offsets[i] on, cut to one side of a line v = bound[i] each: their new corners and offsets."""
+    size = np.diff(offsets)
+    bound = np.repeat(bound, size)
+    follow = np.arange(1, len(v) + 1)
+    follow[offsets[1:][size > 0] - 1] = offsets[:-1][size > 0]
+    inside = (v - bound) * sign >= 0
+    ends, cut = inside[follow], inside != inside[follow]
+    at = np.append(0, np.cumsum(cut.astype(np.int64) + ends))
+    out_v, out_w = np.empty(at[-1]), np.empty(at[-1])
+    i, j = np.flatnonzero(cut), np.flatnonzero(ends)
+    f = follow[i]
+    out_v[at[i]] = bound[i]
+    out_w[at[i]] = w[i] + (bound[i] - v[i]) / (v[f] - v[i]) * (w[f] - w[i])
+    out_v[at[j] + cut[j]], out_w[at[j] + cut[j]] = v[follow[j]], w[follow[j]]
+    return out_v, out_w, at[offsets]
+
+
+def cut_to_boxes(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with a box for each ring, side by side of it."""
+    x, y, offsets = cut_side(x, y, offsets, x0, 1)
+    x, y, offsets = cut_side(x, y, offsets, x1, -1)
+    y, x, offsets = cut_side(y, x, offsets, y0, 1)
+    y, x, offsets = cut_side(y, x, offsets, y1, -1)
+    return x, y, offsets
+
+
+def ring_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners of a column of rings and where each ring begins, and the end; null rings have no corner."""
+    flat = column.flatten()
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.asarray(flat.field(0), float), np.asarray(flat.field(1), float), np.append(0, np.cumsum(size, dtype=np.int64))
 
-    def kept(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        inside = lambda p: (p[axis] - bound) * sign >= 0
-        along = a[other] + (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0)) * (b[other] - a[other])
-        cut = point(bound, along) if axis == "x" else point(along, bound)
-        end = point(b["x"], b["y"])
-        none = F.slice(F.array(end), 1, 0)
-        return F.when(inside(a) & inside(b), F.array(end)).when(inside(a), F.array(cut)).when(inside(b), F.array(cut, end)).otherwise(none)
 
-    return F.flatten(F.transform(_edges(ring), kept))
+def rings_column(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    ends = pa.array(offsets, pa.int32()) if null is None else pa.array(offsets, pa.int32(), mask=np.append(null, False))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
 
 
 def clipped_rings(rows: DataFrame, ring: str, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """rows with column `ring` cut to a box, side by side of it, a step for each side.
+    """rows with column `ring` cut to a box, side by side of it; the rings of an Arrow batch go through each side together.
 
     Exact for convex rings; parts of others stay joined along the border, so areas are right. Null rings stay null.
     """
-    for axis, bound, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
-        rows = rows.withColumn(ring, _cut(F.col(ring), axis, bound, sign))
-    return rows
+    others = [c for c in rows.columns if c != ring]
+    plain = F.transform(ring, lambda p: point(p["x"], p["y"]))
+    sides = [c.cast("double").alias(f"_{n}") for n, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))]
+    given = rows.select(*others, plain.alias(ring), *sides)
+    n = len(others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(n)
+            box = [batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cut = rings_column(*cut_to_boxes(*ring_arrays(held), *box), held.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], cut], names=[*others, ring])
+
+    return given.mapInArrow(run, given.select(*others, ring).schema).select(*rows.columns)
 
 
 def in_tile(ring: Column, x0: Column, y0: Column, size: Column | float, extent: int = 4096) -> Column:

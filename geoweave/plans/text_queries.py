@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from geoweave.functions import clip, geometry as g, texts
+from geoweave.functions import clip, geometry as g, shapes as s, texts
 from geoweave.functions.seeded import seeded
 from geoweave.operators import locate, mesh, rings, sequences as seq, spatial, tiles
 from geoweave.plans.mesh_queries import _L, _M, ells, mesh as triangles
@@ -98,11 +98,14 @@ def clipped_polygons(spark, d):
     """L-shaped buildings cut at the lines of tiles of 256 m: the area of each in each tile."""
     size = 256.0
     rows = spatial.with_cells(locate.with_box(ells(spark, d).where(g.signed_area(C("ring")) > 0)), size)
-    # the area comes out of a generator, through which the engine pushes no filter, else the steps are worked out again in it
-    # and in coordinates from the tile's corner, which keep all their digits
-    near = F.transform("ring", lambda p: g.point(p["x"] - C("cx") * size, p["y"] - C("cy") * size))
-    cut = clip.clipped_rings(rows.select("b", "cx", "cy", near.alias("ring")), "ring", F.lit(0.0), F.lit(0.0), F.lit(size), F.lit(size))
-    return cut.select("b", C("cx").alias("tx"), C("cy").alias("ty"), F.explode(F.array(F.abs(g.signed_area(C("ring"))))).alias("a")).where("a > 0.5").select("b", "tx", "ty", F.floor(C("a") + 0.5).alias("area"))
+    side = lambda c, k: (C(c) + k) * F.lit(size)
+    # the heights of the whole shape's corners, held in the tile: SQL adds up the areas between them
+    held = F.transform(F.array_sort(F.transform("ring", lambda p: p["y"])), lambda y: F.greatest(F.least(y, side("cy", 1)), side("cy", 0)))
+    rows = rows.select("b", "cx", "cy", "ring", held.alias("heights"))
+    cut = clip.clipped_rings(rows, "ring", side("cx", 0), side("cy", 0), side("cx", 1), side("cy", 1))
+    # out of a generator, through which the engine pushes no filter, else the area is worked out again in it
+    cut = cut.select("b", C("cx").alias("tx"), C("cy").alias("ty"), F.explode(F.array(s.slab_area(C("ring"), C("heights")))).alias("a"))
+    return cut.where("a > 0.5").select("b", "tx", "ty", F.floor(C("a") + 0.5).alias("area"))
 
 
 _ZOOMS, _WORLD = (3, 5), 10240.0
