@@ -118,7 +118,8 @@ def linear_remap(spark, d):
     """A coordinate remapped to 0..90 without a bound, and one held in 0..1 in a speed."""
     t = (C("x") + 10000) / F.lit(20000.0)
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return points(spark, d).select("k", F.floor(F.lit(0.72) * 60 / (held + 1) * 1000 + 0.5).alias("speed"), F.floor(t * 90 * 1000 + 0.5).alias("remap"))
+    # 0.72 * 60 is 43.2 in decimals, as in SQL; the product of the doubles is a digit less
+    return points(spark, d).select("k", F.floor(F.lit(43.2) / (held + 1) * 1000 + 0.5).alias("speed"), F.floor(t * 90 * 1000 + 0.5).alias("remap"))
 
 
 @query(f"WITH {_P} SELECT user_id, arg_max(event_type, event_id) AS action, max(event_id) AS event_id FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id")
