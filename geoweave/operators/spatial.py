@@ -1,13 +1,16 @@
 """Spatial joins: a theta join is rewritten as an equi-join on grid cells with an exact residual.
 
-The cell join is one that Spark can broadcast or split by itself, so crowded cells are no task of their own where the
-engine can help it. cell should be about the size of the smaller shapes: each shape is repeated once for each cell it meets.
+The cell join is a sort merge join, which Spark splits where a cell is crowded. It is asked for by a hint, since Spark reckons
+with the bytes before shapes are repeated for their cells, and would broadcast what is many times as large. Where only the
+least or the number of holders is asked for, cells that a shape holds whole count at once, without a pair for each point.
+cell should be about the size of the smaller shapes: each shape is repeated once for each cell it meets.
 
 In all of them null coordinates match nothing, empty tables give empty results, and a repeated row gives its pairs again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,7 +22,7 @@ from geoweave.shared import written
 def with_cells(boxes: DataFrame, size: float) -> DataFrame:
     """boxes (x0, y0, x1, y1, ...) once for each cell (cx, cy) that they meet: the bridge table of a grid index."""
     span = lambda a, b: F.sequence(cell(F.col(a), size), cell(F.col(b), size))
-    return boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    return boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1"))).hint("merge")
 
 
 def size_class(size: float) -> Column:
@@ -42,7 +45,123 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 64.0) ->
     at = lambda v: F.floor(F.col(v) / width("_class")).cast("long")
     p = points.withColumn("_class", F.explode(F.array(*map(F.lit, sorted(classes))))).withColumns({"_cx": at("x"), "_cy": at("y")})
     b = sized.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    return p.join(b, ["_class", "_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("_class", "_cx", "_cy")
+    return p.join(b.hint("merge"), ["_class", "_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("_class", "_cx", "_cy")
+
+
+def places(points: DataFrame) -> DataFrame:
+    """(x, y): where points are, each place once; those with a coordinate that is null or no number are nowhere."""
+    return points.select("x", "y").where("not isnan(x) and not isnan(y) and x is not null and y is not null").distinct()
+
+
+def graded_cells(points: DataFrame, shapes: DataFrame, size: float = 64.0, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """points (x, y) and shapes with a box (x0, y0, x1, y1) with cells (_class, cx, cy) and, for shapes, their width `cell`.
+
+    Shapes go to grids of cells of size / parts, twice that, ..., so that each has parts to about parts / 2 cells a side, and the
+    smallest fewer. Points have a copy for each grid in use.
+    """
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / size
+    sized = shapes.where("x0 <= x1 and y0 <= y1").withColumn("_class", F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))), F.lit(0)).cast("int"))
+    classes = sorted(r[0] for r in sized.select("_class").distinct().collect())  # a number for each power of two in use
+    width = F.lit(size / parts) * F.pow(F.lit(2.0), F.col("_class"))
+    at = lambda v: F.floor(F.col(v) / width).cast("long")
+    p = points.withColumn("_class", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumns({"cx": at("x"), "cy": at("y")})
+    b = sized.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    return p, b.withColumn("cell", width).hint("merge")
+
+
+def with_whole(cells: DataFrame, sides: list[Callable[[Column, Column], Column]], margin: float = 0.0) -> DataFrame:
+    """cells (cx, cy, cell, ...) of convex shapes that the shape meets, and whether it holds the cell `whole`.
+
+    sides are linear functions of a place, not less than 0 where it is inside; margin covers their rounding.
+    """
+    size = F.col("cell")
+    corners = [((F.col("cx") + i) * size, (F.col("cy") + j) * size) for i in (0, 1) for j in (0, 1)]
+    each = [[f(x, y) for x, y in corners] for f in sides]
+    meets, whole = F.lit(True), F.lit(True)
+    for values in each:
+        meets, whole = meets & (F.greatest(*values) >= -margin), whole & (F.least(*values) >= margin)
+    return cells.where(meets).withColumn("whole", whole)
+
+
+def box_sides() -> list[Callable[[Column, Column], Column]]:
+    c = F.col
+    return [lambda x, y: x - c("x0"), lambda x, y: c("x1") - x, lambda x, y: y - c("y0"), lambda x, y: c("y1") - y]
+
+
+def least_holder(points: DataFrame, at: DataFrame, cells: DataFrame, key: str, test: Column, by: list[str]) -> DataFrame:
+    """(k, key): the least key of the shapes that hold each of points (k, x, y).
+
+    at: the places (x, y) with their cells `by`; cells: those that shapes meet, with key, `whole` and what test needs. A cell's
+    least whole holder holds each of its places, so only lesser keys are tested there: few, however many shapes lie on a cell.
+    """
+    sure = cells.where("whole").groupBy(*by).agg(F.min(key).alias("sure"))
+    open_ = cells.where("not whole").join(sure.hint("merge"), by, "left").where(F.col("sure").isNull() | (F.col(key) < F.col("sure"))).drop("sure", "whole")
+    tested = at.join(open_.hint("merge"), by).where(test).select("x", "y", F.col(key).alias("m"))
+    held = at.join(sure.hint("merge"), by).select("x", "y", F.col("sure").alias("m"))
+    least = tested.union(held).groupBy("x", "y").agg(F.min("m").alias("m"))
+    return points.select("k", "x", "y").join(least, ["x", "y"]).groupBy("k").agg(F.min("m").alias(key))
+
+
+def first_box(points: DataFrame, boxes: DataFrame, key: str = "b") -> DataFrame:
+    """(k, key): the least of boxes (key, x0, ..) that holds each of points (k, x, y), borders included; points in none have no row."""
+    at, cells = graded_cells(places(points), boxes.select(key, "x0", "y0", "x1", "y1"))
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return least_holder(points, at, with_whole(cells, box_sides()), key, inside, ["_class", "cx", "cy"])
+
+
+def holders(points: DataFrame, boxes: DataFrame, most: int = 2) -> DataFrame:
+    """(k, n) of points (k, x, y): in how many boxes (x0, ..) each is, borders included; `most` or more are some number from `most` on.
+
+    Places of which boxes that hold their cells whole are enough are not tested any more.
+    """
+    by = ["_class", "cx", "cy"]
+    at, cells = graded_cells(places(points), boxes.select("x0", "y0", "x1", "y1"))
+    cells = with_whole(cells, box_sides())
+    sure = cells.where("whole").groupBy(*by).agg(F.count("*").alias("n"))
+    held = written(at.join(sure.hint("merge"), by).groupBy("x", "y").agg(F.sum("n").alias("n")), "held")
+    open_ = at.join(held.where(F.col("n") >= most), ["x", "y"], "left_anti")
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    tested = open_.join(cells.where("not whole").hint("merge"), by).where(inside).groupBy("x", "y").agg(F.count("*").alias("n"))
+    n = held.union(tested).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    return points.select("k", "x", "y").join(n, ["x", "y"], "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def counts_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(b, n): how many of points (x, y) lie in each of boxes (b, x0, ..), borders included; boxes without a point have no row.
+
+    Points of one place are one row with their number, and cells that a box holds whole add their number at once.
+    """
+    by = ["_class", "cx", "cy"]
+    good = points.select("x", "y").where("not isnan(x) and not isnan(y) and x is not null and y is not null")
+    at, cells = graded_cells(good.groupBy("x", "y").agg(F.count("*").alias("n")), boxes.select("b", "x0", "y0", "x1", "y1"), parts=8)
+    cells = with_whole(cells, box_sides())
+    sums = at.groupBy(*by).agg(F.sum("n").alias("n"))
+    whole = cells.where("whole").join(sums.hint("merge"), by).select("b", "n")
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    part = at.join(cells.where("not whole").hint("merge"), by).where(inside).select("b", "n")
+    return whole.union(part).groupBy("b").agg(F.sum("n").alias("n"))
+
+
+def least_within(queries: DataFrame, points: DataFrame, radius: float, size: float = 128.0) -> DataFrame:
+    """(q, k): the least of points (k, x, y) no farther than radius from each of queries (q, x, y); size about a quarter of it.
+
+    A cell that lies within the radius gives its least key at once; of the cells on the edge only those with a lesser one are tested.
+    """
+    here = lambda df: df.where("not isnan(x) and not isnan(y) and x is not null and y is not null")
+    c = F.col
+    at = here(points).groupBy("x", "y").agg(F.min("k").alias("k")).withColumns({"cx": cell(c("x"), size), "cy": cell(c("y"), size)})
+    low = at.groupBy("cx", "cy").agg(F.min("k").alias("least"))
+    q = here(queries).select("q", c("x").alias("qx"), c("y").alias("qy"), *[(c(d) + r).alias(d + e) for d in ("x", "y") for e, r in (("0", -radius), ("1", radius))])
+    off = lambda i, a: F.greatest(F.abs(c(i) * size - c(a)), F.abs((c(i) + 1) * size - c(a)))
+    near = lambda i, a: F.greatest(c(i) * size - c(a), c(a) - (c(i) + 1) * size, F.lit(0.0))
+    far2, near2 = (f("cx", "qx") * f("cx", "qx") + f("cy", "qy") * f("cy", "qy") for f in (off, near))
+    cells = with_cells(q, size).select("q", "qx", "qy", "cx", "cy").where(near2 <= radius * radius * (1 + 1e-9)).withColumn("whole", far2 <= radius * radius * (1 - 1e-9))
+    cells = written(cells.join(low.hint("merge"), ["cx", "cy"]), "near")
+    sure = cells.where("whole").groupBy("q").agg(F.min("least").alias("sure"))
+    open_ = cells.where("not whole").join(sure.hint("merge"), "q", "left").where(c("sure").isNull() | (c("least") < c("sure"))).select("q", "qx", "qy", "cx", "cy", "sure")
+    d2 = (c("x") - c("qx")) * (c("x") - c("qx")) + (c("y") - c("qy")) * (c("y") - c("qy"))
+    tested = open_.join(at.hint("merge"), ["cx", "cy"]).where((c("sure").isNull() | (c("k") < c("sure"))) & (d2 <= radius * radius)).select("q", "k")
+    return tested.union(sure).groupBy("q").agg(F.min("k").alias("k"))
 
 
 def boxes_in_areas(boxes: DataFrame, areas: DataFrame, size: float = 512.0) -> DataFrame:
@@ -70,7 +189,7 @@ def pairs_within(points: DataFrame, radius: float, strict: bool = False) -> Data
     other = other.select("l", "lx", "ly", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
     d2 = (F.col("x") - F.col("lx")) * (F.col("x") - F.col("lx")) + (F.col("y") - F.col("ly")) * (F.col("y") - F.col("ly"))
     near = F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius
-    both = p.join(other, ["cx", "cy"]).where(F.when(F.col("own"), F.col("k") < F.col("l")).otherwise(F.col("k") != F.col("l")))
+    both = p.join(other.hint("merge"), ["cx", "cy"]).where(F.when(F.col("own"), F.col("k") < F.col("l")).otherwise(F.col("k") != F.col("l")))
     return both.withColumn("d2", d2).where(near).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), "d2")
 
 

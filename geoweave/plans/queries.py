@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -43,7 +44,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_P}, {_B} SELECT b, count(*) AS n FROM pts JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY b")
 def point_in_box_count(spark, d):
-    return spatial.points_in_boxes(points(spark, d), boxes(spark, d)).groupBy("b").agg(F.count("*").alias("n"))
+    return spatial.counts_in_boxes(points(spark, d), boxes(spark, d))
 
 
 @query(
@@ -51,15 +52,13 @@ def point_in_box_count(spark, d):
     "SELECT count(*) FILTER (n = 0) AS zero_matches, count(*) FILTER (n > 1) AS multi_matches, count(*) AS n_points FROM m"
 )
 def location_qa(spark, d):
-    p = points(spark, d)
-    hits = spatial.points_in_boxes(p, boxes(spark, d)).groupBy("k").agg(F.count("*").alias("n"))
-    n = p.select("k").join(hits, "k", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    n = spatial.holders(points(spark, d), boxes(spark, d))
     return n.agg(F.count_if(C("n") == 0).alias("zero_matches"), F.count_if(C("n") > 1).alias("multi_matches"), F.count("*").alias("n_points"))
 
 
 @query(f"WITH {_P}, {_B} SELECT k, min(b) AS first_box FROM pts JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY k")
 def point_first_box(spark, d):
-    return spatial.points_in_boxes(points(spark, d), boxes(spark, d)).groupBy("k").agg(F.min("b").alias("first_box"))
+    return spatial.first_box(points(spark, d), boxes(spark, d)).withColumnRenamed("b", "first_box")
 
 
 @query(
@@ -67,14 +66,14 @@ def point_first_box(spark, d):
     "SELECT k, min(tid) AS tid FROM pts JOIN t ON (bx - ax) * (y - ay) - (by_ - ay) * (x - ax) >= 0 AND (cx - bx) * (y - by_) - (cy - by_) * (x - bx) >= 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0 GROUP BY k"
 )
 def point_in_triangle(spark, d):
-    hit = spatial.points_in_boxes(points(spark, d), boxes(spark, d))
-    corners = F.array(
-        F.struct((2 * C("b")).alias("tid"), C("x0").alias("ax"), C("y0").alias("ay"), C("x1").alias("bx"), C("y0").alias("by"), C("x1").alias("cx"), C("y1").alias("cy")),
-        F.struct((2 * C("b") + 1).alias("tid"), C("x0").alias("ax"), C("y0").alias("ay"), C("x1").alias("bx"), C("y1").alias("by"), C("x0").alias("cx"), C("y1").alias("cy")),
-    )
-    t = hit.select("k", "x", "y", F.inline(corners))
-    inside = (g.side(C("x"), C("y"), C("ax"), C("ay"), C("bx"), C("by")) >= 0) & (g.side(C("x"), C("y"), C("bx"), C("by"), C("cx"), C("cy")) >= 0) & (g.side(C("x"), C("y"), C("cx"), C("cy"), C("ax"), C("ay")) >= 0)
-    return t.where(inside).groupBy("k").agg(F.min("tid").alias("tid"))
+    half = lambda i: F.struct((2 * C("b") + i).alias("tid"), C("x0").alias("ax"), C("y0").alias("ay"), C("x1").alias("bx"), C("y1" if i else "y0").alias("by"), C("x0" if i else "x1").alias("cx"), C("y1").alias("cy"))
+    t = boxes(spark, d).select("x0", "y0", "x1", "y1", F.inline(F.array(half(0), half(1)))).withColumnsRenamed({"ax": "tax", "ay": "tay", "bx": "tbx", "by": "tby", "cx": "tcx", "cy": "tcy"})
+    side = lambda a, b: lambda x, y: g.side(x, y, C(f"t{a}x"), C(f"t{a}y"), C(f"t{b}x"), C(f"t{b}y"))
+    sides = [side("a", "b"), side("b", "c"), side("c", "a")]
+    p = points(spark, d)
+    at, cells = spatial.graded_cells(spatial.places(p), t)
+    inside = reduce(lambda u, v: u & v, [f(C("x"), C("y")) >= 0 for f in sides])
+    return spatial.least_holder(p, at, spatial.with_whole(cells, sides, 1e-3), "tid", inside, ["_class", "cx", "cy"])
 
 
 @query(f"WITH {_P} SELECT k, floor(x / 64)::BIGINT AS cx, floor(y / 64)::BIGINT AS cy FROM pts")
@@ -145,9 +144,7 @@ def nearest_neighbour(spark, d):
 
 @query(f"WITH {_P}, {_S} SELECT q, min(k) AS k FROM sup JOIN pts ON (pts.x - sup.x) * (pts.x - sup.x) + (pts.y - sup.y) * (pts.y - sup.y) <= 250000 GROUP BY q")
 def radius_pick(spark, d):
-    s = _suppliers(spark, d).select("q", C("x").alias("qx"), C("y").alias("qy"), *[(C(c) + r).alias(c + e) for c in ("x", "y") for e, r in (("0", -500.0), ("1", 500.0))])
-    d2 = (C("x") - C("qx")) * (C("x") - C("qx")) + (C("y") - C("qy")) * (C("y") - C("qy"))
-    return spatial.points_in_boxes(points(spark, d), s, 512.0).where(d2 <= 250000).groupBy("q").agg(F.min("k").alias("k"))
+    return spatial.least_within(_suppliers(spark, d), points(spark, d), 500.0)
 
 
 # expressions ---------------------------------------------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from geoweave.shared import shuffle_partitions
+
 SPAN = 2_000_001
 
 
@@ -20,10 +22,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), _place("o_orderkey", 7919).alias("x"), _place("o_orderkey", 104729).alias("y"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all tasks by key: a table of few bytes is one or two splits, whatever is worked out from its rows."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession), key)
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(b, x0, y0, x1, y1)."""
     half = (F.col("p_size") * 4).cast("double")
-    part = table(spark, sf_dir, "part").select("p_partkey", _place("p_partkey", 15485863).alias("x"), _place("p_partkey", 32452843).alias("y"), half.alias("h"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", _place("p_partkey", 15485863).alias("x"), _place("p_partkey", 32452843).alias("y"), half.alias("h"))
     return part.select(F.col("p_partkey").alias("b"), (F.col("x") - F.col("h")).alias("x0"), (F.col("y") - F.col("h")).alias("y0"), (F.col("x") + F.col("h")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
 
 
