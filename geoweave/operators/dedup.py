@@ -7,29 +7,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import graph
 from geoweave.operators.locate import with_box
-from geoweave.operators.spatial import boxes_in_areas
+from geoweave.operators.spatial import boxes_in_areas, points_in_boxes
 from geoweave.shared import written
 
 
-def congruent_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 64.0) -> DataFrame:
-    """(a, b), a < b: rings (id, ring) of as many vertices that lie within tolerance of each other, from the canonical one on."""
-    return _overlapping(rings, size).where(_congruent(tolerance)).select("a", "b")
+def congruent_pairs(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(a, b), a < b: rings (id, ring) of as many vertices that lie within tolerance of each other, from the canonical one on, and whose boxes share a point.
+
+    The first vertices lie within tolerance too, so only rings with these in neighbouring cells of that size are compared.
+    """
+    c = F.col
+    size = max(tolerance, 1e-6) * 1.001
+    rows = with_box(rings.select("id", "ring")).withColumn("ring", g.canonical(c("ring")))
+    first = F.get("ring", F.lit(0))
+    rows = rows.withColumns({"n": F.size("ring"), "cx": g.cell(first["x"], size), "cy": g.cell(first["y"], size)})
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = rows.select(c("id").alias("b"), c("ring").alias("s"), "n", *[c(e).alias(f"o_{e}") for e in ("x0", "y0", "x1", "y1")], "cx", "cy", F.explode(around).alias("o"))
+    other = other.withColumns({"cx": c("cx") + c("o.i"), "cy": c("cy") + c("o.j")}).drop("o")
+    both = rows.withColumnsRenamed({"id": "a", "ring": "r"}).join(other.hint("merge"), ["n", "cx", "cy"]).where("a < b")
+    return both.where(g.boxes_meet("", "o_") & _within(c("r"), c("s"), tolerance)).select("a", "b")
 
 
 def _overlapping(rings: DataFrame, size: float) -> DataFrame:
-    """(a, b, r, s), a < b: ids and rings whose boxes share a point; rings without vertices take no part."""
+    """(a, b), a < b: rings whose boxes share a point; rings without vertices take no part."""
     rows = with_box(rings.select("id", "ring"))
     box = rows.select(F.col("id").alias("b"), "x0", "y0", "x1", "y1")
     area = rows.select(F.col("id").alias("area"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = boxes_in_areas(box, area, size).where("area < b").withColumnRenamed("area", "a")
-    one = rows.select(F.col("id").alias("a"), F.col("ring").alias("r"))
-    two = rows.select(F.col("id").alias("b"), F.col("ring").alias("s"))
-    return near.join(one, "a").join(two, "b")
+    return boxes_in_areas(box, area, size).where("area < b").withColumnRenamed("area", "a")
+
+
+def _within(r: Column, s: Column, tolerance: float) -> Column:
+    return F.forall(F.zip_with(r, s, lambda p, q: g.distance(p["x"], p["y"], q["x"], q["y"])), lambda d: d <= tolerance)
 
 
 def _congruent(tolerance: float) -> Column:
-    both = F.zip_with(g.canonical(F.col("r")), g.canonical(F.col("s")), lambda p, q: g.distance(p["x"], p["y"], q["x"], q["y"]))
-    return (F.size("r") == F.size("s")) & F.forall(both, lambda d: d <= tolerance)
+    return (F.size("r") == F.size("s")) & _within(g.canonical(F.col("r")), g.canonical(F.col("s")), tolerance)
 
 
 def _inner_centres(ring: Column) -> Column:
@@ -38,14 +50,36 @@ def _inner_centres(ring: Column) -> Column:
     return F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))
 
 
+def _near_alike(rings: DataFrame, size: float) -> DataFrame:
+    """(a, b), a < b: pairs of rings that may hold the same of each other's trio centres.
+
+    A ring holds most of its own centres. The other has to hold these too, so the box of each lies about those centres of the other,
+    and a pair is found by one such centre in the other's box. Rings that hold none of their own centres are compared by boxes.
+    """
+    c = F.col
+    rows = with_box(rings.select("id", "ring")).withColumn("own", F.explode(F.array(F.filter(_inner_centres(c("ring")), lambda p: s.in_ring(p["x"], p["y"], c("ring"))))))
+    ends = lambda f, d: f(F.transform("own", lambda p: p[d]))
+    middle = F.get("own", F.lit(0))
+    rows = written(rows.select("id", "x0", "y0", "x1", "y1", ends(F.array_min, "x").alias("u0"), ends(F.array_min, "y").alias("v0"), ends(F.array_max, "x").alias("u1"), ends(F.array_max, "y").alias("v1"), middle["x"].alias("x"), middle["y"].alias("y")), "centres")
+    point = rows.where("x is not null").select(*[c(n).alias(n if n in "xy" else f"p_{n}") for n in rows.columns])
+    both = points_in_boxes(point, rows.drop("x", "y"), size).where("p_u0 >= x0 and p_u1 <= x1 and p_v0 >= y0 and p_v1 <= y1")
+    both = both.where("u0 is null or p_id < id and u0 >= p_x0 and u1 <= p_x1 and v0 >= p_y0 and v1 <= p_y1")
+    found = both.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b"))
+    none = rings.join(rows.where("x is null").select("id"), "id", "left_semi")
+    return found.union(_overlapping(none, size))
+
+
 def suspicious_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 64.0) -> DataFrame:
     """(a, b, smaller), a < b, of rings (id, ring): both hold the same of each other's trio centres, and they are not congruent.
 
-    smaller is the one of less area, b at a tie. Rings of fewer than three vertices are in no pair.
+    smaller is the one of less area, b at a tie. Rings of fewer than three vertices are in no pair. ids are distinct.
     """
     same = lambda c: s.in_ring(c["x"], c["y"], F.col("r")) == s.in_ring(c["x"], c["y"], F.col("s"))
     agree = F.forall(F.concat(_inner_centres(F.col("r")), _inner_centres(F.col("s"))), same)
-    pairs = _overlapping(rings.where(F.size("ring") >= 3), size).where(~_congruent(tolerance) & agree)
+    rings = rings.where(F.size("ring") >= 3)
+    one, two = rings.select(F.col("id").alias("a"), F.col("ring").alias("r")), rings.select(F.col("id").alias("b"), F.col("ring").alias("s"))
+    pairs = _near_alike(rings, size).join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    pairs = pairs.where(~_congruent(tolerance) & agree)
     area = lambda c: F.abs(g.signed_area(F.col(c)))
     return pairs.select("a", "b", F.when(area("r") < area("s"), F.col("a")).otherwise(F.col("b")).alias("smaller"))
 

@@ -5,47 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from geoweave.operators import scans
+
+C = F.col
+
 
 def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Indices of the convex hull, counter-clockwise from the least x, then y; collinear vertices are left out."""
     order = np.lexsort((y, x))
-    order = order[np.concatenate(([True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)))] if len(order) else order
+    return order[_hull(x[order].tolist(), y[order].tolist())] if len(order) else order
+
+
+def _hull(x: list[float], y: list[float]) -> list[int]:
+    """The same for points in order of x, then y."""
+    order = [i for i in range(len(x)) if not i or x[i] != x[i - 1] or y[i] != y[i - 1]]
     if len(order) < 3:
         return order
 
-    def half(points: np.ndarray) -> list[int]:
+    def half(points: list[int]) -> list[int]:
         out: list[int] = []
-        for p in points.tolist():
+        for p in points:
             while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[p] - y[out[-2]]) - (y[out[-1]] - y[out[-2]]) * (x[p] - x[out[-2]]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return np.array(half(order) + half(order[::-1]))
+    return half(order) + half(order[::-1])
 
 
 def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     """(key, seq, x, y): the hull of each group of points (key, x, y), in order.
 
-    Each batch's own hulls are taken before the shuffle, so a group has a few corners of each batch: the hull of hulls is the hull.
+    Groups of 64 points or more in a batch give its own hull only before the shuffle, so a group has a few corners of each
+    batch: the hull of hulls is the hull. What is left is sorted, and hulls are taken group after group.
     """
+    kind = points.schema[key].dataType.simpleString()
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for _, g in rows.groupby(key, sort=False):
-                yield g.iloc[hull_of(g["x"].to_numpy(), g["y"].to_numpy())]
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.iloc[hull_of(rows["x"].to_numpy(), rows["y"].to_numpy())]
-        return out.assign(seq=np.arange(len(out), dtype="int32"))[[key, "seq", "x", "y"]]
+    def hulls(table: pa.RecordBatch, edges: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+        x, y = (table.column(i).to_pylist() for i in (1, 2))
+        rows, seq = [], []
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            at = _hull(x[a:b], y[a:b]) if b - a >= least else range(b - a)
+            rows += [a + i for i in at]
+            seq += range(len(at))
+        return rows, seq
 
-    kind = points.schema[key].dataType.simpleString()
-    rows = points.select(key, "x", "y").where("x is not null and y is not null").mapInPandas(local, f"{key} {kind}, x double, y double")
-    return rows.groupBy(key).applyInPandas(merged, f"{key} {kind}, seq int, x double, y double")
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names = batch.schema.names
+                batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[(n, "ascending") for n in names]))
+                k = batch.column(0).to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+                yield batch.take(pa.array(hulls(batch, edges, 64)[0], pa.int64()))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in scans.groups(batches, 1):
+            rows, seq = hulls(table, edges, 0)
+            out = table.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array(seq, pa.int32()), out.column(1), out.column(2)], names=[key, "seq", "x", "y"])
+
+    plain = points.select(key, C("x").cast("double"), C("y").cast("double")).where(f"x is not null and y is not null and {key} is not null")
+    rows = plain.mapInArrow(local, f"{key} {kind}, x double, y double")
+    return scans.sorted_groups(rows, [key], "x", "y").mapInArrow(merged, f"{key} {kind}, seq int, x double, y double")
 
 
 def flat_of(x: np.ndarray, y: np.ndarray, area: float) -> np.ndarray:
