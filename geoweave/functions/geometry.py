@@ -17,6 +17,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def once(v: Column) -> Column:
+    """v as a column worked out once: out of a generator, so that Spark doesn't put its expression wherever the column is used."""
+    return F.explode(F.array(v))
+
+
 def round_half_up(v: Column, decimals: int = 2) -> Column:
     """Nearest multiple of 10**-decimals, halves towards plus infinity."""
     scale = float(10**decimals)

@@ -99,6 +99,8 @@ def flat_of(x: np.ndarray, y: np.ndarray, area: float) -> np.ndarray:
 
 def thinned(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     """Indices of the points of a line that stay when those within tolerance of the rest go: farthest points first."""
+    if len(x) <= 32:
+        return np.array(_thinned(x.tolist(), y.tolist(), tolerance), np.int64)
     keep = np.zeros(len(x), bool)
     keep[[0, -1]] = True
     open_ = [(0, len(x) - 1)]
@@ -117,6 +119,27 @@ def thinned(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def _thinned(x: list[float], y: list[float], tolerance: float) -> list[int]:
+    """The same for a few points, without an array for each part."""
+    kept, open_ = {0, len(x) - 1}, [(0, len(x) - 1)]
+    while open_:
+        i, j = open_.pop()
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        length2 = dx * dx + dy * dy
+        k, most = i, -1.0
+        for m in range(i + 1, j):
+            px, py = x[m] - x[i], y[m] - y[i]
+            t = min(max((px * dx + py * dy) / length2, 0.0), 1.0) if length2 else 0.0
+            u, v = px - t * dx, py - t * dy
+            off = u * u + v * v
+            if off > most:
+                k, most = m, off
+        if most > tolerance * tolerance:
+            kept.add(k)
+            open_ += [(i, k), (k, j)]
+    return sorted(kept)
+
+
 def _each_ring(rings: DataFrame, which: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """rings (id, ring) with the vertices of each that `which` keeps, batch by batch; null rings stay null."""
     kind = rings.schema["id"].dataType.simpleString()

@@ -31,9 +31,11 @@ def size_class(size: float) -> Column:
     return F.greatest(F.ceil(F.log(4.0, F.greatest(wide, F.lit(1.0)))), F.lit(0)).cast("int")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 64.0) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 64.0, by: list[str] | None = None) -> DataFrame:
     """Pairs of points (x, y) and the boxes that hold them, borders included; null coordinates and boxes match nothing.
 
+    With `by`, columns that both have, only those with equal ones are pairs; they belong to the join's key.
+
     Boxes are dealt to grids of cells of size, 4 size, 16 size, ..., so that each meets four cells at most, however large
     it is. A point has a copy for each grid in use (one short aggregate of the boxes), mostly one or two.
     """
@@ -45,7 +47,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 64.0) ->
     at = lambda v: F.floor(F.col(v) / width("_class")).cast("long")
     p = points.withColumn("_class", F.explode(F.array(*map(F.lit, sorted(classes))))).withColumns({"_cx": at("x"), "_cy": at("y")})
     b = sized.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    return p.join(b.hint("merge"), ["_class", "_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("_class", "_cx", "_cy")
+    return p.join(b.hint("merge"), [*(by or []), "_class", "_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("_class", "_cx", "_cy")
 
 
 def places(points: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def free_space(blobs: DataFrame, box: tuple[float, float, float, float], size: f
     square = locate.ring_of_xy((side("tx", 0), side("ty", 0)), (side("tx", 1), side("ty", 0)), (side("tx", 1), side("ty", 1)), (side("tx", 0), side("ty", 1)))
     grp = F.struct("tx", "ty")
     whole = tiles.select(grp.alias("grp"), F.struct(F.lit(-1).cast("long").alias("blob"), "tx", "ty").alias("rid"), square.alias("ring"))
-    plain = blobs.select("blob", outlines._clean(C("ring")).alias("ring"))
+    plain = outlines.cleaned(blobs.select("blob", "ring"))
     met = locate.shape_cells(plain, size).select("blob", F.reverse("ring").alias("ring"), C("cx").alias("tx"), C("cy").alias("ty")).where(C("tx").between(tx0, tx1) & C("ty").between(ty0, ty1))
     # blobs are cut out by going around them the other way
     holes = met.select(grp.alias("grp"), F.struct("blob", "tx", "ty").alias("rid"), "ring")

@@ -47,7 +47,8 @@ def quads(spark, d):
 def ells(spark, d):
     """(b, ring): an L of each box, without its upper right quarter."""
     mx, my = (C("x0") + C("x1")) / 2, (C("y0") + C("y1")) / 2
-    return boxes(spark, d).select("b", locate.ring_of_xy((C("x0"), C("y0")), (C("x1"), C("y0")), (C("x1"), my), (mx, my), (mx, C("y1")), (C("x0"), C("y1"))).alias("ring"))
+    ring = locate.ring_of_xy((C("x0"), C("y0")), (C("x1"), C("y0")), (C("x1"), my), (mx, my), (mx, C("y1")), (C("x0"), C("y1")))
+    return boxes(spark, d).select("b", g.once(ring).alias("ring"))
 
 
 _M = _T + ", ms AS (SELECT tid, v1, v2, v3, " + ", ".join(f"{f(v)} AS {c}" for f, v, c in ((_sx, "v1", "ax"), (_sy, "v1", "ay"), (_sx, "v2", "bx"), (_sy, "v2", "by_"), (_sx, "v3", "cx"), (_sy, "v3", "cy"))) + " FROM tr)"

@@ -141,7 +141,7 @@ def _bumpy(spark, d):
     corners = []
     for i, (x, y, u, v) in enumerate((("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0"))):
         corners += [(C(x), C(y)), (at(x, u, 0.25), at(y, v, 0.25) + off(i)), (at(x, u, 0.75) + off(i + 4), at(y, v, 0.75))]
-    return b.select(C("b").alias("id"), locate.ring_of_xy(*corners).alias("ring"))
+    return b.select(C("b").alias("id"), g.once(locate.ring_of_xy(*corners)).alias("ring"))
 
 
 @query(
