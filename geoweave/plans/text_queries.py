@@ -220,7 +220,8 @@ def ring_verdicts(spark, d):
     corners = [g.point(C(x), C(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]
     shape = F.when(C("b") % 4 == 3, F.array(*corners[:2])).when(C("b") % 4 == 1, F.array(*corners[:4])).otherwise(F.array(*corners))
     kind = F.when(C("b") % 4 == 0, F.lit("Polygon")).when(C("b") % 4 == 3, F.lit("Polygon")).otherwise(F.lit("LineString"))
-    return b.select("b", rings.verdict(kind, shape, 10000.0).alias("verdict"))
+    shapes = b.select("b", kind.alias("kind"), g.once(shape).alias("shape"))
+    return shapes.select("b", rings.verdict(C("kind"), C("shape"), 10000.0).alias("verdict"))
 
 
 @query("SELECT key FROM (SELECT unnest(['segment', 'nation', 'balance']) AS key) ORDER BY key")
