@@ -95,10 +95,19 @@ def mapping_audit(ranges: DataFrame, total: DataFrame) -> DataFrame:
     """One row for ranges (poly, s, e), s to e - 1, of triangles numbered from 0, and total (n), one row.
 
     duplicates: triangles in several ranges; orphans: those in none; bad_ranges: ranges without a triangle; out_of_range:
-    numbers in ranges that are no triangle's. Triangles are counted where ranges hold them, so no list of all is made.
+    numbers in ranges that are no triangle's. Ranges are cut into blocks of numbers, and in each the ends of ranges are run
+    through in order, so no row is made for a triangle and no task has more than a block's numbers at once.
     """
-    items = expanded_ranges(ranges, "poly", "s", "e").groupBy("item").agg(F.count("*").alias("c")).join(F.broadcast(total))
-    inside = (F.col("item") >= 0) & (F.col("item") < F.col("n"))
-    seen = items.agg(F.count_if(F.col("c") > 1).alias("duplicates"), F.count_if(inside).alias("held"), F.count_if(~inside).alias("out_of_range"))
+    c, size = F.col, 2**16
+    first = lambda v: v - F.pmod(v, F.lit(size))
+    cut = ranges.where("e > s").select("s", "e", F.explode(F.sequence(first(c("s")), first(c("e") - 1), F.lit(size).cast("long"))).alias("block"))
+    ends = F.array(F.struct(F.greatest("s", "block").alias("at"), F.lit(1).alias("d")), F.struct(F.least(c("e"), c("block") + size).alias("at"), F.lit(-1).alias("d")))
+    steps = cut.select("block", F.explode(ends).alias("x")).groupBy("block", "x.at").agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy("block").orderBy("at")
+    runs = steps.select("at", F.sum("d").over(w).alias("c"), F.lead("at").over(w).alias("to")).where("c > 0").join(F.broadcast(total))
+    inside = F.greatest(F.least("to", "n") - F.greatest(c("at"), F.lit(0)), F.lit(0))
+    whole = runs.select("c", (c("to") - c("at")).alias("all"), inside.alias("inside"))
+    sums = {"duplicates": F.when(c("c") > 1, c("all")), "held": c("inside"), "out_of_range": c("all") - c("inside")}
+    seen = whole.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()])
     bad = ranges.agg(F.count_if(F.col("e") <= F.col("s")).alias("bad_ranges"))
     return seen.join(F.broadcast(total)).join(F.broadcast(bad)).select("duplicates", (F.col("n") - F.col("held")).alias("orphans"), "bad_ranges", "out_of_range")
