@@ -80,6 +80,35 @@ def flat_of(x: np.ndarray, y: np.ndarray, area: float) -> np.ndarray:
     The corner after vertex i goes if its triangle with its neighbours is smaller than a threshold: 3 * area where it is
     0.1 off the line between them, less along a straight line to 1 * area at a twentieth of that line's length, and beyond.
     """
+    return np.array(_flat_of_few(x.tolist(), y.tolist(), area), np.int64) if len(x) <= 256 else _flat_of_many(x, y, area)
+
+
+def _flat_of_few(x: list[float], y: list[float], area: float) -> list[int]:
+    """flat_of for a few vertices: only the two corners beside one that went are looked at again."""
+
+    def is_flat(i: int, j: int, k: int) -> bool:
+        dx, dy, px, py = x[k] - x[i], y[k] - y[i], x[j] - x[i], y[j] - y[i]
+        length2 = dx * dx + dy * dy
+        t = min(max((px * dx + py * dy) / length2, 0.0), 1.0) if length2 >= 1e-12 else 0.0
+        span = 0.05 * length2**0.5 - 0.1
+        share = (abs(complex(px - t * dx, py - t * dy)) - 0.1) / span if span else 0.0
+        return abs(dx * py - dy * px) / 2 < area * (3 - 2 * share)
+
+    n = len(x)
+    keep = list(range(n))
+    flat = [is_flat(i, (i + 1) % n, (i + 2) % n) for i in keep]  # of the corner after each
+    while len(keep) > 3 and True in flat:
+        at = flat.index(True)
+        gone = (at + 1) % len(keep)
+        del keep[gone], flat[gone]
+        n = len(keep)
+        at -= gone < at + 1 and gone == 0
+        for i in (at - 1, at):
+            flat[i] = is_flat(keep[i], keep[(i + 1) % n], keep[(i + 2) % n])
+    return keep
+
+
+def _flat_of_many(x: np.ndarray, y: np.ndarray, area: float) -> np.ndarray:
     keep = np.arange(len(x))
     while len(keep) > 3:
         a, b, c = keep, np.roll(keep, -1), np.roll(keep, -2)

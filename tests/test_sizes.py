@@ -3,7 +3,10 @@
 import math
 import random
 
-from geoweave.operators import outlines
+import numpy as np
+
+import geoweave.plans.text_queries  # noqa: F401  (registers its queries)
+from geoweave.operators import mesh, outlines, polygons
 from geoweave.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,3 +35,30 @@ def test_small_rings_alone_need_no_join(spark):
 def test_rings_are_worked_out_once(spark):
     """Without a generator in between, each use of a corner repeats the expressions of all coordinates."""
     assert "Generate" in plan_of(QUERIES["ring_verdicts"](spark, SMALL))
+
+
+def test_mapping_audit_makes_no_row_for_each_triangle(spark):
+    """A range of 10^12 triangles is a few numbers; small ones count as by lists."""
+    total = spark.createDataFrame([(300_000,)], "n long")
+    rng = random.Random(8)
+    rows = [(i, s, s + rng.randint(-3, 900)) for i, s in enumerate(rng.randint(-500, 300_400) for _ in range(700))] + [(900, 65_530, 131_080), (901, 5, 5), (902, None, 7)]
+    count: dict = {}
+    for _, s, e in rows[:-1]:
+        for t in range(s, e):
+            count[t] = count.get(t, 0) + 1
+    held = sum(0 <= t < 300_000 for t in count)
+    want = (sum(c > 1 for c in count.values()), 300_000 - held, sum(e <= s for _, s, e in rows[:-1]), len(count) - held)
+    ranges = spark.createDataFrame(rows, "poly long, s long, e long")
+    assert tuple(mesh.mapping_audit(ranges, total).first()) == want
+    assert tuple(mesh.mapping_audit(ranges.limit(0), total).first()) == (0, 300_000, 0, 0)
+    assert "hashpartitioning(item" not in plan_of(mesh.mapping_audit(ranges, total))
+
+
+def test_flat_corners_of_few_vertices_as_by_arrays():
+    rng = random.Random(6)
+    for n in range(0, 40):
+        for _ in range(20):
+            t = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+            x, y = (np.array([round(30 * f(a) + rng.uniform(-3, 3), 2) for a in t]) for f in (math.cos, math.sin))
+            area = rng.choice((1.75, 5.0, 40.0))
+            assert polygons._flat_of_few(x.tolist(), y.tolist(), area) == polygons._flat_of_many(x, y, area).tolist() == polygons.flat_of(x, y, area).tolist()
