@@ -21,6 +21,8 @@ from geoweave.shared import written
 C = F.col
 #: Twice the area in square metres below which a triangle is flat.
 FLAT = 1e-9
+#: Corners of a ring up to which its ears are looked for without arrays.
+FEW = 32
 
 
 def _turn(a, b, c):
@@ -90,7 +92,41 @@ def _ears(p: np.ndarray, ring: list[int]) -> list[list[int]]:
     return [*out, ring]
 
 
-def _flipped(p: np.ndarray, triangles: list[list[int]], fixed: set[tuple[int, int]]) -> list[list[int]]:
+def _turned(a: tuple, b: tuple, c: tuple) -> float:
+    """_turn of three places; for a few of them an array costs more than the sum."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def _ear_of_few(q: list[tuple], j: int) -> bool:
+    n = len(q)
+    a, b, c = corners = q[j - 1], q[j], q[(j + 1) % n]
+    for k, v in enumerate(q):
+        if k == j or k == (j - 1) % n or k == (j + 1) % n or _turned(a, b, v) < 0 or _turned(b, c, v) < 0 or _turned(c, a, v) < 0:
+            continue
+        if v not in corners:
+            return False
+        u, right, left = ((a, b, c), (b, c, a), (c, a, b))[corners.index(v)]
+        if any(_turned(u, right, w) > FLAT and _turned(u, w, left) > FLAT for w in (q[k - 1], q[(k + 1) % n])):
+            return False
+    return True
+
+
+def _ears_of_few(p: list[tuple], ring: list[int]) -> list[list[int]]:
+    """_ears of a ring of few corners."""
+    ring, out, i = list(ring), [], 0
+    while len(ring) > 3:
+        n, q = len(ring), [p[v] for v in ring]
+        sharp = [_turned(q[k - 1], q[k], q[(k + 1) % n]) for k in range(n)]
+        j = next((k for k in (*range(i, n), *range(i)) if sharp[k] > FLAT and _ear_of_few(q, k)), None)
+        if j is None:  # nothing but flat corners is left
+            j = min(range(n), key=lambda k: abs(sharp[k]))
+        out.append([ring[j - 1], ring[j], ring[(j + 1) % n]])
+        del ring[j]
+        i = (j + 1) % len(ring)
+    return [*out, ring]
+
+
+def _flipped(p: list[tuple], triangles: list[list[int]], fixed: set[tuple[int, int]]) -> list[list[int]]:
     """The triangles after flips of edges that are not fixed, until each circle through one's corners is empty of its neighbours'."""
     of: dict = {}
     for t, (a, b, c) in enumerate(triangles):
@@ -108,12 +144,13 @@ def _flipped(p: np.ndarray, triangles: list[list[int]], fixed: set[tuple[int, in
         if c == d or (c, d) in of or (d, c) in of:
             continue
         pu, pv, pc, pd = p[u], p[v], p[c], p[d]
-        if _turn(pc, pd, pv) <= FLAT or _turn(pd, pc, pu) <= FLAT:
+        if _turned(pc, pd, pv) <= FLAT or _turned(pd, pc, pu) <= FLAT:
             continue  # the four corners make no convex shape
-        flat = min(_turn(pu, pv, pc), _turn(pv, pu, pd)) <= FLAT
+        flat = min(_turned(pu, pv, pc), _turned(pv, pu, pd)) <= FLAT
         if not flat:
-            m = np.array([pu, pv, pc]) - pd
-            if np.linalg.det(np.column_stack((m, (m * m).sum(axis=1)))) <= 1e-9 * np.abs(m).max() ** 4:
+            (ax, ay), (bx, by), (cx, cy) = ((q[0] - pd[0], q[1] - pd[1]) for q in (pu, pv, pc))
+            a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+            if ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) <= 1e-9 * max(map(abs, (ax, ay, bx, by, cx, cy))) ** 4:
                 continue
         triangles[s_], triangles[t] = [c, d, v], [d, c, u]
         for key in ((u, v), (v, u)):
@@ -149,8 +186,9 @@ def triangles_of(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     ring = numbers[0]
     for hole in sorted(numbers[1:], key=lambda h: -p[h][:, 0].max()):
         ring = _bridged(p, ring, hole)
-    found = _flipped(p, _ears(p, ring), fixed)
-    return p, np.array([t for t in found if abs(_turn(*p[t])) > FLAT], np.int64).reshape(-1, 3)
+    places = list(map(tuple, p.tolist()))
+    found = _flipped(places, _ears_of_few(places, ring) if len(ring) <= FEW else _ears(p, ring), fixed)
+    return p, np.array([t for t in found if abs(_turned(*(places[v] for v in t))) > FLAT], np.int64).reshape(-1, 3)
 
 
 def triangulated(polygons: DataFrame) -> DataFrame:
