@@ -111,12 +111,17 @@ def in_numbered_ring(px: Column, py: Column, ring: Column) -> Column:
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd rule: whether a ray to greater x crosses an odd number of edges."""
+    return within_edges(px, py, _edges(ring))
+
+
+def within_edges(px: Column, py: Column, edges: Column) -> Column:
+    """in_ring for the edges (a, b) of a ring."""
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         at = a["x"] + (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
         return ((a["y"] > py) != (b["y"] > py)) & (px < at)
 
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def winding_number(px: Column, py: Column, ring: Column) -> Column:
@@ -176,15 +181,25 @@ def trio_centres(ring: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 1), centre)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
 
+def held_centres(ring: Column) -> Column:
+    """The trio centres of ring that ring itself holds."""
+    return F.filter(trio_centres(ring), lambda c: in_ring(c["x"], c["y"], ring))
+
+
 def mostly_inside(ring: Column, other: Column) -> Column:
     """Whether other holds the trio centres of ring that ring itself holds, but for fewer than a ninth of its vertices.
 
     With fewer than 18 vertices one centre outside is too many; with fewer than three the first vertex decides.
     """
-    outside = F.size(F.filter(trio_centres(ring), lambda c: in_ring(c["x"], c["y"], ring) & ~in_ring(c["x"], c["y"], other)))
+    return centres_inside(ring, held_centres(ring), _edges(other))
+
+
+def centres_inside(ring: Column, held: Column, edges: Column) -> Column:
+    """mostly_inside for the held_centres of ring and the edges of the other."""
+    outside = F.size(F.filter(held, lambda c: ~within_edges(c["x"], c["y"], edges)))
     allowed = F.greatest(F.floor(F.size(ring) / 9), F.lit(1))
     first = F.get(ring, F.lit(0))
-    return F.when(F.size(ring) < 3, F.coalesce(in_ring(first["x"], first["y"], other), F.lit(False))).otherwise(outside < allowed)
+    return F.when(F.size(ring) < 3, F.coalesce(within_edges(first["x"], first["y"], edges), F.lit(False))).otherwise(outside < allowed)
 
 
 def line_side(px: Column, py: Column, line: list[tuple[float, float]]) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoweave.functions import shapes as s
+from geoweave.functions import geometry as g, shapes as s
 from geoweave.functions.geometry import cell, point
 from geoweave.operators.spatial import least_holder, places, with_cells
 from geoweave.shared import written
@@ -134,9 +134,12 @@ def assigned(buildings: DataFrame, blobs: DataFrame, size: float = 512.0) -> Dat
     the minimum doesn't mind and which saves a shuffle of rings. A building that holds none of its own trio centres is
     contained by every blob that it is near.
     """
-    own = with_cells(with_box(buildings), size).select("b", C("ring").alias("own"), "cx", "cy")
-    near = own.join(shape_cells(blobs, size).select("blob", "ring", "cx", "cy"), ["cx", "cy"])
-    return near.where(s.mostly_inside(C("own"), C("ring"))).groupBy("b").agg(F.min("blob").alias("blob"))
+    once = buildings.select("b", g.once(C("ring")).alias("ring"))  # a building's own centres are the same for all blobs
+    held = with_box(once.withColumn("held", g.once(s.held_centres(C("ring")))))
+    own = with_cells(held, size).select("b", C("ring").alias("own"), "held", "cx", "cy")
+    sides = blobs.select("blob", g.once(C("ring")).alias("ring")).withColumn("edges", g.once(g._edges(C("ring"))))
+    near = own.join(shape_cells(sides, size).select("blob", "edges", "cx", "cy"), ["cx", "cy"])
+    return near.where(s.centres_inside(C("own"), C("held"), C("edges"))).groupBy("b").agg(F.min("blob").alias("blob"))
 
 
 def ring_of_xy(*corners: tuple[Column, Column]) -> Column:

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 
-import geoweave.plans.text_queries  # noqa: F401  (registers its queries)
-from geoweave.operators import mesh, outlines, polygons
+import geoweave.plans.route_queries  # noqa: F401  (these register their queries)
+import geoweave.plans.text_queries  # noqa: F401
+from geoweave.operators import mesh, outlines, polygons, triangulation
 from geoweave.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +63,15 @@ def test_flat_corners_of_few_vertices_as_by_arrays():
             x, y = (np.array([round(30 * f(a) + rng.uniform(-3, 3), 2) for a in t]) for f in (math.cos, math.sin))
             area = rng.choice((1.75, 5.0, 40.0))
             assert polygons._flat_of_few(x.tolist(), y.tolist(), area) == polygons._flat_of_many(x, y, area).tolist() == polygons.flat_of(x, y, area).tolist()
+
+
+def test_ears_of_few_corners_as_by_arrays():
+    rng = random.Random(9)
+    for n in [*range(3, 20)] * 6:
+        p = np.array([(r * math.cos(t), r * math.sin(t)) for t, r in ((2 * math.pi * (i + 0.8 * rng.random()) / n, rng.uniform(5, 60)) for i in range(n))])
+        assert triangulation._ears_of_few(list(map(tuple, p.tolist())), list(range(n))) == triangulation._ears(p, list(range(n)))
+
+
+def test_centres_of_buildings_are_found_before_blobs_are_joined(spark):
+    plan = plan_of(QUERIES["building_blobs"](spark, SMALL))
+    assert "held" in plan
