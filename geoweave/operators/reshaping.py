@@ -1,6 +1,6 @@
 """Rings with fewer corners: short edges made points, corners sharpened, parts kept apart; and chains of these for buildings and blobs.
 
-Each step is a function of one ring as complex numbers, without a closing vertex; rings go through a chain in Arrow batches.
+Each step is a function of rings as complex numbers, without a closing vertex; rings go through a chain in Arrow batches.
 """
 
 from __future__ import annotations
@@ -38,53 +38,90 @@ def _meeting(a: complex, u: complex, b: complex, v: complex) -> complex | None:
     return a + _cross(b - a, v) / det * u if abs(det) >= 1e-9 else None
 
 
-def _closest(error: Callable[[np.ndarray], np.ndarray], low: float = 0.0, high: float = 1.0) -> tuple[float, float]:
-    """The place between low and high where error is least, and that error: ever finer rows of places around the best."""
+def _closest(error: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places between low and high where error is least, and that error: ever finer rows of places around the best. A column for each of many."""
+    column = np.arange(len(low))
     for _ in range(6):
         t = np.linspace(low, high, 33)
         e = error(t)
-        k = int(e.argmin())
-        low, high = t[max(k - 1, 0)], t[min(k + 1, 32)]
-    return float(t[k]), float(e[k])
+        k = e.argmin(axis=0)
+        low, high = t[np.maximum(k - 1, 0), column], t[np.minimum(k + 1, 32), column]
+    return t[k, column], e[k, column]
 
 
-def point_for(a: complex, b: complex, c: complex, d: complex) -> tuple[complex | None, float]:
-    """The point that replaces the edge bc of a, b, c, d at the least error, and that error.
+def points_for(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points that replace the edges bc of a, b, c, d at the least error, and that error; infinite where there is none.
 
     The error is how far b lies from am, c from md, or m from bc. If the ring turns one way at b and another at c, m lies on
     bc, where b and c are as far off; where ab and dc are parallel it is the middle of bc; else it is looked for between the
     meeting of ab and dc and that place on bc.
     """
-    if abs(b - a) < 1e-9 or abs(d - c) < 1e-9:
-        return None, np.inf
-    ends = lambda m: np.maximum(_off(b, a, m), _off(c, d, m))
+    m, error = np.zeros(len(a), complex), np.full(len(a), np.inf)
+    good = np.flatnonzero((np.abs(b - a) >= 1e-9) & (np.abs(d - c) >= 1e-9))
+    if not len(good):
+        return m, error
+    a, b, c, d = a[good], b[good], c[good], d[good]
+    ends = lambda m, w=slice(None): np.maximum(_off(b[w], a[w], m), _off(c[w], d[w], m))
     way = lambda t: b + t * (c - b)
-    t = _closest(lambda t: np.abs(_off(b, a, way(t)) - _off(c, d, way(t))))[0]
-    if _cross(b - a, c - b) * _cross(c - b, d - c) < 0:
-        return way(t), float(ends(way(t)))
-    tip = _meeting(a, b - a, d, c - d)
-    if tip is None:
-        return (b + c) / 2, float(ends((b + c) / 2))
-    line = lambda s: tip + s * (way(t) - tip)
-    s, error = _closest(lambda s: np.maximum(ends(line(s)), _off(line(s), b, c)))
-    return line(s), error
+    t = _closest(lambda t: np.abs(_off(b, a, way(t)) - _off(c, d, way(t))), np.zeros(len(a)), np.ones(len(a)))[0]
+    det = _cross(b - a, c - d)
+    bent, level = _cross(b - a, c - b) * _cross(c - b, d - c) < 0, np.abs(det) < 1e-9
+    best = np.where(~bent & level, (b + c) / 2, way(t))
+    least = ends(best)
+    w = np.flatnonzero(~bent & ~level)
+    if len(w):
+        tip = a[w] + _cross(d[w] - a[w], c[w] - d[w]) / det[w] * (b[w] - a[w])
+        line = lambda s: tip + s * (best[w] - tip)
+        s, least[w] = _closest(lambda s: np.maximum(ends(line(s), w), _off(line(s), b[w], c[w])), np.zeros(len(w)), np.ones(len(w)))
+        best[w] = line(s)
+    m[good], error[good] = best, least
+    return m, error
 
 
-def unrounded(p: np.ndarray, short: float, error: float) -> np.ndarray:
-    """Edges shorter than `short`, in turn from the first, become points where that is possible with less than `error`."""
-    p, i = list(p[:-1] if len(p) > 1 and abs(p[0] - p[-1]) < 1e-9 else p), 0
-    while i < len(p) and len(p) >= 4:
-        n = len(p)
-        b, c = p[i], p[(i + 1) % n]
-        if abs(c - b) < short:
-            m, e = point_for(p[i - 1], b, c, p[(i + 2) % n])
-            if m is not None and e < error and max(abs(m - b), abs(m - c)) >= 1e-5:
-                if i + 1 < n:
+def point_for(a: complex, b: complex, c: complex, d: complex) -> tuple[complex | None, float]:
+    """points_for one edge; None for no point."""
+    m, error = points_for(*(np.array([v]) for v in (a, b, c, d)))
+    return (complex(m[0]) if error[0] < np.inf else None), float(error[0])
+
+
+def all_unrounded(rings: list[np.ndarray], short: float, error: float) -> list[np.ndarray]:
+    """In each ring, edges shorter than `short`, in turn from the first, become points where that is possible with less than `error`.
+
+    All rings go on to their next short edge together, so that the points for these are looked for at once.
+    """
+    out = [p[:-1] if len(p) > 1 and abs(p[0] - p[-1]) < 1e-9 else p for p in rings]
+    sizes = np.array([len(p) for p in out], np.int64)
+    p = np.concatenate([np.zeros(0, complex), *out])
+    onward = np.arange(len(p)) + 1
+    onward[np.cumsum(sizes)[sizes > 0] - 1] -= sizes[sizes > 0]
+    of = np.repeat(np.arange(len(out)), sizes)
+    open_ = {k: (out[k].tolist(), 0) for k in np.unique(of[(np.abs(p[onward] - p) < short * (1 + 1e-9)) & (sizes[of] >= 4)]).tolist()}
+    while open_:
+        asked = []
+        for k, (p, i) in open_.items():
+            n = len(p)
+            while i < n and n >= 4 and not abs(p[(i + 1) % n] - p[i]) < short:
+                i += 1
+            if i < n and n >= 4:
+                asked.append((k, p, i))
+            else:
+                out[k] = np.array(p, complex)
+        corners = np.array([(p[i - 1], p[i], p[(i + 1) % len(p)], p[(i + 2) % len(p)]) for _, p, i in asked], complex).reshape(-1, 4)
+        found, errors = points_for(*corners.T)
+        open_ = {}
+        for (k, p, i), m, e in zip(asked, found.tolist(), errors.tolist()):
+            if e < error and max(abs(m - p[i]), abs(m - p[(i + 1) % len(p)])) >= 1e-5:
+                if i + 1 < len(p):
                     p[i : i + 2] = [m]
                 else:  # the last corner and the first
                     p = [m, *p[1:-1]]
-        i += 1
-    return np.array(p, complex)
+            open_[k] = p, i + 1
+    return out
+
+
+def unrounded(p: np.ndarray, short: float, error: float) -> np.ndarray:
+    """all_unrounded of one ring."""
+    return all_unrounded([np.asarray(p, complex)], short, error)[0]
 
 
 def flat(p: np.ndarray, area: float) -> np.ndarray:
@@ -92,6 +129,10 @@ def flat(p: np.ndarray, area: float) -> np.ndarray:
     return p[flat_of(p.real, p.imag, area)] if len(p) else p
 
 
+def all_flat(rings: list[np.ndarray], area: float) -> list[np.ndarray]:
+    return [flat(p, area) for p in rings]
+
+
 def cornered(p: np.ndarray, original: np.ndarray, short: float, near: float) -> np.ndarray:
     """Cut corners made whole again where the original has one.
 
@@ -158,8 +199,8 @@ def pulled_apart(p: np.ndarray, least: float, most: float) -> np.ndarray:
     return p
 
 
-def reshaped(rings: DataFrame, f: Callable[..., np.ndarray], other: bool = False) -> DataFrame:
-    """rings (id, ring) with each ring as f gives it; with `other`, f gets the points of the column `other` too. Null rings stay null."""
+def reshaped(rings: DataFrame, f: Callable[..., list[np.ndarray]], other: bool = False) -> DataFrame:
+    """rings (id, ring) with the rings of a batch as f gives them; with `other`, f gets the points of the column `other` too. Null rings stay null."""
     kind = rings.schema["id"].dataType.simpleString()
     names = ["ring", "other"] if other else ["ring"]
 
@@ -171,7 +212,7 @@ def reshaped(rings: DataFrame, f: Callable[..., np.ndarray], other: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [f(*some) for some in zip(*(points(batch.column(i + 1)) for i in range(len(names))))]
+            out = f(*(points(batch.column(i + 1)) for i in range(len(names))))
             p = np.concatenate([np.zeros(0, complex), *out])
             offsets = pa.array(np.append(0, np.cumsum(list(map(len, out)))), pa.int32(), mask=np.append(batch.column(1).is_null().to_numpy(zero_copy_only=False), False))
             held = pa.StructArray.from_arrays([pa.array(p.real.copy()), pa.array(p.imag.copy())], names=["x", "y"])
@@ -189,15 +230,16 @@ def _kept(rings: DataFrame, safe: float = 20.0) -> DataFrame:
 
 def light_rings(rings: DataFrame) -> DataFrame:
     """(id, ring): buildings with short edges and flat corners taken out, little by little."""
-    return _kept(reshaped(rings, lambda p: flat(unrounded(flat(unrounded(p, 5, 0.25), 1.75), 5, 0.3), 2)))
+    return _kept(reshaped(rings, lambda p: all_flat(all_unrounded(all_flat(all_unrounded(p, 5, 0.25), 1.75), 5, 0.3), 2)))
 
 
 def strong_rings(rings: DataFrame, by: float = 3.6) -> DataFrame:
     """(id, ring): buildings whose narrow bays are closed, with few corners, which are those of the original where they can be."""
 
-    def chain(p: np.ndarray, original: np.ndarray) -> np.ndarray:
-        p = unrounded(flat(unrounded(p, 10, 0.45), 3), 10, 0.5)
-        return unrounded(flat(cornered(p, original, by + 0.1, 1), 5), 5, 0.55)
+    def chain(p: list[np.ndarray], original: list[np.ndarray]) -> list[np.ndarray]:
+        p = all_unrounded(all_flat(all_unrounded(p, 10, 0.45), 3), 10, 0.5)
+        p = [cornered(q, o, by + 0.1, 1) for q, o in zip(p, original)]
+        return all_unrounded(all_flat(p, 5), 5, 0.55)
 
     closed = outlines.dilated_eroded(rings, by)
     both = closed.join(rings.select("id", C("ring").alias("other")), "id")
@@ -210,13 +252,13 @@ def blobs_of(buildings: DataFrame, by: float = 2.0) -> DataFrame:
     Corners are held against the vertices of the blob's own buildings. ids are longs; a blob's id is that of its first building.
     """
 
-    def chain(p: np.ndarray, original: np.ndarray) -> np.ndarray:
-        p = cornered(pulled_apart(p, 1, 5), original, by + 0.1, 0.5)
+    def chain(p: list[np.ndarray], original: list[np.ndarray]) -> list[np.ndarray]:
+        p = [cornered(pulled_apart(q, 1, 5), o, by + 0.1, 0.5) for q, o in zip(p, original)]
         for short, error, area in ((10, 0.45, 3), (10, 0.5, 5), (5, 0.55, 7)):
-            p = flat(unrounded(p, short, error), area)
-        return unrounded(p, 5, 0.55)
+            p = all_flat(all_unrounded(p, short, error), area)
+        return all_unrounded(p, 5, 0.55)
 
-    plain = written(reshaped(buildings, lambda p: flat(unrounded(p, 10, 0.45), 3)), "plain")
+    plain = written(reshaped(buildings, lambda p: all_flat(all_unrounded(p, 10, 0.45), 3)), "plain")
     blobs, members = outlines.united(plain, by)
     held = members.join(plain, "id").groupBy("blob").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("buildings"), F.flatten(F.collect_list("ring")).alias("other"))
     rows = written(blobs.join(held, "blob").select("id", "ring", "other", "buildings"), "blobs")

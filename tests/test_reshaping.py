@@ -55,6 +55,16 @@ def test_short_edges_go():
     assert len(unrounded(np.array([0, 1, 1j], complex), 5, 9)) == 3 and len(unrounded(np.zeros(0, complex), 5, 9)) == 0
 
 
+def test_rings_of_a_batch_look_for_points_together(monkeypatch):
+    """As many searches as a ring has short edges, not one for each ring's edge; and each ring comes out as it does alone."""
+    rng = random.Random(5)
+    rings = [np.array([rng.uniform(2, 15) * np.exp(2j * np.pi * (i + rng.random() / 2) / n) for i in range(n)], complex) for n in (rng.randint(0, 9) for _ in range(200))]
+    alone, asked, search = [unrounded(p, 9, 0.9) for p in rings], [], reshaping.points_for
+    monkeypatch.setattr(reshaping, "points_for", lambda *corners: asked.append(len(corners[0])) or search(*corners))
+    together = reshaping.all_unrounded(rings, 9, 0.9)
+    assert len(asked) <= 10 and sum(asked) > 200 and all(len(p) == len(q) and (p == q).all() for p, q in zip(alone, together))
+
+
 def test_corners_come_back():
     original = np.array([0, 40, 40 + 30j, 30j], complex)
     cut = np.array([0, 40, 40 + 28j, 38 + 30j, 30j], complex)
