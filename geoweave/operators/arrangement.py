@@ -175,3 +175,46 @@ def outline_rows(batches: Iterator[pa.RecordBatch], step: float) -> Iterator[pa.
         ends = pa.array(np.append(0, np.cumsum([f[2].shape[1] for f in found])).astype(np.int32))
         ring = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), ring, pa.array([f[3] for f in found], pa.bool_())], names=["grp", "part", "ring", "hole"])
+
+
+def _full(sizes: np.ndarray, p: np.ndarray, size: float, margin: float = 2.0**-10) -> np.ndarray:
+    """(row, cx, cy): the cells that a ring holds whole, none of its edges nearer than margin; sizes: corners of each, p: all of them."""
+    starts = np.cumsum(sizes) - sizes
+    low, high = (np.floor(f.reduceat(p, starts, axis=1) / size).astype(np.int64) for f in (np.minimum, np.maximum))
+    follow = np.arange(p.shape[1]) + 1
+    follow[starts + sizes - 1] = starts
+    a, b = p, p[:, follow]
+    wide = np.maximum(high - low - 1, 0)  # the outermost cells are never held whole
+    n = wide[0] * wide[1]
+    ends, at, out = np.cumsum(n * sizes), 0, [np.zeros((3, 0), np.int64)]
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        row = np.repeat(np.arange(at, to), n[at:to])
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+        cx, cy = low[0, row] + 1 + k % np.maximum(wide[0, row], 1), low[1, row] + 1 + k // np.maximum(wide[0, row], 1)
+        m = sizes[row]
+        first = np.cumsum(m) - m
+        e = np.arange(m.sum()) + np.repeat(starts[row] - first, m)
+        x, y = np.repeat((cx + 0.5) * size, m), np.repeat((cy + 0.5) * size, m)
+        ux, uy, vx, vy = a[0, e] - x, a[1, e] - y, b[0, e] - x, b[1, e] - y
+        half = size / 2 + margin
+        side = ux * vy - uy * vx
+        apart = (np.minimum(ux, vx) > half) | (np.maximum(ux, vx) < -half) | (np.minimum(uy, vy) > half) | (np.maximum(uy, vy) < -half)
+        apart |= np.abs(side) > half * (np.abs(vx - ux) + np.abs(vy - uy))
+        turns = ((uy <= 0) & (vy > 0) & (side > 0)).astype(np.int64) - ((vy <= 0) & (uy > 0) & (side < 0))
+        if len(row):
+            good = np.logical_and.reduceat(apart, first) & (np.add.reduceat(turns, first) != 0)
+            out.append(np.stack((row[good], cx[good], cy[good])))
+        at = to
+    return np.concatenate(out, axis=1)
+
+
+def full_rows(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:
+    """Rings (grp, ring) of three corners or more to the cells (grp, cx, cy) that they hold whole."""
+    for batch in batches:
+        flat, sizes = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+        if not len(sizes):
+            continue
+        row, cx, cy = _full(sizes, np.stack([np.asarray(flat.field(i), float) for i in (0, 1)]), size)
+        cells = pa.Table.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cx), pa.array(cy)], names=["grp", "cx", "cy"])
+        yield from cells.group_by(["grp", "cx", "cy"]).aggregate([]).to_batches()

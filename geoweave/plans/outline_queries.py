@@ -27,7 +27,7 @@ def united_boxes(spark, d):
     """What the boxes that hang together cover, each spot counted once: the area within their outlines, less that of holes."""
     ring = locate.ring_of_xy((C("x0"), C("y0")), (C("x1"), C("y0")), (C("x1"), C("y1")), (C("x0"), C("y1")))
     grouped = written(outlines.touching_groups(boxes(spark, d).select(C("b").alias("id"), ring.alias("ring"))), "grouped")
-    area = outlines.union(grouped).groupBy("grp").agg(F.floor(F.sum(g.signed_area(C("ring"))) + 0.3711).alias("area"))
+    area = outlines.union(grouped, plain=True).groupBy("grp").agg(F.floor(F.sum(g.signed_area(C("ring"))) + 0.3711).alias("area"))
     return grouped.groupBy("grp").agg(F.count("*").alias("n_boxes")).join(area, "grp")
 
 
