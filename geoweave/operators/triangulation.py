@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from geoweave.functions import geometry as g, shapes as s
 from geoweave.operators import locate, outlines
 from geoweave.operators.mesh import vertex_dictionary
-from geoweave.shared import written
+from geoweave.shared import shuffle_partitions, written
 
 C = F.col
 #: Twice the area in square metres below which a triangle is flat.
@@ -232,7 +232,7 @@ def with_holes(outlined: DataFrame) -> DataFrame:
 def free_space(blobs: DataFrame, box: tuple[float, float, float, float], size: float) -> DataFrame:
     """(tx, ty, part, ring, holes): what blobs (blob, ring) leave free of the tiles of a size that meet a box; blob is a long.
 
-    Blobs may overlap and cross the sides of tiles. Tiles without a blob are one square.
+    Blobs may overlap and cross the sides of tiles, but none crosses itself. Tiles without a blob are one square.
     """
     spark = blobs.sparkSession
     tx0, ty0, tx1, ty1 = (int(v // size) for v in box)
@@ -247,8 +247,11 @@ def free_space(blobs: DataFrame, box: tuple[float, float, float, float], size: f
     holes = met.select(grp.alias("grp"), F.struct("blob", "tx", "ty").alias("rid"), "ring")
     rings = written(whole.union(holes).withColumn("rid", F.xxhash64("rid.blob", "rid.tx", "rid.ty")).withColumn("grp", F.xxhash64("grp.tx", "grp.ty")), "tiles")
     names = tiles.select(F.xxhash64("tx", "ty").alias("grp"), "tx", "ty")
-    free = written(outlines.outlines(rings, min(size / 4, 64.0)), "free")
-    return with_holes(free).join(names, "grp").select("tx", "ty", "part", "ring", "holes")
+    cell = min(size / 4, 32.0)
+    full = written(outlines.full_cells(written(holes.select(F.xxhash64("grp.tx", "grp.ty").alias("grp"), "ring"), "blobs"), cell), "full")
+    free = written(outlines.outlines(rings, cell, full=full), "free")
+    # few bytes, but much work for each
+    return with_holes(free).join(names, "grp").select("tx", "ty", "part", "ring", "holes").repartition(shuffle_partitions(spark), "tx", "ty", "part")
 
 
 def free_mesh(blobs: DataFrame, box: tuple[float, float, float, float], size: float = 1024.0) -> tuple[DataFrame, DataFrame]:

@@ -93,3 +93,21 @@ def test_tiles_of_free_space_fit_together(spark):
     edges = mesh.triangle_edges(walk).groupBy("lo", "hi").count().collect()
     assert max(r["count"] for r in edges) == 2
     assert len({r.tid for r in rows}) == len(rows)
+
+
+def test_free_space_of_a_heap_cuts_little(spark, monkeypatch):
+    """What 60 boxes on each other leave free is right, and where a large one lies over them their crossings are not looked for."""
+    from geoweave.operators import outlines
+
+    cuts, cut = [], outlines._cuts
+    monkeypatch.setattr(outlines, "_cuts", lambda *a: cuts.append(cut(*a)) or cuts[-1])
+    rows = [(i, [(100.0 + i, 90.0 + 2 * i), (500.0 + i, 90.0 + 2 * i), (500.0 + i, 700.0 - 3 * i), (100.0 + i, 700.0 - 3 * i)]) for i in range(60)]
+    blobs = spark.createDataFrame(rows, "blob long, ring array<struct<x:double,y:double>>")
+    large = spark.createDataFrame([(60, [(20.0, 20.0), (900.0, 20.0), (900.0, 900.0), (20.0, 900.0)])], blobs.schema)
+    free = triangulation.free_space(blobs, (1.0, 1.0, 1000.0, 1000.0), 1024.0).collect()
+    area = lambda r: abs(sum(a.x * b.y - b.x * a.y for a, b in zip(r, [*r[1:], r[0]]))) / 2
+    covered = 400 * 610.0 + sum(610.0 - 5 * i for i in range(1, 60))
+    assert len(free) == 1 and abs(area(free[0].ring) - sum(map(area, free[0].holes)) - (1024.0**2 - covered)) < 1e-6
+    cuts.clear()
+    (under,) = triangulation.free_space(blobs.union(large), (1.0, 1.0, 1000.0, 1000.0), 1024.0).collect()
+    assert area(under.ring) - sum(map(area, under.holes)) == 1024.0**2 - 880.0**2 and not cuts[0].count()
