@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoweave.functions import geometry as g, shapes as s
 from geoweave.functions.geometry import cell, point
-from geoweave.operators.spatial import least_holder, places, with_cells
+from geoweave.operators.polygons import convex_hulls
+from geoweave.operators.spatial import least_holder, places, points_in_boxes, with_cells
 from geoweave.shared import written
 
 C = F.col
@@ -127,19 +128,43 @@ def in_known_polygon(queries: DataFrame, triangles: DataFrame) -> DataFrame:
     return both.groupBy("k").agg(F.min(F.when(inside, C("tid"))).alias("tid"), F.min(F.when(C("v").isin(C("v1"), C("v2"), C("v3")), C("tid"))).alias("at_vertex"))
 
 
-def assigned(buildings: DataFrame, blobs: DataFrame, size: float = 512.0) -> DataFrame:
+def assigned(buildings: DataFrame, blobs: DataFrame, size: float = 512.0, band: float = 32.0) -> DataFrame:
     """(b, blob): the first of blobs (blob, ring) that mostly contains each of buildings (b, ring); those in none have no row.
 
-    Only blobs that meet a cell of the building's box are tried. A pair that shares several cells is tried in each, which
-    the minimum doesn't mind and which saves a shuffle of rings. A building that holds none of its own trio centres is
-    contained by every blob that it is near.
+    The centres that count are points: each goes to the blobs whose box holds it, and there to the edges in its band of y, so
+    that no ring goes through a join, however many corners it has. A building that may have all its centres outside, as one that
+    holds none of them, is contained by every blob that it is near, which is one that meets a cell of the building's box.
     """
-    once = buildings.select("b", g.once(C("ring")).alias("ring"))  # a building's own centres are the same for all blobs
-    held = with_box(once.withColumn("held", g.once(s.held_centres(C("ring")))))
-    own = with_cells(held, size).select("b", C("ring").alias("own"), "held", "cx", "cy")
-    sides = blobs.select("blob", g.once(C("ring")).alias("ring")).withColumn("edges", g.once(g._edges(C("ring"))))
-    near = own.join(shape_cells(sides, size).select("blob", "edges", "cx", "cy"), ["cx", "cy"])
-    return near.where(s.centres_inside(C("own"), C("held"), C("edges"))).groupBy("b").agg(F.min("blob").alias("blob"))
+    ringed = lambda df, key: with_box(df.select(key, g.once(C("ring")).alias("ring")))
+    few, first = F.size("ring") < 3, F.transform(F.slice("ring", 1, 1), lambda p: point(p["x"], p["y"]))
+    held = ringed(buildings, "b").withColumn("held", g.once(F.when(few, first).otherwise(s.held_centres(C("ring")))))  # the same for all blobs
+    least = F.when(few, 1).otherwise(F.size("held") - F.greatest(F.floor(F.size("ring") / 9), F.lit(1)) + 1)
+    own = written(held.select(F.monotonically_increasing_id().alias("u"), "b", "held", least.cast("long").alias("least"), "x0", "y0", "x1", "y1"), "centres")
+    boxed = written(ringed(blobs, "blob").withColumn("r", F.monotonically_increasing_id()), "boxed")  # numbered, since keys may be repeated
+    at = own.where("least > 0").select("u", "b", "least", F.posexplode("held").alias("i", "p")).select("u", "b", "least", "i", "p.x", "p.y")
+    at = points_in_boxes(at, boxed.select("blob", "r", "x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1").withColumn("band", cell(C("y"), band))
+    walls = boxed.select("r", F.explode(g._edges(C("ring"))).alias("e")).select("r", *[C(f"e.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"]).where("ay <> by")
+    walls = walls.withColumn("band", F.explode(F.sequence(cell(F.least("ay", "by"), band), cell(F.greatest("ay", "by"), band))))
+    crosses = ((C("ay") > C("y")) != (C("by") > C("y"))) & (C("x") < C("ax") + (C("bx") - C("ax")) * (C("y") - C("ay")) / (C("by") - C("ay")))
+    inside = at.join(walls.hint("merge"), ["r", "band"]).where(crosses).groupBy("u", "b", "least", "i", "r", "blob").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    found = inside.groupBy("u", "b", "least", "r", "blob").agg(F.count("*").alias("n")).where("n >= least").select("b", "blob")
+    if own.where("least <= 0").limit(1).count():
+        found = found.union(_near(own.where("least <= 0").select("b", "x0", "y0", "x1", "y1"), boxed, size))
+    return found.groupBy("b").agg(F.min("blob").alias("blob"))
+
+
+def _near(boxes: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
+    """(b, blob): boxes (b, x0, ..) and the shapes (r, blob, ring, x0, ..) that meet one of their cells, as shape_cells has it, edge by edge."""
+    own = written(with_cells(boxes, size).select("b", "cx", "cy"), "own")
+    cells = with_cells(shapes.select("r", "blob", "x0", "y0", "x1", "y1"), size).join(own.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi").select("r", "blob", "cx", "cy")
+    corners = shapes.select("r", F.explode("ring").alias("p")).select("r", "p.x", "p.y")
+    hulls = convex_hulls(corners, "r").groupBy("r").agg(F.collect_list(point(C("x"), C("y"))).alias("hull"))
+    normal = shapes.select("r", F.explode(g._edges(C("ring"))).alias("e")).select("r", (C("e.a.y") - C("e.b.y")).alias("nx"), (C("e.b.x") - C("e.a.x")).alias("ny")).distinct()
+    along = F.transform("hull", lambda p: p["x"] * C("nx") + p["y"] * C("ny"))
+    sides = normal.join(hulls, "r").select("r", "nx", "ny", F.array_min(along).alias("low"), F.array_max(along).alias("high"))
+    middle, reach = ((2 * C("cx") + 1) * C("nx") + (2 * C("cy") + 1) * C("ny")) * size / 2, (F.abs("nx") + F.abs("ny")) * size / 2
+    apart = cells.join(sides, "r").where((C("low") > middle + reach) | (C("high") < middle - reach)).select("r", "cx", "cy").distinct()
+    return cells.join(apart, ["r", "cx", "cy"], "left_anti").join(own, ["cx", "cy"]).select("b", "blob")
 
 
 def ring_of_xy(*corners: tuple[Column, Column]) -> Column:
