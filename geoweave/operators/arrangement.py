@@ -69,6 +69,35 @@ def _cuts(g: np.ndarray, e: np.ndarray, step: float) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(points, axis=1)
 
 
+def cut_rows(batches: Iterator[pa.RecordBatch], step: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of edges (grp, rid, i, ax, ay, bx, by, o_ax, o_ay, o_bx, o_by, turned) to the points (.., px, py) where the first is cut.
+
+    That is where it crosses the other one, and at ends of the other that are nearer than three quarters of a step; never at its own ends.
+    """
+    for batch in batches:
+        mine, other = ([batch.column(i).to_numpy() for i in at] for at in (range(3, 7), range(7, 11)))
+        turned = batch.column(11).to_numpy(zero_copy_only=False)
+        (ax, ay, bx, by), (cx, cy, dx, dy) = ([np.where(turned, v, u) for u, v in zip(a, b)] for a, b in ((mine, other), (other, mine)))
+        rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
+        det = rx * sy - ry * sx
+        safe = np.where(det == 0, 1.0, det)
+        t, u = ((cx - ax) * sy - (cy - ay) * sx) / safe, ((cx - ax) * ry - (cy - ay) * rx) / safe
+        crossing = (np.floor((ax + t * rx) / step + 0.5) * step, np.floor((ay + t * ry) / step + 0.5) * step)
+        found = [((det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1), *crossing)]
+        ax, ay, bx, by = mine
+        dx, dy = bx - ax, by - ay
+        length2 = dx * dx + dy * dy
+        point = length2 < 1e-12
+        for px, py in (other[:2], other[2:]):
+            t = np.clip(np.where(point, 0.0, ((px - ax) * dx + (py - ay) * dy) / np.where(point, 1.0, length2)), 0.0, 1.0)
+            u, v = px - (ax + t * dx), py - (ay + t * dy)
+            found.append((np.sqrt(u * u + v * v) <= 0.75 * step, px, py))
+        good = [np.flatnonzero(is_cut & ((px != ax) | (py != ay)) & ((px != bx) | (py != by))) for is_cut, px, py in found]
+        cut = batch.take(pa.array(np.concatenate(good)))
+        points = [pa.array(np.concatenate([f[k][rows] for f, rows in zip(found, good)])) for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*cut.columns[:7], *points], names=[*batch.schema.names[:7], "px", "py"])
+
+
 def _pieces(g: np.ndarray, e: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
     """(g, e): the edges cut where those of a ring meet, until nothing is left to cut."""
     done = []

@@ -75,3 +75,12 @@ def test_ears_of_few_corners_as_by_arrays():
 def test_centres_of_buildings_are_found_before_blobs_are_joined(spark):
     plan = plan_of(QUERIES["building_blobs"](spark, SMALL))
     assert "held" in plan
+
+
+def test_cuts_are_found_by_arrays(spark):
+    """The formulas stay out of the generated join, which would be too large to be compiled; edges that cross, touch and pass."""
+    rows = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 2, 0, 0.0, 10.0, 10.0, 0.0), (1, 3, 0, 10.0, 10.0, 20.0, 10.0), (1, 4, 0, 5.0, 5.0, 5.0, 9.0), (2, 5, 0, 0.0, 10.0, 10.0, 0.0), (1, 6, 0, 15.0, 10.0, 15.0, 30.0)]
+    cuts = outlines._cuts(spark.createDataFrame(rows, "grp long, rid long, i long, ax double, ay double, bx double, by double"), 64.0, outlines.STEP)
+    assert {(r.rid, r.px, r.py) for r in cuts.collect()} == {(1, 5.0, 5.0), (2, 5.0, 5.0), (3, 15.0, 10.0)}
+    plan = plan_of(cuts)
+    assert "MapInArrow" in plan and "SQRT" not in plan
