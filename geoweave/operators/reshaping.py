@@ -5,7 +5,9 @@ Each step is a function of rings as complex numbers, without a closing vertex; r
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from geoweave.functions import geometry as g
 from geoweave.operators import outlines
 from geoweave.operators.polygons import flat_of
-from geoweave.shared import written
+from geoweave.shared import shuffle_partitions, written
 
 C = F.col
 RING = "array<struct<x double, y double>>"
@@ -133,6 +135,34 @@ def all_flat(rings: list[np.ndarray], area: float) -> list[np.ndarray]:
     return [flat(p, area) for p in rings]
 
 
+class _Edges:
+    """Edges of a ring, each by the corner that it begins at, in the cells that they come to, give or take `reach`.
+
+    An edge that moved is put in again. What is found in a cell are all that may be near, and are to be looked at as they now are.
+    """
+
+    def __init__(self, reach: float, size: float = 16.0):
+        self.reach, self.size, self.cells = reach, size, defaultdict(list)
+
+    def put(self, j: int, a: complex, b: complex) -> None:
+        a, b = (a, b) if a.real <= b.real else (b, a)
+        steep = (b.imag - a.imag) / (b.real - a.real) if b.real > a.real else 0.0
+        for x in range(floor((a.real - self.reach) / self.size), floor((b.real + self.reach) / self.size) + 1):
+            low, high = a.imag, b.imag
+            if steep:  # of a sloping edge the part over these cells
+                low, high = (a.imag + steep * (min(max(v, a.real), b.real) - a.real) for v in (x * self.size - self.reach, (x + 1) * self.size + self.reach))
+            low, high = min(low, high) - self.reach, max(low, high) + self.reach
+            for y in range(floor(low / self.size), floor(high / self.size) + 1):
+                self.cells[x, y].append(j)
+
+    def at(self, p: complex) -> list[int]:
+        return sorted(set(self.cells.get((floor(p.real / self.size), floor(p.imag / self.size)), ())))
+
+
+#: Rings of more corners are gone through with their edges in cells.
+FEW = 64
+
+
 def cornered(p: np.ndarray, original: np.ndarray, short: float, near: float) -> np.ndarray:
     """Cut corners made whole again where the original has one.
 
@@ -141,6 +171,10 @@ def cornered(p: np.ndarray, original: np.ndarray, short: float, near: float) ->
     `short`. Else, if an original vertex is near one of the two points at right angles over the edge's middle, half its length
     away, and none is near the other one, the end of the edge moves there: the first to the right one, the second to the left one.
     """
+    return (_cornered_of_few if len(p) <= FEW else _cornered_of_many)(p, original, short, near)
+
+
+def _cornered_of_few(p: np.ndarray, original: np.ndarray, short: float, near: float) -> np.ndarray:
     p, i = list(p), 0
     least = near * (np.sqrt(2) + 0.01)
     while i < len(p) and len(p) >= 4:
@@ -170,6 +204,62 @@ def cornered(p: np.ndarray, original: np.ndarray, short: float, near: float) ->
     return np.array(p, complex)
 
 
+def _cornered_of_many(p: np.ndarray, original: np.ndarray, short: float, near: float) -> np.ndarray:
+    """cornered, with a look at edges and original vertices in cells only; corners that go are left out of a chain of them."""
+    n, p = len(p), p.tolist()
+    onward, gone, head = [*range(1, n), 0], [False] * n, 0
+    least = near * (np.sqrt(2) + 0.01)
+    edges, vertices = _Edges(short), defaultdict(list)
+    for j in range(n):
+        edges.put(j, p[j], p[onward[j]])
+    for v in original.tolist():
+        vertices[floor(v.real / near), floor(v.imag / near)].append(v)
+
+    def seen(at: complex, b: complex, c: complex) -> bool:
+        """Whether an original vertex is near a place and none of b and c."""
+        x, y = floor(at.real / near), floor(at.imag / near)
+        around = (v for i in (-1, 0, 1) for j in (-1, 0, 1) for v in vertices.get((x + i, y + j), ()))
+        return any(abs(v - at) < near and abs(v - b) > near and abs(v - c) > near for v in around)
+
+    i, last, left_ = 0, n - 1, n
+    while left_ >= 4:
+        k = onward[i]
+        m = onward[k]
+        a, b, c, d = p[i], p[k], p[m], p[onward[m]]
+        done, follow = i == last, k
+        if least < abs(c - b) < short:
+            tip = _meeting(a, b - a, d, c - d)
+            beside = tip is not None and abs(tip - b) < short + least
+            others = [j for j in edges.at(tip) if not gone[j] and j not in (k, m)] if beside else []
+            if others and (_off(tip, np.array([p[j] for j in others]), np.array([p[onward[j]] for j in others])) < short / 2).any():
+                pass
+            elif beside and seen(tip, b, c):
+                p[m], onward[i], gone[k] = tip, m, True
+                head, follow, left_ = (m if k == head else head), m, left_ - 1
+                edges.put(m, tip, p[onward[m]])
+                edges.put(i, a, tip)
+                done = done or k == last
+            else:
+                side = 1j * (c - b) / 2
+                right, left = (seen((b + c) / 2 + s, b, c) for s in (-side, side))
+                if right and not left:
+                    p[k] = (b + c) / 2 - side
+                    edges.put(i, a, p[k])
+                    edges.put(k, p[k], c)
+                elif left and not right:
+                    p[m] = (b + c) / 2 + side
+                    edges.put(k, b, p[m])
+                    edges.put(m, p[m], d)
+        if done:
+            break
+        i = follow
+    out, i = [], head
+    for _ in range(left_):
+        out.append(p[i])
+        i = onward[i]
+    return np.array(out, complex)
+
+
 def pulled_apart(p: np.ndarray, least: float, most: float) -> np.ndarray:
     """Corners nearer than `least` to an edge that is not next to them move towards a neighbour, until they are that far from its line.
 
@@ -177,10 +267,15 @@ def pulled_apart(p: np.ndarray, least: float, most: float) -> np.ndarray:
     """
     p = np.array(p, complex)
     n = len(p)
+    edges = _Edges(least) if n > FEW else None
+    for j in range(n) if edges else ():
+        edges.put(j, p[j], p[(j + 1) % n])
     for i in range(n):
         a, b, c = p[i - 1], p[i], p[(i + 1) % n]
-        apart = [j for j in range(n) if len({j, (j + 1) % n} & {i, (i - 1) % n, (i + 1) % n}) == 0]
-        u, v = p[apart], np.roll(p, -1)[apart]
+        apart = [j for j in (edges.at(b) if edges else range(n)) if len({j, (j + 1) % n} & {i, (i - 1) % n, (i + 1) % n}) == 0]
+        if not apart:
+            continue
+        u, v = p[apart], p[[(j + 1) % n for j in apart]]
         far = _off(b, u, v)
         close = (far < least) & (far > 1e-6)
         u, v = u[close], v[close]
@@ -196,6 +291,8 @@ def pulled_apart(p: np.ndarray, least: float, most: float) -> np.ndarray:
                 best, change = moved[size.argmin()], size.min()
         if best is not None and change <= most:
             p[i] = best
+            for j in ((i - 1) % n, i) if edges else ():
+                edges.put(j, p[j], p[(j + 1) % n])
     return p
 
 
@@ -246,20 +343,47 @@ def strong_rings(rings: DataFrame, by: float = 3.6) -> DataFrame:
     return _kept(reshaped(both, chain, other=True))
 
 
-def blobs_of(buildings: DataFrame, by: float = 2.0) -> DataFrame:
-    """(id, ring, buildings): blobs of buildings (id, ring) nearer to each other than twice `by`, with few corners, and their buildings' ids.
+def _near_short(rings: DataFrame, vertices: DataFrame, short: float) -> DataFrame:
+    """(id, other): of vertices (id, x, y) those no farther from a short edge of rings (id, ring) with that id than a corner is looked for.
+
+    A corner comes back, and the ends of edges move, by less than two times `short` each; edges up to four times as long may become short.
+    """
+    size = 8 * short
+    e = rings.select("id", F.explode(g._edges(C("ring"))).alias("e")).where(g.distance(C("e.a.x"), C("e.a.y"), C("e.b.x"), C("e.b.y")) < 4 * short)
+    at = e.select("id", F.explode(F.array("e.a", "e.b")).alias("p"))
+    around = lambda c: F.explode(F.sequence(g.cell(C(f"p.{c}"), size) - 1, g.cell(C(f"p.{c}"), size) + 1))
+    cells = at.withColumn("cx", around("x")).withColumn("cy", around("y")).select("id", "cx", "cy").distinct()
+    own = vertices.withColumns({"cx": g.cell(C("x"), size), "cy": g.cell(C("y"), size)})
+    return own.join(cells, ["id", "cx", "cy"], "left_semi").groupBy("id").agg(F.collect_list(g.point(C("x"), C("y"))).alias("other"))
+
+
+def simplified_blobs(buildings: DataFrame, by: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Blobs of buildings (id, ring) nearer to each other than twice `by`, with few corners: (blobs (id, ring), members (id, building)).
 
-    Corners are held against the vertices of the blob's own buildings. ids are longs; a blob's id is that of its first building.
+    Corners are held against the vertices of the blob's own buildings, of which only those near its short edges go to it. ids are
+    longs; a blob's id is that of its first building.
     """
+    short = by + 0.1
 
     def chain(p: list[np.ndarray], original: list[np.ndarray]) -> list[np.ndarray]:
-        p = [cornered(pulled_apart(q, 1, 5), o, by + 0.1, 0.5) for q, o in zip(p, original)]
-        for short, error, area in ((10, 0.45, 3), (10, 0.5, 5), (5, 0.55, 7)):
-            p = all_flat(all_unrounded(p, short, error), area)
+        p = [cornered(q, o, short, 0.5) for q, o in zip(p, original)]
+        for reach, error, area in ((10, 0.45, 3), (10, 0.5, 5), (5, 0.55, 7)):
+            p = all_flat(all_unrounded(p, reach, error), area)
         return all_unrounded(p, 5, 0.55)
 
     plain = written(reshaped(buildings, lambda p: all_flat(all_unrounded(p, 10, 0.45), 3)), "plain")
     blobs, members = outlines.united(plain, by)
-    held = members.join(plain, "id").groupBy("blob").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("buildings"), F.flatten(F.collect_list("ring")).alias("other"))
-    rows = written(blobs.join(held, "blob").select("id", "ring", "other", "buildings"), "blobs")
-    return _kept(reshaped(rows, chain, other=True)).join(rows.select("id", "buildings"), "id")
+    named = written(members.groupBy("blob").agg(F.min("id").alias("name")), "named")
+    members = members.join(named, "blob").select(C("name").alias("id"), C("id").alias("building"))
+    parts = shuffle_partitions(plain.sparkSession)
+    rings = blobs.join(named, "blob").select(C("name").alias("id"), "ring").repartition(parts, "id")
+    rings = written(reshaped(rings, lambda p: [pulled_apart(q, 1, 5) for q in p]), "rings")
+    vertices = members.join(plain.select(C("id").alias("building"), F.explode("ring").alias("p")), "building").select("id", "p.x", "p.y")
+    both = rings.join(_near_short(rings, vertices, short), "id", "left").withColumn("other", F.coalesce("other", F.array().cast(RING)))
+    return _kept(reshaped(both.repartition(parts, "id"), chain, other=True)), members
+
+
+def blobs_of(buildings: DataFrame, by: float = 2.0) -> DataFrame:
+    """(id, ring, buildings): simplified_blobs with the ids of each blob's buildings as an array, which for a large blob is a large row."""
+    blobs, members = simplified_blobs(buildings, by)
+    return blobs.join(members.groupBy("id").agg(F.array_sort(F.collect_list("building")).alias("buildings")), "id")

@@ -69,4 +69,6 @@ def strong_outlines(spark, d):
 def simplified_blobs(spark, d):
     """Blobs of L-shaped buildings within 4 m of each other: how many buildings and corners each has."""
     rings = ells(spark, d).where(g.signed_area(C("ring")) > 0).select(C("b").alias("id"), "ring")
-    return reshaping.blobs_of(rings).select(C("id").alias("blob"), F.size("buildings").cast("long").alias("n_buildings"), F.size("ring").cast("long").alias("corners"))
+    blobs, members = reshaping.simplified_blobs(rings)
+    n = members.groupBy(C("id").alias("blob")).agg(F.count("*").alias("n_buildings"))
+    return blobs.select(C("id").alias("blob"), F.size("ring").cast("long").alias("corners")).join(n, "blob").select("blob", "n_buildings", "corners")

@@ -100,3 +100,31 @@ def test_chains(spark):
     assert {k: v[0] for k, v in blobs.items()} == {0: [0], 1: [1], 2: [2], 3: [3, 4]}
     assert abs(area(blobs[0][1]) - 300) < 10 and abs(area(blobs[3][1]) - 645) < 20 and all(len(p) <= 6 for _, p in blobs.values())
     assert reshaping.light_rings(rings.limit(0)).collect() == []
+
+
+def test_rings_of_many_corners_as_of_few(monkeypatch):
+    """Edges and vertices in cells: corners come back, and move away from edges, just as where all of a ring is looked at."""
+    rng, changed = random.Random(3), [0, 0]
+    for t in range(150):
+        n = rng.randint(3, 60)
+        p = np.array([rng.uniform(4, 9) * np.exp(2j * np.pi * (i + rng.random() * 0.9) / n) for i in range(n)])
+        p = np.round(p) if t % 2 else p
+        back = np.roll(p, -1)
+        vertices = np.concatenate([p + rng.uniform(-1, 1), (p + back) / 2 + 1j * (p - back) / 2 * rng.choice((1, -1))])
+        few, many = (f(p, vertices, 2.1, 0.5) for f in (reshaping._cornered_of_few, reshaping._cornered_of_many))
+        assert len(few) == len(many) and np.allclose(few, many, atol=1e-9)
+        apart = pulled_apart(p, 1, 5)
+        monkeypatch.setattr(reshaping, "FEW", 0)
+        assert np.allclose(pulled_apart(p, 1, 5), apart, atol=1e-9)
+        monkeypatch.undo()
+        changed = [changed[0] + (len(few) < n or bool((few != p).any())), changed[1] + bool((apart != p).any())]
+    assert min(changed) > 20
+
+
+def test_only_vertices_near_short_edges_go_to_a_blob(spark):
+    """A long house of many small bays: its blob's corners are held against the vertices at their own short edges, not against all in it."""
+    rings = spark.createDataFrame([(1, [(0.0, 0.0), (400.0, 0.0), (400.0, 1.0), (399.0, 2.0), (0.0, 2.0)])], f"id long, ring {RING}")
+    vertices = spark.createDataFrame([(i % 2 + 1, float(i), 1.0) for i in range(400)], "id long, x double, y double")
+    (row,) = reshaping._near_short(rings, vertices, 2.1).collect()
+    xs = {p.x for p in row.other}
+    assert row.id == 1 and {392.0, 394.0, 396.0, 398.0} <= xs and all(x % 2 == 0 and (x > 360 or x < 40) for x in xs)
