@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoweave.functions.geometry import cell, halton
-from geoweave.shared import written
+from geoweave.shared import shuffle_partitions, written
 
 
 def with_cells(boxes: DataFrame, size: float) -> DataFrame:
@@ -170,10 +170,13 @@ def boxes_in_areas(boxes: DataFrame, areas: DataFrame, size: float = 512.0) -> D
     """Distinct pairs (area, b) of areas (area, ax0, ..) and boxes (b, x0, ..) that share a point.
 
     A pair is made in one cell only, that of the upper left corner of what the two share, so nothing is to be deduplicated.
+    Cells are dealt to a set number of tasks, since few bytes give many pairs, and Spark would put them together by their bytes.
     """
-    a = areas.select("area", *[F.col(f"a{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    a = with_cells(a, size).select("area", "cx", "cy", *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = a.join(with_cells(boxes, size), ["cx", "cy"])
+    ends = ("x0", "y0", "x1", "y1")
+    a = areas.select("area", *[F.col(f"a{c}").alias(c) for c in ends])
+    a = with_cells(a, size).select("area", "cx", "cy", *[F.col(c).alias(f"a{c}") for c in ends])
+    dealt = lambda df: df.repartition(shuffle_partitions(df.sparkSession), "cx", "cy").hint("merge")
+    both = dealt(a).join(dealt(with_cells(boxes, size).select("b", "cx", "cy", *ends)), ["cx", "cy"])
     meet = (F.col("x0") <= F.col("ax1")) & (F.col("ax0") <= F.col("x1")) & (F.col("y0") <= F.col("ay1")) & (F.col("ay0") <= F.col("y1"))
     corner = (F.col("cx") == cell(F.greatest("x0", "ax0"), size)) & (F.col("cy") == cell(F.greatest("y0", "ay0"), size))
     return both.where(meet & corner).select("area", "b")

@@ -7,7 +7,7 @@ import numpy as np
 
 import geoweave.plans.route_queries  # noqa: F401  (these register their queries)
 import geoweave.plans.text_queries  # noqa: F401
-from geoweave.operators import mesh, outlines, polygons, triangulation
+from geoweave.operators import mesh, outlines, polygons, spatial, triangulation
 from geoweave.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,3 +84,15 @@ def test_cuts_are_found_by_arrays(spark):
     assert {(r.rid, r.px, r.py) for r in cuts.collect()} == {(1, 5.0, 5.0), (2, 5.0, 5.0), (3, 15.0, 10.0)}
     plan = plan_of(cuts)
     assert "MapInArrow" in plan and "SQRT" not in plan
+
+
+def test_cells_of_areas_are_dealt_to_a_set_number_of_tasks(spark):
+    """Small tables give many pairs: Spark would put the cells' tasks together by their bytes. Pairs are those of plain loops."""
+    rng = random.Random(2)
+    rows = [(b, x, y, x + rng.uniform(0, 900), y + rng.uniform(0, 900)) for b, x, y in ((b, rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for b in range(150))]
+    boxes = spark.createDataFrame(rows, "b long, x0 double, y0 double, x1 double, y1 double")
+    pairs = spatial.boxes_in_areas(boxes, boxes.selectExpr("b AS area", "x0 AS ax0", "y0 AS ay0", "x1 AS ax1", "y1 AS ay1"))
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    plan = plan_of(pairs)
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted((r.area, r.b) for r in pairs.collect()) == want
