@@ -1,11 +1,11 @@
-"""Removal of congruent rings: a spatial self-join on cells of their boxes, then the survivor by components."""
+"""Removal of congruent rings: a spatial self-join on cells of their boxes, then the survivor by components; and rings that are nearly so."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoweave.functions import geometry as g, shapes as s
-from geoweave.operators import graph
+from geoweave.functions import geometry as g
+from geoweave.operators import alike, cellwise, graph
 from geoweave.operators.locate import with_box
 from geoweave.operators.spatial import boxes_in_areas, points_in_boxes
 from geoweave.shared import written
@@ -28,60 +28,67 @@ def congruent_pairs(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return both.where(g.boxes_meet("", "o_") & _within(c("r"), c("s"), tolerance)).select("a", "b")
 
 
-def _overlapping(rings: DataFrame, size: float) -> DataFrame:
-    """(a, b), a < b: rings whose boxes share a point; rings without vertices take no part."""
-    rows = with_box(rings.select("id", "ring"))
-    box = rows.select(F.col("id").alias("b"), "x0", "y0", "x1", "y1")
-    area = rows.select(F.col("id").alias("area"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    return boxes_in_areas(box, area, size).where("area < b").withColumnRenamed("area", "a")
-
-
 def _within(r: Column, s: Column, tolerance: float) -> Column:
     return F.forall(F.zip_with(r, s, lambda p, q: g.distance(p["x"], p["y"], q["x"], q["y"])), lambda d: d <= tolerance)
 
 
-def _congruent(tolerance: float) -> Column:
-    return (F.size("r") == F.size("s")) & _within(g.canonical(F.col("r")), g.canonical(F.col("s")), tolerance)
-
+def _measured(rings: DataFrame) -> DataFrame:
+    """(id, area, ..) of rings of three vertices or more, with what alike.measured() tells of them, as a table."""
+    flat = rings.where(F.size("ring") >= 3).select("id", *[F.col(f"ring.{d}").cast("array<double>").alias(f"{d}s") for d in "xy"])
+    return written(flat.mapInArrow(alike.measured, f"id {flat.schema['id'].dataType.simpleString()}, {alike.MEASURES}"), "measured")
 
-def _inner_centres(ring: Column) -> Column:
-    """Centres of each three vertices in a row of the closed ring, not over its end: one fewer than vertices."""
-    all_ = s.trio_centres(ring)
-    return F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))
 
-
-def _near_alike(rings: DataFrame, size: float) -> DataFrame:
-    """(a, b), a < b: pairs of rings that may hold the same of each other's trio centres.
+def _cells(rows: DataFrame, size: float) -> DataFrame:
+    """Rings of _measured() with own centres, as cellwise.dealt() gives them: in a cell are rings with a centre there, and those no
+    wider whose box meets it.
 
     A ring holds most of its own centres. The other has to hold these too, so the box of each lies about those centres of the other,
-    and a pair is found by one such centre in the other's box. Rings that hold none of their own centres are compared by boxes.
+    and a pair is found by one such centre of the wider in the other's box. Cells are as wide as the boxes in them, by powers of two;
+    the wider one is in all grids between the extent of its centres and its own.
     """
     c = F.col
-    rows = with_box(rings.select("id", "ring")).withColumn("own", F.explode(F.array(F.filter(_inner_centres(c("ring")), lambda p: s.in_ring(p["x"], p["y"], c("ring"))))))
-    ends = lambda f, d: f(F.transform("own", lambda p: p[d]))
-    middle = F.get("own", F.lit(0))
-    rows = written(rows.select("id", "x0", "y0", "x1", "y1", ends(F.array_min, "x").alias("u0"), ends(F.array_min, "y").alias("v0"), ends(F.array_max, "x").alias("u1"), ends(F.array_max, "y").alias("v1"), middle["x"].alias("x"), middle["y"].alias("y")), "centres")
-    point = rows.where("x is not null").select(*[c(n).alias(n if n in "xy" else f"p_{n}") for n in rows.columns])
-    both = points_in_boxes(point, rows.drop("x", "y"), size).where("p_u0 >= x0 and p_u1 <= x1 and p_v0 >= y0 and p_v1 <= y1")
-    both = both.where("u0 is null or p_id < id and u0 >= p_x0 and u1 <= p_x1 and v0 >= p_y0 and v1 <= p_y1")
-    found = both.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b"))
-    none = rings.join(rows.where("x is null").select("id"), "id", "left_semi")
-    return found.union(_overlapping(none, size))
-
-
-def suspicious_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 64.0) -> DataFrame:
+    grade = lambda w: F.greatest(F.ceil(F.log2(F.greatest(w / size, F.lit(1.0)))), F.lit(0)).cast("long")
+    wide = F.greatest(c("x1") - c("x0"), c("y1") - c("y0"))
+    has = rows.where("mx is not null")
+    at = lambda v: F.floor(c(v) / (size * F.pow(F.lit(2.0), c("grade")))).cast("long")
+    names = ["grade", "cx", "cy", "id", *[m.split()[0] for m in alike.MEASURES.split(", ")]]
+    held = has.withColumn("grade", F.explode(F.sequence(grade(F.greatest(c("u1") - c("u0"), c("v1") - c("v0"))), grade(wide))))
+    held = held.withColumns({"cx": at("mx"), "cy": at("my")}).select(names)
+    passing = has.withColumn("grade", grade(wide)).withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1")))).select(names)
+    return cellwise.dealt(held, passing, ["grade", "cx", "cy"], "id")
+
+
+def _without_own(rows: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame | None:
+    """(a, b, smaller) with a ring of _measured() that holds none of its own centres; None where there is no such ring."""
+    c = F.col
+    none = rows.where("mx is null")
+    if not none.limit(1).count():
+        return None
+    point = rows.where("mx is not null").select(c("id").alias("p"), c("mx").alias("x"), c("my").alias("y"), *[c(e).alias(f"p_{e}") for e in ("u0", "v0", "u1", "v1")])
+    box = none.select("id", "x0", "y0", "x1", "y1")
+    both = points_in_boxes(point, box, size).where("p_u0 >= x0 and p_u1 <= x1 and p_v0 >= y0 and p_v1 <= y1").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
+    area = box.select(c("id").alias("area"), *[c(e).alias(f"a{e}") for e in ("x0", "y0", "x1", "y1")])
+    both = both.union(boxes_in_areas(box.withColumnRenamed("id", "b"), area, size).where("area < b"))
+    one = rows.select(c("id").alias("a"), "xs", "ys", "own", "turn")
+    two = rows.select(c("id").alias("b"), *[c(e).alias(f"o_{e}") for e in ("xs", "ys", "own", "turn")])
+    joined = both.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", *one.columns[1:], *two.columns[1:])
+    kind = rows.schema["id"].dataType.simpleString()
+    good = joined.mapInArrow(lambda batches: alike.alike_rows(batches, tolerance), f"a {kind}, b {kind}")
+    areas = good.join(rows.select(c("id").alias("a"), c("area").alias("a_area")), "a").join(rows.select(c("id").alias("b"), c("area").alias("b_area")), "b")
+    return areas.select("a", "b", F.when(c("a_area") < c("b_area"), c("a")).otherwise(c("b")).alias("smaller"))
+
+
+def suspicious_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 256.0) -> DataFrame:
     """(a, b, smaller), a < b, of rings (id, ring): both hold the same of each other's trio centres, and they are not congruent.
 
-    smaller is the one of less area, b at a tie. Rings of fewer than three vertices are in no pair. ids are distinct.
+    smaller is the one of less area, b at a tie. Rings of fewer than three vertices are in no pair, nor are those with a coordinate
+    that is null or no number. ids are distinct.
     """
-    same = lambda c: s.in_ring(c["x"], c["y"], F.col("r")) == s.in_ring(c["x"], c["y"], F.col("s"))
-    agree = F.forall(F.concat(_inner_centres(F.col("r")), _inner_centres(F.col("s"))), same)
-    rings = rings.where(F.size("ring") >= 3)
-    one, two = rings.select(F.col("id").alias("a"), F.col("ring").alias("r")), rings.select(F.col("id").alias("b"), F.col("ring").alias("s"))
-    pairs = _near_alike(rings, size).join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    pairs = pairs.where(~_congruent(tolerance) & agree)
-    area = lambda c: F.abs(g.signed_area(F.col(c)))
-    return pairs.select("a", "b", F.when(area("r") < area("s"), F.col("a")).otherwise(F.col("b")).alias("smaller"))
+    rows = _measured(rings)
+    kind = rows.schema["id"].dataType.simpleString()
+    found = _cells(rows, size).mapInArrow(lambda batches: alike.pairs(batches, tolerance), f"a {kind}, b {kind}, smaller {kind}")
+    more = _without_own(rows, tolerance)
+    return found if more is None else found.union(more)
 
 
 def report(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:

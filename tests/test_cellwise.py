@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
-from geoweave.operators import locate
+from geoweave.operators import alike, dedup, locate
 from geoweave.plans.queries import QUERIES
-import geoweave.plans.mesh_queries  # noqa: F401
+import geoweave.plans.route_queries  # noqa: F401  (these register their queries)
+from test_routes import plain_doubles
 
 SMALL = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double>>"
@@ -37,3 +38,35 @@ def test_hits_are_not_joined_to_points_again(spark):
     """A pair of a place and a ring is no row of a shuffle: places lie on each other many times over in large tables."""
     plan = QUERIES["winding_hits"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "lambdafunction" not in plan
+
+
+def _rings(rng):
+    """Rings of three to seven vertices about few places, many of them nearly alike or congruent, some without a centre of their own."""
+    rows = {}
+    for i in range(260):
+        x, y, h, n = rng.randrange(4) * 300.0, rng.randrange(2) * 40.0, rng.choice([3.0, 20.0, 60.0, 90.0, 400.0]), rng.choice([3, 4, 4, 5, 7])
+        at = [(x + h * rng.choice([-1, 1, 0.5]) + rng.randrange(3), y + h * rng.choice([-1, 1, -0.5]) + rng.randrange(3)) for _ in range(n)]
+        square = [(x - h, y - h), (x + h, y - h + rng.randrange(3)), (x + h, y + h), (x - h, y + h + 0.25 * rng.randrange(3))]
+        k = rng.randrange(4)
+        rows[i] = at if i % 3 == 0 else square[k:] + square[:k]
+    return rows
+
+
+def test_doubles_of_crowded_rings(spark):
+    rings = _rings(random.Random(5))
+    same, odd = plain_doubles(rings)
+    rows = [*rings.items(), (900, []), (901, None), (902, [(0.0, 0.0), (1.0, 1.0)]), (903, [(None, 0.0), (20.0, 0.0), (20.0, 20.0)]), (904, [(float("nan"), 0.0), (20.0, 0.0), (20.0, 20.0)])]
+    df = spark.createDataFrame(rows, f"id long, ring {RING}")
+    assert dedup._measured(df).where("mx is null").count() and dedup._measured(df).count() == len(rings)
+    assert len(odd) > 300 and len(same) > 50
+    for size in (16.0, 256.0):
+        got = dedup.suspicious_pairs(df, size=size).collect()
+        assert len(got) == len(odd) and {tuple(r) for r in got} == odd
+    whole = spark.createDataFrame(rows[: len(rings) + 3], f"id long, ring {RING}")
+    assert {tuple(r) for r in dedup.congruent_pairs(whole).collect()} == same
+
+
+def test_pairs_of_rings_are_made_in_their_cell(spark):
+    """No pair goes through a shuffle to be joined to its rings, and no function of rings is called for it."""
+    plan = QUERIES["suspicious_pairs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "lambdafunction" not in plan
