@@ -1,4 +1,4 @@
-"""Removal of congruent rings: a spatial self-join on cells of their boxes, then the survivor by components; and rings that are nearly so."""
+"""Removal of congruent rings: a spatial self-join on cells of their first vertices, then the survivor by components; and rings that are nearly so."""
 
 from __future__ import annotations
 
@@ -14,18 +14,21 @@ from geoweave.shared import written
 def congruent_pairs(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """(a, b), a < b: rings (id, ring) of as many vertices that lie within tolerance of each other, from the canonical one on, and whose boxes share a point.
 
-    The first vertices lie within tolerance too, so only rings with these in neighbouring cells of that size are compared.
+    The first vertices lie within tolerance too: a ring meets the cell of its own, the other one all that lie within tolerance,
+    mostly one, since cells are 16 times as wide.
     """
     c = F.col
-    size = max(tolerance, 1e-6) * 1.001
+    reach = max(tolerance, 1e-6) * 1.001
+    size = 16 * reach
     rows = with_box(rings.select("id", "ring")).withColumn("ring", g.canonical(c("ring")))
     first = F.get("ring", F.lit(0))
-    rows = rows.withColumns({"n": F.size("ring"), "cx": g.cell(first["x"], size), "cy": g.cell(first["y"], size)})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    other = rows.select(c("id").alias("b"), c("ring").alias("s"), "n", *[c(e).alias(f"o_{e}") for e in ("x0", "y0", "x1", "y1")], "cx", "cy", F.explode(around).alias("o"))
-    other = other.withColumns({"cx": c("cx") + c("o.i"), "cy": c("cy") + c("o.j")}).drop("o")
-    both = rows.withColumnsRenamed({"id": "a", "ring": "r"}).join(other.hint("merge"), ["n", "cx", "cy"]).where("a < b")
-    return both.where(g.boxes_meet("", "o_") & _within(c("r"), c("s"), tolerance)).select("a", "b")
+    rows = rows.withColumns({"n": F.size("ring"), "fx": first["x"].cast("double"), "fy": first["y"].cast("double")})
+    around = lambda v: F.explode(F.sequence(g.cell(c(v) - reach, size), g.cell(c(v) + reach, size)))
+    other = rows.select(c("id").alias("b"), c("ring").alias("s"), "n", *[c(e).alias(f"o_{e}") for e in ("x0", "y0", "x1", "y1", "fx", "fy")], around("fx").alias("cx"))
+    other = other.select("*", around("o_fy").alias("cy"))
+    both = rows.withColumnsRenamed({"id": "a", "ring": "r"}).withColumns({"cx": g.cell(c("fx"), size), "cy": g.cell(c("fy"), size)}).join(other.hint("merge"), ["n", "cx", "cy"]).where("a < b")
+    near = g.distance(c("fx"), c("fy"), c("o_fx"), c("o_fy")) <= tolerance
+    return both.where(g.boxes_meet("", "o_") & near & _within(c("r"), c("s"), tolerance)).select("a", "b")
 
 
 def _within(r: Column, s: Column, tolerance: float) -> Column:
@@ -91,17 +94,25 @@ def suspicious_pairs(rings: DataFrame, tolerance: float = 1.0, size: float = 256
     return found if more is None else found.union(more)
 
 
+def _smaller_ones(rings: DataFrame, tolerance: float = 1.0, size: float = 256.0) -> DataFrame:
+    """(id): the rings that are the smaller one of some suspicious pair, without all the pairs."""
+    rows = _measured(rings)
+    found = _cells(rows, size).mapInArrow(lambda batches: alike.smaller(batches, tolerance), f"id {rows.schema['id'].dataType.simpleString()}")
+    more = _without_own(rows, tolerance)
+    return (found if more is None else found.union(more.select("smaller"))).distinct()
+
+
 def report(rings: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """One row for rings (id, ring): removed, suspicious, remaining, vertices (all) and outer (those of what remains).
 
     removed: congruent to one of smaller id in their group; suspicious: the smaller of a suspicious pair of those left.
     """
-    labels = graph.components(rings.select(F.col("id").alias("v")), congruent_pairs(rings, tolerance))
-    left = written(rings.join(labels.where("v = label").select(F.col("v").alias("id")), "id").select("id", "ring"), "left")
-    odd = suspicious_pairs(left, tolerance).select(F.col("smaller").alias("id")).distinct()
-    marked = left.join(odd.withColumn("odd", F.lit(True)), "id", "left")
+    removed = graph.linked(congruent_pairs(rings, tolerance)).where("node <> label").select(F.col("node").alias("id"))
+    left = written(rings.join(removed, "id", "left_anti").select("id", "ring"), "left")
+    odd = _smaller_ones(left, tolerance)
+    marked = left.select("id", F.size("ring").cast("long").alias("n")).join(odd.withColumn("odd", F.lit(True)), "id", "left")
     n = F.coalesce(F.sum(F.size("ring").cast("long")), F.lit(0))
-    after = marked.agg(F.count_if("odd").alias("suspicious"), F.count_if(F.col("odd").isNull()).alias("remaining"), F.coalesce(F.sum(F.when(F.col("odd").isNull(), F.size("ring").cast("long"))), F.lit(0)).alias("outer"), F.count("*").alias("left"))
+    after = marked.agg(F.count_if("odd").alias("suspicious"), F.count_if(F.col("odd").isNull()).alias("remaining"), F.coalesce(F.sum(F.when(F.col("odd").isNull(), F.col("n"))), F.lit(0)).alias("outer"), F.count("*").alias("left"))
     return rings.agg(F.count("*").alias("all"), n.alias("vertices")).join(F.broadcast(after)).select((F.col("all") - F.col("left")).alias("removed"), "suspicious", "remaining", "vertices", "outer")
 
 

@@ -62,6 +62,7 @@ def test_doubles_of_crowded_rings(spark):
     for size in (16.0, 256.0):
         got = dedup.suspicious_pairs(df, size=size).collect()
         assert len(got) == len(odd) and {tuple(r) for r in got} == odd
+        assert {r.id for r in dedup._smaller_ones(df, size=size).collect()} == {c for _, _, c in odd}
     whole = spark.createDataFrame(rows[: len(rings) + 3], f"id long, ring {RING}")
     assert {tuple(r) for r in dedup.congruent_pairs(whole).collect()} == same
 
@@ -70,3 +71,23 @@ def test_pairs_of_rings_are_made_in_their_cell(spark):
     """No pair goes through a shuffle to be joined to its rings, and no function of rings is called for it."""
     plan = QUERIES["suspicious_pairs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "lambdafunction" not in plan
+
+
+def test_report_compares_few_of_many_pairs(spark, monkeypatch):
+    """400 rings about one place make some 80,000 pairs; that each but the widest is the smaller one of a pair needs few of them."""
+    rows = [(i, [(-h, -h), (h, -h), (h, h), (-h, h)]) for i, h in ((i, 200.0 + i) for i in range(400))]
+    df = spark.createDataFrame(rows, f"id long, ring {RING}")
+    assert dedup._smaller_ones(df).count() == 399 and dedup.suspicious_pairs(df).count() == 79800
+    seen, whole = [], alike.alike
+    monkeypatch.setattr(alike, "alike", lambda r, s, i, j, t: seen.append(len(i)) or whole(r, s, i, j, t))
+    found = {i for b in alike.smaller(iter(dedup._cells(dedup._measured(df), 256.0).toArrow().to_batches(max_chunksize=50)), 1.0) for i in b.column(0).to_pylist()}
+    assert found == set(range(399)) and sum(seen) < 8000
+
+
+def test_congruent_rings_are_compared_in_few_cells(spark):
+    rows = [(i, [(x, 7.0), (x + 9, 7.0), (x + 9, 16.0)]) for i, x in ((i, 0.9 * i) for i in range(1000))]
+    df = spark.createDataFrame(rows, f"id long, ring {RING}")
+    pairs = dedup.congruent_pairs(df)
+    assert {tuple(r) for r in pairs.collect()} == {(i, i + 1) for i in range(999)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" in plan and "Generate explode([" not in plan  # a list of nine neighbours for each ring
